@@ -29,6 +29,13 @@ def rlike(text, pat) -> Column:
     return F.regexp_like(col_of(text), pat)
 
 
+def rx_extract(text, pat, idx: int = 1) -> Column:
+    """regexp_extract where the pattern may be a column."""
+    if isinstance(pat, str):
+        pat = F.lit(pat)
+    return F.call_function("regexp_extract", col_of(text), pat, F.lit(idx))
+
+
 def first_match(pats, text, flags: str = "") -> Column:
     """First pattern of an ARRAY<STRING> (in list order) that matches text."""
     text = col_of(text)

@@ -166,3 +166,56 @@ WHERE n > 1
 """
 
 RUN_TS_SQL = "TIMESTAMP '2024-01-12 00:00:00'"
+
+
+# ------------------------------------------------------------ derived markup
+# The given pages have no images, forms, base tags, refreshes or second
+# bodies; these are spliced in by rule from page_id and host, and the next
+# page's URL serves as each page's "single page" link.
+def derived_pages(pages: DataFrame) -> DataFrame:
+    """pages with extra markup: (page_id, url, host, next_url, html)."""
+    p = pages.select("page_id", "url", "html")
+    nxt = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
+    host = url_host("url")
+    pid = F.col("page_id").cast("string")
+    width = ((F.pmod(F.col("page_id"), F.lit(7)) + 1) * 100).cast("string")
+    inject = F.concat(
+        F.lit('<article><form action="/s"><input name="q"></form><img src="http://cdn.'), host,
+        F.lit("/p"), pid, F.lit('.png" style="color:red" width="'), width, F.lit('">'),
+        F.lit('<img data-src="/i/'), pid, F.lit('.jpg" src="data:image/gif;base64,AAAA">'),
+        F.lit('<img src="../img/'), pid, F.lit('.gif" srcset="/s/'), pid, F.lit("-320.jpg 320w, /s/"), pid,
+        F.lit("-640.jpg 640w, /s/"), pid, F.lit("-1280.jpg 1280w, /s/"), pid, F.lit('-2x.jpg 2x">'),
+        F.lit('<a href="/x'), pid, F.lit('"> </a><font style="background:blue">f</font>'),
+        F.lit('<svg><circle r="1"/></svg><a href="'), F.coalesce(F.col("next_url"), F.lit("#")),
+        F.lit('">single page</a><a href="?page=2">2</a><a href="?page=3">3</a><a href="?page=2">2</a>'))
+    refresh = F.when(F.pmod(F.col("page_id"), F.lit(4)) == 0,
+                     F.concat(F.lit('<meta http-equiv="refresh" content="0; url='),
+                              F.coalesce(F.col("next_url"), F.col("url")), F.lit('">'))).otherwise(F.lit(""))
+    base = F.when(F.pmod(F.col("page_id"), F.lit(2)) == 0,
+                  F.concat(F.lit('<base href="https://'), host, F.lit('/b/">'))).otherwise(F.lit(""))
+    html = F.concat(base, refresh,
+                    F.replace(F.col("html"), F.lit("<article>"), inject),
+                    F.lit('<body class="second"><p>tail '), pid, F.lit("</p></body>"))
+    return (p.join(nxt, "page_id", "left")
+            .select("page_id", "url", host.alias("host"), "next_url", html.alias("html")))
+
+
+DERIVED_SQL = f"""
+SELECT p.page_id, p.url, {HOST_SQL.replace('url', 'p.url')} AS host, n.url AS next_url,
+  (CASE WHEN p.page_id % 2 = 0 THEN '<base href="https://' || {HOST_SQL.replace('url', 'p.url')} || '/b/">' ELSE '' END)
+  || (CASE WHEN p.page_id % 4 = 0 THEN '<meta http-equiv="refresh" content="0; url=' || coalesce(n.url, p.url) || '">'
+           ELSE '' END)
+  || replace(p.html, '<article>',
+       '<article><form action="/s"><input name="q"></form><img src="http://cdn.' || {HOST_SQL.replace('url', 'p.url')}
+       || '/p' || CAST(p.page_id AS VARCHAR) || '.png" style="color:red" width="'
+       || CAST((p.page_id % 7 + 1) * 100 AS VARCHAR) || '">'
+       || '<img data-src="/i/' || CAST(p.page_id AS VARCHAR) || '.jpg" src="data:image/gif;base64,AAAA">'
+       || '<img src="../img/' || CAST(p.page_id AS VARCHAR) || '.gif" srcset="/s/' || CAST(p.page_id AS VARCHAR)
+       || '-320.jpg 320w, /s/' || CAST(p.page_id AS VARCHAR) || '-640.jpg 640w, /s/' || CAST(p.page_id AS VARCHAR)
+       || '-1280.jpg 1280w, /s/' || CAST(p.page_id AS VARCHAR) || '-2x.jpg 2x">'
+       || '<a href="/x' || CAST(p.page_id AS VARCHAR) || '"> </a><font style="background:blue">f</font>'
+       || '<svg><circle r="1"/></svg><a href="' || coalesce(n.url, '#')
+       || '">single page</a><a href="?page=2">2</a><a href="?page=3">3</a><a href="?page=2">2</a>')
+  || '<body class="second"><p>tail ' || CAST(p.page_id AS VARCHAR) || '</p></body>' AS html
+FROM pages p LEFT JOIN pages n ON n.page_id = p.page_id + 1
+"""

@@ -162,12 +162,18 @@ def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 
 def attach_rules(entries: DataFrame, rules: DataFrame, on="feed", max_rules: int = 100_000) -> DataFrame:
-    """Every entry gets its site's rules; sites without a row get defaults."""
+    """Every entry gets its site's rules; sites without a row get defaults.
+
+    Only the rule columns present in ``rules`` are attached (select the ones
+    a step needs, so the join carries narrow rows).
+    """
     on_cols = [on] if isinstance(on, str) else list(on)
+    rule_cols = [c for c in rules.columns if c not in on_cols]
+    clash = [c for c in rule_cols if c in entries.columns]
+    if clash:
+        raise ValueError(f"entries already have rule columns {clash}")
     joined = entries.join(checked_broadcast(rules, max_rules), on_cols, "left")
-    fills = []
-    for f in rule_schema().fields[1:]:
-        if f.name in rules.columns:
-            fills.append(F.coalesce(F.col(f.name), builtin_value(f.name)).alias(f.name))
-    keep = [c for c in joined.columns if c not in {f.name for f in rule_schema().fields[1:]}]
-    return joined.select(*keep, *fills)
+    known = {f.name for f in rule_schema().fields[1:]}
+    return joined.select(
+        *[c for c in joined.columns if c not in rule_cols],
+        *[F.coalesce(F.col(c), builtin_value(c)).alias(c) if c in known else F.col(c) for c in rule_cols])
