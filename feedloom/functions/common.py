@@ -52,3 +52,16 @@ def any_match(pats, text, flags: str = "") -> Column:
         F.coalesce(col_of(pats), empty_str_array()),
         lambda p: rlike(text, F.concat(F.lit(flags), p) if flags else p)),
         F.lit(False))
+
+
+def steps(df, col: str, *fns):
+    """Apply column steps one projection at a time.
+
+    Each step reads the previous result by name, so an expensive expression
+    that a step uses several times is computed once (the optimizer does not
+    inline a non-trivial expression into a consumer that references it
+    more than once) instead of the expression tree growing with every step.
+    """
+    for fn in fns:
+        df = df.withColumn(col, fn(F.col(col)))
+    return df

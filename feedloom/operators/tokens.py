@@ -2,16 +2,21 @@
 
 ``html_tokens`` explodes a page into (page_id, pos, tok, tag, kind, level):
 script/style elements and comments stay single tokens, so '</p>' inside a
-script never closes anything.  Element extents come from same-tag nesting
-levels (a running sum per page and tag); every subtree interval is found
-with ``lead`` over (page, tag, level) and removal/keeping is a running
-coverage count.  No token is ever paired with every interval (no range
-join), and all windows are per page, which is one bounded document.
+script never closes anything.
+
+Physical plan: the pages are hash-partitioned by page once, before the
+explode, so every later window (all keyed by page first) and the final
+per-page reassembly run without another shuffle - only sorts inside each
+partition.  No token is ever paired with every interval (no range join):
+element extents come from same-tag nesting levels, the matching close is
+the next open/close token of the same (tag, level), and "inside a matched
+element" is a running count of starts minus ends.
 
 Contract for malformed HTML: void tags (br, img, input, meta, link, source,
 hr, base, ...) and self-closing tags have no subtree; an element that is
 never closed extends to the end of the document; nothing is re-serialised
-or pretty-printed.
+or pretty-printed.  A stray '<' that opens no tag is a text token, so the
+tokens always spell the whole page.
 """
 
 from __future__ import annotations
@@ -22,23 +27,28 @@ from pyspark.sql import functions as F
 from feedloom.functions.common import col_of, rx_extract
 
 # Token pattern and void elements.
-TOKEN_RE = r"(?is:<script\b.*?</script\s*>|<style\b.*?</style\s*>)|<!--(?s:.*?)-->|<[^>]*>|[^<]+"
+TOKEN_RE = r"(?is:<script\b.*?</script\s*>|<style\b.*?</style\s*>)|<!--(?s:.*?)-->|<[^>]*>|[^<]+|<"
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
              "param", "source", "track", "wbr"]
 
 # Node spec: 'tag attr="regex"' (the attribute part is required).
 NODE_SPEC_RE = r"""^\s*([a-zA-Z\d]+)\s+(?:([a-zA-Z]+)\s*=\s*['"](.*)['"])"""
+BARE_TAG_RE = r"^\s*([A-Za-z][A-Za-z0-9]*)\s*$"
+NEVER = 1 << 30
 
 
-def html_tokens(pages: DataFrame, html_col: str = "html", key: str = "page_id") -> DataFrame:
+def html_tokens(pages: DataFrame, html_col: str = "html", key: str = "page_id",
+                keep=()) -> DataFrame:
     """Explode pages into tokens with tag, kind and same-tag nesting level.
 
     kind: text, comment, decl, raw (script/style), void, open, close.
     ``level`` of an open tag is the depth after it opens; of a close tag the
     depth before it closes; so an element's open and close share a level.
+    ``keep`` names page columns copied onto every token (e.g. rule arrays).
     """
-    toks = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(TOKEN_RE), F.lit(0)))
-                        .alias("pos", "tok"))
+    parted = pages.repartition(key)
+    toks = parted.select(key, *keep, F.posexplode(
+        F.regexp_extract_all(F.col(html_col), F.lit(TOKEN_RE), F.lit(0))).alias("pos", "tok"))
     tok = F.col("tok")
     tag = F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
     kind = (F.when(~tok.startswith("<"), F.lit("text"))
@@ -56,19 +66,26 @@ def html_tokens(pages: DataFrame, html_col: str = "html", key: str = "page_id")
     return toks.withColumn("level", F.when(F.col("kind") == "close", depth + 1).otherwise(depth).cast("int"))
 
 
-def element_ends(tokens: DataFrame, key: str = "page_id") -> DataFrame:
-    """Adds ``end_pos`` to open tags: position of the matching close, null when never closed.
+def with_spans(tokens: DataFrame, start_col: str, key: str = "page_id") -> DataFrame:
+    """Adds ``inside``: the token lies in the subtree of a token flagged ``start_col``.
 
-    Within (page, tag, level) opens and closes alternate, so the match of an
-    open is the next token of its level when that token is a close.
+    The matching close of an open is the next open/close token of the same
+    (tag, level); a void or self-closing start covers itself; a start never
+    closed covers the rest of the page.  Nested and overlapping spans count.
     """
-    w = Window.partitionBy(key, "tag", "level").orderBy("pos")
-    nxt_pos = F.lead("pos").over(w)
-    nxt_kind = F.lead("kind").over(w)
-    tagged = tokens.filter(F.col("kind").isin("open", "close"))
-    ends = (tagged.withColumn("end_pos", F.when(nxt_kind == "close", nxt_pos))
-            .filter(F.col("kind") == "open").select(key, "pos", "end_pos"))
-    return ends
+    is_oc = F.col("kind").isin("open", "close")
+    w_lvl = Window.partitionBy(key, "tag", "level", is_oc).orderBy("pos")
+    prev_kind = F.lag("kind").over(w_lvl)
+    prev_start = F.lag(start_col).over(w_lvl)
+    ends_span = ((F.col("kind") == "close") & (prev_kind == "open") & F.coalesce(prev_start, F.lit(False))) \
+        | ((F.col("kind") == "void") & F.col(start_col))
+    w_run = Window.partitionBy(key).orderBy("pos")
+    started = F.sum(F.col(start_col).cast("int")).over(w_run.rowsBetween(Window.unboundedPreceding, 0))
+    ended = F.coalesce(F.sum(F.col("_ends").cast("int")).over(w_run.rowsBetween(Window.unboundedPreceding, -1)),
+                       F.lit(0))
+    return (tokens.withColumn("_ends", F.coalesce(ends_span, F.lit(False)))
+            .withColumn("inside", (started - ended) > 0)
+            .drop("_ends"))
 
 
 def parse_node_spec(spec) -> tuple[Column, Column, Column]:
@@ -79,8 +96,18 @@ def parse_node_spec(spec) -> tuple[Column, Column, Column]:
             F.regexp_extract(s, NODE_SPEC_RE, 3))
 
 
+def parsed_specs(specs) -> Column:
+    """ARRAY<STRING> of specs -> ARRAY<STRUCT<no, bare, tag, attr, rx>> (bare = tag-only spec)."""
+    return F.transform(F.coalesce(col_of(specs), F.array().cast("array<string>")), lambda s, i: F.struct(
+        i.alias("no"),
+        F.lower(F.regexp_extract(s, BARE_TAG_RE, 1)).alias("bare"),
+        F.lower(F.regexp_extract(s, NODE_SPEC_RE, 1)).alias("tag"),
+        F.lower(F.regexp_extract(s, NODE_SPEC_RE, 2)).alias("attr"),
+        F.regexp_extract(s, NODE_SPEC_RE, 3).alias("rx")))
+
+
 def attr_value(tok, attr) -> Column:
-    """Value of attribute ``attr`` (a column) in an open-tag token; null when absent."""
+    """Value of attribute ``attr`` (a column) in a tag token; null when absent."""
     tok = col_of(tok)
     dq = rx_extract(tok, F.concat(F.lit(r"(?i)\s"), attr, F.lit(r"\s*=\s*\"([^\"]*)\"")), 1)
     sq = rx_extract(tok, F.concat(F.lit(r"(?i)\s"), attr, F.lit(r"\s*=\s*'([^']*)'")), 1)
@@ -89,28 +116,63 @@ def attr_value(tok, attr) -> Column:
     return F.when(has, F.when(dq != "", dq).when(sq != "", sq).otherwise(bare))
 
 
-def matching_nodes(tokens: DataFrame, specs: DataFrame, key: str = "page_id") -> DataFrame:
-    """Open/void tokens matching a node spec: (key, start, stop) subtree intervals.
+def spec_hits(tok, tag, specs, mode: str = "search") -> Column:
+    """Specs (parsed) that the tag token matches.
+
+    mode 'search': 'tag attr="regex"' with a regex search on the value
+    (skip_nodes); tag-only specs never match.  mode 'equal': the value must
+    equal the spec value or one of its space-separated tokens, and a
+    tag-only spec matches by tag (containers).
+    """
+    tok, tag = col_of(tok), col_of(tag)
+
+    def hit(s):
+        val = attr_value(tok, s["attr"])
+        with_attr = (s["tag"] != "") & (s["attr"] != "") & (tag == s["tag"])
+        if mode == "search":
+            return with_attr & F.coalesce(F.regexp_like(val, s["rx"]), F.lit(False))
+        same = (val == s["rx"]) | F.exists(F.split(F.coalesce(val, F.lit("")), r"\s+"), lambda v: v == s["rx"])
+        return ((s["bare"] != "") & (tag == s["bare"])) | (with_attr & F.coalesce(same, F.lit(False)))
+
+    return F.filter(col_of(specs), hit)
+
 
-    ``specs`` is (key, spec) - one row per page and spec, e.g. the site's
-    skip_nodes exploded.  Specs without an attribute do not parse and match
-    nothing (reported by ``bad_node_specs``).
+def reassemble(tokens: DataFrame, key: str = "page_id", out: str = "html", keep_col: str | None = None,
+               carry=()) -> DataFrame:
+    """Concatenate the kept tokens of each page in position order.
+
+    Groups by page, which the token table is already partitioned by, so no
+    shuffle is added.  ``carry`` columns (constant per page) ride along.
+    """
+    item = F.struct("pos", "tok")
+    if keep_col is not None:
+        item = F.when(F.col(keep_col), item)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["tok"]), "")
+    return tokens.groupBy(key).agg(text.alias(out), *[F.first(c).alias(c) for c in carry])
+
+
+def delete_nodes(pages: DataFrame, specs_col: str = "skip_nodes", key: str = "page_id",
+                 html_col: str = "html") -> DataFrame:
+    """H3: remove every element matching a node spec of the page's site, with its subtree.
+
+    ``specs_col`` is an ARRAY<STRING> column on the pages (the site's
+    skip_nodes).  Pages whose html names none of the spec tags skip
+    tokenising and are passed through; specs without an attribute match
+    nothing (see ``bad_node_specs``).
     """
-    tag, attr, rx = parse_node_spec(F.col("spec"))
-    sp = specs.select(key, tag.alias("s_tag"), attr.alias("s_attr"), rx.alias("s_rx")) \
-        .filter((F.col("s_tag") != "") & (F.col("s_attr") != "")).distinct()
-    cand = tokens.filter(F.col("kind").isin("open", "void")) \
-        .select(key, "pos", "tok", "tag", "kind")
-    hits = (cand.join(sp, [key], "inner")
-            .filter(F.col("tag") == F.col("s_tag"))
-            .filter(F.coalesce(F.regexp_like(attr_value(F.col("tok"), F.col("s_attr")), F.col("s_rx")),
-                               F.lit(False)))
-            .select(key, "pos", "kind").distinct())
-    ends = element_ends(tokens, key)
-    return (hits.join(ends, [key, "pos"], "left")
-            .select(key, F.col("pos").alias("start"),
-                    F.when(F.col("kind") == "void", F.col("pos"))
-                    .otherwise(F.coalesce(F.col("end_pos"), F.lit(1 << 30))).alias("stop")))
+    sp = parsed_specs(F.col(specs_col))
+    usable = F.filter(sp, lambda s: (s["tag"] != "") & (s["attr"] != ""))
+    guard = F.coalesce(F.exists(usable, lambda s: F.regexp_like(
+        F.col(html_col), F.concat(F.lit("(?i)<"), s["tag"], F.lit(r"\b")))), F.lit(False))
+    tagged = pages.withColumn("_specs", usable).withColumn("_work", guard)
+    carry = [c for c in pages.columns if c not in (key, html_col)]
+    toks = html_tokens(tagged.filter("_work"), html_col, key, keep=[*carry, "_specs"])
+    toks = toks.withColumn("_start", F.col("kind").isin("open", "void")
+                           & (F.size(spec_hits("tok", "tag", F.col("_specs"))) > 0))
+    spans = with_spans(toks, "_start", key).withColumn("_keep", ~F.col("inside"))
+    cleaned = reassemble(spans, key, html_col, "_keep", carry=carry)
+    return cleaned.select(*pages.columns).unionByName(
+        tagged.filter(~F.col("_work")).select(*pages.columns))
 
 
 def bad_node_specs(specs: DataFrame, name: str = "feed") -> DataFrame:
@@ -122,145 +184,59 @@ def bad_node_specs(specs: DataFrame, name: str = "feed") -> DataFrame:
                     F.concat(F.lit("unusable skip_nodes spec: "), F.col("spec")).alias("reason")))
 
 
-def covered(tokens: DataFrame, intervals: DataFrame, key: str = "page_id") -> DataFrame:
-    """Adds ``inside``: token lies in at least one [start, stop] interval.
+def keep_container(pages: DataFrame, specs_col: str, key: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Keep only the first element of the first spec (list order) that
+    matches anything on the page; pages with no match keep everything.
 
-    A running count of interval starts minus ends over each page - linear
-    in tokens plus intervals, however many intervals a page has.
-    """
-    ev = (intervals.select(key, F.col("start").alias("pos"), F.lit(0).alias("ord"), F.lit(1).alias("delta"))
-          .unionByName(intervals.select(key, F.col("stop").alias("pos"), F.lit(2).alias("ord"),
-                                        F.lit(-1).alias("delta"))))
-    toks = tokens.withColumn("ord", F.lit(1)).withColumn("delta", F.lit(0))
-    allrows = toks.unionByName(ev, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("pos", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    return (allrows.withColumn("_cov", F.sum("delta").over(w))
-            .filter(F.col("ord") == 1)
-            .withColumn("inside", F.col("_cov") > 0)
-            .drop("ord", "delta", "_cov"))
-
-
-def reassemble(tokens: DataFrame, key: str = "page_id", out: str = "html") -> DataFrame:
-    """Concatenate tokens of each page in position order."""
-    return tokens.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))),
-                                 lambda s: s["tok"]), "").alias(out))
-
-
-def delete_nodes(pages: DataFrame, specs: DataFrame, key: str = "page_id", html_col: str = "html") -> DataFrame:
-    """H3: remove every element matching a node spec, with its subtree.
-
-    Pages whose html contains none of the spec tags are passed through
-    without tokenising.  Lossy tokenisation (a stray '<' without '>') leaves
-    the page unchanged.
-    """
-    tag, attr, _ = parse_node_spec(F.col("spec"))
-    usable = specs.filter((tag != "") & (attr != "")).withColumn("_tag", tag)
-    # pages that may contain a node to delete
-    probe = (pages.select(key, html_col).join(usable.select(key, "_tag"), key, "inner")
-             .filter(F.regexp_like(F.col(html_col), F.concat(F.lit("(?i)<"), F.col("_tag"), F.lit(r"\b"))))
-             .select(key).distinct())
-    work = pages.join(probe, key, "left_semi")
-    toks = html_tokens(work, html_col, key)
-    lossless = (toks.groupBy(key).agg(F.sum(F.length("tok")).alias("_n"))
-                .join(work.select(key, F.length(html_col).alias("_len")), key)
-                .filter(F.col("_n") == F.col("_len")).select(key))
-    toks = toks.join(lossless, key, "left_semi")
-    iv = matching_nodes(toks, usable.select(key, "spec"), key)
-    kept = covered(toks, iv, key).filter(~F.col("inside"))
-    cleaned = reassemble(kept, key, "_clean")
-    return (pages.join(cleaned, key, "left")
-            .withColumn(html_col, F.coalesce(F.col("_clean"), F.col(html_col))).drop("_clean"))
-
-
-def keep_container(pages: DataFrame, specs: DataFrame, key: str = "page_id",
-                   html_col: str = "html") -> DataFrame:
-    """Keep only the first matching container (first spec in list order
-    that matches anything, first such element); pages with no match keep all.
-
-    ``specs`` is (key, spec, spec_no).
+    ``specs_col`` is an ARRAY<STRING>: 'tag attr="value"' or a bare tag.
     """
-    toks = html_tokens(pages.select(key, html_col), html_col, key)
-    tag, attr, rx = parse_node_spec(F.col("spec"))
-    cand = toks.filter(F.col("kind") == "open").select(key, "pos", "tok", "tag")
-    alone = F.regexp_extract(F.col("spec"), r"^\s*([A-Za-z][A-Za-z0-9]*)\s*$", 1)
-    sp2 = specs.select(key, "spec_no", F.lower(alone).alias("a_tag"), tag.alias("s_tag"),
-                       attr.alias("s_attr"), rx.alias("s_rx"))
-    hits = (cand.join(sp2, key, "inner")
-            .filter(((F.col("a_tag") != "") & (F.col("tag") == F.col("a_tag")))
-                    | ((F.col("s_tag") != "") & (F.col("s_attr") != "") & (F.col("tag") == F.col("s_tag"))
-                       & F.coalesce(F.regexp_like(attr_value(F.col("tok"), F.col("s_attr")), F.col("s_rx")),
-                                    F.lit(False)))))
-    first = hits.groupBy(key).agg(F.min(F.struct("spec_no", "pos")).alias("_f")) \
-        .select(key, F.col("_f.pos").alias("pos"))
-    ends = element_ends(toks, key)
-    iv = (first.join(ends, [key, "pos"], "left")
-              .select(key, F.col("pos").alias("start"),
-                  F.coalesce(F.col("end_pos"), F.lit(1 << 30)).alias("stop")))
-    kept = covered(toks, iv, key).filter(F.col("inside"))
-    cleaned = reassemble(kept, key, "_clean")
-    return (pages.join(cleaned, key, "left")
-            .withColumn(html_col, F.coalesce(F.col("_clean"), F.col(html_col))).drop("_clean"))
+    work = pages.withColumn("_specs", parsed_specs(F.col(specs_col)))
+    toks = html_tokens(work, html_col, key,
+                       keep=[*[c for c in pages.columns if c not in (key, html_col)], "_specs"])
+    best = F.array_min(F.transform(spec_hits("tok", "tag", F.col("_specs"), "equal"), lambda s: s["no"]))
+    toks = toks.withColumn("_no", F.when(F.col("kind") == "open", best))
+    rank = F.when(F.col("_no").isNotNull(), F.struct(F.col("_no"), F.col("pos")))
+    toks = toks.withColumn("_rank", rank)
+    first = F.min("_rank").over(Window.partitionBy(key))
+    toks = toks.withColumn("_start", F.coalesce(F.col("_rank") == first, F.lit(False)))
+    spans = with_spans(toks, "_start", key)
+    carry = [c for c in pages.columns if c not in (key, html_col)]
+    return reassemble(spans, key, html_col, "inside", carry=carry).select(*pages.columns)
 
 
 def first_html_body(pages: DataFrame, key: str = "page_id", html_col: str = "html") -> DataFrame:
     """H7: keep the first html and body tags; later html/body tags are unwrapped."""
-    toks = html_tokens(pages.select(key, html_col), html_col, key)
+    carry = [c for c in pages.columns if c not in (key, html_col)]
+    toks = html_tokens(pages, html_col, key, keep=carry)
     w = Window.partitionBy(key, "tag", "kind").orderBy("pos")
     marked = toks.withColumn("_n", F.when(F.col("tag").isin("html", "body") & F.col("kind").isin("open", "close"),
                                           F.row_number().over(w)))
-    kept = marked.filter(F.col("_n").isNull() | (F.col("_n") == 1))
-    cleaned = reassemble(kept, key, "_clean")
-    return (pages.join(cleaned, key, "left")
-            .withColumn(html_col, F.coalesce(F.col("_clean"), F.col(html_col))).drop("_clean"))
+    marked = marked.withColumn("_keep", F.col("_n").isNull() | (F.col("_n") == 1))
+    return reassemble(marked, key, html_col, "_keep", carry=carry).select(*pages.columns)
 
 
-def container_links(pages: DataFrame, specs: DataFrame, key: str = "page_id",
-                    html_col: str = "html") -> DataFrame:
-    """S3: every a[href] inside any container matching the spec, in order.
+def container_links(pages: DataFrame, specs_col: str, key: str = "page_id", html_col: str = "html") -> DataFrame:
+    """S3: every a[href] inside any container matching a spec, with its text.
 
     Returns (key, pos, href, text): one entry per link (Q11 intended).
-    ``specs`` is (key, spec) with 'tag attr="v"' or a bare tag.
     """
-    toks = html_tokens(pages.select(key, html_col), html_col, key)
-    cand = toks.filter(F.col("kind") == "open").select(key, "pos", "tok", "tag")
-    tag, attr, rx = parse_node_spec(F.col("spec"))
-    alone = F.lower(F.regexp_extract(F.col("spec"), r"^\s*([A-Za-z][A-Za-z0-9]*)\s*$", 1))
-    sp = specs.select(key, alone.alias("a_tag"), tag.alias("s_tag"), attr.alias("s_attr"), rx.alias("s_rx"))
-    val = attr_value(F.col("tok"), F.col("s_attr"))
-    # an attribute value must equal the spec's value (any token of a class list)
-    same = (val == F.col("s_rx")) | F.exists(F.split(F.coalesce(val, F.lit("")), r"\s+"),
-                                             lambda v: v == F.col("s_rx"))
-    hits = (cand.join(sp, key, "inner")
-            .filter(((F.col("a_tag") != "") & (F.col("tag") == F.col("a_tag")))
-                    | ((F.col("s_tag") != "") & (F.col("s_attr") != "") & (F.col("tag") == F.col("s_tag"))
-                       & F.coalesce(same, F.lit(False))))
-            .select(key, "pos").distinct())
-    ends = element_ends(toks, key)
-    iv = (hits.join(ends, [key, "pos"], "left")
-          .select(key, F.col("pos").alias("start"), F.coalesce(F.col("end_pos"), F.lit(1 << 30)).alias("stop")))
-    inside = covered(toks, iv, key).filter(F.col("inside"))
-    # link text = text tokens between an <a href> and its close
-    a_open = inside.filter((F.col("tag") == "a") & (F.col("kind") == "open"))
-    a_ends = element_ends(toks.filter(F.col("tag") == "a"), key)
-    links = (a_open.join(a_ends, [key, "pos"], "left")
+    work = pages.select(key, html_col, parsed_specs(F.col(specs_col)).alias("_specs"))
+    toks = html_tokens(work, html_col, key, keep=["_specs"])
+    toks = toks.withColumn("_start", (F.col("kind") == "open")
+                           & (F.size(spec_hits("tok", "tag", F.col("_specs"), "equal")) > 0))
+    toks = with_spans(toks, "_start", key)
+    is_a_open = (F.col("tag") == "a") & (F.col("kind") == "open")
+    w_run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    a_delta = F.when(is_a_open, 1).when((F.col("tag") == "a") & (F.col("kind") == "close"), -1).otherwise(0)
+    toks = (toks.withColumn("_adepth", F.sum(a_delta).over(w_run))
+            .withColumn("_owner", F.max(F.when(is_a_open, F.col("pos"))).over(w_run)))
+    links = (toks.filter(is_a_open & F.col("inside"))
              .withColumn("href", attr_value(F.col("tok"), F.lit("href")))
              .filter(F.col("href").isNotNull())
-             .select(key, F.col("pos").alias("start"),
-                     F.coalesce(F.col("end_pos"), F.col("pos")).alias("stop"), "href"))
-    texts = covered(toks.filter(F.col("kind") == "text"),
-                    links.select(key, "start", "stop"), key).filter(F.col("inside"))
-    # attach each text token to its link: the latest link start at or before it
-    wl = Window.partitionBy(key).orderBy("pos", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    ev = (links.select(key, F.col("start").alias("pos"), F.lit(0).alias("ord"), F.col("start").alias("link_pos"),
-                       F.lit(None).cast("string").alias("tok"))
-          .unionByName(texts.select(key, "pos", F.lit(1).alias("ord"), F.lit(None).cast("long").alias("link_pos"),
-                                    "tok")))
-    owned = (ev.withColumn("owner", F.last("link_pos", ignorenulls=True).over(wl))
-             .filter(F.col("ord") == 1).select(key, F.col("owner").alias("start"), "pos", "tok"))
-    link_text = owned.groupBy(key, "start").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda s: s["tok"]),
-                     "").alias("text"))
-    return (links.join(link_text, [key, "start"], "left")
-            .select(key, F.col("start").alias("pos"), "href",
-                    F.trim(F.coalesce(F.col("text"), F.lit(""))).alias("text")))
+             .select(key, F.col("pos"), "href"))
+    texts = (toks.filter((F.col("kind") == "text") & (F.col("_adepth") > 0) & F.col("inside"))
+             .groupBy(key, F.col("_owner").alias("pos"))
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))),
+                                           lambda s: s["tok"]), "").alias("text")))
+    return (links.join(texts, [key, "pos"], "left")
+            .select(key, "pos", "href", F.trim(F.coalesce(F.col("text"), F.lit(""))).alias("text")))

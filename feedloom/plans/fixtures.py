@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.urls import url_host
-from feedloom.sources.rules import rules_from_rows
+from feedloom.sources.rules import rules_from_rows, select_rules
 
 # The run time of every query (2024-01-12 00:00:00 UTC).
 RUN_TS_EPOCH = 1705017600
@@ -58,9 +58,16 @@ RULES = [
 ]
 
 
-def rules_view(spark: SparkSession) -> DataFrame:
-    """v_rules: the site rules table keyed by host suffix."""
-    return rules_from_rows(spark, RULES, key="rule_key")
+_RULES_BY_SESSION: dict = {}
+
+
+def rules_view(spark: SparkSession, *cols: str) -> DataFrame:
+    """v_rules: the site rules table keyed by host suffix (built once per session)."""
+    key = id(spark)
+    if key not in _RULES_BY_SESSION:
+        _RULES_BY_SESSION[key] = rules_from_rows(spark, RULES, key="rule_key")
+    rules = _RULES_BY_SESSION[key]
+    return select_rules(rules, "rule_key", *cols) if cols else rules
 
 
 def rule_key(host_col) -> F.Column:

@@ -21,7 +21,7 @@ def _pages(spark, sf_dir):
 
 
 def _rules(spark, *cols):
-    return X.rules_view(spark).select("rule_key", *cols)
+    return X.rules_view(spark, *cols)
 
 
 def kept_entries(spark, sf_dir, extra_rules=()):

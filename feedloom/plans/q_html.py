@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.functions import html as H
+from feedloom.functions.common import steps
 from feedloom.functions.urls import absolute_url, url_host
 from feedloom.operators import tokens as TK
 from feedloom.plans import fixtures as X
@@ -21,7 +22,7 @@ def _pages_with_rules(spark, sf_dir, *cols, derived=False):
     if derived:
         pages = X.derived_pages(pages).select("page_id", "url", "html")
     p = pages.withColumn("rule_key", X.rule_key(url_host("url")))
-    return attach_rules(p, X.rules_view(spark).select("rule_key", *cols), on="rule_key")
+    return attach_rules(p, X.rules_view(spark, *cols), on="rule_key")
 
 
 def _rules_join_sql(src: str, cols: list[str]) -> str:
@@ -33,8 +34,9 @@ def _rules_join_sql(src: str, cols: list[str]) -> str:
 def crop_and_strip(spark, sf_dir):
     """H1 crop by page_start/page_end, H2 excise skip_pats, H5 drop script/style/video/source/link."""
     p = _pages_with_rules(spark, sf_dir, "page_start", "page_end", "skip_pats")
-    html = H.drop_elements(H.excise(H.crop("html", "page_start", "page_end"), "skip_pats"))
-    return p.select("page_id", html.alias("html"))
+    p = steps(p, "html", lambda h: H.crop_start(h, "page_start"), lambda h: H.crop_end(h, "page_end"),
+              lambda h: H.excise(h, "skip_pats"), H.drop_elements)
+    return p.select("page_id", "html")
 
 
 def _drop_elements_sql(x: str) -> str:
@@ -54,9 +56,7 @@ SELECT page_id, {_drop_elements_sql(excise_sql('skip_pats', 'html'))} AS html FR
 def node_delete(spark, sf_dir):
     """H3: delete skip_nodes elements with their subtrees (token table + coverage counts)."""
     p = _pages_with_rules(spark, sf_dir, "skip_nodes")
-    specs = p.select("page_id", F.explode("skip_nodes").alias("spec"))
-    out = TK.delete_nodes(p.select("page_id", "html"), specs)
-    return out.select("page_id", "html")
+    return TK.delete_nodes(p.select("page_id", "html", "skip_nodes"), "skip_nodes").select("page_id", "html")
 
 
 NODE_SPEC_SQL = TK.NODE_SPEC_RE.replace("'", "''")
@@ -100,7 +100,7 @@ SELECT p.page_id, coalesce(c.clean, p.html) AS html FROM pages p LEFT JOIN clean
 def html_token_stats(spark, sf_dir):
     """Token table summary per page: counts by kind, deepest level, lossless flag."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "html")
-    t = TK.html_tokens(pages)
+    t = TK.html_tokens(pages.select("page_id", "html"))
     agg = t.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("n_tokens"),
         F.count(F.when(F.col("kind") == "open", 1)).alias("n_open"),
@@ -132,9 +132,8 @@ ARTICLE_SPECS = ['section name="articleBody"', 'div class="live-blog-post"', "ar
 def keep_article(spark, sf_dir):
     """Keep the first container of the first matching spec; drop svg/img/video inside."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "html")
-    specs = pages.select("page_id", F.posexplode(F.array(*[F.lit(s) for s in ARTICLE_SPECS]))
-                         .alias("spec_no", "spec"))
-    kept = TK.keep_container(pages, specs)
+    specs = pages.withColumn("specs", F.array(*[F.lit(s) for s in ARTICLE_SPECS]))
+    kept = TK.keep_container(specs, "specs")
     html = H.drop_elements(F.col("html"), ["svg", "video"], ["img"])
     return kept.select("page_id", html.alias("html"))
 
@@ -177,8 +176,8 @@ def html_index_entries(spark, sf_dir):
     """S3 + E8: every link inside each page's <nav> container becomes an entry
     (id = link = absolute href, title = link text)."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    specs = pages.select("page_id", F.lit("nav").alias("spec"))
-    links = TK.container_links(pages.select("page_id", "html"), specs)
+    specs = pages.select("page_id", "html", F.array(F.lit("nav")).alias("specs"))
+    links = TK.container_links(specs, "specs")
     out = links.join(pages.select("page_id", "url"), "page_id")
     return out.select(url_host("url").alias("feed"), "page_id", F.col("pos").cast("long").alias("pos"),
                       absolute_url(F.col("href"), F.col("url")).alias("link"),
@@ -213,13 +212,9 @@ FROM links l JOIN pages p USING (page_id) LEFT JOIN lt USING (page_id, start)
 def unwrap_and_links(spark, sf_dir):
     """H5 drop, H4 unwrap, H6 images (skip_images), H8 links (skip_links), H11 color styles, H9 base drop."""
     p = _pages_with_rules(spark, sf_dir, "skip_images", "skip_links", derived=True)
-    h = H.drop_elements(F.col("html"))
-    h = H.unwrap_tags(h)
-    h = H.drop_images(h, "skip_images")
-    h = H.links_rule(h, "skip_links")
-    h = H.drop_color_styles(h)
-    h = H.drop_base(h)
-    return p.select("page_id", H.body_only(h).alias("html"))
+    p = steps(p, "html", H.drop_elements, H.unwrap_tags, lambda h: H.drop_images(h, "skip_images"),
+              lambda h: H.links_rule(h, "skip_links"), H.drop_color_styles, H.drop_base, H.body_only)
+    return p.select("page_id", "html")
 
 
 def _unwrap_sql():
@@ -309,13 +304,13 @@ FROM s LEFT JOIN pages o ON o.url = s.single_url
 def story_pages(spark, sf_dir):
     """H1 crop, H14 h1 insertion and byline, H22 body only, H20 no-content, H21 wrapper."""
     p = _pages_with_rules(spark, sf_dir, "page_start", "page_end")
-    title = F.regexp_extract("html", r"<title>(.*?)</title>", 1)
-    author = F.when(F.pmod(F.col("page_id"), F.lit(2)) == 0, F.concat(F.lit("Writer "), F.col("page_id")))
-    h = H.byline(F.col("html"), author)
-    h = H.crop(h, "page_start", "page_end")
-    h = H.ensure_h1(h, title)
-    body = H.no_content(H.body_only(h))
-    return p.select("page_id", H.wrap_page(body, title, F.col("url")).alias("html"))
+    p = (p.withColumn("title", F.regexp_extract("html", r"<title>(.*?)</title>", 1))
+         .withColumn("author", F.when(F.pmod(F.col("page_id"), F.lit(2)) == 0,
+                                      F.concat(F.lit("Writer "), F.col("page_id")))))
+    p = steps(p, "html", lambda h: H.byline(h, F.col("author")), lambda h: H.crop_start(h, "page_start"),
+              lambda h: H.crop_end(h, "page_end"), lambda h: H.ensure_h1(h, F.col("title")),
+              H.body_only, H.no_content, lambda h: H.wrap_page(h, F.col("title"), F.col("url")))
+    return p.select("page_id", "html")
 
 
 def _story_sql():
@@ -355,13 +350,14 @@ def index_excerpts(spark, sf_dir):
     image removal, H8 excerpt links, H19 index_skip_content_pats, H18 cut."""
     p = _pages_with_rules(spark, sf_dir, "simplify_rss", "skip_images", "skip_links",
                           "index_skip_content_pats", "rss_entry_size", derived=True)
-    c = H.no_content(F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1))
-    c = F.when(F.col("simplify_rss"), H.simplify(c)).otherwise(c)
-    c = F.when(F.col("skip_images"), H.excerpt_drop_images(c)).otherwise(c)
-    c = H.links_rule(c, "skip_links")
-    c = H.excise(c, "index_skip_content_pats", flags="")
-    c = H.cut_excerpt(c, F.col("rss_entry_size"))
-    return p.select("page_id", c.alias("excerpt"))
+    p = p.withColumn("excerpt", F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1))
+    p = steps(p, "excerpt", H.no_content,
+              lambda c: F.when(F.col("simplify_rss"), H.simplify(c)).otherwise(c),
+              lambda c: F.when(F.col("skip_images"), H.excerpt_drop_images(c)).otherwise(c),
+              lambda c: H.links_rule(c, "skip_links"),
+              lambda c: H.excise(c, "index_skip_content_pats", flags=""),
+              lambda c: H.cut_excerpt(c, F.col("rss_entry_size")))
+    return p.select("page_id", "excerpt")
 
 
 def _excerpts_sql():

@@ -88,11 +88,44 @@ def builtin_value(key: str):
     return _typed(key, F.lit(raw))
 
 
+def python_default(key: str):
+    """Built-in default of a key as a Python value (for rules given as rows)."""
+    if key == "max_srcset_size":
+        return SRCSET_FALLBACK
+    if key in LIST_KEYS:
+        return []
+    raw = BUILTIN_DEFAULTS.get(key)
+    if raw is None:
+        return None
+    if key in BOOL_KEYS:
+        return raw.lower() in ("1", "yes", "true", "on")
+    if key in INT_KEYS:
+        return int(raw)
+    if key in DOUBLE_KEYS:
+        return float(raw)
+    return raw
+
+
 def rules_from_rows(spark: SparkSession, rows: list[dict], key: str = "feed") -> DataFrame:
-    """Rules table from Python dicts (missing keys take the built-in default)."""
+    """Rules table from Python dicts; missing keys take the built-in default.
+
+    The row count is recorded on the DataFrame (``known_rows``), so a later
+    broadcast needs no counting job: its size bound is known by construction.
+    """
     schema = rule_schema(key)
-    df = spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
-    return with_rule_defaults(df, key)
+    data = [tuple(r.get(f.name) if r.get(f.name) is not None else python_default(f.name)
+                  for f in schema.fields) for r in rows]
+    df = spark.createDataFrame(data, schema)
+    df.known_rows = len(rows)
+    return df
+
+
+def select_rules(rules: DataFrame, *cols: str) -> DataFrame:
+    """Column subset of a rules table that keeps its known row count."""
+    out = rules.select(*cols)
+    if getattr(rules, "known_rows", None) is not None:
+        out.known_rows = rules.known_rows
+    return out
 
 
 def with_rule_defaults(df: DataFrame, key: str = "feed") -> DataFrame:
@@ -157,7 +190,9 @@ def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     Beyond the bound the plain DataFrame is returned and the join shuffles
     (AQE may still switch to a broadcast at run time from real sizes).
     """
-    n = df.limit(max_rows + 1).count()
+    n = getattr(df, "known_rows", None)
+    if n is None:
+        n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 
