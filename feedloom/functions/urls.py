@@ -126,3 +126,31 @@ def strip_fragment(url) -> Column:
 def url_dirname(url) -> Column:
     """Everything up to and including the last '/'."""
     return F.regexp_extract(col_of(url), r"^(.*/)", 1)
+
+
+def content_type_ok(ctype) -> Column:
+    """empty/missing, text*, or an RSS/XML/Atom application type."""
+    c = col_of(ctype)
+    return (c.isNull() | (c == "") | c.startswith("text") | c.startswith("application/rss")
+            | c.startswith("application/xml") | c.startswith("application/x-rss+xml")
+            | c.startswith("application/atom+xml"))
+
+
+# Body that replaces a non-text download.
+NOT_TEXT_BODY = '<p>Contents not text! ({ctype}) <a href="{url}">{url}</a></p>'
+
+
+def gate_body(body, ctype, url) -> Column:
+    """Non-text content is replaced by an explanatory paragraph."""
+    parts = NOT_TEXT_BODY.split("{ctype}")
+    tail = parts[1].split("{url}")
+    msg = F.concat(F.lit(parts[0]), col_of(ctype), F.lit(tail[0]), col_of(url), F.lit(tail[1]), col_of(url),
+                   F.lit(tail[2]))
+    return F.when(content_type_ok(ctype), col_of(body)).otherwise(msg)
+
+
+def header_charset(ctype) -> Column:
+    """Last 'charset=' value of a content type, cut at ';' ('' if none)."""
+    c = F.coalesce(col_of(ctype), F.lit(""))
+    last = F.element_at(F.split(c, "charset="), -1)
+    return F.when(c.contains("charset="), F.trim(F.substring_index(last, ";", 1))).otherwise(F.lit(""))

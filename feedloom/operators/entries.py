@@ -139,12 +139,15 @@ def entry_body() -> Column:
 def padded_title(title, min_width) -> Column:
     """Titles shorter than min_width are padded with '. ' pairs, then '__'."""
     title, w = col_of(title), col_of(min_width)
-    return F.concat(title, F.repeat(F.lit(". "), F.greatest(w - F.length(title), F.lit(0))), F.lit("__"))
+    pad = F.concat(title, F.repeat(F.lit(". "), w - F.length(title)), F.lit("__"))
+    return F.when(F.length(title) < w, pad).otherwise(title)
 
 
 def short_title(title) -> Column:
-    """The after-title label: first 16 characters, tags removed, then '...'."""
-    return F.concat(F.regexp_replace(F.substring(col_of(title), 1, 16), r"<.*?>", ""), F.lit("..."))
+    """Titles over 16 characters: first 16, tags removed, then '...'."""
+    t = col_of(title)
+    return F.when(F.length(t) > 16,
+                  F.concat(F.regexp_replace(F.substring(t, 1, 16), r"<.*?>", ""), F.lit("..."))).otherwise(t)
 
 
 def feed_title(title, feed) -> Column:
@@ -191,31 +194,47 @@ def dedup_titles(entries: DataFrame, allow_col: str = "allow_dup_titles") -> Dat
     return firsts.unionByName(free)
 
 
-def dedup_exact(entries: DataFrame, allow_col: str = "allow_dup_titles") -> DataFrame:
-    """D3: the reference's greedy single pass (an entry dropped for its title
-    never registers its id), per feed with ``applyInPandas``.
+def dedup_greedy(entries: DataFrame, allow_col: str = "allow_dup_titles", max_rounds: int = 10_000) -> DataFrame:
+    """D3: the reference's greedy single pass, exactly, as a distributed fixpoint.
 
-    Only for feeds of bounded size: each feed is one group.
+    Greedy: in feed order an entry is kept unless an earlier KEPT entry has
+    its id, or (unless the site allows duplicate titles) its title; a
+    dropped entry registers neither.  Two-stage D1+D2 differs on chains
+    such as A(id1,t1) B(id2,t1) C(id2,t2): greedy keeps A and C.
+
+    Each round decides, per id key and title key, with partial aggregates:
+    an undecided entry is kept when it is the earliest live (undecided or
+    kept) entry of both its keys, dropped when a kept entry precedes it on
+    either key.  The earliest undecided entry of every feed is decided in
+    every round, and rounds stop when nothing is undecided.  Each round's
+    state is checkpointed to the session's checkpoint folder, so lineage
+    stays one round deep and lost executors recompute one round at most.
+    No feed or key is ever gathered into one task.
     """
-    schema = entries.schema
-
-    def greedy(pdf):
-        pdf = pdf.sort_values("pos", kind="stable")
-        ids, titles, keep = set(), set(), []
-        for item_id, title, allow in zip(pdf["item_id"], pdf["title"],
-                                         pdf[allow_col] if allow_col in pdf else [False] * len(pdf)):
-            if item_id in ids:
-                keep.append(False)
-                continue
-            if title in titles and not allow:
-                keep.append(False)
-                continue
-            titles.add(title)
-            ids.add(item_id)
-            keep.append(True)
-        return pdf[keep]
-
-    return entries.groupBy("feed").applyInPandas(greedy, schema=schema)
+    from feedloom.session import cut_lineage
+
+    allow = F.coalesce(F.col(allow_col), F.lit(False)) if allow_col in entries.columns else F.lit(False)
+    cols = entries.columns
+    state = (entries.withColumn("_tkey", F.when(~allow, F.coalesce(F.col("title"), F.lit("\u0000None"))))
+             .withColumn("_st", F.lit("U")))
+    state = cut_lineage(state)
+    for _ in range(max_rounds):
+        live = state.filter(F.col("_st") != "R")
+        by_id = live.groupBy("feed", "item_id").agg(
+            F.min("pos").alias("_id_first"), F.min(F.when(F.col("_st") == "A", F.col("pos"))).alias("_id_acc"))
+        by_t = live.filter(F.col("_tkey").isNotNull()).groupBy("feed", "_tkey").agg(
+            F.min("pos").alias("_t_first"), F.min(F.when(F.col("_st") == "A", F.col("pos"))).alias("_t_acc"))
+        j = state.join(by_id, ["feed", "item_id"], "left").join(by_t, ["feed", "_tkey"], "left")
+        pos = F.col("pos")
+        st = (F.when(F.col("_st") != "U", F.col("_st"))
+              .when(F.coalesce(F.col("_id_acc") < pos, F.lit(False))
+                    | F.coalesce(F.col("_t_acc") < pos, F.lit(False)), F.lit("R"))
+              .when((F.col("_id_first") == pos) & (F.coalesce(F.col("_t_first"), pos) == pos), F.lit("A"))
+              .otherwise(F.lit("U")))
+        state = cut_lineage(j.select(*cols, "_tkey", st.alias("_st")))
+        if state.filter(F.col("_st") == "U").limit(1).count() == 0:
+            break
+    return state.filter(F.col("_st") == "A").select(*cols)
 
 
 # ---------------------------------------------------------------- W1 / W2
