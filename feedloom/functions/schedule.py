@@ -22,7 +22,7 @@ INT_RE = r"^\s*[+-]?[0-9]+\s*$"
 
 def days_between(t1, t2) -> Column:
     """Fractional days from t1 to t2."""
-    return F.timestampdiff("MICROSECOND", col_of(t1), col_of(t2)) / F.lit(86400000000.0)
+    return F.timestamp_diff("MICROSECOND", col_of(t1), col_of(t2)) / F.lit(86400000000.0)
 
 
 def _parts(when):

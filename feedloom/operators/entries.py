@@ -238,26 +238,43 @@ def dedup_greedy(entries: DataFrame, allow_col: str = "allow_dup_titles", max_ro
 
 
 # ---------------------------------------------------------------- W1 / W2
-def number_within(df: DataFrame, part: list[str], order_col: str, out: str = "item_no",
-                  bucket_rows: int = 1 << 16) -> DataFrame:
+def number_within(df: DataFrame, part: list[str], order_col, out: str = "item_no",
+                  bucket_rows: int = 1 << 16, bucket=None) -> DataFrame:
     """0-based position of each row within its ``part`` group, by ``order_col``.
 
-    Skew-safe: rows are cut into ranges of ``order_col`` (``bucket_rows``
-    wide), ranges are counted with a partial aggregate, a running sum over the
-    small count table gives each range its offset, and rows are numbered
-    inside their range only.  No task ever sorts a whole group.
+    ``order_col`` is a column name or a list of them (ties broken left to
+    right).  Skew-safe: rows are cut into ordered ranges (``bucket``, by
+    default ``order_col // bucket_rows`` for a numeric first order column),
+    ranges are counted with a partial aggregate, a running sum over the small
+    count table gives each range its offset, and rows are numbered inside
+    their range only.  No task ever sorts a whole group.
     """
-    b = F.floor(F.col(order_col) / F.lit(bucket_rows)).cast("long")
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    b = bucket if bucket is not None else F.floor(F.col(order[0]) / F.lit(bucket_rows)).cast("long")
     tagged = df.withColumn("_bk", b)
     counts = tagged.groupBy(*part, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
-    wr = Window.partitionBy(*part, "_bk").orderBy(order_col)
+    wr = Window.partitionBy(*part, "_bk").orderBy(*order)
     return (tagged.join(offsets, [*part, "_bk"], "inner")
             .withColumn(out, (F.row_number().over(wr) - 1 + F.col("_off")).cast("long"))
             .drop("_bk", "_off"))
 
 
+def previous_row(df: DataFrame, part: list[str], order_cols, cols: list[str], bucket=None,
+                 prefix: str = "prev_") -> DataFrame:
+    """``lag`` without an ordered window over whole groups.
+
+    Rows are numbered skew-safely (``number_within``) and each row is
+    equi-joined to the row numbered one less in its group; the join key
+    includes the number, so a hot group spreads over many tasks.
+    """
+    numbered = number_within(df, part, order_cols, "_seq", bucket=bucket)
+    prev = numbered.select(*part, (F.col("_seq") + 1).alias("_seq"),
+                           *[F.col(c).alias(prefix + c) for c in cols])
+    return numbered.join(prev, [*part, "_seq"], "left").drop("_seq")
+
+
 def group_sizes(df: DataFrame, part: list[str], out: str = "n_items") -> DataFrame:
     return df.groupBy(*part).agg(F.count(F.lit(1)).alias(out))
 
