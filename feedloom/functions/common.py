@@ -62,6 +62,22 @@ def steps(df, col: str, *fns):
     inline a non-trivial expression into a consumer that references it
     more than once) instead of the expression tree growing with every step.
     """
-    for fn in fns:
+    for fn in fns[:-1]:
         df = df.withColumn(col, fn(F.col(col)))
-    return df
+    return materialize(df, **{col: fns[-1](F.col(col))}) if fns else df
+
+
+def materialize(df, **exprs):
+    """Add columns behind an optimizer barrier.
+
+    The columns are produced by a one-row ``inline`` generator, so later
+    filters and projections refer to the computed values instead of having
+    the expressions substituted into them (predicate pushdown otherwise
+    copies an expensive expression into every condition that uses it, and
+    nested helpers grow exponentially).  No data moves: one output row per
+    input row.
+    """
+    if not exprs:
+        return df
+    keep = [c for c in df.columns if c not in exprs]
+    return df.select(*keep, F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))

@@ -73,11 +73,9 @@ def remove_dot_segments(path) -> Column:
         .otherwise(F.concat(acc, F.array(s))),
     )
     # a trailing '.' or '..' names a directory: keep the slash
-    trail = F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
-    return F.when(path.contains("./"), F.concat(F.lit("/"), F.array_join(folded, "/"), trail)) \
-        .when(path.endswith("/.") | path.endswith("/.."),
-              F.concat(F.lit("/"), F.array_join(folded, "/"), trail)) \
-        .otherwise(path)
+    trail = F.when(last.isin(".", "..") & (F.size(folded) > 0), F.lit("/")).otherwise(F.lit(""))
+    cleaned = F.concat(F.lit("/"), F.array_join(folded, "/"), trail)
+    return F.when(path.contains("./") | path.endswith("/.") | path.endswith("/.."), cleaned).otherwise(path)
 
 
 def absolute_url(url, base) -> Column:

@@ -190,8 +190,12 @@ def derived_pages(pages: DataFrame) -> DataFrame:
         F.lit('<article><form action="/s"><input name="q"></form><img src="http://cdn.'), host,
         F.lit("/p"), pid, F.lit('.png" style="color:red" width="'), width, F.lit('">'),
         F.lit('<img data-src="/i/'), pid, F.lit('.jpg" src="data:image/gif;base64,AAAA">'),
-        F.lit('<img src="../img/'), pid, F.lit('.gif" srcset="/s/'), pid, F.lit("-320.jpg 320w, /s/"), pid,
-        F.lit("-640.jpg 640w, /s/"), pid, F.lit("-1280.jpg 1280w, /s/"), pid, F.lit('-2x.jpg 2x">'),
+        F.lit('<img src="../img/'), pid, F.lit('.gif" srcset="'),
+        F.when(F.pmod(F.col("page_id"), F.lit(5)) == 0,
+               F.concat(F.lit("/s/"), pid, F.lit("-2x.jpg 2x, /s/"), pid, F.lit("-3000.jpg 3000w")))
+        .otherwise(F.concat(F.lit("/s/"), pid, F.lit("-320.jpg 320w, /s/"), pid, F.lit("-640.jpg 640w, /s/"), pid,
+                            F.lit("-1280.jpg 1280w, /s/"), pid, F.lit("-2x.jpg 2x"))),
+        F.lit('">'),
         F.lit('<a href="/x'), pid, F.lit('"> </a><font style="background:blue">f</font>'),
         F.lit('<svg><circle r="1"/></svg><a href="'), F.coalesce(F.col("next_url"), F.lit("#")),
         F.lit('">single page</a><a href="?page=2">2</a><a href="?page=3">3</a><a href="?page=2">2</a>'))
@@ -217,9 +221,12 @@ SELECT p.page_id, p.url, {HOST_SQL.replace('url', 'p.url')} AS host, n.url AS ne
        || '/p' || CAST(p.page_id AS VARCHAR) || '.png" style="color:red" width="'
        || CAST((p.page_id % 7 + 1) * 100 AS VARCHAR) || '">'
        || '<img data-src="/i/' || CAST(p.page_id AS VARCHAR) || '.jpg" src="data:image/gif;base64,AAAA">'
-       || '<img src="../img/' || CAST(p.page_id AS VARCHAR) || '.gif" srcset="/s/' || CAST(p.page_id AS VARCHAR)
-       || '-320.jpg 320w, /s/' || CAST(p.page_id AS VARCHAR) || '-640.jpg 640w, /s/' || CAST(p.page_id AS VARCHAR)
-       || '-1280.jpg 1280w, /s/' || CAST(p.page_id AS VARCHAR) || '-2x.jpg 2x">'
+       || '<img src="../img/' || CAST(p.page_id AS VARCHAR) || '.gif" srcset="'
+       || CASE WHEN p.page_id % 5 = 0
+               THEN '/s/' || CAST(p.page_id AS VARCHAR) || '-2x.jpg 2x, /s/' || CAST(p.page_id AS VARCHAR) || '-3000.jpg 3000w'
+               ELSE '/s/' || CAST(p.page_id AS VARCHAR) || '-320.jpg 320w, /s/' || CAST(p.page_id AS VARCHAR)
+                    || '-640.jpg 640w, /s/' || CAST(p.page_id AS VARCHAR) || '-1280.jpg 1280w, /s/'
+                    || CAST(p.page_id AS VARCHAR) || '-2x.jpg 2x' END || '">'
        || '<a href="/x' || CAST(p.page_id AS VARCHAR) || '"> </a><font style="background:blue">f</font>'
        || '<svg><circle r="1"/></svg><a href="' || coalesce(n.url, '#')
        || '">single page</a><a href="?page=2">2</a><a href="?page=3">3</a><a href="?page=2">2</a>')
