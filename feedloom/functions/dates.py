@@ -46,6 +46,13 @@ def epoch_seconds(ts) -> Column:
     return F.unix_seconds(col_of(ts))
 
 
+def utc_text(ts, fmt: str) -> Column:
+    """Render an instant as UTC wall time, whatever the session time zone."""
+    ntz = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), F.unix_seconds(col_of(ts)).cast("decimal(18,6)"))
+    return F.date_format(ntz, fmt)
+
+
 def published_or_now(published, updated, run_ts) -> Column:
     """Published, else updated, else the run time (a parameter)."""
     return F.coalesce(parse_rfc2822(published), parse_rfc2822(updated), col_of(run_ts))

@@ -239,7 +239,7 @@ def dedup_greedy(entries: DataFrame, allow_col: str = "allow_dup_titles", max_ro
 
 # ---------------------------------------------------------------- W1 / W2
 def number_within(df: DataFrame, part: list[str], order_col, out: str = "item_no",
-                  bucket_rows: int = 1 << 16, bucket=None) -> DataFrame:
+                  bucket_rows: int = 1 << 16, bucket=None, size_col: str | None = None) -> DataFrame:
     """0-based position of each row within its ``part`` group, by ``order_col``.
 
     ``order_col`` is a column name or a list of them (ties broken left to
@@ -247,18 +247,24 @@ def number_within(df: DataFrame, part: list[str], order_col, out: str = "item_no
     default ``order_col // bucket_rows`` for a numeric first order column),
     ranges are counted with a partial aggregate, a running sum over the small
     count table gives each range its offset, and rows are numbered inside
-    their range only.  No task ever sorts a whole group.
+    their range only.  No task ever sorts a whole group.  The rows are
+    shuffled once (by group and range); the count table is small and AQE
+    broadcasts it when it is.  ``size_col`` adds the group's row count.
     """
     order = [order_col] if isinstance(order_col, str) else list(order_col)
     b = bucket if bucket is not None else F.floor(F.col(order[0]) / F.lit(bucket_rows)).cast("long")
     tagged = df.withColumn("_bk", b)
     counts = tagged.groupBy(*part, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0)))
+    if size_col:
+        offsets = offsets.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*part)).cast("long"))
+    offsets = offsets.drop("_n")
     wr = Window.partitionBy(*part, "_bk").orderBy(*order)
-    return (tagged.join(offsets, [*part, "_bk"], "inner")
-            .withColumn(out, (F.row_number().over(wr) - 1 + F.col("_off")).cast("long"))
-            .drop("_bk", "_off"))
+    numbered = tagged.withColumn("_rn", F.row_number().over(wr))
+    return (numbered.join(offsets, [*part, "_bk"], "inner")
+            .withColumn(out, (F.col("_rn") - 1 + F.col("_off")).cast("long"))
+            .drop("_bk", "_off", "_rn"))
 
 
 def previous_row(df: DataFrame, part: list[str], order_cols, cols: list[str], bucket=None,
@@ -279,17 +285,31 @@ def group_sizes(df: DataFrame, part: list[str], out: str = "n_items") -> DataFra
     return df.groupBy(*part).agg(F.count(F.lit(1)).alias(out))
 
 
-def with_next(df: DataFrame, part: list[str], item_col: str = "item_no") -> DataFrame:
+def with_next(df: DataFrame, part: list[str], item_col: str = "item_no", size_col: str | None = None) -> DataFrame:
     """Number of the next item, null on the last (then the end marker applies).
 
     With dense numbers the next item is ``item_no + 1`` when it exists, so no
-    ordered window over the whole group is needed.
+    ordered window over the whole group is needed; the group size comes from
+    ``size_col`` when ``number_within`` already produced it.
     """
-    sizes = group_sizes(df, part, "_n")
-    return (df.join(sizes, part, "inner")
-            .withColumn("next_item", F.when(F.col(item_col) + 1 < F.col("_n"),
-                                            (F.col(item_col) + 1).cast("long")))
-            .drop("_n"))
+    if size_col and size_col in df.columns:
+        sized, n = df, F.col(size_col)
+    else:
+        sized, n = df.join(group_sizes(df, part, "_n"), part, "inner"), F.col("_n")
+    out = sized.withColumn("next_item", F.when(F.col(item_col) + 1 < n, (F.col(item_col) + 1).cast("long")))
+    return out.drop("_n")
+
+
+def mark_seen(entries: DataFrame, seen: DataFrame, site_col: str = "feed") -> DataFrame:
+    """Adds ``_seen``: the (site, item_id) pair is in the seen-set.
+
+    A left join on the item key with the seen-set made distinct; placed right
+    after ``dedup_ids`` it shares that step's partitioning, so only the
+    seen-set side moves.
+    """
+    s = (seen.select(F.col("site").alias(site_col), "item_id").distinct()
+         .withColumn("_seen", F.lit(True)))
+    return entries.join(s, [site_col, "item_id"], "left").withColumn("_seen", F.coalesce("_seen", F.lit(False)))
 
 
 def next_link(next_item) -> Column:

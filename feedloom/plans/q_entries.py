@@ -41,12 +41,21 @@ def deduped_entries(spark, sf_dir, extra_rules=()):
     return E.dedup_titles(E.dedup_ids(kept))
 
 
+def new_items(spark, sf_dir, extra_rules=()):
+    """D1, then the seen flag (J2, sharing D1's partitioning), D2 over all D1
+    survivors (a seen entry still claims its title), keep the unseen, then
+    W1 numbering with group sizes and W2 next numbers."""
+    pages = _pages(spark, sf_dir)
+    kept = kept_entries(spark, sf_dir, extra_rules).drop("content")
+    d1 = E.mark_seen(E.dedup_ids(kept), X.seen_view(pages))
+    n = E.dedup_titles(d1).filter(~F.col("_seen")).drop("_seen")
+    n = E.number_within(n, ["feed"], "pos", size_col="n_items")
+    return E.with_next(n, ["feed"], size_col="n_items")
+
+
 def new_entries(spark, sf_dir):
     """The new items of every feed, numbered."""
-    pages = _pages(spark, sf_dir)
-    d = deduped_entries(spark, sf_dir)
-    n = S.unseen(d, X.seen_view(pages))
-    n = E.with_next(E.number_within(n, ["feed"], "pos"), ["feed"])
+    n = new_items(spark, sf_dir)
     return n.select("feed", "pos", "item_id", "anchor", "title", "item_no",
                     E.next_link("next_item").alias("next_link"))
 

@@ -4,10 +4,12 @@ The native state is the Parquet ``seen(site, item_id)`` and
 ``site_state(site, last_fed)`` tables; this module converts to and from the
 line format other tools read:
 
-    FeedMe v. 1.1
+    <tool> v. 1.1
     site|last_fed_epoch|id id id      (v1.1)
     site|id id id                     (v1, last_fed = 0)
 
+The first line of a file is a '<name> v. <version>' header.
+
 Ids and site keys have spaces encoded as '+'.  Lines of any other shape are
 rejected with a reason, never fail the job.
 """
@@ -17,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Cache file header.
-HEADER = "FeedMe v. 1.1"
-HEADER_PREFIX = "FeedMe v."
+# Header written, and the header shape accepted on reading.
+HEADER = "feedloom v. 1.1"
+HEADER_RE = r"^\S+ v\. "
 
 
 def cache_lines(seen: DataFrame, state: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def parse_cache_lines(lines: DataFrame, value_col: str = "value") -> tuple[DataF
     three fields: v1.1 with a numeric epoch; anything else is rejected.
     """
     v = F.col(value_col)
-    body = lines.filter((F.trim(v) != "") & ~v.startswith(HEADER_PREFIX))
+    body = lines.filter((F.trim(v) != "") & ~v.rlike(HEADER_RE))
     parts = F.split(v, r"\|")
     n = F.size(parts)
     epoch_txt = F.trim(F.element_at(parts, 2))
@@ -71,7 +73,7 @@ def read_seen_cache(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     """
     raw = spark.read.option("recursiveFileLookup", "true").text(path) \
         .withColumn("_file", F.input_file_name())
-    good_files = raw.filter(F.col("value").startswith(HEADER_PREFIX)).select("_file").distinct()
+    good_files = raw.filter(F.col("value").rlike(HEADER_RE)).select("_file").distinct()
     lines = raw.join(good_files, "_file", "left_semi")
     rows, rejects = parse_cache_lines(lines)
     bad_files = (raw.select("_file").distinct().join(good_files, "_file", "left_anti")
