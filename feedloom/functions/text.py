@@ -133,7 +133,7 @@ def slugify(text) -> Column:
     return slugify_ascii(F.regexp_replace(nfkd(col_of(text)), r"[^\x00-\x7F]", ""))
 
 
-def _unmapped_class() -> str:
+def unmapped_class() -> str:
     """Java character class of characters the fold leaves escaped."""
     mapped = "".join("\\x{%x}" % ord(k) for k in FOLD_TABLE)
     return "[^\\x00-\\x7F" + mapped + "]"
@@ -146,7 +146,7 @@ def unmapped_chars(normalized) -> tuple[Column, Column, Column]:
     characters of context on each side (the left context stops at the
     previous match).
     """
-    cls = _unmapped_class()
+    cls = unmapped_class()
     pat = "(?s)(.{0,15}?)(" + cls + ")(?=(.{0,15}))"
     t = col_of(normalized)
     return (F.regexp_extract_all(t, F.lit(pat), F.lit(2)), F.regexp_extract_all(t, F.lit(pat), F.lit(1)),

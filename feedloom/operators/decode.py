@@ -40,7 +40,11 @@ def unmapped_report(docs: DataFrame, text_col: str = "text", key: str = "doc_id"
     character present in a third of all documents is still spread over all
     tasks.
     """
-    norm = docs.select(key, T.nfkd(F.col(text_col)).alias("_n"))
+    # only text with non-ASCII characters is normalised, and only normalised
+    # text that still has an unmapped character is scanned for context
+    raw = docs.select(key, text_col).filter(F.col(text_col).rlike(r"[^\x00-\x7F]"))
+    norm = raw.select(key, T.nfkd(F.col(text_col)).alias("_n"))
+    norm = norm.filter(F.col("_n").rlike(T.unmapped_class()))
     chars, before, after = T.unmapped_chars(F.col("_n"))
     hits = norm.select(key, F.posexplode(F.arrays_zip(chars.alias("c"), before.alias("b"), after.alias("a")))
                        .alias("i", "m"))

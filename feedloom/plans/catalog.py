@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.plans import q_docs, q_entries, q_html, q_links, q_state, q_stream
+from feedloom.plans import q_daily, q_docs, q_entries, q_html, q_links, q_misc, q_state, q_stream
 
-MODULES = [q_entries, q_html, q_state, q_links, q_docs, q_stream]
+MODULES = [q_entries, q_html, q_state, q_links, q_docs, q_stream, q_misc, q_daily]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

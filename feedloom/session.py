@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,13 +58,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's checkpoint folder.
+    """Materialise ``df`` as a Parquet table in the session's checkpoint folder
+    and continue from that table.
 
-    Survives executor loss (data lives in the shared folder, not on the
-    executors), unlike a local checkpoint.
+    One job computes and writes the rows once (an RDD checkpoint would run
+    the plan a second time to write it); the data lives in the shared folder,
+    not on executors, so it survives executor loss, and later plans start
+    from the table, so lineage stays short in iterative jobs.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
