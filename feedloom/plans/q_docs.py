@@ -283,3 +283,74 @@ SQL = {
     "url_feed": SQL_URL_FEED,
     "new_dirs": SQL_NEW_DIRS,
 }
+
+
+# ------------------------------------------------------------- complete_days
+def complete_days(spark, sf_dir):
+    """Only days whose manifest ends with the '.EOF.' sentinel are read (left semi join)."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    day = F.date_format(F.to_date("ts"), "yyyy-MM-dd")
+    files = ev.select(day.alias("day"), F.format_string("u%04d/%d.html", "user_id", "event_id").alias("path"))
+    errors = ev.groupBy(day.alias("day")).agg(F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("e"))
+    sentinel = errors.filter(F.pmod("e", F.lit(2)) == 0).select("day", F.lit(D.MANIFEST_END).alias("path"))
+    manifests = files.unionByName(sentinel)
+    ready = manifests.filter(F.col("path") == D.MANIFEST_END).select("day")
+    return (files.join(ready, "day", "left_semi").groupBy("day")
+            .agg(F.count(F.lit(1)).cast("long").alias("n_files")))
+
+
+SQL_COMPLETE_DAYS = """
+WITH f AS (SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type FROM events),
+ready AS (SELECT day FROM f GROUP BY day HAVING sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) % 2 = 0)
+SELECT day, CAST(count(*) AS BIGINT) AS n_files FROM f WHERE day IN (SELECT day FROM ready) GROUP BY day
+"""
+
+
+# -------------------------------------------------------------- url_archive
+def url_archive(spark, sf_dir):
+    """Two runs append their saved URLs to the cumulative archive table."""
+    import uuid
+
+    from feedloom.session import scratch_path
+    from feedloom.sources.urllists import append_archive
+    path = scratch_path(spark, f"archive-{uuid.uuid4().hex}")
+    items = url_feed(spark, sf_dir)
+    append_archive(items, path)
+    append_archive(items, path)
+    return spark.read.parquet(path).groupBy("link").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
+SQL_URL_ARCHIVE = f"SELECT link, CAST(2 * count(*) AS BIGINT) AS n FROM ({SQL_URL_FEED}) x GROUP BY link"
+
+
+# -------------------------------------------------------------- story_files
+def story_files(spark, sf_dir):
+    """Story pages written partitioned by day and feed; a rewrite replaces
+    only the (day, feed) partitions it contains (dynamic partition overwrite)."""
+    import uuid
+
+    from feedloom.session import scratch_path
+    path = scratch_path(spark, f"stories-{uuid.uuid4().hex}")
+    p = _pages(spark, sf_dir)
+    feed = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1)
+    base = p.select(feed.alias("feed"), F.col("page_id").alias("page_no"), "html")
+    D.write_stories(base.withColumn("day", F.lit("2024-01-11")), path)
+    second = (base.filter(F.pmod("page_no", F.lit(2)) == 0).withColumn("day", F.lit("2024-01-11"))
+              .unionByName(base.withColumn("day", F.lit("2024-01-12"))))
+    D.write_stories(second, path)
+    return (spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day"), "feed")
+            .agg(F.count(F.lit(1)).cast("long").alias("n_pages")))
+
+
+SQL_STORY_FILES = f"""
+WITH b AS (SELECT {X.HOST_SQL} AS feed, page_id FROM pages),
+even_feeds AS (SELECT DISTINCT feed FROM b WHERE page_id % 2 = 0)
+SELECT '2024-01-11' AS day, feed,
+       CAST(CASE WHEN feed IN (SELECT feed FROM even_feeds) THEN count(*) FILTER (WHERE page_id % 2 = 0)
+                 ELSE count(*) END AS BIGINT) AS n_pages
+FROM b GROUP BY feed
+UNION ALL SELECT '2024-01-12', feed, CAST(count(*) AS BIGINT) FROM b GROUP BY feed
+"""
+
+QUERIES.update({"complete_days": complete_days, "url_archive": url_archive, "story_files": story_files})
+SQL.update({"complete_days": SQL_COMPLETE_DAYS, "url_archive": SQL_URL_ARCHIVE, "story_files": SQL_STORY_FILES})

@@ -378,3 +378,32 @@ SQL = {
     "image_plan": SQL_IMAGE_PLAN,
     "srcset_choice": _srcset_sql(),
 }
+
+
+# ------------------------------------------------------------ last_modified
+def last_modified(spark, sf_dir):
+    """Page time from the Last-Modified header (either spelling), else run time - 5 days."""
+    from feedloom.functions import dates
+    p = read_table(spark, sf_dir, "pages").select("page_id")
+    ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, page_id, 0, 0)")
+    text = F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    k = F.pmod("page_id", F.lit(4))
+    empty = F.create_map().cast("map<string,string>")
+    headers = (F.when(k == 0, F.create_map(F.lit("Last-Modified"), text))
+               .when(k == 1, F.create_map(F.lit("last-modified"), text))
+               .when(k == 2, F.create_map(F.lit("Last-Modified"), F.lit("yesterday")))
+               .otherwise(empty))
+    lm = dates.last_modified(headers, X.run_ts())
+    return p.select("page_id", F.unix_seconds(lm).alias("lm_epoch"))
+
+
+SQL_LAST_MODIFIED = f"""
+SELECT page_id,
+  CASE WHEN page_id % 4 IN (0, 1)
+       THEN CAST(epoch(TIMESTAMP '2024-01-01' + page_id * INTERVAL 1 HOUR) AS BIGINT)
+       ELSE {X.RUN_TS_EPOCH} - 5 * 86400 END AS lm_epoch
+FROM pages
+"""
+
+QUERIES["last_modified"] = last_modified
+SQL["last_modified"] = SQL_LAST_MODIFIED
