@@ -240,3 +240,34 @@ def container_links(pages: DataFrame, specs_col: str, key: str = "page_id", html
                                            lambda s: s["tok"]), "").alias("text")))
     return (links.join(texts, [key, "pos"], "left")
             .select(key, "pos", "href", F.trim(F.coalesce(F.col("text"), F.lit(""))).alias("text")))
+
+
+def repair_excerpt(pages: DataFrame, key: str = "page_id", html_col: str = "html") -> DataFrame:
+    """H18 tag repair of a cut excerpt: drop the first h1 element, append ' ...'
+    to the last text (or ' [...]' when there is none) and close every element
+    left open, innermost first, at the end.  Per page windows only."""
+    carry = [c for c in pages.columns if c not in (key, html_col)]
+    toks = html_tokens(pages, html_col, key, keep=carry)
+    page = Window.partitionBy(key)
+    is_h1_open = (F.col("tag") == "h1") & (F.col("kind") == "open")
+    toks = toks.withColumn("_start", is_h1_open & (F.col("pos") == F.min(F.when(is_h1_open, F.col("pos"))).over(page)))
+    toks = with_spans(toks, "_start", key)
+    is_oc = F.col("kind").isin("open", "close")
+    w_lvl = Window.partitionBy(key, "tag", "level", is_oc).orderBy("pos")
+    unclosed = (F.col("kind") == "open") & F.coalesce(F.lead("kind").over(w_lvl) != "close", F.lit(True)) \
+        & ~F.col("inside")
+    last_text = F.max(F.when((F.col("kind") == "text") & ~F.col("inside"), F.col("pos"))).over(page)
+    toks = (toks.withColumn("_unclosed", unclosed).withColumn("_last", last_text)
+            .withColumn("tok", F.when(F.col("pos") == F.col("_last"), F.concat(F.col("tok"), F.lit(" ...")))
+                        .otherwise(F.col("tok"))))
+    item = F.when(~F.col("inside"), F.struct("pos", "tok"))
+    closer = F.when(F.col("_unclosed"), F.struct((-F.col("pos")).alias("npos"), F.col("tag")))
+    agg = toks.groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["tok"]), "").alias("_body"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(closer)),
+                                 lambda s: F.concat(F.lit("</"), s["tag"], F.lit(">"))), "").alias("_close"),
+        F.max("_last").isNotNull().alias("_has_text"),
+        *[F.first(c).alias(c) for c in carry])
+    html = F.concat(F.col("_body"), F.col("_close"),
+                    F.when(F.col("_has_text"), F.lit("")).otherwise(F.lit(" [...]")))
+    return agg.select(key, html.alias(html_col), *carry).select(*pages.columns)

@@ -450,3 +450,65 @@ SQL = {
     "multipage_links": SQL_MULTIPAGE,
     "first_body": SQL_FIRST_BODY,
 }
+
+
+# ----------------------------------------------------------- excerpt_repair
+# The index footer a 1.5-level excerpt may carry (cut away, H18).
+FOOTER_NAV = r'<center><a href="[0-9]+.html">&gt;-[0-9]+-&gt;</a></center>'
+
+
+def excerpt_repair(spark, sf_dir):
+    """Excerpt cut to rss_entry_size, dangling tag removed, first h1 dropped,
+    ' ...' after the last text, open elements closed, footer navigation cut."""
+    p = _pages_with_rules(spark, sf_dir, "rss_entry_size", derived=True)
+    p = p.withColumn("excerpt", F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1))
+    p = p.withColumn("excerpt", F.concat(F.lit("<h1>T</h1>"), F.col("excerpt"),
+                                         F.lit('<center><a href="3.html">&gt;-3-&gt;</a></center>tail')))
+    p = p.withColumn("excerpt", H.cut_excerpt(F.col("excerpt"), F.col("rss_entry_size")))
+    cut = p.filter(F.col("rss_entry_size") > 0).select("page_id", F.col("excerpt").alias("html"))
+    fixed = TK.repair_excerpt(cut).withColumn(
+        "html", F.regexp_replace("html", "(?s)" + FOOTER_NAV + ".*$", ""))
+    rest = p.filter(~(F.col("rss_entry_size") > 0)).select("page_id", F.col("excerpt").alias("html"))
+    return fixed.unionByName(rest).select("page_id", F.col("html").alias("excerpt"))
+
+
+def _excerpt_repair_sql():
+    nav = FOOTER_NAV.replace("'", "''")
+    return f"""
+WITH p AS ({_rules_join_sql(f'({X.DERIVED_SQL})', ['rss_entry_size'])}),
+x0 AS (SELECT page_id, rss_entry_size,
+              '<h1>T</h1>' || regexp_extract(html, '(?s)<article>(.*?)</article>', 1)
+              || '<center><a href="3.html">&gt;-3-&gt;</a></center>tail' AS e FROM p),
+x AS (SELECT page_id, rss_entry_size,
+             CASE WHEN coalesce(rss_entry_size, 0) > 0 THEN regexp_replace(substr(e, 1, rss_entry_size), '<[^>]*$', '')
+                  ELSE e END AS html FROM x0),
+cut AS (SELECT page_id, html FROM x WHERE rss_entry_size > 0),
+t0 AS ({tokens_sql('cut')}),
+t1 AS (SELECT *, tag = 'h1' AND kind = 'open'
+                 AND pos = min(CASE WHEN tag = 'h1' AND kind = 'open' THEN pos END) OVER (PARTITION BY page_id) AS st
+       FROM t0),
+ends AS (SELECT page_id, pos,
+                CASE WHEN lead(kind) OVER (PARTITION BY page_id, tag, level ORDER BY pos) = 'close'
+                     THEN lead(pos) OVER (PARTITION BY page_id, tag, level ORDER BY pos) END AS end_pos
+         FROM t1 WHERE kind IN ('open', 'close')),
+iv AS (SELECT t1.page_id, t1.pos AS start, coalesce(e.end_pos, {1 << 30}) AS stop
+       FROM t1 LEFT JOIN ends e USING (page_id, pos) WHERE t1.st),
+cov AS ({covered_sql('t1', 'iv')}),
+oc AS (SELECT page_id, pos, kind, coalesce(lead(kind) OVER (PARTITION BY page_id, tag, level ORDER BY pos) <> 'close', true)
+              AS no_close FROM cov WHERE kind IN ('open', 'close')),
+m AS (SELECT c.*, coalesce(o.no_close AND c.kind = 'open', false) AND NOT c.inside AS unclosed,
+             max(CASE WHEN c.kind = 'text' AND NOT c.inside THEN c.pos END) OVER (PARTITION BY c.page_id) AS last_t
+      FROM cov c LEFT JOIN oc o USING (page_id, pos)),
+a AS (SELECT page_id,
+        coalesce(string_agg(CASE WHEN pos = last_t THEN tok || ' ...' ELSE tok END, '' ORDER BY pos)
+                 FILTER (WHERE NOT inside), '')
+        || coalesce(string_agg('</' || tag || '>', '' ORDER BY pos DESC) FILTER (WHERE unclosed), '')
+        || CASE WHEN max(last_t) IS NULL THEN ' [...]' ELSE '' END AS html
+      FROM m GROUP BY page_id)
+SELECT page_id, regexp_replace(html, '(?s){nav}.*$', '') AS excerpt FROM a
+UNION ALL SELECT page_id, html FROM x WHERE NOT (rss_entry_size > 0) OR rss_entry_size IS NULL
+"""
+
+
+QUERIES["excerpt_repair"] = excerpt_repair
+SQL["excerpt_repair"] = _excerpt_repair_sql()
