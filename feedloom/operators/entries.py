@@ -185,13 +185,12 @@ def dedup_ids(entries: DataFrame) -> DataFrame:
 def dedup_titles(entries: DataFrame, allow_col: str = "allow_dup_titles") -> DataFrame:
     """First entry per exact title within a feed, unless the site allows repeats."""
     allow = F.coalesce(F.col(allow_col), F.lit(False)) if allow_col in entries.columns else F.lit(False)
-    tagged = entries.withColumn("_allow", allow)
-    free = tagged.filter(F.col("_allow")).drop("_allow")
-    strict = tagged.filter(~F.col("_allow")).drop("_allow")
-    # null titles compare equal in the reference (str(None) == 'None')
-    strict = strict.withColumn("_tkey", F.coalesce(F.col("title"), F.lit("\u0000None")))
-    firsts = first_per_key(strict, ["feed", "_tkey"]).drop("_tkey")
-    return firsts.unionByName(free)
+    # one aggregate for all rows: an allowed row gets a key of its own (its
+    # position), so it is its own group; null titles compare equal in the
+    # reference (str(None) == 'None')
+    tkey = F.when(allow, F.concat(F.lit("\u0001"), F.col("pos").cast("string"))) \
+        .otherwise(F.concat(F.lit("\u0002"), F.coalesce(F.col("title"), F.lit("None"))))
+    return first_per_key(entries.withColumn("_tkey", tkey), ["feed", "_tkey"]).drop("_tkey")
 
 
 def dedup_greedy(entries: DataFrame, allow_col: str = "allow_dup_titles", max_rounds: int = 10_000) -> DataFrame:
@@ -253,15 +252,15 @@ def number_within(df: DataFrame, part: list[str], order_col, out: str = "item_no
     """
     order = [order_col] if isinstance(order_col, str) else list(order_col)
     b = bucket if bucket is not None else F.floor(F.col(order[0]) / F.lit(bucket_rows)).cast("long")
-    tagged = df.withColumn("_bk", b)
-    counts = tagged.groupBy(*part, "_bk").agg(F.count(F.lit(1)).alias("_n"))
+    wr = Window.partitionBy(*part, "_bk").orderBy(*order)
+    numbered = df.withColumn("_bk", b).withColumn("_rn", F.row_number().over(wr))
+    # range sizes from the numbered rows: same partitioning, no second pass upstream
+    counts = numbered.groupBy(*part, "_bk").agg(F.max("_rn").cast("long").alias("_n"))
     wo = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0)))
     if size_col:
         offsets = offsets.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*part)).cast("long"))
     offsets = offsets.drop("_n")
-    wr = Window.partitionBy(*part, "_bk").orderBy(*order)
-    numbered = tagged.withColumn("_rn", F.row_number().over(wr))
     return (numbered.join(offsets, [*part, "_bk"], "inner")
             .withColumn(out, (F.col("_rn") - 1 + F.col("_off")).cast("long"))
             .drop("_bk", "_off", "_rn"))

@@ -19,11 +19,14 @@ from feedloom.session import cut_lineage
 def reachable(edges: DataFrame, roots: DataFrame, expandable: DataFrame, max_rounds: int = 10_000,
               checkpoint_every: int = 4) -> DataFrame:
     """edges(src, dst), roots(node), expandable(node) -> (node, depth) of every reachable node."""
-    e = edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
-    exp = expandable.select("node").distinct()
+    # the edge list and the expandable set are read every round: derive them once
+    e = cut_lineage(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct())
+    exp = cut_lineage(expandable.select("node").distinct())
     visited = cut_lineage(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = visited
     for depth in range(1, max_rounds + 1):
+        # one BFS level: a semi join (expandable), an equi join with the edges,
+        # a distinct and an anti join against the visited set - no path pairs
         step = (frontier.join(exp, "node", "left_semi")
                 .join(e, F.col("node") == F.col("src"))
                 .select(F.col("dst").alias("node")).distinct()
