@@ -11,8 +11,11 @@ rules over arriving feed entries:
   append twice and never hides its own ids.
 * ``republications`` - T3: per (site, id) state holding the last emitted
   time; a seen id is emitted again only when its site allows repeats and
-  it was published after the last emission.  Groups are consumed chunk by
-  chunk, so a hot key never has to be held whole.
+  it was published after the last emission (optional event-time TTL =
+  save_days).  Groups are consumed chunk by chunk, so a hot key never has
+  to be held whole.
+* ``age_policy_batch_writer`` - T2: the age rule per micro-batch, expired
+  rows kept in a side table.
 """
 
 from __future__ import annotations
@@ -53,9 +56,14 @@ REPUB_OUT = T.StructType([
 REPUB_STATE = T.StructType([T.StructField("last_us", T.LongType())])
 
 
-def _republish(key, chunks, state):
+def _republish(key, chunks, state, ttl_ms=None):
     """Per (site, item_id): emit the first arrival; with repeats allowed, also
-    each later publication time above the last emitted one."""
+    each later publication time above the last emitted one.  With a TTL the
+    state of an id expires ``ttl_ms`` after its last emission (event time)."""
+    if ttl_ms is not None and state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame([], columns=["site", "item_id", "ts", "is_repeat"])
+        return
     last = state.get[0] if state.exists else None
     first_row = None
     emitted = {}  # publication time (us) -> timestamp; one entry per distinct time
@@ -88,11 +96,45 @@ def _republish(key, chunks, state):
                 new_last = u
     if new_last is not None:
         state.update((new_last,))
+        if ttl_ms is not None:
+            state.setTimeoutTimestamp(new_last // 1000 + ttl_ms)
     yield pd.DataFrame(rows, columns=["site", "item_id", "ts", "is_repeat"])
 
 
-def republications(stream: DataFrame) -> DataFrame:
-    """T3 over a stream of (site, item_id, ts, allow_repeats)."""
-    return (stream.select("site", "item_id", "ts", "allow_repeats")
-            .groupBy("site", "item_id")
-            .applyInPandasWithState(_republish, REPUB_OUT, REPUB_STATE, "append", GroupStateTimeout.NoTimeout))
+def republications(stream: DataFrame, ttl: str | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """T3 over a stream of (site, item_id, ts, allow_repeats).
+
+    Without a TTL ids are remembered forever (NoTimeout).  With ``ttl`` (a
+    watermark delay such as '7 days', i.e. save_days) and the same span in
+    ``ttl_ms``, the stream is watermarked on ``ts`` and an id's state is
+    dropped once event time passes its last emission plus the TTL.
+    """
+    s = stream.select("site", "item_id", "ts", "allow_repeats")
+    if ttl is None:
+        return s.groupBy("site", "item_id").applyInPandasWithState(
+            _republish, REPUB_OUT, REPUB_STATE, "append", GroupStateTimeout.NoTimeout)
+
+    def with_ttl(key, chunks, state):
+        yield from _republish(key, chunks, state, ttl_ms)
+
+    return s.withWatermark("ts", ttl).groupBy("site", "item_id").applyInPandasWithState(
+        with_ttl, REPUB_OUT, REPUB_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def age_policy_batch_writer(state: DataFrame, out_path: str, late_path: str, run_ts):
+    """T2 in streaming form: each micro-batch is classified with the batch
+    rule against the sites' last runs (a stream-static join); kept rows
+    ('normal', 'older') go to ``out_path``, expired ones to the side table
+    ``late_path`` instead of vanishing silently behind a watermark.  Both are
+    written as the batch's own partition with overwrite (idempotent retries).
+    """
+    from feedloom.operators.state import age_status, with_last_fed
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        tagged = with_last_fed(batch, state).withColumn(
+            "status", age_status(F.col("pub_ts"), F.col("last_fed"), run_ts, F.col("save_days"), F.col("nocache")))
+        tagged = tagged.drop("last_fed")
+        tagged.filter(F.col("status") != "expired").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        tagged.filter(F.col("status") == "expired").write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
+
+    return write_batch
