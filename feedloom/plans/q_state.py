@@ -17,6 +17,11 @@ from feedloom.sources.tables import read_table
 RUN_EPOCH = X.RUN_TS_EPOCH
 
 
+def hour_range():
+    """Ordered ranges for numbering a user's events: hours of the (zone-free) timestamp."""
+    return F.date_format("ts", "yyyyMMddHH").cast("long")
+
+
 # ------------------------------------------------------------ age_policy
 def age_policy(spark, sf_dir):
     """T2 with A2: expired / older / normal per entry from publish time, the site's last run and save_days."""
@@ -144,7 +149,7 @@ def schedule_gate(spark, sf_dir):
     weekday / day-of-month rule fall in between?  Previous run found without an
     ordered window over whole users."""
     ev = _events(spark, sf_dir)
-    ev = E.previous_row(ev, ["user_id"], ["ts", "event_id"], ["ts"], bucket=F.to_date("ts"))
+    ev = E.previous_row(ev, ["user_id"], ["ts", "event_id"], ["ts"], bucket=hour_range())
     rule = F.element_at(F.array(*[F.lit(w) for w in WHEN_RULES]), (F.pmod(F.col("user_id"), F.lit(12)) + 1).cast("int"))
     ev = ev.filter(F.col("prev_ts").isNotNull()).withColumn("rule", rule)
     err = schedule_error(F.col("rule"), F.col("prev_ts"), F.col("ts"))
@@ -194,9 +199,9 @@ def timeout_cutoff(spark, sf_dir):
     ev = ev.withColumn("rule_key", F.element_at(F.array(*[F.lit(r["rule_key"]) for r in X.RULES]),
                                                 (F.pmod(F.col("user_id"), F.lit(3)) + 1).cast("int")))
     ev = attach_rules(ev, _rules(spark, "continue_on_timeout"), on="rule_key")
-    seq = E.number_within(ev, ["user_id"], ["ts", "event_id"], "seq", bucket=F.to_date("ts"))
+    seq = E.number_within(ev, ["user_id"], ["ts", "event_id"], "seq", bucket=hour_range())
     touts = E.number_within(seq.filter(F.col("event_type") == "error").select("user_id", "ts", "event_id", "seq"),
-                            ["user_id"], ["ts", "event_id"], "t_no", bucket=F.to_date("ts"))
+                            ["user_id"], ["ts", "event_id"], "t_no", bucket=hour_range())
     cuts = touts.groupBy("user_id").agg(
         F.min(F.when(F.col("t_no") == 0, F.col("seq"))).alias("cut1"),
         F.min(F.when(F.col("t_no") == MAX_TIMEOUTS - 1, F.col("seq"))).alias("cutn"))

@@ -24,10 +24,25 @@ HEADER = "feedloom v. 1.1"
 HEADER_RE = r"^\S+ v\. "
 
 
-def cache_lines(seen: DataFrame, state: DataFrame) -> DataFrame:
-    """One v1.1 line per site: (site, last_fed, line).  Ids sorted for a stable text."""
-    ids = seen.groupBy("site").agg(F.array_sort(F.collect_list(F.replace(F.col("item_id"), F.lit(" "),
-                                                                          F.lit("+")))).alias("ids"))
+def cache_lines(seen: DataFrame, state: DataFrame, ids_per_line: int | None = None) -> DataFrame:
+    """v1.1 lines: (site, last_fed, line).  Ids sorted for a stable text.
+
+    The format has one line per site, so by default a site's ids are
+    gathered into one line.  With ``ids_per_line`` a large site is written
+    as several lines of about that many ids each (ids hashed to lines; the
+    reader here unions lines of the same site), so no task has to hold a
+    huge site whole.
+    """
+    enc = F.replace(F.col("item_id"), F.lit(" "), F.lit("+"))
+    keys = ["site"]
+    src = seen
+    if ids_per_line:
+        sizes = seen.groupBy("site").agg(F.count(F.lit(1)).alias("_n"))
+        src = (seen.join(sizes, "site")
+               .withColumn("_chunk", F.pmod(F.xxhash64("item_id"),
+                                            F.ceil(F.col("_n") / F.lit(ids_per_line)).cast("long"))))
+        keys = ["site", "_chunk"]
+    ids = src.groupBy(*keys).agg(F.array_sort(F.collect_list(enc)).alias("ids"))
     j = ids.join(state.select("site", "last_fed"), "site", "left")
     epoch = F.coalesce(F.unix_seconds("last_fed"), F.lit(0)).cast("long").cast("string")
     line = F.concat_ws("|", F.replace(F.col("site"), F.lit(" "), F.lit("+")), epoch, F.array_join("ids", " "))
