@@ -173,8 +173,9 @@ def first_per_key(df: DataFrame, keys: list[str], order_col: str = "pos") -> Dat
     """
     others = [c for c in df.columns if c not in keys]
     best = F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order_col)).alias("_b")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in others]) \
-        .select(*df.columns)
+    out = {c: F.col(c) for c in keys}
+    out.update({c: F.col(f"_b.{c}") for c in others})
+    return df.groupBy(*keys).agg(best).select(*[out[c].alias(c) for c in df.columns])
 
 
 def dedup_ids(entries: DataFrame) -> DataFrame:

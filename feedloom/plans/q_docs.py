@@ -34,9 +34,7 @@ def _sql_text(s: str) -> str:
 def index_pages(spark, sf_dir):
     """S10 per-feed index documents: W1 numbering, W2/W3 next links and anchors,
     E12 padded/short titles, H20 no-content, H19 index patterns, H18 cut, byline."""
-    pages = _pages(spark, sf_dir)
-    n = new_items(spark, sf_dir)
-    n = n.join(X.entries_view(pages).select("feed", "pos", "content"), ["feed", "pos"])
+    n = new_items(spark, sf_dir, with_content=True)
     n = attach_rules(n, X.rules_view(spark, "levels", "skip_links", "min_width", "index_skip_content_pats",
                                      "rss_entry_size"), on="rule_key")
     n = n.withColumn("author", F.when(F.pmod("pos", F.lit(2)) == 0,

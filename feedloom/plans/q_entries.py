@@ -41,12 +41,14 @@ def deduped_entries(spark, sf_dir, extra_rules=()):
     return E.dedup_titles(E.dedup_ids(kept))
 
 
-def new_items(spark, sf_dir, extra_rules=()):
+def new_items(spark, sf_dir, extra_rules=(), with_content=False):
     """D1, then the seen flag (J2, sharing D1's partitioning), D2 over all D1
     survivors (a seen entry still claims its title), keep the unseen, then
     W1 numbering with group sizes and W2 next numbers."""
     pages = _pages(spark, sf_dir)
-    kept = kept_entries(spark, sf_dir, extra_rules).drop("content")
+    kept = kept_entries(spark, sf_dir, extra_rules)
+    if not with_content:
+        kept = kept.drop("content")
     d1 = E.mark_seen(E.dedup_ids(kept), X.seen_view(pages))
     n = E.dedup_titles(d1).filter(~F.col("_seen")).drop("_seen")
     n = E.number_within(n, ["feed"], "pos", size_col="n_items")

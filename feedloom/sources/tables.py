@@ -18,6 +18,16 @@ def table_path(sf_dir: str, name: str) -> str:
     return path if os.path.exists(path) else os.path.join(sf_dir, name)
 
 
+_SCANS: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    """Lazy parquet scan; Catalyst prunes columns and pushes filters into it.
+
+    The scan (file listing and footer schema) is set up once per session and
+    path, like a registered table; every query still reads the files.
+    """
+    key = (id(spark), table_path(sf_dir, name))
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(key[1])
+    return _SCANS[key]

@@ -79,7 +79,7 @@ save_days = 3
 
 def test_conf_rules_sections_default_and_lists(spark):
     d = _dir(spark, "conf")
-    with open(os.path.join(d, "feedme.conf"), "w") as f:
+    with open(os.path.join(d, "main.conf"), "w") as f:
         f.write(CONF_MAIN)
     with open(os.path.join(d, "wp.conf"), "w") as f:
         f.write(CONF_SITE)
