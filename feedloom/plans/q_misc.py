@@ -19,7 +19,7 @@ from feedloom.plans import fixtures as X
 from feedloom.plans.q_entries import SQL_KEPT, _pages, kept_entries
 from feedloom.session import scratch_path
 from feedloom.sources import feeds as FD
-from feedloom.sources.rules import read_conf_rules
+from feedloom.sources.rules import prepare_rules, read_conf_rules
 from feedloom.sources.tables import read_table
 
 HOST = X.HOST_SQL
@@ -133,7 +133,8 @@ def _conf_text(spark, sf_dir):
     body = F.concat(
         F.lit("["), F.col("host"), F.lit("]\nurl = https://"), F.col("host"), F.lit("/feed\nlevels = "), lvl,
         F.lit("\nskip_link_pats = /fr/\n    utm_source\n\n# a comment\npage_start = <article>\n"),
-        F.when(F.col("host").startswith("blog."), F.lit("save_days = 14\nskip_images = false\n")).otherwise(F.lit("")))
+        F.when(F.col("host").startswith("blog."), F.lit("save_days = 14\nskip_images = false\n")).otherwise(F.lit("")),
+        F.when(F.col("host").startswith("m."), F.lit("skip_pats = <b>\n    (unclosed\n")).otherwise(F.lit("")))
     return hosts.select(F.col("host"), body.alias("value"))
 
 
@@ -144,18 +145,23 @@ def conf_rules(spark, sf_dir):
     dflt = spark.range(1).select(F.lit("DEFAULT").alias("host"),
                                  F.lit("[DEFAULT]\nsave_days = 3\nnonlocal_images = true\n").alias("value"))
     conf.unionByName(dflt).write.partitionBy("host").text(f"{base}/conf")
-    rules = read_conf_rules(spark, f"{base}/conf")
-    return rules.select("feed", "url", "levels", F.array_join("skip_link_pats", "|").alias("skip_link_pats"),
-                        F.array_join("page_start", "|").alias("page_start"), "save_days", "skip_images",
-                        "nonlocal_images", "min_width")
+    rules, problems = prepare_rules(read_conf_rules(spark, f"{base}/conf"))
+    bad = problems.groupBy("feed").agg(F.count(F.lit(1)).alias("n_bad"))
+    return (rules.join(bad, "feed", "left")
+            .select("feed", "url", "levels", F.array_join("skip_link_pats", "|").alias("skip_link_pats"),
+                    F.array_join("page_start", "|").alias("page_start"), F.array_join("skip_pats", "|").alias("skip_pats"),
+                    "save_days", "skip_images", "nonlocal_images", "min_width",
+                    F.coalesce("n_bad", F.lit(0)).cast("long").alias("n_bad")))
 
 
 SQL_CONF = f"""
 SELECT DISTINCT {HOST} AS feed, 'https://' || {HOST} || '/feed' AS url,
        CAST(['1', '1.5', '2'][length({HOST}) % 3 + 1] AS DOUBLE) AS levels,
        '/fr/|utm_source' AS skip_link_pats, '<article>' AS page_start,
+       CASE WHEN starts_with({HOST}, 'm.') THEN '<b>' ELSE '' END AS skip_pats,
        CAST(CASE WHEN starts_with({HOST}, 'blog.') THEN 14 ELSE 3 END AS INTEGER) AS save_days,
-       NOT starts_with({HOST}, 'blog.') AS skip_images, true AS nonlocal_images, CAST(25 AS INTEGER) AS min_width
+       NOT starts_with({HOST}, 'blog.') AS skip_images, true AS nonlocal_images, CAST(25 AS INTEGER) AS min_width,
+       CAST(CASE WHEN starts_with({HOST}, 'm.') THEN 1 ELSE 0 END AS BIGINT) AS n_bad
 FROM pages
 """
 

@@ -9,6 +9,7 @@ is size-checked.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -212,3 +213,69 @@ def attach_rules(entries: DataFrame, rules: DataFrame, on="feed", max_rules: int
     return joined.select(
         *[c for c in joined.columns if c not in rule_cols],
         *[F.coalesce(F.col(c), builtin_value(c)).alias(c) if c in known else F.col(c) for c in rule_cols])
+
+
+# Rule keys holding regular expressions (Python dialect in the rule files).
+PATTERN_LIST_KEYS = ("page_start", "page_end", "single_page_pats", "skip_pats", "skip_link_pats",
+                     "skip_title_pats", "skip_content_pats", "index_skip_content_pats")
+
+
+def _check_patterns(pats):
+    """(valid patterns in Java spelling, problems) for one list of rule patterns."""
+    from feedloom.functions.regex import pattern_error, python_pattern_to_java
+    ok, bad = [], []
+    for p in list(pats) if pats is not None else []:
+        err = pattern_error(p)
+        if err is None:
+            ok.append(python_pattern_to_java(p))
+        else:
+            bad.append(f"{p}: {err}")
+    return ok, bad
+
+
+def prepare_rules(rules: DataFrame, key: str = "feed") -> tuple[DataFrame, DataFrame]:
+    """Validate and translate rule patterns once, when the rules are loaded.
+
+    Patterns that do not compile are dropped from their list and reported
+    as rejects (the job never fails on a bad rule); valid ones are put in
+    Java spelling (named groups, end anchors); the ``story_url_rewrite``
+    replacement is translated ('\\1' -> '$1', literal '$' escaped).  Runs as
+    one Arrow-batched pass over the (small) rules table.
+    """
+    from feedloom.functions.regex import python_replacement_to_java
+
+    lists = [k for k in PATTERN_LIST_KEYS if k in rules.columns]
+    out_t = T.StructType([T.StructField(k, T.ArrayType(T.StringType())) for k in lists]
+                         + [T.StructField("story_url_rewrite", T.ArrayType(T.StringType())),
+                            T.StructField("_problems", T.ArrayType(T.StringType()))])
+
+    @F.pandas_udf(out_t)
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for vals in zip(*[pdf[k] for k in [*lists, "story_url_rewrite"]]):
+            rec, problems = {}, []
+            for k, pats in zip(lists, vals[:len(lists)]):
+                ok, bad = _check_patterns(pats)
+                rec[k] = ok
+                problems += [f"{k}: {b}" for b in bad]
+            pair = list(vals[len(lists)]) if vals[len(lists)] is not None else []
+            if len(pair) == 2:
+                ok, bad = _check_patterns(pair[:1])
+                rec["story_url_rewrite"] = ok + [python_replacement_to_java(pair[1])] if ok else []
+                problems += [f"story_url_rewrite: {b}" for b in bad]
+            else:
+                rec["story_url_rewrite"] = pair
+                if pair:
+                    problems.append(f"story_url_rewrite: needs 2 lines, has {len(pair)}")
+            rec["_problems"] = problems
+            rows.append(rec)
+        return pd.DataFrame(rows, columns=[f.name for f in out_t.fields])
+
+    rw = F.col("story_url_rewrite") if "story_url_rewrite" in rules.columns else F.array().cast("array<string>")
+    checked = rules.withColumn("_chk", check(F.struct(*[F.col(k) for k in lists], rw.alias("story_url_rewrite"))))
+    fixed = checked.select(*[F.col(f"_chk.{c}").alias(c) if c in lists or c == "story_url_rewrite"
+                             else F.col(c) for c in rules.columns])
+    rejects = checked.select(F.col(key).alias("feed"), F.explode("_chk._problems").alias("reason")).select(
+        "feed", F.lit(None).cast("string").alias("item_id"), F.lit("rules").alias("stage"),
+        F.lit("warn").alias("severity"), "reason")
+    return fixed, rejects

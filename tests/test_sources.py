@@ -106,3 +106,24 @@ def test_seen_cache_round_trip_with_split_lines(spark):
     assert lines.filter(F.col("site") == "site a").count() >= 4
     parsed, _ = seen_cache.parse_cache_lines(lines.select(F.col("line").alias("value")))
     assert parsed.count() == 51
+
+
+def test_prepare_rules_drops_bad_patterns_and_translates(spark):
+    from feedloom.sources.rules import prepare_rules, rules_from_rows
+    rules = rules_from_rows(spark, [
+        dict(feed="a", skip_pats=["ok.*", "(unclosed"], page_start=["(?P<x>a)\\Z"],
+             story_url_rewrite=["(http)://x/(\\d+)", "\\1s://y/\\2?$"]),
+        dict(feed="b", story_url_rewrite=["only one"]),
+    ])
+    fixed, rejects = prepare_rules(rules)
+    got = {r.feed: r for r in fixed.collect()}
+    assert got["a"].skip_pats == ["ok.*"]
+    assert got["a"].page_start == ["(?<x>a)\\z"]
+    assert got["a"].story_url_rewrite == ["(http)://x/(\\d+)", "$1s://y/$2?\\$"]
+    reasons = sorted(r.reason.split(":")[0] for r in rejects.collect())
+    assert reasons == ["skip_pats", "story_url_rewrite"]
+    # the translated pair works in Spark's regexp_replace
+    df = spark.createDataFrame([("http://x/42",)], "link string")
+    from feedloom.operators.entries import rewrite_link
+    out = df.select(rewrite_link(F.col("link"), F.lit(got["a"].story_url_rewrite)).alias("l")).first().l
+    assert out == "https://y/42?$"
