@@ -332,7 +332,14 @@ def user_sort(feeds: DataFrame, order: DataFrame, name: str = "feed") -> DataFra
 
 def feed_dirs(feeds: DataFrame, name: str = "feed", slug_col: str = "slug",
               order: DataFrame | None = None) -> DataFrame:
-    """Two-digit ordinal prefix in user order (only the small feed table is ranked globally)."""
+    """Two-digit ordinal prefix in user order (O1: listed feeds first, then by name).
+
+    The ordinal is a global rank, computed with the range numbering of
+    ``number_within`` (ranges = list rank, then the name's first two
+    characters), so no single task ranks the whole feed table.
+    """
     base = feeds.join(order, name, "left") if order is not None else feeds.withColumn("rank", F.lit(None))
-    w = Window.orderBy(F.coalesce(F.col("rank"), F.lit(1 << 30)), F.col(name))
-    return base.withColumn("dir", F.format_string("%02d_%s", F.row_number().over(w), F.col(slug_col)))
+    base = base.withColumn("_r", F.coalesce(F.col("rank"), F.lit(1 << 30)))
+    ranges = F.struct(F.col("_r"), F.substring(F.col(name), 1, 2))
+    ranked = number_within(base, [], ["_r", name], "_ord", bucket=ranges)
+    return ranked.withColumn("dir", F.format_string("%02d_%s", F.col("_ord") + 1, F.col(slug_col))).drop("_r", "_ord")
