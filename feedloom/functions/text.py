@@ -139,14 +139,14 @@ def unmapped_class() -> str:
     return "[^\\x00-\\x7F" + mapped + "]"
 
 
-def unmapped_chars(normalized) -> tuple[Column, Column, Column]:
+def unmapped_chars(normalized, cls: str | None = None) -> tuple[Column, Column, Column]:
     """C4: for each unmapped character in NFKD text: (chars, before, after) arrays.
 
     One regex pass per value; each match takes the character with up to 15
     characters of context on each side (the left context stops at the
-    previous match).
+    previous match).  ``cls`` overrides the character class searched.
     """
-    cls = unmapped_class()
+    cls = cls or unmapped_class()
     pat = "(?s)(.{0,15}?)(" + cls + ")(?=(.{0,15}))"
     t = col_of(normalized)
     return (F.regexp_extract_all(t, F.lit(pat), F.lit(2)), F.regexp_extract_all(t, F.lit(pat), F.lit(1)),

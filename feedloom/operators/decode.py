@@ -33,8 +33,11 @@ def decode_bodies(responses: DataFrame, body_col: str = "body", charset_col: str
     return fast.unionByName(slow).drop("_fast")
 
 
-def unmapped_report(docs: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    """C4: every character the ASCII fold cannot map, counted, with one context example.
+def unmapped_report(docs: DataFrame, text_col: str = "text", key: str = "doc_id",
+                    only_unmapped: bool = True) -> DataFrame:
+    """C4: every character the ASCII fold cannot map (or, with ``only_unmapped``
+    off, every non-ASCII character with a ``mapped`` flag), counted, with one
+    context example.
 
     The per-character count and example are partial aggregates, so a
     character present in a third of all documents is still spread over all
@@ -44,11 +47,13 @@ def unmapped_report(docs: DataFrame, text_col: str = "text", key: str = "doc_id"
     # text that still has an unmapped character is scanned for context
     raw = docs.select(key, text_col).filter(F.col(text_col).rlike(r"[^\x00-\x7F]"))
     norm = raw.select(key, T.nfkd(F.col(text_col)).alias("_n"))
-    norm = norm.filter(F.col("_n").rlike(T.unmapped_class()))
-    chars, before, after = T.unmapped_chars(F.col("_n"))
+    cls = T.unmapped_class() if only_unmapped else r"[^\x00-\x7F]"
+    norm = norm.filter(F.col("_n").rlike(cls))
+    chars, before, after = T.unmapped_chars(F.col("_n"), cls)
     hits = norm.select(key, F.posexplode(F.arrays_zip(chars.alias("c"), before.alias("b"), after.alias("a")))
                        .alias("i", "m"))
     return (hits.groupBy(F.col("m.c").alias("char"))
             .agg(F.count(F.lit(1)).cast("long").alias("n"),
                  F.min_by(F.concat(F.col("m.b"), F.col("m.c"), F.col("m.a")), F.struct(key, "i")).alias("example"))
-            .withColumn("code", F.format_string("U+%04X", F.ascii(F.col("char")))))
+            .withColumn("code", F.format_string("U+%04X", F.ascii(F.col("char"))))
+            .withColumn("mapped", F.array_contains(F.array(*[F.lit(k) for k in T.FOLD_TABLE]), F.col("char"))))

@@ -93,9 +93,11 @@ def ascii_fold(spark, sf_dir):
 
 
 def unmapped_chars(spark, sf_dir):
-    """C4: characters the fold cannot map, with counts and a +-15 character context example."""
+    """C4: non-ASCII characters left after NFKD, whether the fold table maps them,
+    counts and a +-15 character context example (the unmapped ones are what the
+    fold escapes)."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return DC.unmapped_report(d).select("char", "code", "n", "example")
+    return DC.unmapped_report(d, only_unmapped=False).select("char", "code", "mapped", "n", "example")
 
 
 def charset_decode(spark, sf_dir):

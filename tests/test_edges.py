@@ -291,3 +291,13 @@ def test_age_status(spark):
     df = spark.createDataFrame(data, "p timestamp, lf timestamp, d int, nc boolean")
     got = [r[0] for r in df.select(S.age_status("p", "lf", F.lit(now).cast("timestamp"), "d", "nc")).collect()]
     assert got == ["expired", "older", "normal", "normal", "normal", "normal"]
+
+
+def test_unmapped_report_context(spark):
+    from feedloom.operators.decode import unmapped_report
+    text = "0123456789abcdefghij中0123456789ABCDEFGHIJ é"
+    df = spark.createDataFrame([(1, text), (2, "plain ascii")], "doc_id long, text string")
+    got = [tuple(r) for r in unmapped_report(df).select("char", "n", "example").collect()]
+    assert got == [("中", 1, "fghij中0123456789ABCDE")]
+    allc = {r.char: r.mapped for r in unmapped_report(df, only_unmapped=False).collect()}
+    assert allc == {"中": False, "́": True}
