@@ -5,7 +5,7 @@ per-feed loop:
 
     entries -> ids (E1-E3) -> rules (J1) -> skips (E4-E6) -> D1 -> seen flag (J2)
     -> D2 -> registered ids (A1/A2) -> unseen or repeated (T3) -> age (T2)
-    -> numbering (W1/W2) -> story pages by level (J4) -> cleaning chain (E7, H1-H5, H22)
+    -> numbering (W1/W2) -> story pages by level (J4, E9 link rewrite) -> cleaning chain (E7, H1-H5, H22)
     -> index documents (S10)
 
 and returns the output relations: story pages, index documents, the new
@@ -33,7 +33,7 @@ from feedloom.sources.rules import attach_rules
 
 RULE_COLS = ("skip_link_pats", "skip_title_pats", "allow_dup_titles", "allow_repeats", "nocache", "save_days",
              "levels", "skip_content_pats", "page_start", "page_end", "skip_pats", "skip_nodes", "skip_links",
-             "min_width", "index_skip_content_pats", "rss_entry_size")
+             "min_width", "index_skip_content_pats", "rss_entry_size", "story_url_rewrite")
 
 
 def run_day(entries: DataFrame, pages: DataFrame, rules: DataFrame, seen: DataFrame, state: DataFrame,
@@ -69,9 +69,12 @@ def run_day(entries: DataFrame, pages: DataFrame, rules: DataFrame, seen: DataFr
     items = E.with_next(E.number_within(items, ["feed"], "pos", size_col="n_items"), ["feed"], size_col="n_items")
     items = cut_lineage(items)  # shared by story pages, index documents and the summary
 
-    # Level 2 fetches the page, 1.5 uses the entry body, 1 writes no story page
-    with_page = items.filter(F.col("levels") >= 2).join(
-        pages.select(F.col("url").alias("link"), F.col("html").alias("page_html")), "link", "left")
+    # Level 2 fetches the page (at the E9-rewritten link), 1.5 uses the
+    # entry body, 1 writes no story page
+    with_page = (items.filter(F.col("levels") >= 2)
+                 .withColumn("fetch_url", E.rewrite_link(F.col("link"), F.col("story_url_rewrite")))
+                 .join(pages.select(F.col("url").alias("fetch_url"), F.col("html").alias("page_html")),
+                       "fetch_url", "left").drop("fetch_url"))
     body_items = items.filter((F.col("levels") > 1) & (F.col("levels") < 2)).withColumn(
         "page_html", E.entry_body())
     stories = with_page.unionByName(body_items)

@@ -31,8 +31,8 @@ def _daily_sql():
 WITH {SQL_KEPT},
 seen AS ({X.SEEN_SQL}),
 st AS ({X.STATE_SQL}),
-r3 AS ({X.rules_sql(["allow_repeats", "nocache", "save_days", "levels", "skip_content_pats"])}),
-x AS (SELECT d2.*, r3.allow_repeats, r3.nocache, r3.save_days, r3.levels, r3.skip_content_pats,
+r3 AS ({X.rules_sql(["allow_repeats", "nocache", "save_days", "levels", "skip_content_pats", "story_url_rewrite"])}),
+x AS (SELECT d2.*, r3.allow_repeats, r3.nocache, r3.save_days, r3.levels, r3.skip_content_pats, r3.story_url_rewrite,
              epoch({_rfc2822_sql('d2.published')}) AS pub, epoch(st.last_fed) AS lf,
              EXISTS (SELECT 1 FROM seen s WHERE s.site = d2.feed AND s.item_id = d2.item_id) AS was_seen
       FROM d2 LEFT JOIN r3 USING (rule_key) LEFT JOIN st ON st.site = d2.feed),
@@ -44,7 +44,11 @@ aged AS (SELECT *, CASE WHEN pub IS NULL OR lf IS NULL THEN 'normal'
 items AS (SELECT * FROM aged WHERE status <> 'expired'),
 st2 AS (SELECT i.feed, i.skip_content_pats,
                CASE WHEN i.levels >= 2 THEN p.html ELSE coalesce(i.content, '') || chr(10) END AS page_html
-        FROM items i LEFT JOIN pages p ON p.url = i.link WHERE i.levels > 1),
+        FROM items i LEFT JOIN pages p
+          ON p.url = CASE WHEN len(i.story_url_rewrite) = 2
+                          THEN regexp_replace(i.link, i.story_url_rewrite[1], i.story_url_rewrite[2], 'g')
+                          ELSE i.link END
+        WHERE i.levels > 1),
 stories AS (SELECT feed FROM st2 WHERE page_html IS NOT NULL
               AND {first_match_sql('skip_content_pats', 'page_html')} IS NULL),
 rej AS (SELECT feed FROM j WHERE raw_id IS NULL
