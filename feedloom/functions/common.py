@@ -81,3 +81,12 @@ def materialize(df, **exprs):
         return df
     keep = [c for c in df.columns if c not in exprs]
     return df.select(*keep, F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
+
+
+def let(value, body) -> Column:
+    """Bind ``value`` once and evaluate ``body(v)`` (a one-element ``transform``).
+
+    Inside higher-order functions there is no common-subexpression
+    elimination, so a value used several times is bound instead of copied.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -91,3 +91,70 @@ def output_name(name, fmt, resized, transparent, png_to_jpg) -> Column:
     convert = (col_of(resized) | (is_png & (col_of(png_to_jpg) | ~col_of(transparent)))
                | ~ext.isin(*KNOWN_EXTENSIONS))
     return F.when(convert, F.concat(F.replace(base, F.lit("."), F.lit("")), F.lit(".jpg"))).otherwise(n)
+
+
+def set_attr(tag, attr: str, value) -> Column:
+    """Set an attribute of a tag token (replace its value, or add it before '>')."""
+    tag = col_of(tag)
+    esc = F.regexp_replace(col_of(value), r"([\\$])", r"\\$1")
+    has = tag.rlike(rf"(?i)\s{attr}\s*=")
+    replaced = F.regexp_replace(tag, rf"(?i)(\s{attr}\s*=\s*)(\"[^\"]*\"|'[^']*'|[^\s>]+)",
+                                F.concat(F.lit("$1\""), esc, F.lit("\"")))
+    added = F.regexp_replace(tag, r"(\s*/?>)$", F.concat(F.lit(f' {attr}="'), esc, F.lit("\"$1")))
+    return F.when(has, replaced).otherwise(added)
+
+
+def image_decision(tag, page_host, base, max_srcset, nonlocal_ok, block_nonlocal, alt_domains) -> Column:
+    """I1-I5 for one img tag: struct(abs_src, action, new_src, new_tag).
+
+    action: 'none' (no source), 'data' (a data: URL, left alone), 'local'
+    (fetched: src becomes the local file name) or 'nonlocal' (src becomes
+    the blocked marker, or stays, and a link to the image follows the tag).
+    Values used several times are bound once (``let``), so the expression
+    stays linear when used inside ``transform``.
+    """
+    from feedloom.functions.common import let
+    from feedloom.functions.urls import absolute_url, similar_host, url_host
+    from feedloom.operators.tokens import attr_value
+
+    tag = col_of(tag)
+    src0 = F.coalesce(attr_value(tag, F.lit("data-src")), attr_value(tag, F.lit("src")))
+    srcset = F.coalesce(attr_value(tag, F.lit("data-lazy-srcset")), attr_value(tag, F.lit("srcset")))
+    src = F.coalesce(choose_srcset(parse_srcset(srcset), col_of(max_srcset)), src0)
+
+    def decide(s):
+        def with_abs(a):
+            keep = F.coalesce(col_of(nonlocal_ok), F.lit(False)) | similar_host(url_host(a), col_of(page_host),
+                                                                                 col_of(alt_domains))
+            action = (F.when(s.isNull() | (s == ""), F.lit("none")).when(~keep, F.lit("nonlocal"))
+                      .when(a.startswith("data:"), F.lit("data")).otherwise(F.lit("local")))
+
+            def finish(act):
+                new_src = (F.when(act == "local", local_name(a))
+                           .when(act == "nonlocal", F.when(F.coalesce(col_of(block_nonlocal), F.lit(True)),
+                                                           F.lit(BLOCKED_SRC)).otherwise(a))
+                           .otherwise(s))
+                new_tag = (F.when(act == "local", set_attr(tag, "src", new_src))
+                           .when(act == "nonlocal", F.concat(set_attr(tag, "src", new_src), nonlocal_link(a)))
+                           .otherwise(tag))
+                return F.struct(a.alias("abs_src"), act.alias("action"), new_src.alias("new_src"),
+                                new_tag.alias("new_tag"))
+            return let(action, finish)
+        return let(F.when(s.startswith("data:"), s).otherwise(absolute_url(s, col_of(base))), with_abs)
+
+    return let(src, decide)
+
+
+IMG_TAG_RE = r"(?i)<img\b[^>]*>"
+
+
+def rewrite_images(html, page_host, base, max_srcset, nonlocal_ok, block_nonlocal, alt_domains) -> Column:
+    """I5/I7 in the page: every img tag replaced by its rewritten form (one pass
+    of literal replacements over the distinct (tag, new tag) pairs)."""
+    html = col_of(html)
+    tags = F.array_distinct(F.regexp_extract_all(html, F.lit(IMG_TAG_RE), F.lit(0)))
+    pairs = F.transform(tags, lambda t: F.struct(
+        t.alias("old"),
+        image_decision(t, page_host, base, max_srcset, nonlocal_ok, block_nonlocal, alt_domains)["new_tag"]
+        .alias("new")))
+    return F.aggregate(pairs, html, lambda acc, p: F.replace(acc, p["old"], p["new"]))

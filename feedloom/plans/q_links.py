@@ -407,3 +407,50 @@ FROM pages
 
 QUERIES["last_modified"] = last_modified
 SQL["last_modified"] = SQL_LAST_MODIFIED
+
+
+# ------------------------------------------------------------- image_rewrite
+def image_rewrite(spark, sf_dir):
+    """I5/I7 applied to the page: img src set to the local file, or blocked with a
+    link to the image, data: and source-less tags left alone."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    d = X.derived_pages(pages).withColumn("rule_key", X.rule_key(F.col("host")))
+    d = attach_rules(d, X.rules_view(spark, "max_srcset_size", "nonlocal_images", "block_nonlocal_images",
+                                     "alt_domains"), on="rule_key")
+    d = materialize(d, base=H.base_href(F.col("html"), F.col("url")))
+    html = I.rewrite_images("html", "host", "base", "max_srcset_size", "nonlocal_images",
+                            "block_nonlocal_images", "alt_domains")
+    return d.select("page_id", html.alias("html"))
+
+
+def _image_rewrite_sql():
+    ih = "regexp_extract(abs_src, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)"
+    keep = (f"(nonlocal_images OR {_same_host_sql(ih, 'host')} OR "
+            f"coalesce(list_bool_or(list_transform(alt_domains, lambda d: {_same_host_sql(ih, 'd')})), false))")
+    name = "regexp_replace(replace(abs_src, '/', '_'), '[^\\pL\\pN_.\\-]', '', 'g')"
+
+    def set_src(v):
+        return (f"(CASE WHEN regexp_matches(tag, '(?i)\\ssrc\\s*=') "
+                f"THEN regexp_replace(tag, '(?i)(\\ssrc\\s*=\\s*)(\"[^\"]*\"|''[^'']*''|[^\\s>]+)', "
+                f"'\\1\"' || {v} || '\"') "
+                f"ELSE regexp_replace(tag, '(\\s*/?>)$', ' src=\"' || {v} || '\"\\1') END)")
+    return f"""
+WITH {_image_tags_sql()},
+a AS (SELECT *, CASE WHEN starts_with(src, 'data:') THEN src ELSE {_abs_sql('src', 'base')} END AS abs_src FROM imgs),
+b AS (SELECT *, CASE WHEN src IS NULL OR src = '' THEN 'none' WHEN NOT {keep} THEN 'nonlocal'
+                     WHEN starts_with(abs_src, 'data:') THEN 'data' ELSE 'local' END AS action FROM a),
+c AS (SELECT *, CASE WHEN action = 'local' THEN CASE WHEN {name} = '' THEN '{I.UNKNOWN_NAME}' ELSE {name} END
+                     WHEN action = 'nonlocal' THEN CASE WHEN block_nonlocal_images THEN '{I.BLOCKED_SRC}' ELSE abs_src END
+                     ELSE src END AS new_src FROM b),
+t AS (SELECT DISTINCT page_id, tag,
+        CASE WHEN action = 'local' THEN {set_src('new_src')}
+             WHEN action = 'nonlocal' THEN {set_src('new_src')} || '<a href="' || abs_src || '"> [nonlocal image]</a>'
+             ELSE tag END AS new_tag FROM c),
+p AS (SELECT page_id, list({{'old': tag, 'new': new_tag}}) AS pairs FROM t GROUP BY page_id)
+SELECT d.page_id, coalesce(list_reduce(p.pairs, lambda acc, x: replace(acc, x.old, x.new), d.html), d.html) AS html
+FROM d LEFT JOIN p USING (page_id)
+"""
+
+
+QUERIES["image_rewrite"] = image_rewrite
+SQL["image_rewrite"] = _image_rewrite_sql()
