@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.functions.common import any_match, col_of, first_match
+from feedloom.functions.common import col_of, first_match
 
 LINK_T = T.StructType([T.StructField("href", T.StringType()),
                        T.StructField("rel", T.StringType()),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from feedloom.functions import html as H
 from feedloom.functions.common import steps
 from feedloom.operators import entries as E
-from feedloom.operators import state as S
 from feedloom.plans import fixtures as X
 from feedloom.plans.q_entries import SQL_KEPT, _pages, new_items
 from feedloom.plans.sqlparts import excise_sql

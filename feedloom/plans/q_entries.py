@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import dates
 from feedloom.operators import entries as E
-from feedloom.operators import state as S
 from feedloom.plans import fixtures as X
 from feedloom.plans.sqlparts import first_match_sql
 from feedloom.sources.rules import attach_rules

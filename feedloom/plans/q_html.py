@@ -9,8 +9,7 @@ from feedloom.functions.common import steps
 from feedloom.functions.urls import absolute_url, url_host
 from feedloom.operators import tokens as TK
 from feedloom.plans import fixtures as X
-from feedloom.plans.sqlparts import (covered_sql, crop_sql, ends_sql, excise_sql, first_match_sql,
-                                     reassemble_sql, tokens_sql)
+from feedloom.plans.sqlparts import covered_sql, crop_sql, ends_sql, excise_sql, reassemble_sql, tokens_sql
 from feedloom.sources.rules import attach_rules
 from feedloom.sources.tables import read_table
 
