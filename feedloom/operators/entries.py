@@ -251,34 +251,67 @@ def number_within(df: DataFrame, part: list[str], order_col, out: str = "item_no
     shuffled once (by group and range); the count table is small and AQE
     broadcasts it when it is.  ``size_col`` adds the group's row count.
     """
-    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    return count_before(df, part, order_col, F.lit(True), out, bucket_rows=bucket_rows, bucket=bucket,
+                        size_col=size_col)
+
+
+def _ranges(df: DataFrame, order: list[str], bucket, bucket_rows: int) -> DataFrame:
     b = bucket if bucket is not None else F.floor(F.col(order[0]) / F.lit(bucket_rows)).cast("long")
-    wr = Window.partitionBy(*part, "_bk").orderBy(*order)
-    numbered = df.withColumn("_bk", b).withColumn("_rn", F.row_number().over(wr))
-    # range sizes from the numbered rows: same partitioning, no second pass upstream
-    counts = numbered.groupBy(*part, "_bk").agg(F.max("_rn").cast("long").alias("_n"))
+    return df.withColumn("_bk", b)
+
+
+def count_before(df: DataFrame, part: list[str], order_col, flag, out: str, bucket_rows: int = 1 << 16,
+                 bucket=None, size_col: str | None = None) -> DataFrame:
+    """Number of rows with ``flag`` set strictly before each row of its
+    ``part`` group in ``order_col`` order (with a true flag: the 0-based
+    position, W1; with a timeout flag: timeouts so far, W4).
+
+    Skew-safe: rows are cut into ordered ranges (``bucket``, by default
+    ``order_col // bucket_rows``); a running count inside each range, plus
+    the flagged totals of all earlier ranges (a running sum over the small
+    per-range table).  The rows are shuffled once, by group and range; the
+    per-range table comes from the already partitioned rows and is small, so
+    AQE broadcasts it back.  No task ever sorts a whole group.
+    ``size_col`` adds the group's flagged total.
+    """
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    tagged = _ranges(df, order, bucket, bucket_rows).withColumn("_f", F.coalesce(flag, F.lit(False)).cast("long"))
+    wr = Window.partitionBy(*part, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = tagged.withColumn("_loc", F.coalesce(F.sum("_f").over(wr), F.lit(0)))
+    totals = local.groupBy(*part, "_bk").agg(F.sum("_f").alias("_n"))
     wo = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0)))
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0)))
     if size_col:
         offsets = offsets.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*part)).cast("long"))
     offsets = offsets.drop("_n")
-    return (numbered.join(offsets, [*part, "_bk"], "inner")
-            .withColumn(out, (F.col("_rn") - 1 + F.col("_off")).cast("long"))
-            .drop("_bk", "_off", "_rn"))
+    return (local.join(offsets, [*part, "_bk"], "inner")
+            .withColumn(out, (F.col("_loc") + F.col("_off")).cast("long"))
+            .drop("_bk", "_off", "_loc", "_f"))
 
 
 def previous_row(df: DataFrame, part: list[str], order_cols, cols: list[str], bucket=None,
-                 prefix: str = "prev_") -> DataFrame:
-    """``lag`` without an ordered window over whole groups.
+                 bucket_rows: int = 1 << 16, prefix: str = "prev_") -> DataFrame:
+    """``lag`` of ``cols`` without an ordered window over whole groups.
 
-    Rows are numbered skew-safely (``number_within``) and each row is
-    equi-joined to the row numbered one less in its group; the join key
-    includes the number, so a hot group spreads over many tasks.
+    Inside an ordered range ``lag`` is a window over (group, range); the
+    first row of a range takes the last row of the group's previous
+    non-empty range from a small per-range table (``max_by`` per range, then
+    ``lag`` over the ranges).  One shuffle of the rows, by group and range.
     """
-    numbered = number_within(df, part, order_cols, "_seq", bucket=bucket)
-    prev = numbered.select(*part, (F.col("_seq") + 1).alias("_seq"),
-                           *[F.col(c).alias(prefix + c) for c in cols])
-    return numbered.join(prev, [*part, "_seq"], "left").drop("_seq")
+    order = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    tagged = _ranges(df, order, bucket, bucket_rows)
+    w = Window.partitionBy(*part, "_bk").orderBy(*order)
+    local = tagged.select("*", F.row_number().over(w).alias("_rn"),
+                          *[F.lag(c).over(w).alias(f"_lag_{c}") for c in cols])
+    lasts = local.groupBy(*part, "_bk").agg(
+        F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*[F.col(c) for c in order])).alias("_last"))
+    wb = Window.partitionBy(*part).orderBy("_bk")
+    prev = lasts.select(*part, "_bk", F.lag("_last").over(wb).alias("_prev"))
+    joined = local.join(prev, [*part, "_bk"], "left")
+    return joined.select(
+        *[c for c in df.columns],
+        *[F.when(F.col("_rn") == 1, F.col(f"_prev.{c}")).otherwise(F.col(f"_lag_{c}")).alias(prefix + c)
+          for c in cols])
 
 
 def group_sizes(df: DataFrame, part: list[str], out: str = "n_items") -> DataFrame:

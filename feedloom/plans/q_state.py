@@ -193,22 +193,17 @@ MAX_TIMEOUTS = 3
 def timeout_cutoff(spark, sf_dir):
     """Fetches per feed (user) in order; a feed stops at its first timeout
     (error) unless continue_on_timeout; the helper variant serves pages until
-    its third timeout and placeholders after.  Counts of earlier timeouts come
-    from skew-safe numbering plus the position of the k-th timeout."""
+    its third timeout and placeholders after.  The count of earlier timeouts
+    is a skew-safe running count (ordered ranges, one shuffle)."""
     ev = _events(spark, sf_dir)
     ev = ev.withColumn("rule_key", F.element_at(F.array(*[F.lit(r["rule_key"]) for r in X.RULES]),
                                                 (F.pmod(F.col("user_id"), F.lit(3)) + 1).cast("int")))
     ev = attach_rules(ev, _rules(spark, "continue_on_timeout"), on="rule_key")
-    seq = E.number_within(ev, ["user_id"], ["ts", "event_id"], "seq", bucket=hour_range())
-    touts = E.number_within(seq.filter(F.col("event_type") == "error").select("user_id", "ts", "event_id", "seq"),
-                            ["user_id"], ["ts", "event_id"], "t_no", bucket=hour_range())
-    cuts = touts.groupBy("user_id").agg(
-        F.min(F.when(F.col("t_no") == 0, F.col("seq"))).alias("cut1"),
-        F.min(F.when(F.col("t_no") == MAX_TIMEOUTS - 1, F.col("seq"))).alias("cutn"))
-    j = seq.join(cuts, "user_id", "left")
-    fed = F.col("continue_on_timeout") | F.col("cut1").isNull() | (F.col("seq") <= F.col("cut1"))
-    helper = F.when(F.col("cutn").isNull() | (F.col("seq") <= F.col("cutn")), F.lit("page")).otherwise(F.lit("placeholder"))
-    return j.select("event_id", "user_id", fed.alias("fetched"), helper.alias("helper"))
+    ev = E.count_before(ev, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", "before",
+                        bucket=hour_range())
+    fed = F.col("continue_on_timeout") | (F.col("before") < 1)
+    helper = F.when(F.col("before") < MAX_TIMEOUTS, F.lit("page")).otherwise(F.lit("placeholder"))
+    return ev.select("event_id", "user_id", fed.alias("fetched"), helper.alias("helper"))
 
 
 SQL_TIMEOUT = f"""

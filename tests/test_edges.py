@@ -301,3 +301,18 @@ def test_unmapped_report_context(spark):
     assert got == [("中", 1, "56789abcdefghij中0123456789ABCDE")]
     allc = {r.char: r.mapped for r in unmapped_report(df, only_unmapped=False).collect()}
     assert allc == {"中": False, "́": True}
+
+
+def test_previous_row_and_count_before_across_ranges(spark):
+    rnd = random.Random(11)
+    data = [(u, t, rnd.random() < 0.3) for u in ("a", "b") for t in rnd.sample(range(0, 500000), 60)]
+    df = spark.createDataFrame(data, "u string, t long, flag boolean")
+    prev = E.previous_row(df, ["u"], ["t"], ["t", "flag"], bucket_rows=50000)
+    got = {(r.u, r.t): (r.prev_t, r.prev_flag) for r in prev.collect()}
+    cnt = E.count_before(df, ["u"], ["t"], F.col("flag"), "n", bucket_rows=50000)
+    got_n = {(r.u, r.t): r.n for r in cnt.collect()}
+    for u in ("a", "b"):
+        seq = sorted((t, f) for uu, t, f in data if uu == u)
+        for i, (t, _) in enumerate(seq):
+            assert got[(u, t)] == ((seq[i - 1][0], seq[i - 1][1]) if i else (None, None))
+            assert got_n[(u, t)] == sum(1 for _, f in seq[:i] if f)
