@@ -171,11 +171,16 @@ def first_per_key(df: DataFrame, keys: list[str], order_col: str = "pos") -> Dat
     partial winner per key and map partition, so a hot key never lands
     whole in one task.
     """
-    others = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order_col)).alias("_b")
-    out = {c: F.col(c) for c in keys}
-    out.update({c: F.col(f"_b.{c}") for c in others})
-    return df.groupBy(*keys).agg(best).select(*[out[c].alias(c) for c in df.columns])
+    cols = df.columns
+    others = [c for c in cols if c not in keys]
+    best = F.expr(f"min_by(struct({', '.join(_q(c) for c in others)}), {_q(order_col)})").alias("_b")
+    return df.groupBy(*keys).agg(best).selectExpr(
+        *[_q(c) if c in keys else f"_b.{_q(c)} AS {_q(c)}" for c in cols])
+
+
+def _q(name: str) -> str:
+    """A column name quoted for a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def dedup_ids(entries: DataFrame) -> DataFrame:
@@ -275,18 +280,20 @@ def count_before(df: DataFrame, part: list[str], order_col, flag, out: str, buck
     ``size_col`` adds the group's flagged total.
     """
     order = [order_col] if isinstance(order_col, str) else list(order_col)
+    cols = df.columns
     tagged = _ranges(df, order, bucket, bucket_rows).withColumn("_f", F.coalesce(flag, F.lit(False)).cast("long"))
-    wr = Window.partitionBy(*part, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = tagged.withColumn("_loc", F.coalesce(F.sum("_f").over(wr), F.lit(0)))
+    grp = ", ".join(_q(c) for c in [*part, "_bk"])
+    by_part = f"PARTITION BY {', '.join(_q(c) for c in part)}" if part else ""
+    local = tagged.selectExpr("*", f"coalesce(sum(_f) OVER (PARTITION BY {grp} ORDER BY "
+                                   f"{', '.join(_q(c) for c in order)} ROWS BETWEEN UNBOUNDED PRECEDING AND "
+                                   f"1 PRECEDING), 0) AS _loc")
     totals = local.groupBy(*part, "_bk").agg(F.sum("_f").alias("_n"))
-    wo = Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0)))
-    if size_col:
-        offsets = offsets.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*part)).cast("long"))
-    offsets = offsets.drop("_n")
-    return (local.join(offsets, [*part, "_bk"], "inner")
-            .withColumn(out, (F.col("_loc") + F.col("_off")).cast("long"))
-            .drop("_bk", "_off", "_loc", "_f"))
+    extra = [f"CAST(sum(_n) OVER ({by_part}) AS BIGINT) AS {_q(size_col)}"] if size_col else []
+    offsets = totals.selectExpr(*[_q(c) for c in part], "_bk",
+                                f"coalesce(sum(_n) OVER ({by_part} ORDER BY _bk ROWS BETWEEN UNBOUNDED PRECEDING "
+                                f"AND 1 PRECEDING), 0) AS _off", *extra)
+    return local.join(offsets, [*part, "_bk"], "inner").selectExpr(
+        *[_q(c) for c in cols], f"CAST(_loc + _off AS BIGINT) AS {_q(out)}", *([_q(size_col)] if size_col else []))
 
 
 def previous_row(df: DataFrame, part: list[str], order_cols, cols: list[str], bucket=None,

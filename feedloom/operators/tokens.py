@@ -36,6 +36,17 @@ NODE_SPEC_RE = r"""^\s*([a-zA-Z\d]+)\s+(?:([a-zA-Z]+)\s*=\s*['"](.*)['"])"""
 BARE_TAG_RE = r"^\s*([A-Za-z][A-Za-z0-9]*)\s*$"
 NEVER = 1 << 30
 
+# Tag name and token kind (text, comment, decl, close, raw, void, open), as SQL.
+TAG_RE = "^</?([A-Za-z][A-Za-z0-9]*)"
+KIND_SQL = ("CASE WHEN NOT startswith(tok, '<') THEN 'text' "
+            "WHEN startswith(tok, '<!--') THEN 'comment' "
+            "WHEN startswith(tok, '<!') OR startswith(tok, '<?') THEN 'decl' "
+            "WHEN tag = '' THEN 'text' "
+            "WHEN startswith(tok, '</') THEN 'close' "
+            "WHEN tag IN ('script', 'style') THEN 'raw' "
+            "WHEN tag IN ({void}) OR endswith(tok, '/>') THEN 'void' "
+            "ELSE 'open' END")
+
 
 def html_tokens(pages: DataFrame, html_col: str = "html", key: str = "page_id",
                 keep=()) -> DataFrame:
@@ -49,21 +60,11 @@ def html_tokens(pages: DataFrame, html_col: str = "html", key: str = "page_id",
     parted = pages.repartition(key)
     toks = parted.select(key, *keep, F.posexplode(
         F.regexp_extract_all(F.col(html_col), F.lit(TOKEN_RE), F.lit(0))).alias("pos", "tok"))
-    tok = F.col("tok")
-    tag = F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][A-Za-z0-9]*)", 1))
-    kind = (F.when(~tok.startswith("<"), F.lit("text"))
-            .when(tok.startswith("<!--"), F.lit("comment"))
-            .when(tok.startswith("<!") | tok.startswith("<?"), F.lit("decl"))
-            .when(tag == "", F.lit("text"))
-            .when(tok.startswith("</"), F.lit("close"))
-            .when(tag.isin("script", "style"), F.lit("raw"))
-            .when(tag.isin(*VOID_TAGS) | tok.endswith("/>"), F.lit("void"))
-            .otherwise(F.lit("open")))
-    toks = toks.withColumn("tag", tag).withColumn("kind", kind)
-    d = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    w = Window.partitionBy(key, "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    depth = F.sum(d).over(w)
-    return toks.withColumn("level", F.when(F.col("kind") == "close", depth + 1).otherwise(depth).cast("int"))
+    toks = toks.selectExpr("*", f"lower(regexp_extract(tok, '{TAG_RE}', 1)) AS tag")
+    toks = toks.selectExpr("*", KIND_SQL.format(void=", ".join(f"'{t}'" for t in VOID_TAGS)) + " AS kind")
+    depth = (f"sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY `{key}`, tag "
+             "ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    return toks.selectExpr("*", f"CAST(CASE WHEN kind = 'close' THEN {depth} + 1 ELSE {depth} END AS INT) AS level")
 
 
 def with_spans(tokens: DataFrame, start_col: str, key: str = "page_id") -> DataFrame:
@@ -73,18 +74,14 @@ def with_spans(tokens: DataFrame, start_col: str, key: str = "page_id") -> DataF
     (tag, level); a void or self-closing start covers itself; a start never
     closed covers the rest of the page.  Nested and overlapping spans count.
     """
-    is_oc = F.col("kind").isin("open", "close")
-    w_lvl = Window.partitionBy(key, "tag", "level", is_oc).orderBy("pos")
-    prev_kind = F.lag("kind").over(w_lvl)
-    prev_start = F.lag(start_col).over(w_lvl)
-    ends_span = ((F.col("kind") == "close") & (prev_kind == "open") & F.coalesce(prev_start, F.lit(False))) \
-        | ((F.col("kind") == "void") & F.col(start_col))
-    w_run = Window.partitionBy(key).orderBy("pos")
-    started = F.sum(F.col(start_col).cast("int")).over(w_run.rowsBetween(Window.unboundedPreceding, 0))
-    ended = F.coalesce(F.sum(F.col("_ends").cast("int")).over(w_run.rowsBetween(Window.unboundedPreceding, -1)),
-                       F.lit(0))
-    return (tokens.withColumn("_ends", F.coalesce(ends_span, F.lit(False)))
-            .withColumn("inside", (started - ended) > 0)
+    st, k = f"`{start_col}`", f"`{key}`"
+    lvl = f"OVER (PARTITION BY {k}, tag, level, kind IN ('open', 'close') ORDER BY pos)"
+    ends = (f"coalesce((kind = 'close' AND lag(kind) {lvl} = 'open' AND coalesce(lag({st}) {lvl}, false)) "
+            f"OR (kind = 'void' AND {st}), false)")
+    run = f"OVER (PARTITION BY {k} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND "
+    return (tokens.selectExpr("*", f"{ends} AS _ends")
+            .selectExpr("*", f"sum(CAST({st} AS INT)) {run}CURRENT ROW) "
+                             f"- coalesce(sum(CAST(_ends AS INT)) {run}1 PRECEDING), 0) > 0 AS inside")
             .drop("_ends"))
 
 
