@@ -52,3 +52,14 @@ def write_feed_files(items: DataFrame, path: str, feed_col: str = "feed") -> Non
     (items.sortWithinPartitions(feed_col, "pos").drop("pos")
      .write.mode("overwrite").partitionBy(feed_col).format("xml")
      .option("rootTag", "channel").option("rowTag", "item").save(path))
+
+
+def read_feed_titles(spark: SparkSession, path: str) -> DataFrame:
+    """Each feed file's channel (or Atom feed) title, '[file]' when it has none."""
+    docs = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True) \
+        .select(F.input_file_name().alias("feed_file"), F.col("value"))
+    head = F.regexp_extract("value", r"(?s)<(?:channel|feed)\b[^>]*>(.*?)(?:<item\b|<entry\b|</channel>|</feed>|\z)", 1)
+    title = F.trim(F.regexp_extract(head, r"(?s)<title\b[^>]*>(.*?)</title>", 1))
+    name = F.regexp_extract("feed_file", r"([^/]*)$", 1)
+    return docs.select("feed_file", F.coalesce(F.nullif(title, F.lit("")),
+                                               F.concat(F.lit("["), name, F.lit("]"))).alias("title"))

@@ -127,3 +127,16 @@ def test_prepare_rules_drops_bad_patterns_and_translates(spark):
     from feedloom.operators.entries import rewrite_link
     out = df.select(rewrite_link(F.col("link"), F.lit(got["a"].story_url_rewrite)).alias("l")).first().l
     assert out == "https://y/42?$"
+
+
+def test_feed_titles(spark):
+    from feedloom.sources.feeds import read_feed_titles
+    d = _dir(spark, "titles")
+    with open(os.path.join(d, "a.rss"), "w") as f:
+        f.write(RSS091)
+    with open(os.path.join(d, "b.rdf"), "w") as f:
+        f.write(RDF)
+    with open(os.path.join(d, "c.rss"), "w") as f:
+        f.write("<rss><channel><item><title>only item</title></item></channel></rss>")
+    got = rows(read_feed_titles(spark, d).select(F.regexp_extract("feed_file", r"([^/]*)$", 1), "title"))
+    assert got == [("a.rss", "Empty and Failed"), ("b.rdf", "Site"), ("c.rss", "[c.rss]")]
