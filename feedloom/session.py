@@ -76,3 +76,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub folder of the checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``feedloom`` importable in the executors' Python workers.
+
+    Python UDFs (pandas UDFs, grouped state functions, plug-ins) refer to
+    this package; the workers import it.  The package is zipped once per
+    session into the checkpoint folder and added with ``addPyFile``, which
+    distributes it to every executor, including executors added later.
+    """
+    if id(spark) in _SHIPPED:
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    target = scratch_path(spark, f"pyfiles-{uuid.uuid4().hex}")
+    if "://" not in target or target.startswith("file:"):
+        local = target.replace("file://", "").replace("file:", "")
+        os.makedirs(local, exist_ok=True)
+        archive = shutil.make_archive(os.path.join(local, "feedloom"), "zip",
+                                      root_dir=os.path.dirname(pkg_dir), base_dir="feedloom")
+    else:  # a shared (remote) checkpoint folder: build locally, Spark ships it
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "feedloom"), "zip",
+                                      root_dir=os.path.dirname(pkg_dir), base_dir="feedloom")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(id(spark))
