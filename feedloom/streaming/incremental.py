@@ -62,7 +62,6 @@ def _republish(key, chunks, state, ttl_ms=None):
     state of an id expires ``ttl_ms`` after its last emission (event time)."""
     if ttl_ms is not None and state.hasTimedOut:
         state.remove()
-        yield pd.DataFrame([], columns=["site", "item_id", "ts", "is_repeat"])
         return
     last = state.get[0] if state.exists else None
     first_row = None
@@ -98,7 +97,8 @@ def _republish(key, chunks, state, ttl_ms=None):
         state.update((new_last,))
         if ttl_ms is not None:
             state.setTimeoutTimestamp(new_last // 1000 + ttl_ms)
-    yield pd.DataFrame(rows, columns=["site", "item_id", "ts", "is_repeat"])
+    if rows:
+        yield pd.DataFrame(rows, columns=["site", "item_id", "ts", "is_repeat"])
 
 
 def republications(stream: DataFrame, ttl: str | None = None, ttl_ms: int | None = None) -> DataFrame:
