@@ -210,9 +210,25 @@ def attach_rules(entries: DataFrame, rules: DataFrame, on="feed", max_rules: int
         raise ValueError(f"entries already have rule columns {clash}")
     joined = entries.join(checked_broadcast(rules, max_rules), on_cols, "left")
     known = {f.name for f in rule_schema().fields[1:]}
-    return joined.select(
-        *[c for c in joined.columns if c not in rule_cols],
-        *[F.coalesce(F.col(c), builtin_value(c)).alias(c) if c in known else F.col(c) for c in rule_cols])
+    return joined.selectExpr(
+        *[f"`{c}`" for c in joined.columns if c not in rule_cols],
+        *[f"coalesce(`{c}`, {default_sql(c)}) AS `{c}`" if c in known else f"`{c}`" for c in rule_cols])
+
+
+def default_sql(key: str) -> str:
+    """The built-in default of a rule key as a SQL literal."""
+    v = python_default(key)
+    if key in LIST_KEYS:
+        return "CAST(array() AS ARRAY<STRING>)"
+    if v is None:
+        return f"CAST(NULL AS {rule_schema()[key].dataType.simpleString()})"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return f"CAST({v} AS INT)"
+    if isinstance(v, float):
+        return f"CAST({v!r} AS DOUBLE)"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 # Rule keys holding regular expressions (Python dialect in the rule files).
