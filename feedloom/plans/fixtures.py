@@ -76,24 +76,17 @@ def rule_key(host_col) -> F.Column:
 
 def entries_view(pages: DataFrame) -> DataFrame:
     """v_entries: one feed entry per page (feed = host, pos = page_id)."""
-    ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, page_id, 0, 0)")
-    base = F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss")
-    k = F.pmod(F.col("page_id"), F.lit(5))
-    published = (F.when(k == 4, F.lit("not a date"))
-                 .when(k == 3, F.concat(base, F.lit(" GMT")))
-                 .otherwise(F.concat(base, F.lit(" +0000"))))
-    host = url_host("url")
-    return pages.select(
-        host.alias("feed"),
-        rule_key(host).alias("rule_key"),
-        F.col("page_id").alias("pos"),
-        F.col("url").alias("id"),
-        F.lit(None).cast("string").alias("guid"),
-        F.col("url").alias("link"),
-        F.regexp_extract("html", r"<title>(.*?)</title>", 1).alias("title"),
-        F.regexp_extract("html", r"<p>(.*?)</p>", 1).alias("content"),
-        published.alias("published"),
-    )
+    host = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)"
+    stamp = ("date_format(timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, page_id, 0, 0), "
+             "'EEE, dd MMM yyyy HH:mm:ss')")
+    return pages.selectExpr(
+        f"{host} AS feed",
+        f"substring_index({host}, '.', -1) AS rule_key",
+        "page_id AS pos", "url AS id", "CAST(NULL AS STRING) AS guid", "url AS link",
+        "regexp_extract(html, '<title>(.*?)</title>', 1) AS title",
+        "regexp_extract(html, '<p>(.*?)</p>', 1) AS content",
+        f"CASE pmod(page_id, 5) WHEN 4 THEN 'not a date' WHEN 3 THEN concat({stamp}, ' GMT') "
+        f"ELSE concat({stamp}, ' +0000') END AS published")
 
 
 def seen_view(pages: DataFrame) -> DataFrame:
