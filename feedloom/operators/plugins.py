@@ -44,12 +44,16 @@ def row_plugin(fn: Callable[[str, str], str | None]) -> Plugin:
 def apply_plugins(stories: DataFrame, registry: dict[str, Plugin], site_col: str = "site",
                   key: str = "page_id") -> tuple[DataFrame, DataFrame]:
     """Returns (stories with plug-in output, rejects).  One filtered branch per
-    registered site plus one for the rest; branches are unioned, no join."""
+    distinct plug-in (however many sites share it) plus one for the rest;
+    branches are unioned, no join."""
     sites = list(registry)
+    by_fn: dict = {}
+    for site, fn in registry.items():
+        by_fn.setdefault(id(fn), (fn, []))[1].append(site)
     rest = stories.filter(~F.col(site_col).isin(*sites)) if sites else stories
     parts = [rest.select(key, site_col, "html")]
-    for site, fn in registry.items():
-        mine = stories.filter(F.col(site_col) == site)
+    for fn, fn_sites in by_fn.values():
+        mine = stories.filter(F.col(site_col).isin(*fn_sites))
         parts.append(fn(mine).select(key, site_col, "html"))
     out = reduce(DataFrame.unionByName, parts)
     bad = out.filter(F.col("html").isNull() | F.col("html").startswith(ERROR_MARK))
