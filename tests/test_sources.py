@@ -140,3 +140,21 @@ def test_feed_titles(spark):
         f.write("<rss><channel><item><title>only item</title></item></channel></rss>")
     got = rows(read_feed_titles(spark, d).select(F.regexp_extract("feed_file", r"([^/]*)$", 1), "title"))
     assert got == [("a.rss", "Empty and Failed"), ("b.rdf", "Site"), ("c.rss", "[c.rss]")]
+
+
+def test_rules_defaults_broadcast_and_percent(spark):
+    from feedloom.sources.rules import attach_rules, checked_broadcast, rules_from_rows
+    d = _dir(spark, "conf2")
+    with open(os.path.join(d, "x.conf"), "w") as f:
+        f.write("[Pct]\nskip_pats = 100% sure\n")
+    got = read_conf_rules(spark, d).first()
+    assert got.skip_pats == ["100% sure"]  # '%' is kept literally (no interpolation)
+    rules = rules_from_rows(spark, [dict(feed="a", min_width=40)])
+    assert rules.known_rows == 1
+    entries = spark.createDataFrame([("a",), ("zzz",)], "feed string")
+    out = {r.feed: r for r in attach_rules(entries, rules.select("feed", "min_width", "save_days", "skip_pats"))
+           .collect()}
+    assert (out["a"].min_width, out["zzz"].min_width, out["zzz"].save_days, out["zzz"].skip_pats) == (40, 25, 7, [])
+    big = spark.range(10).withColumnRenamed("id", "k")
+    assert "ResolvedHint" not in checked_broadcast(big, max_rows=5)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" in checked_broadcast(big, max_rows=50)._jdf.queryExecution().analyzed().toString()
