@@ -22,6 +22,8 @@ NAMED_ZONES = {
 RFC2822_FORMATS = (
     "d MMM yyyy HH:mm:ss Z",
     "d MMM yyyy HH:mm Z",
+    "d MMM yy HH:mm:ss Z",
+    "d MMM yy HH:mm Z",
 )
 
 

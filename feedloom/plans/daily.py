@@ -52,9 +52,9 @@ def run_day(entries: DataFrame, pages: DataFrame, rules: DataFrame, seen: DataFr
     # d2 feeds the seen-set, the run state and the new items: materialise it once
     # (a table in the checkpoint folder) instead of recomputing the dedup per output
     d2 = cut_lineage(E.dedup_titles(d1))
+    # ids are registered before any fetch (so failed stories are not retried),
+    # but a site's cache is only rewritten when it showed at least one item
     registered = d2.filter(~F.col("nocache")).select(F.col("feed").alias("site"), "item_id")
-    new_seen = S.merge_seen(seen, registered)
-    new_state = S.merge_state(state, registered, run_ts)
     fresh = d2.filter(~F.col("_seen")).withColumn("is_repeat", F.lit(False))
     again = (S.with_last_fed(d2.filter(F.col("_seen") & F.col("allow_repeats")), state)
              .filter(F.coalesce(F.col("pub_ts") > F.col("last_fed"), F.lit(False))).drop("last_fed")
@@ -68,6 +68,9 @@ def run_day(entries: DataFrame, pages: DataFrame, rules: DataFrame, seen: DataFr
     items = cand.filter(F.col("age") != "expired")
     items = E.with_next(E.number_within(items, ["feed"], "pos", size_col="n_items"), ["feed"], size_col="n_items")
     items = cut_lineage(items)  # shared by story pages, index documents and the summary
+    registered = registered.join(items.select(F.col("feed").alias("site")).distinct(), "site", "left_semi")
+    new_seen = S.merge_seen(seen, registered)
+    new_state = S.merge_state(state, registered, run_ts)
 
     # Level 2 fetches the page (at the E9-rewritten link), 1.5 uses the
     # entry body, 1 writes no story page

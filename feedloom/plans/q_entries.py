@@ -198,7 +198,8 @@ def _rfc2822_sql(x: str) -> str:
     mapped = f"(CASE {zone} {cases} END)"
     n = (f"(CASE WHEN {zone} <> '' AND {mapped} IS NOT NULL "
          f"THEN regexp_replace({t}, '[A-Za-z]{{1,3}}$', '') || {mapped} ELSE {t} END)")
-    return (f"coalesce(try_strptime({n}, '%d %b %Y %H:%M:%S %z'), try_strptime({n}, '%d %b %Y %H:%M %z'))")
+    return (f"coalesce(try_strptime({n}, '%d %b %Y %H:%M:%S %z'), try_strptime({n}, '%d %b %Y %H:%M %z'), "
+            f"try_strptime({n}, '%d %b %y %H:%M:%S %z'), try_strptime({n}, '%d %b %y %H:%M %z'))")
 
 
 SQL_ENTRY_DATES = f"""

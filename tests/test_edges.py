@@ -316,3 +316,9 @@ def test_previous_row_and_count_before_across_ranges(spark):
         for i, (t, _) in enumerate(seq):
             assert got[(u, t)] == ((seq[i - 1][0], seq[i - 1][1]) if i else (None, None))
             assert got_n[(u, t)] == sum(1 for _, f in seq[:i] if f)
+
+
+def test_two_digit_years(spark):
+    got = one(spark, [("Thu, 11 Aug 16 14:46:50 GMT",), ("11 Aug 16 14:46 +0000",)], "t string",
+              dates.epoch_seconds(dates.parse_rfc2822(F.col("t"))))
+    assert got == [1470926810, 1470926760]
