@@ -293,6 +293,26 @@ def dedup_greedy(spark, sf_dir):
     return E.dedup_greedy(kept).select("feed", "pos", "item_id", "title")
 
 
+SQL_DEDUP_GREEDY = f"""
+WITH RECURSIVE {SQL_KEPT},
+o AS (SELECT feed, pos, item_id, title, coalesce(allow_dup_titles, false) AS allow,
+             coalesce(title, chr(0) || 'None') AS tkey,
+             row_number() OVER (PARTITION BY feed ORDER BY pos) AS rn FROM k),
+g(feed, rn, ids, titles, pos, accepted) AS (
+  SELECT DISTINCT feed, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT), false
+  FROM o
+  UNION ALL
+  SELECT g.feed, o.rn,
+         CASE WHEN a THEN list_append(g.ids, o.item_id) ELSE g.ids END,
+         CASE WHEN a THEN list_append(g.titles, o.tkey) ELSE g.titles END,
+         o.pos, a
+  FROM g JOIN o ON o.feed = g.feed AND o.rn = g.rn + 1,
+       LATERAL (SELECT NOT list_contains(g.ids, o.item_id)
+                       AND (o.allow OR NOT list_contains(g.titles, o.tkey)) AS a) x)
+SELECT o.feed, o.pos, o.item_id, o.title FROM g JOIN o ON o.feed = g.feed AND o.pos = g.pos WHERE g.accepted
+"""
+
+
 # -------------------------------------------------------------- feed_order
 # The user's feed order list for the fixture (O1).
 FEED_ORDER = ["blog.tionsh.example.net", "thther.example.org", "www.ththhe.example.com"]
@@ -336,5 +356,6 @@ SQL = {
     "index_fields": SQL_INDEX_FIELDS,
     "link_rewrite": SQL_LINK_REWRITE,
     "doc_title_dedup": SQL_DOC_TITLE_DEDUP,
+    "dedup_greedy": SQL_DEDUP_GREEDY,
     "feed_order": SQL_FEED_ORDER,
 }

@@ -83,9 +83,23 @@ QUERIES = {
     "stream_repeats": stream_repeats,
 }
 
+# One micro-batch: each id's first publication is new; with repeats allowed,
+# every later distinct publication time is a repeat.
+SQL_REPEATS_STREAM = """
+WITH e AS (SELECT printf('s%02d', user_id % 16) AS site,
+                  CAST(user_id AS VARCHAR) || ':' || json_extract_string(props, '$.k') AS item_id,
+                  ts, user_id % 2 = 0 AS allow FROM events),
+k AS (SELECT site, item_id, min(ts) AS first_ts, bool_or(allow) AS allow FROM e GROUP BY site, item_id)
+SELECT site, item_id, false AS is_repeat FROM k
+UNION ALL
+SELECT site, item_id, true FROM (SELECT DISTINCT e.site, e.item_id, e.ts FROM e JOIN k USING (site, item_id)
+                                 WHERE k.allow AND e.ts > k.first_ts) r
+"""
+
 SQL = {
     "stream_new_entries": SQL_DISTINCT_IDS,
     "stream_seen_ids": SQL_DISTINCT_IDS,
+    "stream_repeats": SQL_REPEATS_STREAM,
 }
 
 
