@@ -82,6 +82,39 @@ def plugin_pages(spark, sf_dir):
                                         F.col("reason").alias("status"), F.lit(0).cast("long").alias("n_chars"))))
 
 
+def _plugin_sql():
+    from feedloom.plans.sqlparts import covered_sql, ends_sql, reassemble_sql, tokens_sql
+    return f"""
+WITH p AS (SELECT page_id, html, split_part({HOST}, '.', -1) AS site FROM pages),
+com AS (SELECT page_id, html FROM p WHERE site = 'com'),
+t AS ({tokens_sql('com')}),
+first AS (SELECT page_id, min(pos) AS pos FROM t WHERE kind = 'open' AND tag = 'article' GROUP BY page_id),
+ends AS ({ends_sql('t')}),
+iv AS (SELECT f.page_id, f.pos AS start, coalesce(e.end_pos, {1 << 30}) AS stop
+       FROM first f LEFT JOIN ends e USING (page_id, pos)),
+cov AS ({covered_sql('t', 'iv')}),
+kept AS (SELECT * FROM cov WHERE inside),
+art AS ({reassemble_sql('kept', out='clean')})
+SELECT p.page_id,
+  CASE WHEN p.site = 'org' AND (length(p.html) - length(replace(p.html, '<p>', ''))) // 3 < 3
+       THEN 'no content from plug-in' ELSE 'ok' END AS status,
+  CAST(CASE WHEN p.site = 'com' THEN length(coalesce(a.clean, p.html))
+            WHEN p.site = 'org' AND (length(p.html) - length(replace(p.html, '<p>', ''))) // 3 < 3 THEN 0
+            WHEN p.site = 'org' THEN length(regexp_replace(p.html, '(?s)<footer>.*?</footer>', '', 'g'))
+            ELSE length(p.html) END AS BIGINT) AS n_chars
+FROM p LEFT JOIN art a USING (page_id)
+"""
+
+
+SQL_FEED_SLUGS = r"""
+SELECT page_id,
+  regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(strip_accents(regexp_extract(html, '<title>(.*?)</title>', 1)), '[^\x00-\x7F]', '', 'g'),
+    '[^\w\s-]', '', 'g'), '[-\s]+', '_', 'g'), '^[-_]+|[-_]+$', '', 'g') AS slug
+FROM pages
+"""
+
+
 # ----------------------------------------------------------------- text
 def ascii_fold(spark, sf_dir):
     """ASCII folding of document text (NFKD + substitution table, unknown chars escaped)."""
@@ -203,6 +236,8 @@ QUERIES = {
 }
 
 SQL = {
+    "plugin_pages": _plugin_sql(),
+    "feed_slugs": SQL_FEED_SLUGS,
     "reachability": SQL_REACH,
     "conf_rules": SQL_CONF,
     "rss_roundtrip": SQL_RSS,
