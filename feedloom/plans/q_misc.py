@@ -235,7 +235,23 @@ QUERIES = {
     "rss_roundtrip": rss_roundtrip,
 }
 
+def _fold_sql():
+    """Twin of the C3 fold for text whose non-ASCII characters lie in Latin-1 and
+    Latin Extended-A or in the substitution table: a per-character lookup table
+    generated here by the same rule (NFKD, then the table, else an escape)."""
+    chars = [chr(c) for c in range(0x80, 0x180)] + list(TX.FOLD_TABLE)
+    table = {c: TX.fold_one(c) for c in chars}
+    pairs = ", ".join("'" + k.replace("'", "''") + "': '" + v.replace("'", "''") + "'" for k, v in table.items())
+    return f"""
+SELECT doc_id, CAST(length(f) AS BIGINT) AS n_chars, sha256(f) AS digest
+FROM (SELECT doc_id, array_to_string(list_transform(string_split(text, ''),
+                                                    lambda c: coalesce((MAP {{{pairs}}})[c], c)), '') AS f
+      FROM documents) x
+"""
+
+
 SQL = {
+    "ascii_fold": _fold_sql(),
     "plugin_pages": _plugin_sql(),
     "feed_slugs": SQL_FEED_SLUGS,
     "reachability": SQL_REACH,
