@@ -250,7 +250,22 @@ FROM (SELECT doc_id, array_to_string(list_transform(string_split(text, ''),
 """
 
 
+# Decoding must give back the text that was encoded: the page (UTF-8, UTF-16LE),
+# the page with non-Latin-1 characters as '?' (ISO-8859-1), or the page plus the
+# escaped bad bytes (broken UTF-8).
+SQL_CHARSET = r"""
+WITH p AS (SELECT page_id, page_id % 4 AS k, html FROM pages),
+t AS (SELECT page_id,
+        CASE k WHEN 1 THEN 'iso-8859-1' WHEN 2 THEN 'utf-16le' ELSE 'utf-8' END AS charset,
+        CASE k WHEN 1 THEN regexp_replace(html, '[^\x00-\xFF]', '?', 'g')
+               WHEN 3 THEN html || '\x80\xe9a' ELSE html END AS text
+      FROM p)
+SELECT page_id, charset, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS digest FROM t
+"""
+
+
 SQL = {
+    "charset_decode": SQL_CHARSET,
     "ascii_fold": _fold_sql(),
     "plugin_pages": _plugin_sql(),
     "feed_slugs": SQL_FEED_SLUGS,
