@@ -250,6 +250,30 @@ FROM (SELECT doc_id, array_to_string(list_transform(string_split(text, ''),
 """
 
 
+def _unmapped_sql():
+    """Twin of the C4 report for text whose characters lie in Latin-1 / Latin
+    Extended-A or the substitution table: NFKD by a per-character table generated
+    here, then each non-ASCII character with its left context (up to 15
+    characters, not reaching back past the previous match) and 15 after."""
+    import unicodedata
+    chars = [chr(c) for c in range(0x80, 0x180)] + list(TX.FOLD_TABLE)
+    nfkd = {c: unicodedata.normalize("NFKD", c) for c in chars}
+    pairs = ", ".join("'" + k.replace("'", "''") + "': '" + v.replace("'", "''") + "'" for k, v in nfkd.items())
+    keys = ", ".join("'" + k.replace("'", "''") + "'" for k in TX.FOLD_TABLE)
+    return f"""
+WITH n AS (SELECT doc_id, array_to_string(list_transform(string_split(text, ''),
+                                lambda c: coalesce((MAP {{{pairs}}})[c], c)), '') AS t FROM documents),
+c AS (SELECT doc_id, t, unnest(string_split(t, '')) AS ch, unnest(generate_series(1, length(t))) AS p FROM n),
+m AS (SELECT doc_id, t, ch, p, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i,
+             lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prev_p
+      FROM c WHERE unicode(ch) > 127),
+x AS (SELECT *, greatest(p - 15, coalesce(prev_p + 1, 1)) AS s FROM m)
+SELECT ch AS char, printf('U+%04X', unicode(ch)) AS code, list_contains([{keys}], ch) AS mapped,
+       CAST(count(*) AS BIGINT) AS n, arg_min(substr(t, s, p - s + 16), (doc_id, i)) AS example
+FROM x GROUP BY ch
+"""
+
+
 # Decoding must give back the text that was encoded: the page (UTF-8, UTF-16LE),
 # the page with non-Latin-1 characters as '?' (ISO-8859-1), or the page plus the
 # escaped bad bytes (broken UTF-8).
@@ -265,6 +289,7 @@ SELECT page_id, charset, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) A
 
 
 SQL = {
+    "unmapped_chars": _unmapped_sql(),
     "charset_decode": SQL_CHARSET,
     "ascii_fold": _fold_sql(),
     "plugin_pages": _plugin_sql(),
