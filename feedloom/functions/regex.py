@@ -9,10 +9,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from feedloom.functions.common import col_of
 
 
 def python_pattern_to_java(pat: str) -> str:
@@ -71,10 +67,3 @@ def pattern_error(pat: str) -> str | None:
     except re.error as exc:  # noqa: PERF203
         return str(exc)
     return None
-
-
-def java_replacement(rep) -> Column:
-    """Column form of :func:`python_replacement_to_java` for the common cases:
-    literal '$' escaped, '\\N' turned into '$N'."""
-    r = F.regexp_replace(col_of(rep), r"\$", r"\\\$")
-    return F.regexp_replace(r, r"\\([0-9])", r"\$1")

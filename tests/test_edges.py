@@ -322,3 +322,28 @@ def test_two_digit_years(spark):
     got = one(spark, [("Thu, 11 Aug 16 14:46:50 GMT",), ("11 Aug 16 14:46 +0000",)], "t string",
               dates.epoch_seconds(dates.parse_rfc2822(F.col("t"))))
     assert got == [1470926810, 1470926760]
+
+
+def test_page_structure_steps(spark):
+    data = [("<html><body><p>x</p></body></html>", "T", "Ann"),
+            ("<p>fragment</p>", "T", None),
+            ("<body class='a'><h1>Own</h1>y</body>", "T", ""),
+            ("<BODY>up</BODY>", "T", "Bo")]
+    df = spark.createDataFrame(data, "h string, t string, a string")
+    h1 = [r[0] for r in df.select(H.ensure_h1("h", "t")).collect()]
+    assert h1 == ["<html><body><h1>T</h1>\n<p>x</p></body></html>", "<h1>T</h1>\n<p>fragment</p>",
+                  "<body class='a'><h1>Own</h1>y</body>", "<BODY><h1>T</h1>\nup</BODY>"]
+    by = [r[0] for r in df.select(H.byline("h", "a")).collect()]
+    assert by == ["<html>By: Ann\n<p>\n<body><p>x</p></body></html>", "<p>fragment</p>",
+                  "<body class='a'><h1>Own</h1>y</body>", "<BODY>up</BODY>"]
+    body = [r[0] for r in df.select(H.body_only("h")).collect()]
+    assert body == ["<p>x</p>", "<p>fragment</p>", "<h1>Own</h1>y", "up"]
+
+
+def test_unwrap_drop_links_styles(spark):
+    html = ('<form><input name="q"><font style="color:red">F</font></form><script>s</script>'
+            '<a href="/x"> </a><a href="/y">Y</a><p style="margin:0">p</p><link rel="x">')
+    df = spark.createDataFrame([(html, False), (html, True)], "h string, skip boolean")
+    got = [r[0] for r in df.select(H.drop_color_styles(H.links_rule(H.unwrap_tags(H.drop_elements("h")),
+                                                                    "skip"))).collect()]
+    assert got == ['F<a href="/y">Y</a><p style="margin:0">p</p>', "F Y<p style=\"margin:0\">p</p>"]
