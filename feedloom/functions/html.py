@@ -199,3 +199,15 @@ def no_content(text) -> Column:
     """Empty (after trim) → '[No content]'."""
     t = col_of(text)
     return F.when(t.isNull() | (F.trim(t) == ""), F.lit("[No content]")).otherwise(t)
+
+
+def absolute_links(html, base) -> Column:
+    """Every a[href] made absolute against the page's base (distinct hrefs,
+    one literal replacement each)."""
+    from feedloom.functions.urls import absolute_url
+    html = col_of(html)
+    hs = F.array_distinct(hrefs(html))
+    pairs = F.transform(hs, lambda h: F.struct(
+        F.concat(F.lit('href="'), h, F.lit('"')).alias("old"),
+        F.concat(F.lit('href="'), absolute_url(h, col_of(base)), F.lit('"')).alias("new")))
+    return F.aggregate(pairs, html, lambda acc, p: F.replace(acc, p["old"], p["new"]))

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 
 
-
 def python_pattern_to_java(pat: str) -> str:
     """Named groups and end anchors in Java spelling."""
     if pat is None:

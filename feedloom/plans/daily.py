@@ -5,7 +5,8 @@ per-feed loop:
 
     entries -> ids (E1-E3) -> rules (J1) -> skips (E4-E6) -> D1 -> seen flag (J2)
     -> D2 -> registered ids (A1/A2) -> unseen or repeated (T3) -> age (T2)
-    -> numbering (W1/W2) -> story pages by level (J4, E9 link rewrite) -> cleaning chain (E7, H1-H5, H22)
+    -> numbering (W1/W2) -> story pages by level (J4, E9 link rewrite)
+    -> cleaning chain (E7, H9, H1-H6, H8, H10, H11, I1-I7, H22, H20)
     -> index documents (S10)
 
 and returns the output relations: story pages, index documents, the new
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import dates
 from feedloom.functions import html as H
-from feedloom.functions.common import steps
+from feedloom.functions import images as I
+from feedloom.functions.common import materialize, steps
+from feedloom.functions.urls import url_host
 from feedloom.operators import entries as E
 from feedloom.operators import state as S
 from feedloom.operators import tokens as TK
@@ -33,7 +36,8 @@ from feedloom.sources.rules import attach_rules
 
 RULE_COLS = ("skip_link_pats", "skip_title_pats", "allow_dup_titles", "allow_repeats", "nocache", "save_days",
              "levels", "skip_content_pats", "page_start", "page_end", "skip_pats", "skip_nodes", "skip_links",
-             "min_width", "index_skip_content_pats", "rss_entry_size", "story_url_rewrite")
+             "min_width", "index_skip_content_pats", "rss_entry_size", "story_url_rewrite", "skip_images",
+             "max_srcset_size", "nonlocal_images", "block_nonlocal_images", "alt_domains")
 
 
 def run_day(entries: DataFrame, pages: DataFrame, rules: DataFrame, seen: DataFrame, state: DataFrame,
@@ -86,13 +90,26 @@ def run_day(entries: DataFrame, pages: DataFrame, rules: DataFrame, seen: DataFr
         F.concat(F.lit("No content for "), F.col("link")).alias("reason"))
     stories = stories.filter(F.col("page_html").isNotNull())
     stories, rej_content = E.content_skip(stories, "page_html")
+    # H9: the base for links and images comes from the page before cropping
+    stories = materialize(stories, base=H.base_href(F.col("page_html"), F.col("link")),
+                          host=url_host(F.col("link")))
     stories = steps(stories, "page_html", lambda h: H.crop_start(h, "page_start"),
                     lambda h: H.crop_end(h, "page_end"), lambda h: H.excise(h, "skip_pats"), H.drop_elements)
     story_key = F.concat_ws("#", F.col("feed"), F.col("item_no").cast("string"))
     cleaned = TK.delete_nodes(stories.select(story_key.alias("story_key"), "feed", "item_no", "title", "link",
-                                             F.col("page_html").alias("html"), "skip_nodes"),
+                                             F.col("page_html").alias("html"), "skip_nodes", "base", "host",
+                                             "skip_images", "skip_links", "max_srcset_size", "nonlocal_images",
+                                             "block_nonlocal_images", "alt_domains"),
                               "skip_nodes", key="story_key")
-    cleaned = steps(cleaned, "html", H.unwrap_tags, H.body_only, H.no_content)
+    # H4 unwrap, H6 images, H8 links, H11 styles, H10 absolute links, I1-I7
+    # image references (when images are kept), H22 body, H20 no content
+    cleaned = steps(cleaned, "html", H.unwrap_tags, lambda h: H.drop_images(h, "skip_images"),
+                    lambda h: H.links_rule(h, "skip_links"), H.drop_color_styles,
+                    lambda h: H.absolute_links(h, F.col("base")),
+                    lambda h: F.when(F.col("skip_images"), h).otherwise(I.rewrite_images(
+                        h, "host", "base", "max_srcset_size", "nonlocal_images", "block_nonlocal_images",
+                        "alt_domains")),
+                    H.body_only, H.no_content)
     story_pages = cleaned.select(F.lit(day).alias("day"), "feed", F.col("item_no").alias("page_no"),
                                  H.wrap_page(F.col("html"), F.col("title"), F.col("link")).alias("html"))
 

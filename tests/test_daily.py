@@ -35,3 +35,21 @@ def test_run_day_outputs_are_consistent(spark):
     assert out["state"].filter(F.col("last_fed") == run).count() > 0
     # every reject has a stage and a reason
     assert out["rejects"].filter(F.col("reason").isNull() | F.col("stage").isNull()).count() == 0
+
+
+def test_run_day_story_links_are_absolute(spark):
+    pages = read_table(spark, SF_SMALL, "pages").select("page_id", "url", "html")
+    out = run_day(X.entries_view(pages), pages.select("url", "html"), X.rules_view(spark, *RULE_COLS),
+                  X.seen_view(pages), X.state_view(pages), X.run_ts(), "2024-01-12", "Fri", rule_key="rule_key")
+    stories = out["stories"]
+    assert stories.count() > 0
+    assert stories.filter(F.col("html").contains('href="/')).count() == 0
+    assert stories.filter(F.col("html").contains("<script")).count() == 0
+
+
+def test_absolute_links(spark):
+    from feedloom.functions import html as H
+    df = spark.createDataFrame([('<a href="/a">x</a><a href="b.html">y</a><a href="/a">z</a>',)], "h string")
+    got = df.select(H.absolute_links("h", F.lit("http://s.org/d/p.html"))).first()[0]
+    assert got == ('<a href="http://s.org/a">x</a><a href="http://s.org/d/b.html">y</a>'
+                   '<a href="http://s.org/a">z</a>')
