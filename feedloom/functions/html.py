@@ -210,4 +210,5 @@ def absolute_links(html, base) -> Column:
     pairs = F.transform(hs, lambda h: F.struct(
         F.concat(F.lit('href="'), h, F.lit('"')).alias("old"),
         F.concat(F.lit('href="'), absolute_url(h, col_of(base)), F.lit('"')).alias("new")))
-    return F.aggregate(pairs, html, lambda acc, p: F.replace(acc, p["old"], p["new"]))
+    rewritten = F.aggregate(pairs, html, lambda acc, p: F.replace(acc, p["old"], p["new"]))
+    return F.when(html.rlike(r"(?i)<a\b[^>]*href"), rewritten).otherwise(html)

@@ -157,4 +157,6 @@ def rewrite_images(html, page_host, base, max_srcset, nonlocal_ok, block_nonloca
         t.alias("old"),
         image_decision(t, page_host, base, max_srcset, nonlocal_ok, block_nonlocal, alt_domains)["new_tag"]
         .alias("new")))
-    return F.aggregate(pairs, html, lambda acc, p: F.replace(acc, p["old"], p["new"]))
+    rewritten = F.aggregate(pairs, html, lambda acc, p: F.replace(acc, p["old"], p["new"]))
+    # pages without an img tag skip the (interpreted) per-tag lambdas
+    return F.when(html.rlike(r"(?i)<img\b"), rewritten).otherwise(html)
