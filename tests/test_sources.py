@@ -158,3 +158,25 @@ def test_rules_defaults_broadcast_and_percent(spark):
     big = spark.range(10).withColumnRenamed("id", "k")
     assert "ResolvedHint" not in checked_broadcast(big, max_rows=5)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" in checked_broadcast(big, max_rows=50)._jdf.queryExecution().analyzed().toString()
+
+
+def test_feed_files_round_trip_keeps_item_order(spark):
+    from feedloom.sources.feeds import write_feed_files
+    items = spark.createDataFrame([("f1", p, f"t{p}", f"http://x/{p}") for p in (5, 1, 3)] +
+                                  [("f2", 0, "a & b", "http://y/0")],
+                                  "feed string, pos long, title string, link string")
+    d = _dir(spark, "rss")
+    write_feed_files(items.repartition(1), d)
+    back = read_feed_files(spark, d).select(F.regexp_extract("feed_file", r"feed=([^/]*)/", 1).alias("feed"),
+                                            "pos", "title", "link")
+    assert rows(back) == [("f1", 0, "t1", "http://x/1"), ("f1", 1, "t3", "http://x/3"),
+                          ("f1", 2, "t5", "http://x/5"), ("f2", 0, "a & b", "http://y/0")]
+
+
+def test_url_items_follow_redirects(spark):
+    from feedloom.sources.urllists import url_items
+    req = spark.createDataFrame([("http://a/1",), ("none",)], "value string")
+    lines = spark.createDataFrame([("  http://b/2 ",), ("",)], "value string")
+    resolved = spark.createDataFrame([("http://a/1", "https://a/final")], "url string, final_url string")
+    got = rows(url_items(req, lines, F.lit("2024-01-12 00:00:00").cast("timestamp"), resolved), ["link", "title"])
+    assert got == [("http://b/2", "http://b/2"), ("https://a/final", "https://a/final")]
