@@ -7,8 +7,9 @@
    chance to meet a pair at the threshold in some tree reaches RECALL.
 3. The rows of each tree are sorted by prefix, so equal prefixes are runs.  A
    run is read once against its leaders (nodes unlike all leaders before):
-   a node is linked to each leader that its whole signature resembles, which
-   keeps any pair at the threshold in one candidate class.  Long runs are
+   a node is linked to the leaders that its whole signature resembles, one of
+   each group that the links so far tie together, which keeps any pair at the
+   threshold in one candidate class with fewer links than the run has rows.  Long runs are
    dealt into salted parts whose leaders then meet in a second pass.
 4. Components of those links are candidate classes.  Within a class all pairs
    are compared exactly by their shingles, blocks of BLOCK nodes against
@@ -112,6 +113,7 @@ def _linked(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     def run(batches):
         last, lead_id, lead_sig, used = None, [], np.zeros((0, TREES * DEEPEST), np.uint32), 0
+        tied = np.zeros(0, np.int64)  # of each leader: the links given so far join those with equal numbers
         for t in sorted_runs(batches, keys, PART):
             key = tuple(t[k][0].as_py() for k in keys)
             if key != last:
@@ -124,13 +126,20 @@ def _linked(rows: DataFrame, keys: list[str]) -> DataFrame:
                 if used:
                     est = (lead_sig[:used] == sig[i]).mean(1)
                     best = est.max()
-                    for j in np.flatnonzero(est >= MEETS).tolist():
+                    near = np.flatnonzero(est >= MEETS)
+                    groups, at = np.unique(tied[near], return_index=True)
+                    for j in near[at].tolist():
                         a.append(node)
                         b.append(lead_id[j])
+                    if len(groups) > 1:
+                        tied[:used][np.isin(tied[:used], groups)] = groups[0]
                 if best < LEADS:
                     if used == len(lead_sig):
-                        lead_sig = np.concatenate([lead_sig, np.zeros((max(16, used), sig.shape[1]), np.uint32)])
+                        more = max(16, used)
+                        lead_sig = np.concatenate([lead_sig, np.zeros((more, sig.shape[1]), np.uint32)])
+                        tied = np.concatenate([tied, np.zeros(more, np.int64)])
                     lead_sig[used] = sig[i]
+                    tied[used] = groups[0] if used and len(groups) else used
                     used += 1
                     lead_id.append(node)
                     new.append(i)
