@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.llm import decontam, langid, line_dedup, minhash_forest, mixing
+from feedloom.llm import decontam, langid, line_dedup, minhash_forest, mixing, rp_forest
 from feedloom.llm.common import read
 
 
@@ -10,6 +10,10 @@ def op1_winnowing(spark, sf_dir):
     return decontam.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_projection_forest(spark, sf_dir):
+    return rp_forest.query(read(spark, sf_dir, "embeddings"))
+
+
 def op5_pareto_mix(spark, sf_dir):
     return mixing.query(read(spark, sf_dir, "documents"))
 
@@ -26,7 +30,8 @@ def op9_line_windows(spark, sf_dir):
     return line_dedup.query(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op5_pareto_mix, op7_subword_language, op8_minhash_forest,
+QUERIES = {f.__name__: f for f in (op1_winnowing, op3_projection_forest, op5_pareto_mix, op7_subword_language, op8_minhash_forest,
                                   op9_line_windows)}
 
-SQL = {"op1_winnowing": decontam.SQL, "op5_pareto_mix": mixing.SQL, "op9_line_windows": line_dedup.SQL}
+SQL = {"op1_winnowing": decontam.SQL, "op3_projection_forest": rp_forest.SQL,
+       "op5_pareto_mix": mixing.SQL, "op9_line_windows": line_dedup.SQL}
