@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.llm import decontam, langid, line_dedup, minhash_forest, mixing, rp_forest
+from feedloom.llm import decontam, langid, line_dedup, minhash_forest, mixing, page_templates, rp_forest, url_templates
 from feedloom.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op3_projection_forest(spark, sf_dir):
     return rp_forest.query(read(spark, sf_dir, "embeddings"))
 
 
+def op4_site_templates(spark, sf_dir):
+    return page_templates.query(read(spark, sf_dir, "pages"))
+
+
 def op5_pareto_mix(spark, sf_dir):
     return mixing.query(read(spark, sf_dir, "documents"))
 
@@ -30,8 +34,13 @@ def op9_line_windows(spark, sf_dir):
     return line_dedup.query(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op3_projection_forest, op5_pareto_mix, op7_subword_language, op8_minhash_forest,
-                                  op9_line_windows)}
+def op10_url_templates(spark, sf_dir):
+    return url_templates.query(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_winnowing, op3_projection_forest, op4_site_templates, op5_pareto_mix, op7_subword_language, op8_minhash_forest,
+                                  op9_line_windows, op10_url_templates)}
 
 SQL = {"op1_winnowing": decontam.SQL, "op3_projection_forest": rp_forest.SQL,
-       "op5_pareto_mix": mixing.SQL, "op9_line_windows": line_dedup.SQL}
+       "op5_pareto_mix": mixing.SQL, "op9_line_windows": line_dedup.SQL,
+       "op10_url_templates": url_templates.SQL}
