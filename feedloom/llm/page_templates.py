@@ -1,8 +1,9 @@
 """HTML extraction by site template removal.
 
 1. Every page is parsed once; each element subtree gets a hash of its tags and
-   text.  Spark counts on how many pages of its host a subtree occurs (summed
-   map-side, so a hot host is no hot task).
+   text.  Spark counts on how many different pages of its host a subtree occurs
+   (copies of a page count once; sums are taken map-side, so a hot host is no
+   hot task).
 2. Subtrees on many pages of a host (at least FEWEST, and SHARE of its pages)
    are the site's template.  A host has at most 1 / SHARE times as many of
    them as its pages have subtrees on average, so its list is bounded.
@@ -13,7 +14,8 @@
    for hosts with too few pages to show a template.
 
 If the page has an ``article`` (or ``main``), the text is taken from it, else
-from the body.  Text is cut into blocks at block elements; white space within
+from the body.  Within it plain text elements (PROSE) stay even if they recur:
+a passage that articles share is no template.  Text is cut into blocks at block elements; white space within
 a block becomes one space; blocks are joined by line feeds.
 
 Defined cases: a null or empty html gives the empty text; a null url or one
@@ -46,6 +48,7 @@ BLOCK = frozenset("""address article aside blockquote body caption center dd det
     tfoot th thead title tr ul""".split())
 NO_TEXT = frozenset("""aside audio button canvas dialog embed footer form head iframe input math menu nav noembed noframes
     noscript object script select style svg template textarea title video""".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong a span td th tr li code q u s small sub sup".split())
 #: An element of the key kind is closed by the start of one of these.
 CLOSED_BY = {"p": BLOCK - {"body", "html", "title"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
              "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
@@ -204,7 +207,8 @@ def text_of(top: Element, template: set[int]) -> str:
             if x is None:
                 close()
                 continue
-            if x is not root and (x.tag in NO_TEXT or x.box or x.key in template or x.tag == "header" and not inside):
+            if x is not root and (x.tag in NO_TEXT or x.box or x.tag == "header" and not inside
+                                  or x.key in template and not (inside and x.tag in PROSE)):
                 piece.append(" ")
                 if x.tag in BLOCK:
                     close()
@@ -218,27 +222,30 @@ def text_of(top: Element, template: set[int]) -> str:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, key): the distinct subtrees of each page of (host, html)."""
+    """(host, page, key): the distinct subtrees of each page of (host, html), and key 0 for the page itself."""
     def run(batches):
         for b in batches:
-            hosts, keys = [], []
+            hosts, pages, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, page in enumerate(b.column(1).to_pylist()):
-                own: list[int] = []
-                hashed(parse(page or ""), own)
+                own: list[int] = [0]
+                top = parse(page or "")
+                hashed(top, own)
                 keys.append(np.unique(np.array(own, np.uint64)).view(np.int64))
                 hosts.append(np.full(len(keys[-1]), i))
-            yield pa.RecordBatch.from_arrays([
-                b.column(0).take(pa.array(np.concatenate(hosts) if hosts else np.zeros(0, np.int64))),
-                pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["host", "key"])
+                pages.append(np.full(len(keys[-1]), top.key, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(hosts))),
+                                              pa.array(np.concatenate(pages)), pa.array(np.concatenate(keys))],
+                                             names=["host", "page", "key"])
 
-    return map_arrow(pages.select("host", "html"), run, "host string, key bigint")
+    return map_arrow(pages.select("host", "html"), run, "host string, page bigint, key bigint")
 
 
 def site_templates(pages: DataFrame, share: float = SHARE, fewest: int = FEWEST) -> DataFrame:
-    """(host, keys): the subtrees that recur on many pages of each host."""
-    n = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    often = subtrees(pages).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {fewest}")
-    return (often.join(n, "host").where(f"n >= {share} * pages").groupBy("host")
+    """(host, keys): the subtrees that recur on many different pages of each host."""
+    n = table(subtrees(pages).distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+              .where(f"key = 0 OR n >= {fewest}"))
+    whole = n.where("key = 0").select("host", F.col("n").alias("pages"))
+    return (n.where("key <> 0").join(whole, "host").where(f"n >= {share} * pages").groupBy("host")
             .agg(F.sort_array(F.collect_list("key")).alias("keys")))
 
 

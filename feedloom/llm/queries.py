@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.llm import decontam, langid, line_dedup, minhash_forest, mixing, page_templates, rp_forest, url_templates
+from feedloom.llm import decontam, langid, line_dedup, minhash_forest, mixing, page_templates, pii, rp_forest, url_templates
 from feedloom.llm.common import read
 
 
@@ -22,6 +22,10 @@ def op5_pareto_mix(spark, sf_dir):
     return mixing.query(read(spark, sf_dir, "documents"))
 
 
+def op6_bootstrapped_pii(spark, sf_dir):
+    return pii.query(read(spark, sf_dir, "documents"))
+
+
 def op7_subword_language(spark, sf_dir):
     return langid.query(read(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_url_templates(spark, sf_dir):
     return url_templates.query(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op3_projection_forest, op4_site_templates, op5_pareto_mix, op7_subword_language, op8_minhash_forest,
+QUERIES = {f.__name__: f for f in (op1_winnowing, op3_projection_forest, op4_site_templates, op5_pareto_mix, op6_bootstrapped_pii, op7_subword_language, op8_minhash_forest,
                                   op9_line_windows, op10_url_templates)}
 
 SQL = {"op1_winnowing": decontam.SQL, "op3_projection_forest": rp_forest.SQL,
