@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.llm import decontam, langid, line_dedup, minhash_forest, mixing, page_templates, pii, rp_forest, url_templates
+from feedloom.llm import decontam, langid, line_dedup, lm_score, minhash_forest, mixing, page_templates, pii, rp_forest, url_templates
 from feedloom.llm.common import read
 
 
@@ -10,6 +10,10 @@ def op1_winnowing(spark, sf_dir):
     return decontam.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_stupid_backoff(spark, sf_dir):
+    return lm_score.query(read(spark, sf_dir, "documents"))
+
+
 def op3_projection_forest(spark, sf_dir):
     return rp_forest.query(read(spark, sf_dir, "embeddings"))
 
@@ -42,9 +46,10 @@ def op10_url_templates(spark, sf_dir):
     return url_templates.query(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op3_projection_forest, op4_site_templates, op5_pareto_mix, op6_bootstrapped_pii, op7_subword_language, op8_minhash_forest,
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_stupid_backoff, op3_projection_forest, op4_site_templates, op5_pareto_mix, op6_bootstrapped_pii, op7_subword_language, op8_minhash_forest,
                                   op9_line_windows, op10_url_templates)}
 
-SQL = {"op1_winnowing": decontam.SQL, "op3_projection_forest": rp_forest.SQL,
+SQL = {"op1_winnowing": decontam.SQL, "op2_stupid_backoff": lm_score.SQL,
+       "op3_projection_forest": rp_forest.SQL,
        "op5_pareto_mix": mixing.SQL, "op9_line_windows": line_dedup.SQL,
        "op10_url_templates": url_templates.SQL}
