@@ -14,6 +14,8 @@ from feedloom.session import scratch_path, ship_package
 
 #: Rows up to which a side that was counted is broadcast; beyond it Spark shuffles.
 BROADCAST_ROWS = 20_000
+#: The same for a column of ids alone (8 bytes each).
+IDS = 200_000
 #: Bits of a membership bitmap: 1 MB, whatever the number of keys.
 BITMAP_BITS = 1 << 23
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import bitmap_of, in_bitmap, map_arrow, table
+from feedloom.llm.common import IDS, bitmap_of, broadcast_if_small, in_bitmap, map_arrow, table
 from feedloom.llm.words import Words, chunks, mix
 
 WINDOW = 10
@@ -180,8 +180,8 @@ def query(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents without any hit, all their columns."""
-    bad = contamination(docs, items, id_col).where("n_hit > 0").select(F.col("id").alias("hid")).distinct()
-    return docs.alias("d").join(bad, F.col(f"d.{id_col}").eqNullSafe(F.col("hid")), "left_anti")
+    bad = table(contamination(docs, items, id_col).where("n_hit > 0").select(F.col("id").alias("hid")).distinct())
+    return docs.alias("d").join(broadcast_if_small(bad, IDS), F.col(f"d.{id_col}").eqNullSafe(F.col("hid")), "left_anti")
 
 
 #: Independent DuckDB form: all windows of all texts, joined as strings.

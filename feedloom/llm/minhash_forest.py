@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import bitmap_of, in_bitmap, map_arrow, sorted_runs, table
+from feedloom.llm.common import IDS, bitmap_of, broadcast_if_small, in_bitmap, map_arrow, sorted_runs, table
 from feedloom.llm.components import connected_components
 from feedloom.llm.words import Words, chunks, mix, shingles
 
@@ -296,10 +296,13 @@ def representatives(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     Rows that repeat an id are one document if their texts are equal: one stays.
     """
-    kept = table(similarity_classes(docs, id_col))
-    again = table(kept.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND id IS NOT NULL"))
-    kept = kept.where("id <=> class_id").select(F.col("id").alias("kid")).distinct()
-    out = docs.alias("d").join(kept, F.col(f"d.{id_col}").eqNullSafe(F.col("kid")), "left_semi")
+    all_rows = table(similarity_classes(docs, id_col))
+    again = table(all_rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND id IS NOT NULL"))
+    gone = table(all_rows.where("NOT id <=> class_id").select(F.col("id").alias("gid")).distinct())
+    out = docs.alias("d").join(broadcast_if_small(gone, IDS), F.col(f"d.{id_col}") == F.col("gid"), "left_anti")
+    if again.limit(1).count() == 0:
+        return out
+    again = broadcast_if_small(again, IDS)
     one = out.alias("d").join(again, F.col(f"d.{id_col}") == F.col("id"), "left_anti")
     more = out.alias("d").join(again, F.col(f"d.{id_col}") == F.col("id"), "left_semi")
     return one.union(more.dropDuplicates([id_col]))
