@@ -42,7 +42,9 @@ SAMPLE = 2000
 #: Bytes of text (and documents) of a group.
 GROUP = 8 << 20
 MOST_DOCS = 1 << 16
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 2
+#: Requests of a bucket whose sums are gathered before they are sent on.
+PENDING = 1 << 20
 
 _48 = np.uint64((1 << 48) - 1)
 #: Stands for "end of the document" as a next word: it counts for the context and has no score.
@@ -53,11 +55,17 @@ _ROW = "p int, kind int, batch bigint, blob binary"
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Columns one after the other, each with its type and length; 64-bit word columns as 6 bytes a value."""
+    """Columns one after the other, each with its type and length.
+
+    64-bit words take 6 bytes a value, other integers (none is negative) the fewest that hold the largest.
+    """
     out = [np.array([len(columns)], np.uint8).tobytes()]
     for c in columns:
         six = c.dtype == np.uint64
-        out.append(np.array([ord("6" if six else c.dtype.char), c.dtype.itemsize], np.uint8).tobytes())
+        if not six and c.dtype.kind in "iu":
+            top = int(c.max()) if len(c) else 0
+            c = c.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
+        out.append(np.array([ord("6" if six else c.dtype.char)], np.uint8).tobytes())
         out.append(np.array([len(c)], np.uint32).tobytes())
         if six:
             out += [(c & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (c >> np.uint64(32)).astype(np.uint16).tobytes()]
@@ -69,8 +77,8 @@ def _pack(*columns: np.ndarray) -> bytes:
 def _unpack(blob: bytes) -> list[np.ndarray]:
     out, at = [], 1
     for _ in range(blob[0]):
-        kind, n = chr(blob[at]), int(np.frombuffer(blob, np.uint32, 1, at + 2)[0])
-        at += 6
+        kind, n = chr(blob[at]), int(np.frombuffer(blob, np.uint32, 1, at + 1)[0])
+        at += 5
         if kind == "6":
             low = np.frombuffer(blob, np.uint32, n, at).astype(np.uint64)
             out.append(low | (np.frombuffer(blob, np.uint16, n, at + 4 * n).astype(np.uint64) << np.uint64(32)))
@@ -152,9 +160,8 @@ def _group(ids: pa.Array, words: list[np.ndarray], docs: list[np.ndarray], n_wor
     own[some] = _totals(v[some] * np.uint64(MOST_DOCS) + d[some], count[some])
     for b, (bv, bw, bd, bc, bo, apart) in _deal(p, buckets, [v, w, d, count.astype(np.uint32), own, some]):
         first = _runs(bv)
-        size = np.diff(np.append(first, len(bv))).astype(np.uint32)
-        small = bc.max() < 256
-        yield b, PAIRS, batch, _pack(bv[first], size, bw, bd, bc.astype(np.uint8) if small else bc, bo[apart])
+        follower, which = np.unique(bw, return_inverse=True)
+        yield b, PAIRS, batch, _pack(bv[first], np.diff(np.append(first, len(bv))), follower, which, bd, bc, bo[apart])
     # first words have no context
     begin = np.flatnonzero(np.append(True, ~same))
     order = np.argsort(h[begin], kind="stable")
@@ -168,10 +175,7 @@ def _open(word, block, doc, m, r, o, batches, buckets) -> Iterator[tuple[int, in
     names = np.array(batches, np.int64)
     for b, (w, k, d, mm, rr, oo) in _deal(_bucket(word, buckets), buckets, [word, block, doc, m, r, o]):
         first = _runs(w)
-        size = np.diff(np.append(first, len(w))).astype(np.uint32)
-        wide = np.uint8 if max(mm.max(), rr.max()) < 256 else np.uint32
-        yield b, OPEN, 0, _pack(w[first], size, k, d, mm.astype(wide), rr.astype(wide),
-                                oo[rr > 0].astype(np.uint32), names)
+        yield b, OPEN, 0, _pack(w[first], np.diff(np.append(first, len(w))), k, d, mm, rr, oo[rr > 0], names)
 
 
 def exploded(docs: DataFrame, id_col: str, text_col: str, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -206,7 +210,7 @@ def _sums(block: np.ndarray, doc: np.ndarray, s: np.ndarray, m: np.ndarray, batc
     of = u >> 16
     for k in np.unique(of).tolist():
         a, z = np.searchsorted(of, [k, k + 1])
-        yield batches[k] % buckets, SUMS, batches[k], _pack((u[a:z] & 0xFFFF).astype(np.uint16), total[a:z], lack[a:z])
+        yield batches[k] % buckets, SUMS, batches[k], _pack(u[a:z] & 0xFFFF, total[a:z], lack[a:z].astype(np.int64))
 
 
 def _pairs_met(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
@@ -219,10 +223,12 @@ def _pairs_met(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             if blocks:
                 names = [b for b, _ in blocks]
                 v = np.concatenate([np.repeat(c[0], c[1]) for _, c in blocks])
-                w = np.concatenate([c[2] for _, c in blocks])
-                doc = np.concatenate([c[3] for _, c in blocks])
-                n = np.concatenate([c[4].astype(np.int64) for _, c in blocks])
-                k = np.repeat(np.arange(len(blocks)), [len(c[2]) for _, c in blocks])
+                w = np.concatenate([c[2][c[3]] for _, c in blocks])
+                doc = np.concatenate([c[4].astype(np.uint16) for _, c in blocks])
+                n = np.concatenate([c[5].astype(np.int32) for _, c in blocks])
+                k = np.repeat(np.arange(len(blocks), dtype=np.int32), [len(c[3]) for _, c in blocks])
+                late = np.concatenate([c[6] for _, c in blocks])
+                blocks.clear()
                 pair = _totals(_pair_hash(v, w), n) - n
                 context = _totals(v, n)
                 own = _totals(mix(v + (k.astype(np.uint64) << np.uint64(48))) + doc.astype(np.uint64), n)
@@ -239,7 +245,7 @@ def _pairs_met(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 zero = np.zeros(len(ask), np.int64)
                 m, r, o = zero.copy(), zero.copy(), zero.copy()
                 m[:back.sum()], r[back.sum():] = n[back], n[far]
-                o[back.sum():] = np.concatenate([c[5] for _, c in blocks])[met[apart]]
+                o[back.sum():] = late[met[apart]]
                 if len(ask):
                     keep += _open(ask[order], np.concatenate([k[back], k[far]])[order].astype(np.uint32),
                                   np.concatenate([doc[back], doc[far]])[order], m[order], r[order], o[order], names, buckets)
@@ -250,32 +256,54 @@ def _pairs_met(rows: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
 
 
 def _words_met(rows: DataFrame, buckets: int) -> DataFrame:
-    """Requests against the unigram counts of their bucket (counts sort first); other kinds of rows pass."""
+    """Requests against the unigram counts of their bucket (counts sort first); heads pass.
+
+    Sums of a bucket are gathered over its blocks, PENDING rows at a time.
+    """
     def run(batches):
         last, word, count = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        pending: list[list[np.ndarray]] = []
+        tables: list[list[np.ndarray]] = []
+        asked: list[tuple[np.ndarray, ...]] = []
+
+        def answers():
+            batch, doc, s, m = (np.concatenate(c) for c in zip(*asked, strict=True))
+            names, k = np.unique(batch, return_inverse=True)
+            asked.clear()
+            return _rows(list(_sums(k, doc, s, m, names.tolist(), buckets)))
+
         for t in sorted_runs(batches, ["p", "kind"], 64):
             p, kind = t["p"][0].as_py(), t["kind"][0].as_py()
             if p != last:
-                last, word, count, pending = p, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+                if asked:
+                    yield answers()
+                last, word, count, tables = p, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
             if kind == WORDS:
-                pending += [_unpack(x) for x in t["blob"].to_pylist()]
+                tables += [_unpack(x) for x in t["blob"].to_pylist()]
                 continue
-            if pending:
-                word, inv = np.unique(np.concatenate([c[0] for c in pending]), return_inverse=True)
-                count = np.bincount(inv, np.concatenate([c[1] for c in pending])).astype(np.int64)
-                pending = []
-            if kind != OPEN:
+            if tables:
+                word, inv = np.unique(np.concatenate([c[0] for c in tables]), return_inverse=True)
+                count = np.bincount(inv, np.concatenate([c[1] for c in tables])).astype(np.int64)
+                tables = []
+            if kind == HEAD:
                 yield from t.select(["p", "kind", "batch", "blob"]).to_batches()
                 continue
-            out = []
-            for x in t["blob"].to_pylist():
+            for of, x in zip(t["batch"].to_pylist(), t["blob"].to_pylist(), strict=True):
+                if kind == SUMS:  # all sums of a group of documents meet in one bucket, and go on as one
+                    d, s, m = _unpack(x)
+                    asked.append((np.full(len(d), of, np.int64), d, s, m))
+                    if sum(len(a[1]) for a in asked) >= PENDING:
+                        yield answers()
+                    continue
                 w, size, k, d, m, r, o, names = _unpack(x)
                 c = np.repeat(count[np.searchsorted(word, w)], size)
+                m, r = m.astype(np.int64), r.astype(np.int64)
                 s = m * np.log(ALPHA * c)
                 s[r > 0] -= r[r > 0] * np.log(c[r > 0] - o)
-                out += _sums(k, d, s, m.astype(np.float64), names.tolist(), buckets)
-            yield _rows(out)
+                asked.append((names.astype(np.int64)[k], d, s, m))
+                if sum(len(a[1]) for a in asked) >= PENDING:
+                    yield answers()
+        if asked:
+            yield answers()
 
     # counts (2) must come before what asks for them (4); heads and sums pass
     return map_arrow(rows.repartition("p").sortWithinPartitions("p", "kind"), run, _ROW)
