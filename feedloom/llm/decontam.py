@@ -181,7 +181,8 @@ def query(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents without any hit, all their columns."""
     bad = table(contamination(docs, items, id_col).where("n_hit > 0").select(F.col("id").alias("hid")).distinct())
-    return docs.alias("d").join(broadcast_if_small(bad, IDS), F.col(f"d.{id_col}").eqNullSafe(F.col("hid")), "left_anti")
+    return docs.alias("d").join(broadcast_if_small(bad, IDS).alias("k"),
+                                F.col(f"d.{id_col}").eqNullSafe(F.col("k.hid")), "left_anti")
 
 
 #: Independent DuckDB form: all windows of all texts, joined as strings.

@@ -299,10 +299,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     all_rows = table(similarity_classes(docs, id_col))
     again = table(all_rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND id IS NOT NULL"))
     gone = table(all_rows.where("NOT id <=> class_id").select(F.col("id").alias("gid")).distinct())
-    out = docs.alias("d").join(broadcast_if_small(gone, IDS), F.col(f"d.{id_col}") == F.col("gid"), "left_anti")
+    out = docs.alias("d").join(broadcast_if_small(gone, IDS).alias("k"), F.col(f"d.{id_col}") == F.col("k.gid"), "left_anti")
     if again.limit(1).count() == 0:
         return out
-    again = broadcast_if_small(again, IDS)
-    one = out.alias("d").join(again, F.col(f"d.{id_col}") == F.col("id"), "left_anti")
-    more = out.alias("d").join(again, F.col(f"d.{id_col}") == F.col("id"), "left_semi")
+    again = broadcast_if_small(again, IDS).alias("k")
+    one = out.alias("d").join(again, F.col(f"d.{id_col}") == F.col("k.id"), "left_anti")
+    more = out.alias("d").join(again, F.col(f"d.{id_col}") == F.col("k.id"), "left_semi")
     return one.union(more.dropDuplicates([id_col]))

@@ -4,12 +4,12 @@
    seed; the CONTEXT words before it and its kind are a pattern.
 2. Patterns with at least SEEDS different seeds are looked up in all texts
    (through a fixed-size bitmap, then exactly): every identifier-like token
-   after such a context is an instance; tokens that are not count against it.
+   after such a context is an instance unless a base span covers it; words
+   without a digit count against the context.
 3. On the graph of patterns and instances Spark repeats ROUNDS times:
    a pattern's score is the sum of its instances' scores over all it was seen
    with (+ 1); a new instance's score is 1 - prod(1 - score) of its patterns.
-4. Instances after a pattern of ACCEPT or more are spans of its kind, if they
-   overlap no base span.
+4. Instances after a pattern of ACCEPT or more are spans of its kind.
 
 The two scans of the texts emit seeds, instances and counts only.
 
@@ -154,7 +154,8 @@ def instances(docs: DataFrame, id_col: str, text_col: str, bitmap: np.ndarray) -
                     raw = data[s:e].tobytes().decode("utf-8", "replace").rstrip(".,;:!?)]}>\"'|*#$%&")
                     start = len(data[off[d]:s].tobytes().decode("utf-8", "replace"))
                     rows.append((d, int(ctx[p]), w.text(p, p + CONTEXT), raw.lower(), start, start + len(raw), 1))
-                others, n = np.unique(ctx[at[~like]], return_counts=True)
+                other = digits[end] == digits[w.start[tok]]  # a few digits may be part of a number: neither
+                others, n = np.unique(ctx[at[other & ~like]], return_counts=True)
                 m = len(others)
                 pick = pa.array([lo + r[0] for r in rows] + [None] * m, pa.int64())
                 yield pa.RecordBatch.from_arrays([
@@ -206,16 +207,18 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   .select("ctx", "hash", "kind", "inst").distinct())
     common = known.groupBy("ctx", "hash", "kind").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {SEEDS}")
     got = table(instances(docs, id_col, text_col, bitmap_of(common, "hash")))
-    seen = got.where("inst IS NOT NULL")
+    spans = base.where("size(spans) > 0").select(F.col("id").alias("bid"), F.col("th").alias("bth"), "spans")
+    seen = table(got.where("inst IS NOT NULL").join(spans, F.expr("id <=> bid AND th <=> bth"), "left").where(
+        "spans IS NULL OR NOT exists(spans, s -> s.start < end AND start < s.end)").drop("bid", "bth", "spans"))
     scores = pattern_scores(known, seen.select("ctx", "hash", "inst").distinct(), got.where("inst IS NULL"))
     best = scores.where(f"score >= {accept}D").groupBy("ctx", "hash").agg(F.max_by("kind", "score").alias("kind"))
     found = (seen.join(best, ["ctx", "hash"]).select("id", "th", "kind", "start", "end").distinct()
              .groupBy(F.col("id").alias("fid"), F.col("th").alias("fth"))
              .agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("all")))
-    j = base.join(found, F.expr("id <=> fid AND th = fth"), "left")
+    j = base.join(found, F.expr("id <=> fid AND th <=> fth"), "left")
     plain = "transform(spans, s -> struct(s.kind AS kind, s.start AS start, s.end AS end))"
     return j.select("id", F.expr(plain).alias("base"), F.expr(
-        "filter(coalesce(all, array()), f -> NOT exists(spans, s -> s.start < f.end AND f.start < s.end))").alias("found"))
+        "coalesce(all, filter(" + plain + ", s -> false))").alias("found"))
 
 
 def _listed(spans: str) -> str:
