@@ -44,6 +44,16 @@ def parse_rfc2822(text) -> Column:
     return F.coalesce(*[F.try_to_timestamp(t, F.lit(fmt)) for fmt in RFC2822_FORMATS])
 
 
+# ISO 8601 layouts of Atom and Dublin Core times.
+ISO_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd'T'HH:mmXXX")
+
+
+def parse_feed_date(text) -> Column:
+    """Publish time as RFC 2822 (RSS) or ISO 8601 (Atom, dc:date); else null."""
+    t = F.trim(col_of(text))
+    return F.coalesce(parse_rfc2822(t), *[F.try_to_timestamp(t, F.lit(fmt)) for fmt in ISO_FORMATS])
+
+
 def epoch_seconds(ts) -> Column:
     return F.unix_seconds(col_of(ts))
 
@@ -57,7 +67,7 @@ def utc_text(ts, fmt: str) -> Column:
 
 def published_or_now(published, updated, run_ts) -> Column:
     """Published, else updated, else the run time (a parameter)."""
-    return F.coalesce(parse_rfc2822(published), parse_rfc2822(updated), col_of(run_ts))
+    return F.coalesce(parse_feed_date(published), parse_feed_date(updated), col_of(run_ts))
 
 
 def last_modified(headers, run_ts) -> Column:

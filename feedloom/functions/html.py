@@ -104,14 +104,19 @@ def drop_base(html) -> Column:
     return F.regexp_replace(col_of(html), r"(?i)<base\b[^>]*>", "")
 
 
+#: A tag up to its style attribute, and that attribute in double or single quotes (visible text is no tag).
+STYLE_IN_TAG = r"(?i)(<[a-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)\s+style\s*=\s*(?:{}|{})"
+
+
 def drop_color_styles(html) -> Column:
     """Style attributes that mention color or background are removed."""
-    return F.regexp_replace(col_of(html), r"(?i)\s+style\s*=\s*\"[^\"]*(?:color|background)[^\"]*\"", "")
+    return F.regexp_replace(col_of(html), STYLE_IN_TAG.format(r"\"[^\"]*(?:color|background)[^\"]*\"",
+                                                              r"'[^']*(?:color|background)[^']*'"), "$1")
 
 
 def simplify(html) -> Column:
     """Remove every style attribute; append ' ... '."""
-    return F.concat(F.regexp_replace(col_of(html), r"(?i)\s+style\s*=\s*\"[^\"]*\"", ""), F.lit(" ... "))
+    return F.concat(F.regexp_replace(col_of(html), STYLE_IN_TAG.format(r"\"[^\"]*\"", r"'[^']*'"), "$1"), F.lit(" ... "))
 
 
 # --------------------------------------------------------------------- H13

@@ -8,6 +8,8 @@ DataFrame of entries (see ``ENTRY_SCHEMA``) to a DataFrame.  Rule columns
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -199,7 +201,7 @@ def dedup_titles(entries: DataFrame, allow_col: str = "allow_dup_titles") -> Dat
     return first_per_key(entries.withColumn("_tkey", tkey), ["feed", "_tkey"]).drop("_tkey")
 
 
-def dedup_greedy(entries: DataFrame, allow_col: str = "allow_dup_titles", max_rounds: int = 10_000) -> DataFrame:
+def dedup_greedy(entries: DataFrame, allow_col: str = "allow_dup_titles", max_rounds: int | None = None) -> DataFrame:
     """D3: the reference's greedy single pass, exactly, as a distributed fixpoint.
 
     Greedy: in feed order an entry is kept unless an earlier KEPT entry has
@@ -211,7 +213,8 @@ def dedup_greedy(entries: DataFrame, allow_col: str = "allow_dup_titles", max_ro
     an undecided entry is kept when it is the earliest live (undecided or
     kept) entry of both its keys, dropped when a kept entry precedes it on
     either key.  The earliest undecided entry of every feed is decided in
-    every round, and rounds stop when nothing is undecided.  Each round's
+    every round, and rounds stop when nothing is undecided (a caller's
+    ``max_rounds`` raises, it drops nothing).  Each round's
     state is checkpointed to the session's checkpoint folder, so lineage
     stays one round deep and lost executors recompute one round at most.
     No feed or key is ever gathered into one task.
@@ -223,7 +226,7 @@ def dedup_greedy(entries: DataFrame, allow_col: str = "allow_dup_titles", max_ro
     state = (entries.withColumn("_tkey", F.when(~allow, F.coalesce(F.col("title"), F.lit("\u0000None"))))
              .withColumn("_st", F.lit("U")))
     state = cut_lineage(state)
-    for _ in range(max_rounds):
+    for n in count(1):
         live = state.filter(F.col("_st") != "R")
         by_id = live.groupBy("feed", "item_id").agg(
             F.min("pos").alias("_id_first"), F.min(F.when(F.col("_st") == "A", F.col("pos"))).alias("_id_acc"))
@@ -239,6 +242,8 @@ def dedup_greedy(entries: DataFrame, allow_col: str = "allow_dup_titles", max_ro
         state = cut_lineage(j.select(*cols, "_tkey", st.alias("_st")))
         if state.filter(F.col("_st") == "U").limit(1).count() == 0:
             break
+        if max_rounds is not None and n >= max_rounds:
+            raise RuntimeError(f"entries still undecided after {max_rounds} rounds")
     return state.filter(F.col("_st") == "A").select(*cols)
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from feedloom.session import cut_lineage
+
 Plugin = Callable[[DataFrame], DataFrame]
 
 ERROR_MARK = "\u0000plugin error: "
@@ -50,16 +52,17 @@ def apply_plugins(stories: DataFrame, registry: dict[str, Plugin], site_col: str
     by_fn: dict = {}
     for site, fn in registry.items():
         by_fn.setdefault(id(fn), (fn, []))[1].append(site)
-    rest = stories.filter(~F.col(site_col).isin(*sites)) if sites else stories
+    # a row without a site has no plug-in; it must not fall between the branches
+    rest = stories.filter(~F.coalesce(F.col(site_col).isin(*sites), F.lit(False))) if sites else stories
     parts = [rest.select(key, site_col, "html")]
     for fn, fn_sites in by_fn.values():
         mine = stories.filter(F.col(site_col).isin(*fn_sites))
         parts.append(fn(mine).select(key, site_col, "html"))
-    out = reduce(DataFrame.unionByName, parts)
+    out = cut_lineage(reduce(DataFrame.unionByName, parts))  # read twice below: plug-ins run once
     bad = out.filter(F.col("html").isNull() | F.col("html").startswith(ERROR_MARK))
     rejects = bad.select(F.col(site_col).alias("feed"), F.col(key).cast("string").alias("item_id"),
                          F.lit("plugin").alias("stage"), F.lit("error").alias("severity"),
                          F.when(F.col("html").isNull(), F.lit("no content from plug-in"))
-                         .otherwise(F.substring(F.col("html"), 2, 200)).alias("reason"))
+                         .otherwise(F.expr("substr(html, 2)")).alias("reason"))
     ok = out.filter(F.col("html").isNotNull() & ~F.col("html").startswith(ERROR_MARK))
     return ok, rejects

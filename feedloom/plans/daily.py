@@ -51,7 +51,7 @@ def run_day(entries: DataFrame, pages: DataFrame, rules: DataFrame, seen: DataFr
     e = attach_rules(e, select_rules(rules, rule_key, *[c for c in RULE_COLS if c in rules.columns]),
                      on=rule_key)
     kept, rej_entry = E.skip_filter(e)
-    kept = kept.withColumn("pub_ts", dates.parse_rfc2822(F.col("published")))
+    kept = kept.withColumn("pub_ts", dates.parse_feed_date(F.col("published")))
     d1 = E.mark_seen(E.dedup_ids(kept), seen)
     # d2 feeds the seen-set, the run state and the new items: materialise it once
     # (a table in the checkpoint folder) instead of recomputing the dedup per output
@@ -76,11 +76,12 @@ def run_day(entries: DataFrame, pages: DataFrame, rules: DataFrame, seen: DataFr
     new_seen = S.merge_seen(seen, registered)
     new_state = S.merge_state(state, registered, run_ts)
 
-    # Level 2 fetches the page (at the E9-rewritten link), 1.5 uses the
+    # Level 2 fetches the page (at the E9-rewritten link; a URL that is listed
+    # several times is one page, the smallest), 1.5 uses the
     # entry body, 1 writes no story page
     with_page = (items.filter(F.col("levels") >= 2)
                  .withColumn("fetch_url", E.rewrite_link(F.col("link"), F.col("story_url_rewrite")))
-                 .join(pages.select(F.col("url").alias("fetch_url"), F.col("html").alias("page_html")),
+                 .join(pages.groupBy(F.col("url").alias("fetch_url")).agg(F.min("html").alias("page_html")),
                        "fetch_url", "left").drop("fetch_url"))
     body_items = items.filter((F.col("levels") > 1) & (F.col("levels") < 2)).withColumn(
         "page_html", E.entry_body())

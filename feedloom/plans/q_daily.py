@@ -44,7 +44,7 @@ aged AS (SELECT *, CASE WHEN pub IS NULL OR lf IS NULL THEN 'normal'
 items AS (SELECT * FROM aged WHERE status <> 'expired'),
 st2 AS (SELECT i.feed, i.skip_content_pats,
                CASE WHEN i.levels >= 2 THEN p.html ELSE coalesce(i.content, '') || chr(10) END AS page_html
-        FROM items i LEFT JOIN pages p
+        FROM items i LEFT JOIN (SELECT url, min(html) AS html FROM pages GROUP BY url) p
           ON p.url = CASE WHEN len(i.story_url_rewrite) = 2
                           THEN regexp_replace(i.link, i.story_url_rewrite[1], i.story_url_rewrite[2], 'g')
                           ELSE i.link END

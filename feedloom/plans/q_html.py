@@ -16,6 +16,10 @@ from feedloom.sources.tables import read_table
 HOST = X.HOST_SQL
 
 
+#: Twin of html.STYLE_IN_TAG, quoted for SQL.
+STYLE_SQL = "(?i)(<[a-z](?:[^<>\"'']|\"[^\"]*\"|''[^'']*'')*?)\\s+style\\s*=\\s*"
+
+
 def _pages_with_rules(spark, sf_dir, *cols, derived=False):
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     if derived:
@@ -226,7 +230,7 @@ def _unwrap_sql():
     x = f"(CASE WHEN coalesce(skip_images, false) THEN {img} ELSE {x} END)"
     x = (f"(CASE WHEN coalesce(skip_links, false) THEN regexp_replace({x}, '(?i)</?a\\b[^>]*>', '', 'g') "
          f"ELSE regexp_replace({x}, '(?is)<a\\b[^>]*>\\s*</a\\s*>', '', 'g') END)")
-    x = f"regexp_replace({x}, '(?i)\\s+style\\s*=\\s*\"[^\"]*(?:color|background)[^\"]*\"', '', 'g')"
+    x = f"regexp_replace({x}, '{STYLE_SQL}(?:\"[^\"]*(?:color|background)[^\"]*\"|''[^'']*(?:color|background)[^'']*'')', '\\1', 'g')"
     x = f"regexp_replace({x}, '(?i)<base\\b[^>]*>', '', 'g')"
     return f"""
 WITH p AS ({_rules_join_sql(f'({X.DERIVED_SQL})', ['skip_images', 'skip_links'])}),
@@ -361,7 +365,7 @@ def index_excerpts(spark, sf_dir):
 
 def _excerpts_sql():
     c = "(CASE WHEN trim(a) = '' THEN '[No content]' ELSE a END)"
-    c = (f"(CASE WHEN simplify_rss THEN regexp_replace({c}, '(?i)\\s+style\\s*=\\s*\"[^\"]*\"', '', 'g') || ' ... '"
+    c = (f"(CASE WHEN simplify_rss THEN regexp_replace({c}, '{STYLE_SQL}(?:\"[^\"]*\"|''[^'']*'')', '\\1', 'g') || ' ... '"
          f" ELSE {c} END)")
     img = f"regexp_replace(regexp_replace({c}, '<a [^>]*href=[^>]*> *<img [^>]*></a>', '', 'g'), '<img [^>]*>', '', 'g')"
     c = f"(CASE WHEN skip_images THEN {img} ELSE {c} END)"

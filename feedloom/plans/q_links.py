@@ -26,7 +26,7 @@ def _nav_links(spark, sf_dir):
     nav = F.regexp_extract("html", r"(?s)<nav>(.*?)</nav>", 1)
     hrefs = F.regexp_extract_all(nav, F.lit(r"<a href=\"([^\"]*)\""), F.lit(1))
     links = pages.select("page_id", "url", F.posexplode(hrefs).alias("i", "p"))
-    name = F.substring(F.col("p"), 2, 1 << 20)
+    name = F.expr("substr(p, 2)")
     forms = F.array(*[F.concat(*_form_parts(f, F.col("p"), name)) for f in LINK_FORMS])
     return links.withColumn("href", F.element_at(forms, (F.pmod(F.col("i"), F.lit(len(LINK_FORMS))) + 1)
                                                  .cast("int")))
@@ -151,7 +151,7 @@ def content_gate(spark, sf_dir):
     body = gate_body(F.col("html"), F.col("ctype"), F.col("url"))
     return p.select("page_id", "ctype", header_charset(F.col("ctype")).alias("charset"),
                     F.length(body).cast("long").alias("n_chars"),
-                    F.substring(body, 1, 60).alias("head"))
+                    F.sha2(body, 256).alias("digest"))
 
 
 def _content_gate_sql():
@@ -167,7 +167,7 @@ b AS (SELECT *, CASE WHEN ctype IS NULL OR ctype = '' OR starts_with(ctype, 'tex
 SELECT page_id, ctype,
        CASE WHEN contains(ctype, 'charset=') THEN trim(split_part(string_split(ctype, 'charset=')[-1], ';', 1))
             ELSE '' END AS charset,
-       CAST(length(body) AS BIGINT) AS n_chars, substr(body, 1, 60) AS head
+       CAST(length(body) AS BIGINT) AS n_chars, sha256(body) AS digest
 FROM b
 """
 

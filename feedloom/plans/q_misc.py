@@ -213,6 +213,39 @@ def rss_roundtrip(spark, sf_dir):
                        F.col("pubDate").alias("published"))
 
 
+def atom_entries(spark, sf_dir):
+    """S1 for Atom: entries written as Atom markup, read back as ENTRY_SCHEMA rows (links, author, ISO time)."""
+    from feedloom.functions import dates
+    base = scratch_path(spark, f"atom-{uuid.uuid4().hex}")
+
+    def xml(c):
+        return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                         F.lit('"'), F.lit("&quot;"))
+
+    e = X.entries_view(_pages(spark, sf_dir)).select(
+        "feed", "pos", "title", "link", F.col("pos").alias("page_id"))
+    # ranges of (feed, pos): a large feed spans files, whose names keep the order
+    e.repartitionByRange("feed", "pos").sortWithinPartitions("feed", "pos").select("feed", F.concat(
+        F.lit('<entry><id>tag:'), F.col("page_id").cast("string"), F.lit("</id><title>"), xml(F.col("title")),
+        F.lit('</title><link rel="self" href="/self"/><link href="'), xml(F.col("link")),
+        F.lit('" type="text/html"/><author><name>'), F.col("feed"), F.lit("</name></author><published>"),
+        F.date_format(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(page_id AS INT))"),
+                      "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00</published></entry>")).alias("value")) \
+        .write.partitionBy("feed").text(f"{base}/feeds")
+    back = FD.read_entries(spark, f"{base}/feeds", F.regexp_extract("feed_file", r"feed=([^/]*)/", 1))
+    return back.select("feed", "id", "title", "link", F.size("links").cast("long").alias("n_links"), "author",
+                       F.unix_seconds(dates.parse_feed_date(F.col("published"))).alias("published"),
+                       F.col("pos").cast("long").alias("pos"))
+
+
+SQL_ATOM = f"""
+SELECT {HOST} AS feed, 'tag:' || page_id AS id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, url AS link,
+       2::BIGINT AS n_links, {HOST} AS author, 1704067200 + page_id * 3600 AS published,
+       row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1 AS pos
+FROM pages
+"""
+
+
 SQL_RSS = f"""
 SELECT {HOST} AS feed, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, url AS link, url AS guid,
        CASE page_id % 5
@@ -233,6 +266,7 @@ QUERIES = {
     "feed_slugs": feed_slugs,
     "conf_rules": conf_rules,
     "rss_roundtrip": rss_roundtrip,
+    "atom_entries": atom_entries,
 }
 
 def _fold_sql():
@@ -297,4 +331,5 @@ SQL = {
     "reachability": SQL_REACH,
     "conf_rules": SQL_CONF,
     "rss_roundtrip": SQL_RSS,
+    "atom_entries": SQL_ATOM,
 }

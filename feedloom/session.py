@@ -8,6 +8,7 @@ jobs that need a lineage cut (checkpoint directory taken from the session).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -47,16 +48,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is.  Only when it is unset (local tests) a fresh scratch folder is
     created and registered.
     """
-    current = spark.conf.get(CHECKPOINT_CONF, None)
+    sc = spark.sparkContext
+    current = spark.conf.get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not current:
-        current = spark.sparkContext.getCheckpointDir() or ""
-    if not current:
-        current = tempfile.mkdtemp(prefix="feedloom-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, current)
-    spark.sparkContext.setCheckpointDir(current)
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="feedloom-ckpt-"))
+        return sc.getCheckpointDir()
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, asked through the file system that Spark would read it with."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the session's checkpoint folder
     and continue from that table.
@@ -89,7 +98,8 @@ def ship_package(spark: SparkSession) -> None:
     session into the checkpoint folder and added with ``addPyFile``, which
     distributes it to every executor, including executors added later.
     """
-    if id(spark) in _SHIPPED:
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
         return
     import shutil
 
@@ -104,4 +114,4 @@ def ship_package(spark: SparkSession) -> None:
         archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "feedloom"), "zip",
                                       root_dir=os.path.dirname(pkg_dir), base_dir="feedloom")
     spark.sparkContext.addPyFile(archive)
-    _SHIPPED.add(id(spark))
+    _SHIPPED.add(app)

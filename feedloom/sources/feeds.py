@@ -10,7 +10,7 @@ schema; Atom ``<entry>`` uses ``ATOM_SCHEMA``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,13 @@ ITEM_SCHEMA = T.StructType([
     T.StructField("description", T.StringType()),
     T.StructField("pubDate", T.StringType()),
     T.StructField("author", T.StringType()),
+    T.StructField("dc:creator", T.StringType()),
+    T.StructField("dc:date", T.StringType()),
+    T.StructField("content:encoded", T.StringType()),
 ])
 
+ATOM_LINK = T.StructType([T.StructField(f"_{n}", T.StringType()) for n in ("href", "rel", "type")])
+
 ATOM_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("title", T.StringType()),
@@ -30,6 +35,8 @@ ATOM_SCHEMA = T.StructType([
     T.StructField("updated", T.StringType()),
     T.StructField("summary", T.StringType()),
     T.StructField("content", T.StringType()),
+    T.StructField("link", T.ArrayType(ATOM_LINK)),
+    T.StructField("author", T.StructType([T.StructField("name", T.StringType())])),
 ])
 
 
@@ -46,6 +53,42 @@ def read_feed_files(spark: SparkSession, path: str, atom: bool = False) -> DataF
     return parsed.select("feed_file", "pos", "e.*")
 
 
+def read_entries(spark: SparkSession, path: str, feed=None) -> DataFrame:
+    """RSS, RDF and Atom files as rows of ``entries.ENTRY_SCHEMA``.
+
+    ``feed`` is a column over ``feed_file`` that names the feed (default: the
+    file's title).  Atom: the link is the first alternate one (no rel counts as
+    alternate), links keeps them all; dc:creator, dc:date and content:encoded
+    stand in for author, pubDate and content.  ``pos`` counts on over the files
+    of a feed in file name order.
+    """
+    rss = read_feed_files(spark, path)
+    atom = read_feed_files(spark, path, atom=True)
+    none, no_links = F.lit(None).cast("string"), F.lit(None).cast("array<struct<href:string,rel:string,type:string>>")
+    r = rss.select("feed_file", "pos", F.col("guid").alias("id"), "guid", "link", no_links.alias("links"), "title",
+                   F.coalesce("author", "`dc:creator`").alias("author"),
+                   F.coalesce("pubDate", "`dc:date`").alias("published"), none.alias("updated"),
+                   F.col("`content:encoded`").alias("content"), none.alias("summary_detail"), none.alias("summary"),
+                   "description")
+    links = F.transform("link", lambda x: F.struct(x["_href"].alias("href"), F.coalesce(x["_rel"], F.lit("alternate"))
+                                                   .alias("rel"), x["_type"].alias("type")))
+    a = atom.withColumn("links", links)
+    first = F.get(F.filter("links", lambda x: x["rel"] == "alternate"), F.lit(0))["href"]
+    a = a.select("feed_file", "pos", "id", none.alias("guid"), first.alias("link"), "links", "title",
+                 F.col("author.name").alias("author"), "published", "updated", "content",
+                 none.alias("summary_detail"), "summary", none.alias("description"))
+    items = r.unionByName(a)
+    titles = read_feed_titles(spark, path).select("feed_file", F.col("title").alias("feed_title"))
+    items = items.join(titles, "feed_file", "left").withColumn("feed", F.col("feed_title") if feed is None else feed)
+    # one small row per file: how many items the feed's earlier files hold
+    n = items.groupBy("feed", "feed_file").agg(F.count(F.lit(1)).alias("n"))
+    before = n.select("feed", "feed_file", F.coalesce(F.sum("n").over(
+        Window.partitionBy("feed").orderBy("feed_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return items.join(before, ["feed", "feed_file"]).select(
+        "feed", F.col("feed_file").alias("feed_url"), (F.col("pos") + F.col("before")).alias("pos"),
+        *[c for c in r.columns if c not in ("feed_file", "pos")])
+
+
 def write_feed_files(items: DataFrame, path: str, feed_col: str = "feed") -> None:
     """Write items as RSS channels with Spark's XML source, one folder per feed,
     items in ``pos`` order inside each file (a feed may span several files)."""

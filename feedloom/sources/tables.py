@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
+from feedloom.session import path_exists
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -13,9 +13,10 @@ TABLES = (
 )
 
 
-def table_path(sf_dir: str, name: str) -> str:
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    return path if os.path.exists(path) else os.path.join(sf_dir, name)
+def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """``name.parquet`` (file or folder) or the folder ``name``, on any file system that Spark reads."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return path if path_exists(spark, path) else path.removesuffix(".parquet")
 
 
 _SCANS: dict = {}
@@ -27,7 +28,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     The scan (file listing and footer schema) is set up once per session and
     path, like a registered table; every query still reads the files.
     """
-    key = (id(spark), table_path(sf_dir, name))
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(key[1])
+        _SCANS[key] = spark.read.parquet(table_path(spark, sf_dir, name))
     return _SCANS[key]

@@ -20,13 +20,16 @@ rules over arriving feed entries:
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from feedloom.session import path_exists
+
 
 def dedup_within_watermark(stream: DataFrame, keys: list[str], ts_col: str, delay: str) -> DataFrame:
     """T1 (expiring ids): first arrival of each key within the watermark."""
@@ -34,17 +37,21 @@ def dedup_within_watermark(stream: DataFrame, keys: list[str], ts_col: str, dela
 
 
 def seen_set_batch_writer(seen_path: str, keys: list[str]):
-    """T1 (ids never expire): ``foreachBatch`` function writing only unseen keys."""
+    """T1 (ids never expire): ``foreachBatch`` function writing only unseen keys.
+
+    Each start of the stream writes under its own ``run``, so a stream that is
+    started anew (its batch numbers begin at 0 again) never overwrites ids; a
+    repeated batch of the same run replaces its own partition.
+    """
+    run = f"r{uuid.uuid4().hex}"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
-        try:
-            seen = spark.read.parquet(seen_path).filter(F.col("batch") != batch_id).select(*keys)
-            fresh = fresh.join(seen, keys, "left_anti")
-        except AnalysisException:
-            pass  # no seen-set yet: the first batch
-        fresh.write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
+        if path_exists(spark, seen_path):  # not before the first batch
+            seen = spark.read.parquet(seen_path).filter((F.col("run") != run) | (F.col("batch") != batch_id))
+            fresh = fresh.join(seen.select(*keys), keys, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{seen_path}/run={run}/batch={batch_id}")
 
     return write_batch
 
@@ -96,7 +103,8 @@ def _republish(key, chunks, state, ttl_ms=None):
     if new_last is not None:
         state.update((new_last,))
         if ttl_ms is not None:
-            state.setTimeoutTimestamp(new_last // 1000 + ttl_ms)
+            # an id that is already past its span ends with the next watermark
+            state.setTimeoutTimestamp(max(new_last // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
     if rows:
         yield pd.DataFrame(rows, columns=["site", "item_id", "ts", "is_repeat"])
 

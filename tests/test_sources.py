@@ -58,21 +58,21 @@ levels = 2
 skip_images = true
 save_days = 7
 
-[Slashdot]
-url = http://rss.example.org/Slashdot
+[Harbour Notes]
+url = http://feeds.example.org/harbour
 levels = 1
-page_start = <div id="text-
-page_end = <div class="article-foot
+page_start = <main data-part="log"
+page_end = <p class="tide-table"
 """
 
 CONF_SITE = """# a site file
-[Washington Post]
-url = http://feeds.example.com/wp
+[Hill Weather]
+url = http://feeds.example.com/hill
 skip_link_pats =
-    /video/
-    /photo/
+    /radar/
+    /webcam/
 ; a comment between values
-skip_title_pats = Opinion
+skip_title_pats = Forecast quiz
 save_days = 3
 """
 
@@ -81,14 +81,14 @@ def test_conf_rules_sections_default_and_lists(spark):
     d = _dir(spark, "conf")
     with open(os.path.join(d, "main.conf"), "w") as f:
         f.write(CONF_MAIN)
-    with open(os.path.join(d, "wp.conf"), "w") as f:
+    with open(os.path.join(d, "hill.conf"), "w") as f:
         f.write(CONF_SITE)
     got = {r.feed: r for r in read_conf_rules(spark, d).collect()}
-    assert set(got) == {"Slashdot", "Washington Post"}
-    s, w = got["Slashdot"], got["Washington Post"]
-    assert (s.levels, s.save_days, s.skip_images, s.page_start) == (1.0, 7, True, ['<div id="text-'])
-    assert (w.levels, w.save_days, w.skip_link_pats, w.skip_title_pats) == (2.0, 3, ["/video/", "/photo/"],
-                                                                              ["Opinion"])
+    assert set(got) == {"Harbour Notes", "Hill Weather"}
+    s, w = got["Harbour Notes"], got["Hill Weather"]
+    assert (s.levels, s.save_days, s.skip_images, s.page_start) == (1.0, 7, True, ['<main data-part="log"'])
+    assert (w.levels, w.save_days, w.skip_link_pats, w.skip_title_pats) == (2.0, 3, ["/radar/", "/webcam/"],
+                                                                              ["Forecast quiz"])
     assert w.min_width == 25 and w.block_nonlocal_images is True  # built-in defaults
 
 
