@@ -179,9 +179,24 @@ def wrap_page(body, title, url, charset="utf-8") -> Column:
 
 
 # ------------------------------------------------------------------- H16
+#: An a tag with its attributes; an href attribute with double, single or no quotes.
+A_TAG = r"(?i)<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+HREF_IN_TAG = r"(?is)^(<a\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<=\s))href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)(.*)$"
+
+
+def _a_tags(html) -> Column:
+    return F.regexp_extract_all(col_of(html), F.lit(A_TAG), F.lit(0))
+
+
+def _href(tag) -> Column:
+    """An a tag's href without its quotes; null when it has none."""
+    v = F.regexp_extract(tag, HREF_IN_TAG, 2)
+    return F.when(v != "", F.regexp_replace(v, r"^[\"']|[\"']$", ""))
+
+
 def hrefs(html) -> Column:
     """All a[href] values in document order."""
-    return F.regexp_extract_all(col_of(html), F.lit(r"(?i)<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\""), F.lit(1))
+    return F.filter(F.transform(_a_tags(html), _href), lambda h: h.isNotNull())
 
 
 def multipage_links(html, pat) -> Column:
@@ -207,13 +222,21 @@ def no_content(text) -> Column:
 
 
 def absolute_links(html, base) -> Column:
-    """Every a[href] made absolute against the page's base (distinct hrefs,
-    one literal replacement each)."""
+    """Every a[href] made absolute against the page's base.
+
+    The page is split at its a tags once, each tag is rewritten by itself and
+    the pieces are joined: no other tag or text can change, and the work is
+    linear in the page however many links it has.
+    """
     from feedloom.functions.urls import absolute_url
     html = col_of(html)
-    hs = F.array_distinct(hrefs(html))
-    pairs = F.transform(hs, lambda h: F.struct(
-        F.concat(F.lit('href="'), h, F.lit('"')).alias("old"),
-        F.concat(F.lit('href="'), absolute_url(h, col_of(base)), F.lit('"')).alias("new")))
-    rewritten = F.aggregate(pairs, html, lambda acc, p: F.replace(acc, p["old"], p["new"]))
-    return F.when(html.rlike(r"(?i)<a\b[^>]*href"), rewritten).otherwise(html)
+
+    def rewritten(tag):
+        url = F.replace(absolute_url(_href(tag), col_of(base)), F.lit('"'), F.lit("&quot;"))
+        return F.when(_href(tag).isNull(), tag).otherwise(F.concat(
+            F.regexp_extract(tag, HREF_IN_TAG, 1), F.lit('href="'), url, F.lit('"'), F.regexp_extract(tag, HREF_IN_TAG, 3)))
+
+    joined = F.array_join(F.zip_with(
+        F.split(html, A_TAG, -1), F.concat(F.transform(_a_tags(html), rewritten), F.array(F.lit(""))),
+        lambda text, tag: F.concat(text, tag)), "")
+    return F.when(html.rlike(A_TAG), joined).otherwise(html)

@@ -10,14 +10,51 @@ from __future__ import annotations
 import re
 
 
+#: Java flags that give classes (\\w, \\d, \\s, \\b) and line ends their Python meaning.
+PYTHON_FLAGS = "(?Ud)"
+_QUANTIFIER = re.compile(r"\{\d*(?:,\d*)?\}")
+
+
+def _literal_signs(pat: str) -> str:
+    """Braces that are no quantifier, and [ and && within a class, are literal in Python but not in Java."""
+    out, i, inside = [], 0, False
+    while i < len(pat):
+        c = pat[i]
+        if c == "\\":
+            out.append(pat[i:i + 2])
+            i += 2
+            continue
+        if not inside and c == "{":
+            m = _QUANTIFIER.match(pat, i)
+            if m and m[0] not in ("{}", "{,}") and i:
+                out.append("{0" + m[0][1:] if m[0][1] == "," else m[0])
+                i = m.end()
+                continue
+            out.append("\\{")
+        elif not inside and c == "[":
+            inside = True
+            first = re.match(r"\[\^?\]?", pat[i:])[0]  # a ] that comes first is literal
+            out.append(first.replace("]", "\\]"))
+            i += len(first)
+            continue
+        elif inside and c in "[&":
+            out.append("\\" + c)
+        else:
+            inside = inside and c != "]"
+            out.append(c)
+        i += 1
+    return "".join(out)
+
+
 def python_pattern_to_java(pat: str) -> str:
-    """Named groups and end anchors in Java spelling."""
+    """Named groups, end anchors and literal signs in Java spelling, with Python's meaning of classes."""
     if pat is None:
         return None
+    pat = _literal_signs(pat)
     pat = pat.replace("(?P<", "(?<")
     pat = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pat)
     pat = re.sub(r"(?<!\\)\\Z", r"\\z", pat)
-    return pat
+    return PYTHON_FLAGS + pat
 
 
 def python_replacement_to_java(rep: str) -> str:

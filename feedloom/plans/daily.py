@@ -43,10 +43,13 @@ RULE_COLS = ("skip_link_pats", "skip_title_pats", "allow_dup_titles", "allow_rep
 def run_day(entries: DataFrame, pages: DataFrame, rules: DataFrame, seen: DataFrame, state: DataFrame,
             run_ts, day: str, day_name: str, rule_key: str = "feed") -> dict[str, DataFrame]:
     """entries (ENTRY_SCHEMA + rule key), pages(url, html), rules, seen, state -> outputs."""
-    from feedloom.sources.rules import select_rules
+    from feedloom.sources.rules import prepare_rules, select_rules
     for c in ("content", "summary_detail", "summary", "description", "author"):
         if c not in entries.columns:
             entries = entries.withColumn(c, F.lit(None).cast("string"))
+    # patterns checked and in Spark's dialect; a small table, read by several outputs
+    checked, rej_rules = prepare_rules(cut_lineage(rules), rule_key)
+    rules = cut_lineage(checked)
     e = E.with_item_ids(entries)
     e = attach_rules(e, select_rules(rules, rule_key, *[c for c in RULE_COLS if c in rules.columns]),
                      on=rule_key)
@@ -125,6 +128,6 @@ def run_day(entries: DataFrame, pages: DataFrame, rules: DataFrame, seen: DataFr
                         F.lit(day_name).alias("day_name"), E.feed_title(F.lit(""), F.col("feed")).alias("title"))
     index = D.index_documents(blocks)
 
-    rejects = rej_entry.unionByName(rej_age).unionByName(missing).unionByName(rej_content)
+    rejects = rej_rules.unionByName(rej_entry).unionByName(rej_age).unionByName(missing).unionByName(rej_content)
     return {"items": items, "stories": story_pages, "index": index, "seen": new_seen, "state": new_state,
             "rejects": rejects}

@@ -181,6 +181,15 @@ FROM (SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, printf('u%04d', user
 # ---------------------------------------------------------------- messages
 def messages(spark, sf_dir):
     """A5: all rejects of a run (entry skips, content skips, unusable rules) by severity and stage."""
+    return D.message_summary(_run_rejects(spark, sf_dir))
+
+
+def message_log(spark, sf_dir):
+    """A5: every distinct message of a run with its count."""
+    return D.message_log(_run_rejects(spark, sf_dir))
+
+
+def _run_rejects(spark, sf_dir):
     from feedloom.operators.tokens import bad_node_specs
     from feedloom.plans.q_entries import _linked_entries
     e = E.with_item_ids(_linked_entries(spark, sf_dir))
@@ -189,7 +198,7 @@ def messages(spark, sf_dir):
     _, r1 = E.skip_filter(e)
     _, r2 = E.content_skip(e.withColumn("item_id", F.coalesce("item_id", F.lit(""))), "content")
     r3 = bad_node_specs(e.select("feed", F.explode("skip_nodes").alias("spec")))
-    return D.message_summary(r1.unionByName(r2).unionByName(r3))
+    return r1.unionByName(r2).unionByName(r3)
 
 
 def _messages_sql():
@@ -267,6 +276,7 @@ QUERIES = {
     "manifest_rows": manifest_rows,
     "daily_listing": daily_listing,
     "messages": messages,
+    "message_log": message_log,
     "url_feed": url_feed,
     "new_dirs": new_dirs,
 }
@@ -277,6 +287,9 @@ SQL = {
     "manifest_rows": SQL_MANIFEST,
     "daily_listing": SQL_LISTING,
     "messages": _messages_sql(),
+    "message_log": _messages_sql().replace(
+        "CAST(count(*) AS BIGINT) AS n, min(reason) AS first_reason FROM a GROUP BY severity, stage",
+        "reason, CAST(count(*) AS BIGINT) AS n FROM a GROUP BY severity, stage, reason"),
     "url_feed": SQL_URL_FEED,
     "new_dirs": SQL_NEW_DIRS,
 }

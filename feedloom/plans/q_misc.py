@@ -17,6 +17,7 @@ from feedloom.plans import fixtures as X
 from feedloom.plans.q_entries import _pages
 from feedloom.session import scratch_path
 from feedloom.sources import feeds as FD
+from feedloom.functions.regex import PYTHON_FLAGS
 from feedloom.sources.rules import prepare_rules, read_conf_rules
 from feedloom.sources.tables import read_table
 
@@ -181,8 +182,9 @@ def conf_rules(spark, sf_dir):
     rules, problems = prepare_rules(read_conf_rules(spark, f"{base}/conf"))
     bad = problems.groupBy("feed").agg(F.count(F.lit(1)).alias("n_bad"))
     return (rules.join(bad, "feed", "left")
-            .select("feed", "url", "levels", F.array_join("skip_link_pats", "|").alias("skip_link_pats"),
-                    F.array_join("page_start", "|").alias("page_start"), F.array_join("skip_pats", "|").alias("skip_pats"),
+            .select("feed", "url", "levels", *[
+                F.replace(F.array_join(c, "|"), F.lit(PYTHON_FLAGS), F.lit("")).alias(c)  # as written in the file
+                for c in ("skip_link_pats", "page_start", "skip_pats")],
                     "save_days", "skip_images", "nonlocal_images", "min_width",
                     F.coalesce("n_bad", F.lit(0)).cast("long").alias("n_bad")))
 

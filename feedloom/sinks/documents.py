@@ -120,6 +120,11 @@ def message_summary(rejects: DataFrame) -> DataFrame:
                                                     F.min("reason").alias("first_reason"))
 
 
+def message_log(rejects: DataFrame) -> DataFrame:
+    """A5: every message of a run by severity and stage, and how often it was given."""
+    return rejects.groupBy("severity", "stage", "reason").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
 def write_stories(stories: DataFrame, path: str) -> None:
     """One file per story page, partitioned by day and feed; rewriting a
     day replaces only the (day, feed) partitions present (dynamic overwrite)."""

@@ -236,6 +236,18 @@ PATTERN_LIST_KEYS = ("page_start", "page_end", "single_page_pats", "skip_pats",
                      "skip_title_pats", "skip_content_pats", "index_skip_content_pats")
 
 
+PATTERN_KEYS = ("multipage_pat",)
+PATTERN_PAIR_KEYS = ("story_url_rewrite", "url_substitute")
+SPEC_LIST_KEYS = ("skip_nodes",)
+REJECT_DDL = "feed string, item_id string, stage string, severity string, reason string"
+
+
+def _spec_pattern(spec: str) -> str:
+    """The value pattern of a node spec ('' without one), as far as its quotes go."""
+    value = spec.partition("=")[2].strip()
+    return value[1:-1] if len(value) > 1 and value[0] in "'\"" else value
+
+
 def _check_patterns(pats):
     """(valid patterns in Java spelling, problems) for one list of rule patterns."""
     from feedloom.functions.regex import pattern_error, python_pattern_to_java
@@ -258,39 +270,44 @@ def prepare_rules(rules: DataFrame, key: str = "feed") -> tuple[DataFrame, DataF
     replacement is translated ('\\1' -> '$1', literal '$' escaped).  Runs as
     one Arrow-batched pass over the (small) rules table.
     """
-    from feedloom.functions.regex import python_replacement_to_java
+    from feedloom.functions.regex import pattern_error, python_replacement_to_java
 
     lists = [k for k in PATTERN_LIST_KEYS if k in rules.columns]
-    out_t = T.StructType([T.StructField(k, T.ArrayType(T.StringType())) for k in lists]
-                         + [T.StructField("story_url_rewrite", T.ArrayType(T.StringType())),
-                            T.StructField("_problems", T.ArrayType(T.StringType()))])
+    one = [k for k in PATTERN_KEYS if k in rules.columns]
+    specs = [k for k in SPEC_LIST_KEYS if k in rules.columns]
+    pairs = [k for k in PATTERN_PAIR_KEYS if k in rules.columns]
+    keys = [*lists, *one, *specs, *pairs]
+    out_t = T.StructType([T.StructField(k, T.StringType() if k in one else T.ArrayType(T.StringType())) for k in keys]
+                         + [T.StructField("_problems", T.ArrayType(T.StringType()))])
 
     @F.pandas_udf(out_t)
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for vals in zip(*[pdf[k] for k in [*lists, "story_url_rewrite"]]):
+        for vals in zip(*[pdf[k] for k in keys]):
             rec, problems = {}, []
-            for k, pats in zip(lists, vals[:len(lists)]):
-                ok, bad = _check_patterns(pats)
-                rec[k] = ok
+            for k, v in zip(keys, vals):
+                given = ([v] if v else []) if k in one else list(v) if v is not None else []
+                if k in pairs and len(given) != 2:
+                    rec[k], bad = [], [f"needs 2 lines, has {len(given)}"] if given else []
+                elif k in pairs:
+                    ok, bad = _check_patterns(given[:1])
+                    rec[k] = ok + [python_replacement_to_java(given[1])] if ok else []
+                elif k in specs:
+                    # a node spec keeps its spelling; only specs whose pattern is sound stay
+                    bad = [f"{s}: {e}" for s in given if (e := pattern_error(_spec_pattern(s)))]
+                    rec[k] = [s for s in given if not pattern_error(_spec_pattern(s))]
+                else:
+                    ok, bad = _check_patterns(given)
+                    rec[k] = (ok[0] if ok else None) if k in one else ok
                 problems += [f"{k}: {b}" for b in bad]
-            pair = list(vals[len(lists)]) if vals[len(lists)] is not None else []
-            if len(pair) == 2:
-                ok, bad = _check_patterns(pair[:1])
-                rec["story_url_rewrite"] = ok + [python_replacement_to_java(pair[1])] if ok else []
-                problems += [f"story_url_rewrite: {b}" for b in bad]
-            else:
-                rec["story_url_rewrite"] = pair
-                if pair:
-                    problems.append(f"story_url_rewrite: needs 2 lines, has {len(pair)}")
             rec["_problems"] = problems
             rows.append(rec)
         return pd.DataFrame(rows, columns=[f.name for f in out_t.fields])
 
-    rw = F.col("story_url_rewrite") if "story_url_rewrite" in rules.columns else F.array().cast("array<string>")
-    checked = rules.withColumn("_chk", check(F.struct(*[F.col(k) for k in lists], rw.alias("story_url_rewrite"))))
-    fixed = checked.select(*[F.col(f"_chk.{c}").alias(c) if c in lists or c == "story_url_rewrite"
-                             else F.col(c) for c in rules.columns])
+    if not keys:
+        return rules, rules.sparkSession.createDataFrame([], REJECT_DDL)
+    checked = rules.withColumn("_chk", check(F.struct(*[F.col(k) for k in keys])))
+    fixed = checked.select(*[F.col(f"_chk.{c}").alias(c) if c in keys else F.col(c) for c in rules.columns])
     rejects = checked.select(F.col(key).alias("feed"), F.explode("_chk._problems").alias("reason")).select(
         "feed", F.lit(None).cast("string").alias("item_id"), F.lit("rules").alias("stage"),
         F.lit("warn").alias("severity"), "reason")

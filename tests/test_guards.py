@@ -119,3 +119,37 @@ def test_paths_and_checkpoint_folder(spark):
     base = ensure_checkpoint_dir(spark)
     assert base and ensure_checkpoint_dir(spark) == base
     assert path_exists(spark, "/root/testdata/sf0.001/pages.parquet") and not path_exists(spark, "/no/such")
+
+
+def test_links_of_all_quote_forms_and_only_in_a_tags(spark):
+    page = """<a href='/s'>1</a> <A class="x" HREF="/a">2</a><a href=/u>3</a><link href="/a"> href="/a" <a name=n>4</a><a title='a > b' href='q"r'>"""
+    df = spark.createDataFrame([(page, "http://h.test/"), ("none", "http://h.test/"), (None, "x")], "h string, b string")
+    got = [tuple(r) for r in df.select(H.hrefs(F.col("h")), H.absolute_links(F.col("h"), F.col("b"))).collect()]
+    assert got[0][0] == ["/s", "/a", "/u", 'q"r']
+    assert got[0][1] == ("""<a href="http://h.test/s">1</a> <A class="x" href="http://h.test/a">2</a><a href="http://h.test/u">3</a>"""
+                         """<link href="/a"> href="/a" <a name=n>4</a><a title='a > b' href="http://h.test/q&quot;r">""")
+    assert got[1][1] == "none" and got[2][1] is None
+
+
+PATTERNS = [r"{foo}", r"a{,2}b", r"[[]x", r"[a&&b]+", r"\w+", r"x.", r"[]y]z", r"(?P<q>\d)-(?P=q)", r"é\b", r"[^]a]"]
+
+
+@pytest.mark.parametrize("pat", PATTERNS)
+def test_rule_patterns_mean_what_python_means(spark, pat):
+    import re
+
+    from feedloom.functions.regex import python_pattern_to_java
+    texts = ["{foo} bar", "aab b", "[x", "&& a&b", "café x", "x\r\nx\n", "]z yz", "٣-٣ 4-4", "é e", "]abc"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(F.regexp_replace("t", python_pattern_to_java(pat), "#")).collect()]
+    assert got == [re.sub(pat, "#", t) for t in texts]
+
+
+def test_unsound_patterns_are_rejects(spark):
+    from feedloom.sources.rules import prepare_rules, rules_from_rows
+    rules = rules_from_rows(spark, [dict(feed="a", skip_nodes=['div class="["', 'p class="ad"'], multipage_pat="(",
+                                         url_substitute=["(", "x"], skip_pats=["{foo}"])])
+    fixed, rejects = prepare_rules(rules)
+    r = fixed.first()
+    assert (r.skip_nodes, r.multipage_pat, r.url_substitute) == (['p class="ad"'], None, [])
+    assert sorted(x.reason.split(":")[0] for x in rejects.collect()) == ["multipage_pat", "skip_nodes", "url_substitute"]

@@ -117,9 +117,9 @@ def test_prepare_rules_drops_bad_patterns_and_translates(spark):
     ])
     fixed, rejects = prepare_rules(rules)
     got = {r.feed: r for r in fixed.collect()}
-    assert got["a"].skip_pats == ["ok.*"]
-    assert got["a"].page_start == ["(?<x>a)\\z"]
-    assert got["a"].story_url_rewrite == ["(http)://x/(\\d+)", "$1s://y/$2?\\$"]
+    assert got["a"].skip_pats == ["(?Ud)ok.*"]
+    assert got["a"].page_start == ["(?Ud)(?<x>a)\\z"]
+    assert got["a"].story_url_rewrite == ["(?Ud)(http)://x/(\\d+)", "$1s://y/$2?\\$"]
     reasons = sorted(r.reason.split(":")[0] for r in rejects.collect())
     assert reasons == ["skip_pats", "story_url_rewrite"]
     # the translated pair works in Spark's regexp_replace
