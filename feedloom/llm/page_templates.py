@@ -52,7 +52,8 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong a span td th
 #: An element of the key kind is closed by the start of one of these.
 CLOSED_BY = {"p": BLOCK - {"body", "html", "title"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
              "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
-             "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
+             "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"},
+             "head": BLOCK - {"head", "html", "title"}, "nav": {"article", "main"}}
 CLOSERS = frozenset().union(*CLOSED_BY.values())
 #: Elements past which an implied close does not reach.
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
@@ -79,16 +80,28 @@ class Element:
         self.tag, self.box, self.kids, self.key = tag, box, [], 0
 
 
-def _is_box(attrs: str) -> bool:
-    """Whether class, id or role holds one of BOX_WORDS (whole words of the value, split at - and _)."""
+#: A hyphenated name that begins so tells of the page's layout, not of the element.
+LAYOUT_WORDS = frozenset("has is no not with without".split())
+
+
+def _names_box(word: str, prose: bool) -> bool:
+    """Whether a class, id or role names a box; text elements only by the whole word."""
+    if word in BOX_WORDS or prose:
+        return word in BOX_WORDS
+    parts = word.replace("_", "-").split("-")
+    return parts[0] not in LAYOUT_WORDS and (parts[0] in BOX_WORDS or parts[-1] in BOX_WORDS)
+
+
+def _is_box(tag: str, attrs: str) -> bool:
+    """Whether class, id or role of an element (never the page's or article's own) names what is no article text."""
     low = attrs.lower()
+    if tag in ("html", "body", "main"):
+        return False
     if "class" not in low and "id" not in low and "role" not in low and "hidden" not in low:
         return False
     for name, a, b, c in _ATTR.findall(low):
         if name in ("class", "id", "role"):
-            value = (a or b or c).split()
-            if any(w in BOX_WORDS or w.replace("_", "-").split("-")[0] in BOX_WORDS
-                   or w.replace("_", "-").split("-")[-1] in BOX_WORDS for w in value):
+            if any(_names_box(w, tag in PROSE) for w in (a or b or c).split()):
                 return True
         if name == "aria-hidden" and (a or b or c) == "true":
             return True
@@ -135,7 +148,7 @@ def parse(page: str) -> Element:
                 del stack[k:]
             elif open_tag in BLOCK and open_tag not in CLOSED_BY or open_tag in HOLDS.get(tag, ()):
                 break
-        own = Element(tag, _is_box(m[3]))
+        own = Element(tag, _is_box(tag, m[3]))
         stack[-1].kids.append(own)
         if m[3].endswith("/") and tag in RAW:
             continue
@@ -173,21 +186,22 @@ def hashed(e: Element, out: list[int]) -> None:
             out.append(x.key)
 
 
-def _first(top: Element, tag: str) -> list[Element]:
-    """The outermost elements of a kind, in page order."""
+def _first(top: Element, tag: str, boxes: bool = False) -> list[Element]:
+    """The outermost elements of a kind, in page order; with ``boxes`` also within boxes."""
     out, todo = [], [top]
     while todo:
         x = todo.pop()
-        if x.tag == tag:
+        if x.tag == tag and not x.box:
             out.append(x)
         else:
-            todo += [k for k in reversed(x.kids) if not isinstance(k, str) and not (k.tag in NO_TEXT or k.box)]
+            todo += [k for k in reversed(x.kids) if not isinstance(k, str) and k.tag not in NO_TEXT and (boxes or not k.box)]
     return out
 
 
 def text_of(top: Element, template: set[int]) -> str:
     """The article's blocks, without template subtrees and what is no article text."""
-    roots = _first(top, "article") or _first(top, "main") or [top]
+    # a page whose only article lies in what looks like a box still has that article
+    roots = (_first(top, "article") or _first(top, "main") or _first(top, "article", True) or _first(top, "main", True) or [top])
     blocks, piece = [], []
 
     def close():

@@ -119,6 +119,10 @@ def test_site_template_goes_and_article_stays(spark):
     ("<p class=it's>ok</p><script>var a='</p>'; if(a<b){}</script>z", "ok\nz"),
     ("<table><tr><td>a<td>b<tr><td>c</table><!-- x", "a\nb\nc"),
     ("<div class='cookie-notice'>c</div><section id='comments'><p>c</p></section><p>t</p>", "t"),
+    ("<html><head><title>t</title><body><p>b", "b"), ("<head><meta x><p>b", "b"), ("<nav><ul><li>n</ul><article>a", "a"),
+    ("<body class='has-sidebar'><div class='with-comments'><p>b</div><div class='left-sidebar'>s</div>", "b"),
+    ("<div class='header-layout'><article><h1 class='header-title'>T</h1><p>b</article></div>", "T\nb"),
+    ("<p>a</p><div id='disqus_thread'><article class=comment>c</article></div>", "a"),
     ("<p><b>T<br><p>u<p>v</b>w", "T\nu\nvw"), ("a < b &lt c", "a < b < c"), ("<ul><li>x<ul><li>y</ul><li>z</ul>", "x\ny\nz"),
 ])
 def test_parse(html, text):
