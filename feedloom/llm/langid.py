@@ -37,7 +37,9 @@ DIM = 8
 #: Expected labelled documents taken per language, and the most languages times that.
 PER_LANG = 700
 MOST_ROWS = 20_000
-PRECISION = 0.99
+PRECISION = 0.95
+#: Least probability that is accepted, in multiples of chance: texts that mix languages are unsure, but not rejected.
+CHANCE = 1.2
 
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[97:123] = IS_LETTER[128:] = True
@@ -103,7 +105,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, batch: int = 16, rate: float = 2.0,
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], steps: int = 1500, batch: int = 16, rate: float = 2.0,
           precision: float = PRECISION, seed: int = 7) -> Model | None:
     """Fit on (lang, distinct buckets, their counts); the order of ``rows`` must be fixed."""
     langs = sorted({r[0] for r in rows})
@@ -123,6 +125,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, batch
         idx, w = np.concatenate([rows[i][1] for i in ix]), np.concatenate([weight[i] for i in ix])
         return idx, w, np.add.reduceat(emb[idx] * w[:, None], starts, axis=0)
 
+    epochs = max(1, -(-steps * batch // max(1, len(learn))))  # about as many steps however few the rows are
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         rng.shuffle(learn)
@@ -154,7 +157,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 6, batch
         good = np.cumsum(right[down]) / np.arange(1, len(t) + 1) >= precision
         if not good[-1]:
             model.threshold = float(conf[down][np.flatnonzero(good)[-1]]) if good.any() else 1.0
-        model.threshold = max(model.threshold, min(0.5, 1.5 / len(langs)))  # and never near chance
+        model.threshold = max(model.threshold, min(0.5, CHANCE / len(langs)))  # and never near chance
     return model
 
 
