@@ -1,40 +1,33 @@
-"""HTML as a token table, and the tree operators built on it.
-
-``html_tokens`` explodes a page into (page_id, pos, tok, tag, kind, level):
-script/style elements and comments stay single tokens, so '</p>' inside a
-script never closes anything.
-
-Physical plan: the pages are hash-partitioned by page once, before the
-explode, so every later window (all keyed by page first) and the final
-per-page reassembly run without another shuffle - only sorts inside each
-partition.  No token is ever paired with every interval (no range join):
-element extents come from same-tag nesting levels, the matching close is
-the next open/close token of the same (tag, level), and "inside a matched
-element" is a running count of starts minus ends.
-
-Contract for malformed HTML: void tags (br, img, input, meta, link, source,
-hr, base, ...) and self-closing tags have no subtree; an element that is
-never closed extends to the end of the document; nothing is re-serialised
-or pretty-printed.  A stray '<' that opens no tag is a text token, so the
-tokens always spell the whole page.
+"""HTML as tokens, and the tree operators built on them.
+
+The tree operators work on one page per row: its tokens and the extents of its
+elements are found by ``functions.tree`` inside Arrow batches, so no page is
+exploded, shuffled or sorted, and pages that a step cannot touch reach Python
+as nulls.  ``html_tokens`` is the token table itself, for analysis.
+
+Contract for malformed HTML: see ``functions.tree``.  An element that is never
+closed ends with its parent, or where the start of another element implies its
+end (``p``, ``li``, ``td``, ``option``, ...); nothing is re-serialised or
+pretty-printed.  A null page stays null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from feedloom.functions.common import col_of, rx_extract
+from feedloom.functions import tree
+from feedloom.functions.common import col_of, empty_str_array, rx_extract
+from feedloom.functions.tree import VOID_TAGS
+from feedloom.session import ship_package
 
-# Token pattern and void elements.
+# Token pattern.
 TOKEN_RE = r"(?is:<script\b.*?</script\s*>|<style\b.*?</style\s*>)|<!--(?s:.*?)-->|<[^>]*>|[^<]+|<"
-VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
-             "param", "source", "track", "wbr"]
 
-# Node spec: 'tag attr="regex"' (the attribute part is required).
-NODE_SPEC_RE = r"""^\s*([a-zA-Z\d]+)\s+(?:([a-zA-Z]+)\s*=\s*['"](.*)['"])"""
-BARE_TAG_RE = r"^\s*([A-Za-z][A-Za-z0-9]*)\s*$"
-NEVER = 1 << 30
+# Node spec: a tag and an attribute with a quoted value (for the check that it has one).
+NODE_SPEC_RE = r"""^\s*([A-Za-z][A-Za-z0-9]*|[*])\s+([A-Za-z][-A-Za-z0-9_:]*)\s*=\s*(?:"([^"]*)"|'[^']*')"""
 
 # Tag name and token kind (text, comment, decl, close, raw, void, open), as SQL.
 TAG_RE = "^</?([A-Za-z][A-Za-z0-9]*)"
@@ -50,7 +43,7 @@ KIND_SQL = ("CASE WHEN NOT startswith(tok, '<') THEN 'text' "
 
 def html_tokens(pages: DataFrame, html_col: str = "html", key: str = "page_id",
                 keep=()) -> DataFrame:
-    """Explode pages into tokens with tag, kind and same-tag nesting level.
+    """Explode pages into tokens with tag, kind and same-tag nesting level (one shuffle, by page).
 
     kind: text, comment, decl, raw (script/style), void, open, close.
     ``level`` of an open tag is the depth after it opens; of a close tag the
@@ -67,42 +60,14 @@ def html_tokens(pages: DataFrame, html_col: str = "html", key: str = "page_id",
     return toks.selectExpr("*", f"CAST(CASE WHEN kind = 'close' THEN {depth} + 1 ELSE {depth} END AS INT) AS level")
 
 
-def with_spans(tokens: DataFrame, start_col: str, key: str = "page_id") -> DataFrame:
-    """Adds ``inside``: the token lies in the subtree of a token flagged ``start_col``.
-
-    The matching close of an open is the next open/close token of the same
-    (tag, level); a void or self-closing start covers itself; a start never
-    closed covers the rest of the page.  Nested and overlapping spans count.
-    """
-    st, k = f"`{start_col}`", f"`{key}`"
-    lvl = f"OVER (PARTITION BY {k}, tag, level, kind IN ('open', 'close') ORDER BY pos)"
-    ends = (f"coalesce((kind = 'close' AND lag(kind) {lvl} = 'open' AND coalesce(lag({st}) {lvl}, false)) "
-            f"OR (kind = 'void' AND {st}), false)")
-    run = f"OVER (PARTITION BY {k} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND "
-    return (tokens.selectExpr("*", f"{ends} AS _ends")
-            .selectExpr("*", f"sum(CAST({st} AS INT)) {run}CURRENT ROW) "
-                             f"- coalesce(sum(CAST(_ends AS INT)) {run}1 PRECEDING), 0) > 0 AS inside")
-            .drop("_ends"))
-
-
 def parse_node_spec(spec) -> tuple[Column, Column, Column]:
-    """(tag, attr, value regex) of a 'tag attr="regex"' spec; '' parts when it does not parse."""
+    """(tag, attr, double-quoted value) of a 'tag attr="regex"' spec; '' parts when it does not parse."""
     s = col_of(spec)
     return (F.lower(F.regexp_extract(s, NODE_SPEC_RE, 1)),
             F.lower(F.regexp_extract(s, NODE_SPEC_RE, 2)),
             F.regexp_extract(s, NODE_SPEC_RE, 3))
 
 
-def parsed_specs(specs) -> Column:
-    """ARRAY<STRING> of specs -> ARRAY<STRUCT<no, bare, tag, attr, rx>> (bare = tag-only spec)."""
-    return F.transform(F.coalesce(col_of(specs), F.array().cast("array<string>")), lambda s, i: F.struct(
-        i.alias("no"),
-        F.lower(F.regexp_extract(s, BARE_TAG_RE, 1)).alias("bare"),
-        F.lower(F.regexp_extract(s, NODE_SPEC_RE, 1)).alias("tag"),
-        F.lower(F.regexp_extract(s, NODE_SPEC_RE, 2)).alias("attr"),
-        F.regexp_extract(s, NODE_SPEC_RE, 3).alias("rx")))
-
-
 def attr_value(tok, attr) -> Column:
     """Value of attribute ``attr`` (a column) in a tag token; null when absent."""
     tok = col_of(tok)
@@ -113,63 +78,68 @@ def attr_value(tok, attr) -> Column:
     return F.when(has, F.when(dq != "", dq).when(sq != "", sq).otherwise(bare))
 
 
-def spec_hits(tok, tag, specs, mode: str = "search") -> Column:
-    """Specs (parsed) that the tag token matches.
+def _in_row(fn, returns):
+    """A step on one page (and its specs) as a Column function; each batch parses each list of specs once."""
+    @F.pandas_udf(returns)
+    def step(html: pd.Series, specs: pd.Series) -> pd.Series:
+        known: dict = {}
+        out = []
+        for page, given in zip(html, specs):
+            key = tuple(given) if given is not None else ()
+            if key not in known:
+                known[key] = fn.ready(key)
+            out.append(fn(page, known[key]))
+        return pd.Series(out, dtype=object)
 
-    mode 'search': 'tag attr="regex"' with a regex search on the value
-    (skip_nodes); tag-only specs never match.  mode 'equal': the value must
-    equal the spec value or one of its space-separated tokens, and a
-    tag-only spec matches by tag (containers).
-    """
-    tok, tag = col_of(tok), col_of(tag)
+    # never evaluated twice: a later filter is not pushed below it
+    return step.asNondeterministic()
 
-    def hit(s):
-        val = attr_value(tok, s["attr"])
-        with_attr = (s["tag"] != "") & (s["attr"] != "") & (tag == s["tag"])
-        if mode == "search":
-            return with_attr & F.coalesce(F.regexp_like(val, s["rx"]), F.lit(False))
-        same = (val == s["rx"]) | F.exists(F.split(F.coalesce(val, F.lit("")), r"\s+"), lambda v: v == s["rx"])
-        return ((s["bare"] != "") & (tag == s["bare"])) | (with_attr & F.coalesce(same, F.lit(False)))
 
-    return F.filter(col_of(specs), hit)
+class _Step:
+    """A function of ``functions.tree`` with its way to read specs."""
 
+    def __init__(self, fn, equal: bool = False):
+        self.fn, self.equal = fn, equal
 
-def reassemble(tokens: DataFrame, key: str = "page_id", out: str = "html", keep_col: str | None = None,
-               carry=()) -> DataFrame:
-    """Concatenate the kept tokens of each page in position order.
+    def ready(self, specs):
+        return tree.Specs(specs, self.equal)
 
-    Groups by page, which the token table is already partitioned by, so no
-    shuffle is added.  ``carry`` columns (constant per page) ride along.
-    """
-    item = F.struct("pos", "tok")
-    if keep_col is not None:
-        item = F.when(F.col(keep_col), item)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["tok"]), "")
-    return tokens.groupBy(key).agg(text.alias(out), *[F.first(c).alias(c) for c in carry])
+    def __call__(self, page, specs):
+        return self.fn(page, specs)
+
+
+class _Plain(_Step):
+    def ready(self, specs):
+        return None
 
+    def __call__(self, page, specs):
+        return self.fn(page)
 
-def delete_nodes(pages: DataFrame, specs_col: str = "skip_nodes", key: str = "page_id",
-                 html_col: str = "html") -> DataFrame:
+
+LINKS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("href", T.StringType()),
+                                  T.StructField("text", T.StringType())]))
+
+
+def _applied(pages: DataFrame, html_col: str, value: Column) -> DataFrame:
+    """``pages`` with a new html column, the columns in their order."""
+    ship_package(pages.sparkSession)
+    return pages.select(*[value.alias(html_col) if c == html_col else F.col(f"`{c}`") for c in pages.columns])
+
+
+def delete_nodes(pages: DataFrame, specs_col: str = "skip_nodes", html_col: str = "html") -> DataFrame:
     """H3: remove every element matching a node spec of the page's site, with its subtree.
 
     ``specs_col`` is an ARRAY<STRING> column on the pages (the site's
-    skip_nodes).  Pages whose html names none of the spec tags skip
-    tokenising and are passed through; specs without an attribute match
-    nothing (see ``bad_node_specs``).
+    skip_nodes): 'tag attr="regex" ...', the tag ``*`` naming any.  Only pages
+    whose html names a spec's tag go to Python; specs without an attribute
+    match nothing (see ``bad_node_specs``).
     """
-    sp = parsed_specs(F.col(specs_col))
-    usable = F.filter(sp, lambda s: (s["tag"] != "") & (s["attr"] != ""))
-    guard = F.coalesce(F.exists(usable, lambda s: F.regexp_like(
-        F.col(html_col), F.concat(F.lit("(?i)<"), s["tag"], F.lit(r"\b")))), F.lit(False))
-    tagged = pages.withColumn("_specs", usable).withColumn("_work", guard)
-    carry = [c for c in pages.columns if c not in (key, html_col)]
-    toks = html_tokens(tagged.filter("_work"), html_col, key, keep=[*carry, "_specs"])
-    toks = toks.withColumn("_start", F.col("kind").isin("open", "void")
-                           & (F.size(spec_hits("tok", "tag", F.col("_specs"))) > 0))
-    spans = with_spans(toks, "_start", key).withColumn("_keep", ~F.col("inside"))
-    cleaned = reassemble(spans, key, html_col, "_keep", carry=carry)
-    return cleaned.select(*pages.columns).unionByName(
-        tagged.filter(~F.col("_work")).select(*pages.columns))
+    specs, html = F.col(f"`{specs_col}`"), F.col(f"`{html_col}`")
+    names = F.transform(F.coalesce(specs, empty_str_array()), lambda s: F.regexp_extract(s, NODE_SPEC_RE, 1))
+    work = F.coalesce(F.exists(names, lambda t: (t == "*") | (t != "") & F.regexp_like(
+        html, F.concat(F.lit("(?i)<"), F.replace(t, F.lit("*"), F.lit("")), F.lit(r"\b")))), F.lit(False))
+    cleaned = _in_row(_Step(tree.without), T.StringType())(F.when(work, html), specs)
+    return _applied(pages, html_col, F.coalesce(cleaned, html))
 
 
 def bad_node_specs(specs: DataFrame, name: str = "feed") -> DataFrame:
@@ -181,90 +151,42 @@ def bad_node_specs(specs: DataFrame, name: str = "feed") -> DataFrame:
                     F.concat(F.lit("unusable skip_nodes spec: "), F.col("spec")).alias("reason")))
 
 
-def keep_container(pages: DataFrame, specs_col: str, key: str = "page_id", html_col: str = "html") -> DataFrame:
+def keep_container(pages: DataFrame, specs_col: str, html_col: str = "html") -> DataFrame:
     """Keep only the first element of the first spec (list order) that
     matches anything on the page; pages with no match keep everything.
 
-    ``specs_col`` is an ARRAY<STRING>: 'tag attr="value"' or a bare tag.
+    ``specs_col`` is an ARRAY<STRING>: 'tag attr="value"' (the value, or one of
+    its words; the tag ``*`` names any) or a bare tag.
     """
-    work = pages.withColumn("_specs", parsed_specs(F.col(specs_col)))
-    toks = html_tokens(work, html_col, key,
-                       keep=[*[c for c in pages.columns if c not in (key, html_col)], "_specs"])
-    best = F.array_min(F.transform(spec_hits("tok", "tag", F.col("_specs"), "equal"), lambda s: s["no"]))
-    toks = toks.withColumn("_no", F.when(F.col("kind") == "open", best))
-    rank = F.when(F.col("_no").isNotNull(), F.struct(F.col("_no"), F.col("pos")))
-    toks = toks.withColumn("_rank", rank)
-    first = F.min("_rank").over(Window.partitionBy(key))
-    toks = toks.withColumn("_start", F.coalesce(F.col("_rank") == first, F.lit(False)))
-    spans = with_spans(toks, "_start", key)
-    carry = [c for c in pages.columns if c not in (key, html_col)]
-    return reassemble(spans, key, html_col, "inside", carry=carry).select(*pages.columns)
-
-
-def first_html_body(pages: DataFrame, key: str = "page_id", html_col: str = "html") -> DataFrame:
-    """H7: keep the first html and body tags; later html/body tags are unwrapped."""
-    carry = [c for c in pages.columns if c not in (key, html_col)]
-    toks = html_tokens(pages, html_col, key, keep=carry)
-    w = Window.partitionBy(key, "tag", "kind").orderBy("pos")
-    marked = toks.withColumn("_n", F.when(F.col("tag").isin("html", "body") & F.col("kind").isin("open", "close"),
-                                          F.row_number().over(w)))
-    marked = marked.withColumn("_keep", F.col("_n").isNull() | (F.col("_n") == 1))
-    return reassemble(marked, key, html_col, "_keep", carry=carry).select(*pages.columns)
+    return _applied(pages, html_col, _in_row(_Step(tree.container, equal=True), T.StringType())(
+        F.col(f"`{html_col}`"), F.col(f"`{specs_col}`")))
+
+
+def first_html_body(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """H7: keep the first html and body tags; later html/body tags are unwrapped.
+
+    Pages with one start and one end tag of each at most do not go to Python.
+    """
+    html = F.col(f"`{html_col}`")
+    again = html.rlike(r"(?is)<(/?(?:html|body))\b.*<\1\b")
+    fixed = _in_row(_Plain(tree.one_body), T.StringType())(F.when(again, html), empty_str_array())
+    return _applied(pages, html_col, F.coalesce(fixed, html))
 
 
 def container_links(pages: DataFrame, specs_col: str, key: str = "page_id", html_col: str = "html") -> DataFrame:
     """S3: every a[href] inside any container matching a spec, with its text.
 
-    Returns (key, pos, href, text): one entry per link (Q11 intended).
+    Returns (key, pos, href, text): one entry per link (Q11 intended); pos is
+    the number of the link's token on the page.
     """
-    work = pages.select(key, html_col, parsed_specs(F.col(specs_col)).alias("_specs"))
-    toks = html_tokens(work, html_col, key, keep=["_specs"])
-    toks = toks.withColumn("_start", (F.col("kind") == "open")
-                           & (F.size(spec_hits("tok", "tag", F.col("_specs"), "equal")) > 0))
-    toks = with_spans(toks, "_start", key)
-    is_a_open = (F.col("tag") == "a") & (F.col("kind") == "open")
-    w_run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    a_delta = F.when(is_a_open, 1).when((F.col("tag") == "a") & (F.col("kind") == "close"), -1).otherwise(0)
-    toks = (toks.withColumn("_adepth", F.sum(a_delta).over(w_run))
-            .withColumn("_owner", F.max(F.when(is_a_open, F.col("pos"))).over(w_run)))
-    links = (toks.filter(is_a_open & F.col("inside"))
-             .withColumn("href", attr_value(F.col("tok"), F.lit("href")))
-             .filter(F.col("href").isNotNull())
-             .select(key, F.col("pos"), "href"))
-    texts = (toks.filter((F.col("kind") == "text") & (F.col("_adepth") > 0) & F.col("inside"))
-             .groupBy(key, F.col("_owner").alias("pos"))
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))),
-                                           lambda s: s["tok"]), "").alias("text")))
-    return (links.join(texts, [key, "pos"], "left")
-            .select(key, "pos", "href", F.trim(F.coalesce(F.col("text"), F.lit(""))).alias("text")))
-
-
-def repair_excerpt(pages: DataFrame, key: str = "page_id", html_col: str = "html") -> DataFrame:
+    ship_package(pages.sparkSession)
+    links = _in_row(_Step(tree.links_in, equal=True), LINKS)(F.col(f"`{html_col}`"), F.col(f"`{specs_col}`"))
+    return pages.select(F.col(f"`{key}`"), links.alias("_links")).select(f"`{key}`", F.inline("_links"))
+
+
+def repair_excerpt(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """H18 tag repair of a cut excerpt: drop the first h1 element, append ' ...'
     to the last text (or ' [...]' when there is none) and close every element
-    left open, innermost first, at the end.  Per page windows only."""
-    carry = [c for c in pages.columns if c not in (key, html_col)]
-    toks = html_tokens(pages, html_col, key, keep=carry)
-    page = Window.partitionBy(key)
-    is_h1_open = (F.col("tag") == "h1") & (F.col("kind") == "open")
-    toks = toks.withColumn("_start", is_h1_open & (F.col("pos") == F.min(F.when(is_h1_open, F.col("pos"))).over(page)))
-    toks = with_spans(toks, "_start", key)
-    is_oc = F.col("kind").isin("open", "close")
-    w_lvl = Window.partitionBy(key, "tag", "level", is_oc).orderBy("pos")
-    unclosed = (F.col("kind") == "open") & F.coalesce(F.lead("kind").over(w_lvl) != "close", F.lit(True)) \
-        & ~F.col("inside")
-    last_text = F.max(F.when((F.col("kind") == "text") & ~F.col("inside"), F.col("pos"))).over(page)
-    toks = (toks.withColumn("_unclosed", unclosed).withColumn("_last", last_text)
-            .withColumn("tok", F.when(F.col("pos") == F.col("_last"), F.concat(F.col("tok"), F.lit(" ...")))
-                        .otherwise(F.col("tok"))))
-    item = F.when(~F.col("inside"), F.struct("pos", "tok"))
-    closer = F.when(F.col("_unclosed"), F.struct((-F.col("pos")).alias("npos"), F.col("tag")))
-    agg = toks.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["tok"]), "").alias("_body"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(closer)),
-                                 lambda s: F.concat(F.lit("</"), s["tag"], F.lit(">"))), "").alias("_close"),
-        F.max("_last").isNotNull().alias("_has_text"),
-        *[F.first(c).alias(c) for c in carry])
-    html = F.concat(F.col("_body"), F.col("_close"),
-                    F.when(F.col("_has_text"), F.lit("")).otherwise(F.lit(" [...]")))
-    return agg.select(key, html.alias(html_col), *carry).select(*pages.columns)
+    left open, innermost first, at the end."""
+    return _applied(pages, html_col, _in_row(_Plain(tree.repaired), T.StringType())(
+        F.col(f"`{html_col}`"), empty_str_array()))

@@ -99,12 +99,9 @@ def run_day(entries: DataFrame, pages: DataFrame, rules: DataFrame, seen: DataFr
                           host=url_host(F.col("link")))
     stories = steps(stories, "page_html", lambda h: H.crop_start(h, "page_start"),
                     lambda h: H.crop_end(h, "page_end"), lambda h: H.excise(h, "skip_pats"), H.drop_elements)
-    story_key = F.concat_ws("#", F.col("feed"), F.col("item_no").cast("string"))
-    cleaned = TK.delete_nodes(stories.select(story_key.alias("story_key"), "feed", "item_no", "title", "link",
-                                             F.col("page_html").alias("html"), "skip_nodes", "base", "host",
-                                             "skip_images", "skip_links", "max_srcset_size", "nonlocal_images",
-                                             "block_nonlocal_images", "alt_domains"),
-                              "skip_nodes", key="story_key")
+    cleaned = TK.delete_nodes(stories.select("feed", "item_no", "item_id", "title", "link", F.col("page_html").alias("html"),
+                                             "skip_nodes", "base", "host", "skip_images", "skip_links", "max_srcset_size",
+                                             "nonlocal_images", "block_nonlocal_images", "alt_domains"), "skip_nodes")
     # H4 unwrap, H6 images, H8 links, H11 styles, H10 absolute links, I1-I7
     # image references (when images are kept), H22 body, H20 no content
     cleaned = steps(cleaned, "html", H.unwrap_tags, lambda h: H.drop_images(h, "skip_images"),

@@ -57,7 +57,7 @@ SELECT page_id, {_drop_elements_sql(excise_sql('skip_pats', 'html'))} AS html FR
 
 # --------------------------------------------------------------- node_delete
 def node_delete(spark, sf_dir):
-    """H3: delete skip_nodes elements with their subtrees (token table + coverage counts)."""
+    """H3: delete skip_nodes elements with their subtrees."""
     p = _pages_with_rules(spark, sf_dir, "skip_nodes")
     return TK.delete_nodes(p.select("page_id", "html", "skip_nodes"), "skip_nodes").select("page_id", "html")
 
@@ -193,9 +193,9 @@ ends AS ({ends_sql('t')}),
 navs AS (SELECT t.page_id, t.pos AS start, coalesce(e.end_pos, {1 << 30}) AS stop
          FROM t LEFT JOIN ends e USING (page_id, pos) WHERE t.kind = 'open' AND t.tag = 'nav'),
 inside AS (SELECT * FROM ({covered_sql('t', 'navs')}) c WHERE inside),
-links AS (SELECT i.page_id, i.pos AS start, coalesce(e.end_pos, i.pos) AS stop,
+links AS (SELECT i.page_id, i.pos AS start, coalesce(e.end_pos, {1 << 30}) AS stop,
                  regexp_extract(i.tok, '(?i)\\shref\\s*=\\s*"([^"]*)"', 1) AS href
-          FROM inside i LEFT JOIN ({ends_sql("(SELECT * FROM t WHERE tag = 'a')")}) e USING (page_id, pos)
+          FROM inside i LEFT JOIN ends e USING (page_id, pos)
           WHERE i.tag = 'a' AND i.kind = 'open' AND regexp_matches(i.tok, '(?i)\\shref\\s*=')),
 texts AS (SELECT * FROM ({covered_sql("(SELECT * FROM t WHERE kind = 'text')", 'links')}) c WHERE inside),
 owned AS (SELECT l.page_id, l.start, tx.pos, tx.tok FROM texts tx
@@ -490,18 +490,13 @@ t0 AS ({tokens_sql('cut')}),
 t1 AS (SELECT *, tag = 'h1' AND kind = 'open'
                  AND pos = min(CASE WHEN tag = 'h1' AND kind = 'open' THEN pos END) OVER (PARTITION BY page_id) AS st
        FROM t0),
-ends AS (SELECT page_id, pos,
-                CASE WHEN lead(kind) OVER (PARTITION BY page_id, tag, level ORDER BY pos) = 'close'
-                     THEN lead(pos) OVER (PARTITION BY page_id, tag, level ORDER BY pos) END AS end_pos
-         FROM t1 WHERE kind IN ('open', 'close')),
+ends AS ({ends_sql('t1')}),
 iv AS (SELECT t1.page_id, t1.pos AS start, coalesce(e.end_pos, {1 << 30}) AS stop
        FROM t1 LEFT JOIN ends e USING (page_id, pos) WHERE t1.st),
 cov AS ({covered_sql('t1', 'iv')}),
-oc AS (SELECT page_id, pos, kind, coalesce(lead(kind) OVER (PARTITION BY page_id, tag, level ORDER BY pos) <> 'close', true)
-              AS no_close FROM cov WHERE kind IN ('open', 'close')),
-m AS (SELECT c.*, coalesce(o.no_close AND c.kind = 'open', false) AND NOT c.inside AS unclosed,
+m AS (SELECT c.*, c.kind = 'open' AND o.end_pos IS NULL AND NOT c.inside AS unclosed,
              max(CASE WHEN c.kind = 'text' AND NOT c.inside THEN c.pos END) OVER (PARTITION BY c.page_id) AS last_t
-      FROM cov c LEFT JOIN oc o USING (page_id, pos)),
+      FROM cov c LEFT JOIN ends o USING (page_id, pos)),
 a AS (SELECT page_id,
         coalesce(string_agg(CASE WHEN pos = last_t THEN tok || ' ...' ELSE tok END, '' ORDER BY pos)
                  FILTER (WHERE NOT inside), '')

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from feedloom.operators.tokens import TOKEN_RE, VOID_TAGS
+from feedloom.functions.tree import CLOSED_BY, HELD_BY, INLINE_TAGS, VOID_TAGS
+from feedloom.operators.tokens import TOKEN_RE
 
 
 def q(s: str) -> str:
@@ -37,15 +38,42 @@ FROM (
 """
 
 
+def _any_of(x: str, tags) -> str:
+    return f"{x} IN ({', '.join(q(t) for t in tags)})" if tags else "FALSE"
+
+
 def ends_sql(tokens: str, key: str = "page_id") -> str:
-    """CTE body: (key, pos, end_pos) of open tags (twin of ``element_ends``)."""
+    """CTE body: (key, pos, end_pos) of open tags; end_pos is null where the page ends first.
+
+    A recursive walk over the tags of each page: ``st`` are the open elements,
+    ``c`` the first of them that the next tag ends.
+    """
+    closes = "CASE st[i] " + " ".join(f"WHEN {q(x)} THEN {_any_of('tag', by)}" for x, by in CLOSED_BY.items()) + " ELSE FALSE END"
+    held = ("CASE st[i] WHEN 'p' THEN NOT " + _any_of("y", INLINE_TAGS) + " "
+            + " ".join(f"WHEN {q(x)} THEN {_any_of('y', by)}" for x, by in HELD_BY.items()) + " ELSE FALSE END")
+    every = "generate_series(1, len(st))"
+    free = f"len(list_filter(st[i + 1:], lambda y: {held})) = 0"
+    implied = f"list_min(list_filter({every}, lambda i: {closes} AND {free}))"
+    same = (f"list_max(list_filter({every}, lambda i: st[i] = tag AND (NOT {_any_of('tag', INLINE_TAGS)} "
+            f"OR len(list_filter(st[i + 1:], lambda y: NOT {_any_of('y', INLINE_TAGS)})) = 0)))")
     return f"""
-SELECT {key}, pos, end_pos FROM (
-  SELECT {key}, pos, kind,
-         CASE WHEN lead(kind) OVER w = 'close' THEN lead(pos) OVER w END AS end_pos
-  FROM {tokens} WHERE kind IN ('open', 'close')
-  WINDOW w AS (PARTITION BY {key}, tag, level ORDER BY pos)) x
-WHERE kind = 'open'
+SELECT * FROM (
+WITH RECURSIVE oc AS (SELECT {key}, pos, tag, kind, row_number() OVER (PARTITION BY {key} ORDER BY pos) AS n
+                      FROM {tokens} WHERE kind IN ('open', 'close', 'void')),
+walk AS (
+  SELECT DISTINCT {key}, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS st, CAST([] AS INTEGER[]) AS sp,
+         CAST([] AS STRUCT(p INTEGER, e INTEGER)[]) AS done FROM oc
+  UNION ALL
+  SELECT {key}, n, CASE WHEN kind = 'open' THEN list_append(st[1:c - 1], tag) ELSE st[1:c - 1] END,
+         CASE WHEN kind = 'open' THEN list_append(sp[1:c - 1], pos) ELSE sp[1:c - 1] END,
+         list_transform(generate_series(c, len(st)), lambda i: {{'p': sp[i],
+           'e': CAST(CASE WHEN kind = 'close' AND i = c THEN pos ELSE pos - 1 END AS INTEGER)}})
+  FROM (SELECT oc.{key}, oc.n, oc.pos, oc.tag, oc.kind, walk.st, walk.sp,
+               CAST(coalesce(CASE WHEN kind = 'close' THEN {same} ELSE {implied} END, len(st) + 1) AS BIGINT) AS c
+        FROM walk JOIN oc ON oc.{key} = walk.{key} AND oc.n = walk.n + 1) step),
+ended AS (SELECT {key}, unnest(done) AS d FROM walk)
+SELECT oc.{key}, oc.pos, ended.d.e AS end_pos
+FROM oc LEFT JOIN ended ON ended.{key} = oc.{key} AND ended.d.p = oc.pos WHERE oc.kind = 'open') ends_of_pages
 """
 
 

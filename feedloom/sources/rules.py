@@ -242,10 +242,12 @@ SPEC_LIST_KEYS = ("skip_nodes",)
 REJECT_DDL = "feed string, item_id string, stage string, severity string, reason string"
 
 
-def _spec_pattern(spec: str) -> str:
-    """The value pattern of a node spec ('' without one), as far as its quotes go."""
-    value = spec.partition("=")[2].strip()
-    return value[1:-1] if len(value) > 1 and value[0] in "'\"" else value
+def _spec_errors(spec: str) -> list[str]:
+    """What is wrong with the value patterns of a node spec (nothing, when it has none)."""
+    from feedloom.functions.regex import pattern_error
+    from feedloom.functions.tree import parse_spec
+    parsed = parse_spec(spec)
+    return [e for _, v in (parsed[1] if parsed else []) if (e := pattern_error(v))]
 
 
 def _check_patterns(pats):
@@ -270,7 +272,7 @@ def prepare_rules(rules: DataFrame, key: str = "feed") -> tuple[DataFrame, DataF
     replacement is translated ('\\1' -> '$1', literal '$' escaped).  Runs as
     one Arrow-batched pass over the (small) rules table.
     """
-    from feedloom.functions.regex import pattern_error, python_replacement_to_java
+    from feedloom.functions.regex import python_replacement_to_java
 
     lists = [k for k in PATTERN_LIST_KEYS if k in rules.columns]
     one = [k for k in PATTERN_KEYS if k in rules.columns]
@@ -294,8 +296,8 @@ def prepare_rules(rules: DataFrame, key: str = "feed") -> tuple[DataFrame, DataF
                     rec[k] = ok + [python_replacement_to_java(given[1])] if ok else []
                 elif k in specs:
                     # a node spec keeps its spelling; only specs whose pattern is sound stay
-                    bad = [f"{s}: {e}" for s in given if (e := pattern_error(_spec_pattern(s)))]
-                    rec[k] = [s for s in given if not pattern_error(_spec_pattern(s))]
+                    bad = [f"{s}: {e}" for s in given for e in _spec_errors(s)]
+                    rec[k] = [s for s in given if not _spec_errors(s)]
                 else:
                     ok, bad = _check_patterns(given)
                     rec[k] = (ok[0] if ok else None) if k in one else ok
