@@ -206,6 +206,20 @@ def multipage_links(html, pat) -> Column:
         F.array_distinct(F.filter(hrefs(html), lambda h: F.regexp_like(h, p))))
 
 
+# ------------------------------------------------------------------- H15
+def single_page_link(html, url, pats) -> Column:
+    """The page's reference to its single-page version, as written; null without one.
+
+    The refresh target, else the first link of the first pattern (in list
+    order) that matches any; the page's own URL is none.
+    """
+    html, url = col_of(html), col_of(url)
+    refresh = F.nullif(meta_refresh_url(html), F.lit(""))
+    found = F.flatten(F.transform(F.coalesce(col_of(pats), empty_str_array()), lambda p: F.slice(
+        F.filter(hrefs(html), lambda h: F.regexp_like(h, p) & (h != url)), 1, 1)))
+    return F.coalesce(F.when(refresh != url, refresh), F.try_element_at(found, F.lit(1)))
+
+
 # ------------------------------------------------------------- H18 H20
 def cut_excerpt(html, size) -> Column:
     """H18 (plain-text part): first ``size`` characters when size > 0, a dangling

@@ -14,6 +14,7 @@ Nothing is re-serialised: tokens joined always spell the page.
 from __future__ import annotations
 
 import re
+import shlex
 from collections import Counter
 
 # Void elements, inline elements, and elements that a start tag ends.
@@ -161,13 +162,29 @@ def _attr_rx(name: str) -> re.Pattern:
     return re.compile(rf"""\s{re.escape(name)}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*))""", re.I)
 
 
+def parse_index(spec: str | None) -> tuple[str, list[tuple[str, str]]] | None:
+    """A container: words, the tag (``*`` without one) and attr=value, values quoted or not; None when empty or unreadable."""
+    try:
+        words = shlex.split(spec or "")
+    except ValueError:
+        return None
+    tag, attrs = "*", []
+    for w in words:
+        name, sign, value = w.partition("=")
+        if sign:
+            attrs.append((name.lower(), value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "'\"" else value))
+        else:
+            tag = w.lower()
+    return (tag, attrs) if words else None
+
+
 class Specs:
     """Node specs ready for matching: by a search in the attribute's value (skip_nodes),
     or, with ``equal``, by the whole value or one of its words (containers)."""
 
     def __init__(self, specs, equal: bool = False):
         self.equal = equal
-        parsed = [parse_spec(s) for s in (specs if specs is not None else [])]
+        parsed = [(parse_index if equal else parse_spec)(s) for s in (specs if specs is not None else [])]
         # without an attribute a skip_nodes spec names nothing; a container spec names every such element
         self.specs = [(no, p[0], [(_attr_rx(a), v if equal else re.compile(v)) for a, v in p[1]])
                       for no, p in enumerate(parsed) if p and (p[1] or equal and p[0] != "*")]

@@ -5,7 +5,7 @@ per-feed loop:
 
     entries -> ids (E1-E3) -> rules (J1) -> skips (E4-E6) -> D1 -> seen flag (J2)
     -> D2 -> registered ids (A1/A2) -> unseen or repeated (T3) -> age (T2)
-    -> numbering (W1/W2) -> story pages by level (J4, E9 link rewrite)
+    -> numbering (W1/W2) -> story pages by level (J4, E9 link rewrite, H15)
     -> cleaning chain (E7, H9, H1-H6, H8, H10, H11, I1-I7, H22, H20)
     -> index documents (S10)
 
@@ -28,6 +28,7 @@ from feedloom.functions import images as I
 from feedloom.functions.common import materialize, steps
 from feedloom.functions.urls import url_host
 from feedloom.operators import entries as E
+from feedloom.operators import pages as PG
 from feedloom.operators import state as S
 from feedloom.operators import tokens as TK
 from feedloom.session import cut_lineage
@@ -36,7 +37,7 @@ from feedloom.sources.rules import attach_rules
 
 RULE_COLS = ("skip_link_pats", "skip_title_pats", "allow_dup_titles", "allow_repeats", "nocache", "save_days",
              "levels", "skip_content_pats", "page_start", "page_end", "skip_pats", "skip_nodes", "skip_links",
-             "min_width", "index_skip_content_pats", "rss_entry_size", "story_url_rewrite", "skip_images",
+             "min_width", "index_skip_content_pats", "rss_entry_size", "story_url_rewrite", "url_substitute", "single_page_pats", "skip_images",
              "max_srcset_size", "nonlocal_images", "block_nonlocal_images", "alt_domains")
 
 
@@ -80,12 +81,16 @@ def run_day(entries: DataFrame, pages: DataFrame, rules: DataFrame, seen: DataFr
     new_state = S.merge_state(state, registered, run_ts)
 
     # Level 2 fetches the page (at the E9-rewritten link; a URL that is listed
-    # several times is one page, the smallest), 1.5 uses the
-    # entry body, 1 writes no story page
+    # several times is one page, the smallest) or its single-page version (H15),
+    # 1.5 uses the entry body, 1 writes no story page
+    fetched = PG.by_url(pages.select("url", "html"))
     with_page = (items.filter(F.col("levels") >= 2)
-                 .withColumn("fetch_url", E.rewrite_link(F.col("link"), F.col("story_url_rewrite")))
-                 .join(pages.groupBy(F.col("url").alias("fetch_url")).agg(F.min("html").alias("page_html")),
-                       "fetch_url", "left").drop("fetch_url"))
+                 .withColumn("fetch_url", E.rewrite_link(E.rewrite_link(F.col("link"), F.col("story_url_rewrite")),
+                                                         F.col("url_substitute")))
+                 .join(fetched.select(F.col("url").alias("fetch_url"), F.col("html").alias("page_html")),
+                       "fetch_url", "left"))
+    with_page = PG.with_single_page(with_page, fetched, "page_html", "fetch_url", "single_page_pats").drop(
+        "fetch_url", "single_url")
     body_items = items.filter((F.col("levels") > 1) & (F.col("levels") < 2)).withColumn(
         "page_html", E.entry_body())
     stories = with_page.unionByName(body_items)

@@ -32,7 +32,8 @@ RULES = [
          page_start=["<article>"], page_end=["</article>"],
          skip_pats=["<!--.*?-->"], skip_nodes=['div class="ad"'],
          alt_domains=["example.org"], story_url_rewrite=["\\?.*$", ""],
-         multipage_pat="page=[0-9]+"),
+         multipage_pat="page=[0-9]+", html_index_links="nav",
+         single_page_pats=["[?]single=1$", "^https?://"], url_substitute=["^https?://m[.]", "https://www."]),
     dict(rule_key="net", levels=1.5, min_width=25, save_days=3, when="15",
          rss_entry_size=0, max_image_size=1200, max_srcset_size=400,
          allow_dup_titles=True, allow_repeats=True, nocache=False,
@@ -43,7 +44,8 @@ RULES = [
          page_start=["<body>"], page_end=["<footer>"],
          skip_pats=["<nav>.*?</nav>", "<style>.*?</style>"], skip_nodes=["nav"],
          alt_domains=[], story_url_rewrite=["^http:", "https:"],
-         multipage_pat="/en/"),
+         multipage_pat="/en/", html_index_links="nav",
+         single_page_pats=["^/x[0-9]+$", "^https?://"], url_substitute=[]),
     dict(rule_key="org", levels=1.0, min_width=40, save_days=14, when="",
          rss_entry_size=120, max_image_size=300, max_srcset_size=1000,
          allow_dup_titles=False, allow_repeats=True, nocache=True,
@@ -54,7 +56,8 @@ RULES = [
          page_start=["<h1>", "<article>"], page_end=["<footer>", "</article>"],
          skip_pats=["<script>.*?</script>"], skip_nodes=['div class="ad"', "footer"],
          alt_domains=["example.com", "cdn.example.net"], story_url_rewrite=["one"],
-         multipage_pat=None),
+         multipage_pat=None, html_index_links="ul",
+         single_page_pats=["^https?://"], url_substitute=["one"]),
 ]
 
 

@@ -13,17 +13,22 @@ RUN_DAY = "2024-01-12"
 
 
 def daily_run(spark, sf_dir):
-    """One job over all feeds; per feed: items kept, story pages written, rejects."""
+    """One job over all feeds; per feed: items kept, story pages written, rejects, items of the
+    index document, ids in the new seen-set, last run in the new state."""
     pages = _pages(spark, sf_dir)
     out = run_day(X.entries_view(pages), pages.select("url", "html"), X.rules_view(spark, *RULE_COLS),
                   X.seen_view(pages), X.state_view(pages), X.run_ts(), RUN_DAY, "Fri", rule_key="rule_key")
     items = out["items"].groupBy("feed").agg(F.count(F.lit(1)).alias("n_items"))
     stories = out["stories"].groupBy("feed").agg(F.count(F.lit(1)).alias("n_pages"))
     rejects = out["rejects"].groupBy("feed").agg(F.count(F.lit(1)).alias("n_rejects"))
+    index = out["index"].groupBy("feed").agg(F.sum("n_items").alias("n_index"))
+    seen = out["seen"].groupBy(F.col("site").alias("feed")).agg(F.count(F.lit(1)).alias("n_seen"))
+    state = out["state"].select(F.col("site").alias("feed"), F.unix_timestamp("last_fed").alias("last_fed"))
     feeds = X.entries_view(pages).select("feed").distinct()
     return (feeds.join(items, "feed", "left").join(stories, "feed", "left").join(rejects, "feed", "left")
-            .select("feed", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_items", "n_pages",
-                                                                                        "n_rejects")]))
+            .join(index, "feed", "left").join(seen, "feed", "left").join(state, "feed", "left")
+            .select("feed", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in (
+                "n_items", "n_pages", "n_rejects", "n_index", "n_seen", "last_fed")]))
 
 
 def _daily_sql():
@@ -31,8 +36,10 @@ def _daily_sql():
 WITH {SQL_KEPT},
 seen AS ({X.SEEN_SQL}),
 st AS ({X.STATE_SQL}),
-r3 AS ({X.rules_sql(["allow_repeats", "nocache", "save_days", "levels", "skip_content_pats", "story_url_rewrite"])}),
+r3 AS ({X.rules_sql(["allow_repeats", "nocache", "save_days", "levels", "skip_content_pats", "story_url_rewrite",
+                   "url_substitute"])}),
 x AS (SELECT d2.*, r3.allow_repeats, r3.nocache, r3.save_days, r3.levels, r3.skip_content_pats, r3.story_url_rewrite,
+             r3.url_substitute,
              epoch({_rfc2822_sql('d2.published')}) AS pub, epoch(st.last_fed) AS lf,
              EXISTS (SELECT 1 FROM seen s WHERE s.site = d2.feed AND s.item_id = d2.item_id) AS was_seen
       FROM d2 LEFT JOIN r3 USING (rule_key) LEFT JOIN st ON st.site = d2.feed),
@@ -41,13 +48,18 @@ aged AS (SELECT *, CASE WHEN pub IS NULL OR lf IS NULL THEN 'normal'
                         WHEN pub < lf AND NOT coalesce(nocache, false)
                           THEN CASE WHEN pub <= {X.RUN_TS_EPOCH} - save_days * 86400 THEN 'expired' ELSE 'older' END
                         ELSE 'normal' END AS status FROM cand),
-items AS (SELECT * FROM aged WHERE status <> 'expired'),
+items0 AS (SELECT *, CASE WHEN len(story_url_rewrite) = 2
+                THEN regexp_replace(link, story_url_rewrite[1], story_url_rewrite[2], 'g') ELSE link END AS new_link
+           FROM aged WHERE status <> 'expired'),
+items AS (SELECT *, CASE WHEN len(url_substitute) = 2
+                THEN regexp_replace(new_link, url_substitute[1], url_substitute[2], 'g') ELSE new_link END AS fetch_url
+          FROM items0),
+reg AS (SELECT DISTINCT x.feed AS site, x.item_id FROM x
+        WHERE NOT coalesce(x.nocache, false) AND x.feed IN (SELECT feed FROM items)),
 st2 AS (SELECT i.feed, i.skip_content_pats,
                CASE WHEN i.levels >= 2 THEN p.html ELSE coalesce(i.content, '') || chr(10) END AS page_html
         FROM items i LEFT JOIN (SELECT url, min(html) AS html FROM pages GROUP BY url) p
-          ON p.url = CASE WHEN len(i.story_url_rewrite) = 2
-                          THEN regexp_replace(i.link, i.story_url_rewrite[1], i.story_url_rewrite[2], 'g')
-                          ELSE i.link END
+          ON p.url = i.fetch_url
         WHERE i.levels > 1),
 stories AS (SELECT feed FROM st2 WHERE page_html IS NOT NULL
               AND {first_match_sql('skip_content_pats', 'page_html')} IS NULL),
@@ -64,7 +76,12 @@ f AS (SELECT DISTINCT feed FROM e)
 SELECT f.feed,
   CAST((SELECT count(*) FROM items i WHERE i.feed = f.feed) AS BIGINT) AS n_items,
   CAST((SELECT count(*) FROM stories s WHERE s.feed = f.feed) AS BIGINT) AS n_pages,
-  CAST((SELECT count(*) FROM rej r WHERE r.feed = f.feed) AS BIGINT) AS n_rejects
+  CAST((SELECT count(*) FROM rej r WHERE r.feed = f.feed) AS BIGINT) AS n_rejects,
+  CAST((SELECT count(*) FROM items i WHERE i.feed = f.feed) AS BIGINT) AS n_index,
+  CAST((SELECT count(*) FROM (SELECT site, item_id FROM seen UNION SELECT site, item_id FROM reg) a
+        WHERE a.site = f.feed) AS BIGINT) AS n_seen,
+  CAST(coalesce((SELECT max(t) FROM (SELECT site, CAST(epoch(last_fed) AS BIGINT) AS t FROM st
+        UNION ALL SELECT site, {X.RUN_TS_EPOCH} FROM reg) b WHERE b.site = f.feed), 0) AS BIGINT) AS last_fed
 FROM f
 """
 

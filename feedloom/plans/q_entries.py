@@ -253,17 +253,20 @@ FROM j
 
 # ----------------------------------------------------------- link_rewrite
 def link_rewrite(spark, sf_dir):
-    """story_url_rewrite (from, to) regex pair per site; other list lengths leave the link."""
-    e = attach_rules(X.entries_view(_pages(spark, sf_dir)), _rules(spark, "story_url_rewrite"), on="rule_key")
-    return e.select("feed", "pos", "link", E.rewrite_link(F.col("link"), F.col("story_url_rewrite")).alias("new_link"))
+    """story_url_rewrite (from, to) regex pair per site, then url_substitute for the fetch; other list lengths leave the link."""
+    e = attach_rules(X.entries_view(_pages(spark, sf_dir)), _rules(spark, "story_url_rewrite", "url_substitute"), on="rule_key")
+    e = e.withColumn("new_link", E.rewrite_link(F.col("link"), F.col("story_url_rewrite")))
+    return e.select("feed", "pos", "link", "new_link", E.rewrite_link(F.col("new_link"), F.col("url_substitute")).alias("fetch_url"))
 
 
 SQL_LINK_REWRITE = f"""
-WITH e AS ({X.ENTRIES_SQL}), r AS ({X.rules_sql(["story_url_rewrite"])})
-SELECT feed, pos, link,
+WITH e AS ({X.ENTRIES_SQL}), r AS ({X.rules_sql(["story_url_rewrite", "url_substitute"])}),
+n AS (SELECT feed, pos, link, url_substitute,
        CASE WHEN len(story_url_rewrite) = 2
             THEN regexp_replace(link, story_url_rewrite[1], story_url_rewrite[2], 'g') ELSE link END AS new_link
-FROM e LEFT JOIN r USING (rule_key)
+FROM e LEFT JOIN r USING (rule_key))
+SELECT feed, pos, link, new_link, CASE WHEN len(url_substitute) = 2
+       THEN regexp_replace(new_link, url_substitute[1], url_substitute[2], 'g') ELSE new_link END AS fetch_url FROM n
 """
 
 

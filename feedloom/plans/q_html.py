@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import html as H
 from feedloom.functions.common import steps
 from feedloom.functions.urls import absolute_url, url_host
+from feedloom.operators import pages as PG
 from feedloom.operators import tokens as TK
 from feedloom.plans import fixtures as X
 from feedloom.plans.sqlparts import covered_sql, crop_sql, ends_sql, excise_sql, reassemble_sql, tokens_sql
@@ -176,10 +177,10 @@ def _drop_sql(x, tags, void):
 
 # ------------------------------------------------------- html_index_entries
 def html_index_entries(spark, sf_dir):
-    """S3 + E8: every link inside each page's <nav> container becomes an entry
-    (id = link = absolute href, title = link text)."""
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    specs = pages.select("page_id", "html", F.array(F.lit("nav")).alias("specs"))
+    """S3 + E8: every link inside the containers that the site's html_index_links names
+    becomes an entry (id = link = absolute href, title = link text)."""
+    pages = _pages_with_rules(spark, sf_dir, "html_index_links")
+    specs = pages.select("page_id", "html", F.array("html_index_links").alias("specs"))
     links = TK.container_links(specs, "specs")
     out = links.join(pages.select("page_id", "url"), "page_id")
     return out.select(url_host("url").alias("feed"), "page_id", F.col("pos").cast("long").alias("pos"),
@@ -190,8 +191,10 @@ def html_index_entries(spark, sf_dir):
 SQL_INDEX_ENTRIES = f"""
 WITH t AS ({tokens_sql('pages')}),
 ends AS ({ends_sql('t')}),
+ruled AS ({_rules_join_sql('pages', ['html_index_links'])}),
 navs AS (SELECT t.page_id, t.pos AS start, coalesce(e.end_pos, {1 << 30}) AS stop
-         FROM t LEFT JOIN ends e USING (page_id, pos) WHERE t.kind = 'open' AND t.tag = 'nav'),
+         FROM t JOIN ruled r USING (page_id) LEFT JOIN ends e USING (page_id, pos)
+         WHERE t.kind = 'open' AND t.tag = r.html_index_links),
 inside AS (SELECT * FROM ({covered_sql('t', 'navs')}) c WHERE inside),
 links AS (SELECT i.page_id, i.pos AS start, coalesce(e.end_pos, {1 << 30}) AS stop,
                  regexp_extract(i.tok, '(?i)\\shref\\s*=\\s*"([^"]*)"', 1) AS href
@@ -267,39 +270,33 @@ FROM d
 
 
 # -------------------------------------------------------------- single_page
-# The single-page link pattern used for the derived pages.
-SINGLE_PAGE_PAT = "^https?://"
-
-
 def single_page(spark, sf_dir):
     """Prefer the single-page version: the refresh target, else the first
-    a[href] matching the pattern, if it differs from the page's own URL; its
-    page replaces the content (one hop, a left join on URL)."""
+    a[href] that matches a single_page_pats pattern of the site, if it differs
+    from the page's own URL; its page replaces the content (one hop)."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    d = X.derived_pages(pages)
-    cand = F.filter(H.hrefs("html"), lambda h: F.regexp_like(h, F.lit(SINGLE_PAGE_PAT)) & (h != F.col("url")))
-    refresh = H.meta_refresh_url("html")
-    single = F.when((refresh != "") & (refresh != F.col("url")), refresh).otherwise(F.try_element_at(cand, F.lit(1)))
-    d = d.withColumn("single_url", single)
-    other = pages.select(F.col("url").alias("single_url"), F.col("html").alias("single_html"),
-                         F.col("page_id").alias("single_id"))
-    j = d.join(other, "single_url", "left")
+    d = _pages_with_rules(spark, sf_dir, "single_page_pats", derived=True)
+    other = PG.by_url(pages, "page_id", ("html", "page_id")).withColumnRenamed("page_id", "single_id")
+    j = PG.with_single_page(d, other, "html", "url", "single_page_pats", carry=["single_id"])
     return j.select("page_id", F.coalesce("single_url", F.lit("")).alias("single_url"),
                     F.coalesce(F.col("single_id"), F.lit(-1)).cast("long").alias("single_id"),
-                    F.length(F.coalesce("single_html", "html")).cast("long").alias("n_chars"))
+                    F.md5("html").alias("html_md5"))
 
 
 SQL_SINGLE = f"""
-WITH d AS ({X.DERIVED_SQL}),
-s AS (SELECT *,
-  CASE WHEN r <> '' AND r <> url THEN r
-       ELSE list_filter(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"', 1),
-                        lambda h: regexp_matches(h, '{SINGLE_PAGE_PAT}') AND h <> url)[1] END AS single_url
-  FROM (SELECT *, regexp_extract(regexp_extract(html, '(?i)(<meta\\b[^>]*http-equiv\\s*=\\s*["'']?refresh[^>]*>)', 1),
-                  '(?i)url\\s*=\\s*([^"''>\\s]+)', 1) AS r FROM d) x)
+WITH d AS ({_rules_join_sql(f'({X.DERIVED_SQL})', ['single_page_pats'])}),
+x AS (SELECT *, regexp_extract(regexp_extract(html, '(?i)(<meta\\b[^>]*http-equiv\\s*=\\s*["'']?refresh[^>]*>)', 1),
+                               '(?i)url\\s*=\\s*([^"''>\\s]+)', 1) AS r,
+             list_filter(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"', 1), lambda h: h <> url) AS hs,
+             coalesce(nullif(regexp_extract(html, '<base href="([^"]*)">', 1), ''), url) AS base FROM d),
+s0 AS (SELECT *, CASE WHEN r <> '' AND r <> url THEN r ELSE list_filter(list_transform(single_page_pats,
+         lambda p: list_filter(hs, lambda h: regexp_matches(h, p))[1]), lambda h: h IS NOT NULL)[1] END AS t FROM x),
+s AS (SELECT *, nullif(CASE WHEN starts_with(t, '/') THEN regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || t
+                     ELSE t END, url) AS single_url FROM s0),
+o AS (SELECT url, min(page_id) AS page_id, arg_min(html, page_id) AS html FROM pages GROUP BY url)
 SELECT s.page_id, coalesce(s.single_url, '') AS single_url, CAST(coalesce(o.page_id, -1) AS BIGINT) AS single_id,
-       CAST(length(coalesce(o.html, s.html)) AS BIGINT) AS n_chars
-FROM s LEFT JOIN pages o ON o.url = s.single_url
+       md5(coalesce(o.html, s.html)) AS html_md5
+FROM s LEFT JOIN o ON o.url = s.single_url
 """
 
 

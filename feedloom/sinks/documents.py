@@ -79,6 +79,26 @@ def index_documents(blocks: DataFrame, keys=("day", "feed")) -> DataFrame:
     return body.select(*keys, doc.alias("index_html"), F.col("n_items").cast("long").alias("n_items"))
 
 
+def index_rows(blocks: DataFrame) -> DataFrame:
+    """S10 in rows: (day, feed, seq, block); a document is its blocks in seq order (0: head, then items, last: tail).
+
+    For feeds of any size: only the head and tail fields are aggregated, and
+    the rows are sorted by ranges, so one feed's document may span tasks.
+    """
+    per = blocks.groupBy("day", "feed").agg(F.first("day_name").alias("day_name"), F.first("title").alias("title"),
+                                            F.count(F.lit(1)).alias("n"), F.max("item_no").alias("last_no"))
+    ends = per.select("day", "feed", F.inline(F.array(
+        F.struct(F.lit(0).cast("long").alias("seq"), _fill(INDEX_HEAD, day="day_name", feed="feed", title="title").alias("block")),
+        F.struct((F.col("last_no") + 1).cast("long").alias("seq"), _fill(INDEX_TAIL, n="n").alias("block")))))
+    return ends.unionByName(blocks.select("day", "feed", F.col("item_no").cast("long").alias("seq"), "block"))
+
+
+def write_index_rows(rows: DataFrame, path: str) -> None:
+    """Index documents in rows, by day; sorted over the part files of a day."""
+    (rows.orderBy("day", "feed", "seq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("day").parquet(path))
+
+
 def assemble_stories(pages: DataFrame, key: str = "story", order: str = "page_no", text: str = "text",
                      sep: str = "\n") -> DataFrame:
     """A4: a multi-page story = its pages' texts in page order (one ordered aggregate per story)."""
@@ -108,6 +128,12 @@ def manifest(files: DataFrame) -> DataFrame:
             .distinct().select("day", "section", "path"))
 
 
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """One text of paths per day, read in the order of its part files: directories and HTML, other files, '.EOF.' last."""
+    (rows.orderBy("day", "section", "path").select("day", "path").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("day").text(path))
+
+
 def daily_listing(index_files: DataFrame) -> DataFrame:
     """For each day, the feeds that have an index, sorted by name."""
     return index_files.groupBy("day").agg(F.array_join(F.array_sort(F.collect_set("feed")), " ").alias("feeds"),
@@ -127,7 +153,10 @@ def message_log(rejects: DataFrame) -> DataFrame:
 
 def write_stories(stories: DataFrame, path: str) -> None:
     """One file per story page, partitioned by day and feed; rewriting a
-    day replaces only the (day, feed) partitions present (dynamic overwrite)."""
-    (stories.select("day", "feed", "page_no", "html").sortWithinPartitions("day", "feed")
+    day replaces only the (day, feed) partitions present (dynamic overwrite).
+
+    Rows are dealt by ranges, so the files number the tasks and the feeds, not their product."""
+    (stories.select("day", "feed", "page_no", "html").repartitionByRange("day", "feed", "page_no")
+     .sortWithinPartitions("day", "feed", "page_no")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("day", "feed").parquet(path))
