@@ -9,8 +9,15 @@ by a hash of the id).  A fifth of the sample is set aside: it fits the
 temperature that calibrates the probabilities, and the least probability that
 accepts at ``precision``; below it a text is rejected.
 
+A probability only compares the learned languages, so a text must also fit the
+one it is given: the mean log frequency of its subwords in that language's
+sampled rows.  The least fit is set against real negatives: sampled rows by
+the languages that are not their own (as if theirs had never been labelled),
+and runs of random letters.  Every row is held against the counts of the
+others, so this needs no fifth and works on small samples too.
+
 Prediction is a table look-up: embedding times weights gives each bucket K
-numbers, of which a text has the mean.  Whole texts are read.
+numbers, of which a text has the mean; the fit is one more look-up.  Whole texts are read.
 
 Defined cases: null texts and texts without a letter are ``und`` (rejected,
 score 0); with no labelled row every text is ``und``; rows with null lang are
@@ -40,6 +47,12 @@ MOST_ROWS = 20_000
 PRECISION = 0.95
 #: Least probability that is accepted, in multiples of chance: texts that mix languages are unsure, but not rejected.
 CHANCE = 1.2
+#: Subwords of typical fit that each text is credited with, so that a few odd ones reject no short text.
+CREDIT = 10
+#: Count that each bucket has in each language beforehand.
+SMOOTH = 0.5
+#: Most sampled rows that set the least fit, and the number and length of the random texts.
+FIT_ROWS, NOISE, NOISE_LETTERS = 4000, 200, 300
 
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[97:123] = IS_LETTER[128:] = True
@@ -84,6 +97,17 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    frequency: np.ndarray | None = None  # BUCKETS x K: log frequencies
+    typical: float = 0.0
+    least_fit: float = -np.inf
+
+    def fits(self, ids: np.ndarray, first: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Whether each text's subwords are those of its class."""
+        n = np.diff(first)
+        if self.frequency is None:
+            return n > 0
+        run = np.concatenate([[0.0], np.cumsum(self.frequency[ids, np.repeat(best, n)], dtype=np.float64)])
+        return (n > 0) & (credited(run[first[1:]] - run[first[:-1]], n, self.typical) >= self.least_fit)
 
     def predict(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best class (-1: no subword) and its calibrated probability for each text."""
@@ -105,6 +129,44 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def credited(sums: np.ndarray, n: np.ndarray, typical: float) -> np.ndarray:
+    return (sums + CREDIT * typical) / (n + CREDIT)
+
+
+def set_least_fit(model: Model, rows: list[tuple[str, np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 7) -> None:
+    """Log frequencies, and the fit that best parts the rows from rows of unlearned languages and random letters."""
+    k, rng = len(model.langs), np.random.default_rng(seed)
+    count = np.zeros((BUCKETS, k), np.float32)
+    for c, (_, b, m) in zip(y, rows, strict=True):
+        count[b, c] += m
+    total = count.sum(0, dtype=np.float64) + SMOOTH * BUCKETS
+    model.frequency = (np.log(count + SMOOTH) - np.log(total)).astype(np.float32)
+    own, other, n = [], [], []
+    for i in np.sort(rng.permutation(len(rows))[:FIT_ROWS]):
+        _, b, m = rows[i]
+        size = m.sum()
+        # by the counts of the other rows alone
+        own.append(float(m @ (np.log(count[b, y[i]] - m + SMOOTH) - np.log(total[y[i]] - size))))
+        other.append(float(np.delete(m @ model.frequency[b], y[i]).max()) if k > 1 else np.nan)
+        n.append(size)
+    own, other, n = np.array(own), np.array(other), np.array(n)
+    model.typical = float(np.median(own / n))
+    noise = b"abcdefghijklmnopqrstuvwxyz    "
+    data = np.frombuffer(noise, np.uint8)[rng.integers(0, len(noise), NOISE * NOISE_LETTERS)]
+    ids, first = subwords(data, np.arange(NOISE + 1) * NOISE_LETTERS)
+    wild = np.array([model.frequency[ids[lo:hi]].sum(0, dtype=np.float64).max() for lo, hi in zip(first, first[1:], strict=False)])
+    good = np.sort(credited(own, n, model.typical))
+    bad = [np.sort(credited(wild, np.diff(first), model.typical))]
+    if k > 1:
+        bad.append(np.sort(credited(other, n, model.typical)))
+    # the share of rows kept and of each kind of negatives rejected count alike; within a gap its middle is taken
+    at = np.unique(np.concatenate([good, *bad]))
+    kept = 1 - np.searchsorted(good, at, "left") / len(good)
+    gain = kept + np.mean([np.searchsorted(b, at, "left") / len(b) for b in bad], axis=0)
+    best = int(np.flatnonzero(gain == gain.max())[-1])
+    model.least_fit = float((at[best] + at[max(0, best - 1)]) / 2)
+
+
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], steps: int = 1500, batch: int = 16, rate: float = 2.0,
           precision: float = PRECISION, seed: int = 7) -> Model | None:
     """Fit on (lang, distinct buckets, their counts); the order of ``rows`` must be fixed."""
@@ -142,6 +204,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], steps: int = 1500, bat
             # a bucket's share of one text is small, so its own step is larger
             np.subtract.at(emb, idx, (50 * step) * w[:, None] * back[of])
     model = Model(langs, emb @ out, bias.astype(np.float64))
+    set_least_fit(model, rows, y, seed)
     if len(aside):
         z = np.vstack([averages([i])[2] @ out + bias for i in aside]).astype(np.float64)
         t = y[aside]
@@ -202,14 +265,18 @@ def predicted(rows: DataFrame, model: Model | None, text_col: str = "text") -> D
         for b in batches:
             lang, score, ok = [], [], []
             for lo, hi, data, off in chunks(b.column(1)):
-                best, p = (np.full(hi - lo, -1), np.zeros(hi - lo)) if model is None else model.predict(*subwords(data, off))
-                for i, (k, s) in enumerate(zip(best.tolist(), p.tolist(), strict=True)):
+                best, p, fits = np.full(hi - lo, -1), np.zeros(hi - lo), np.zeros(hi - lo, bool)
+                if model is not None:
+                    ids, first = subwords(data, off)
+                    best, p = model.predict(ids, first)
+                    fits = model.fits(ids, first, best)
+                for i, (k, s, f) in enumerate(zip(best.tolist(), p.tolist(), fits.tolist(), strict=True)):
                     t = b.column(1)[lo + i].as_py()
                     if k < 0 or t is None or not LETTER.search(t):
                         k, s = -1, 0.0
                     lang.append(model.langs[k] if k >= 0 else UNDETERMINED)
                     score.append(min(1.0, s))
-                    ok.append(k >= 0 and s >= model.threshold)
+                    ok.append(k >= 0 and f and s >= model.threshold)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
                                               pa.array(ok, pa.bool_())], names=["row", "lang_pred", "score", "accepted"])
 

@@ -179,6 +179,21 @@ def test_language_labels_are_no_input(spark):
     assert sorted(langid.query(docs).collect()) == sorted(langid.query(swapped).collect())
 
 
+def test_language_rejects_what_was_never_learned(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    rng = random.Random(8)
+    noise = [(-1 - i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(300)), None) for i in range(40)]
+    for unlearned in ("de", "en"):
+        few = docs.where(F.expr(f"lang = '{unlearned}' OR doc_id % 12 = 0")) if unlearned == "en" else docs
+        known = few.withColumn("lang", F.expr(f"nullif(lang, '{unlearned}')"))
+        got = langid.query(known.union(spark.createDataFrame(noise, known.schema))).join(
+            docs.withColumnRenamed("lang", "true"), "doc_id", "left").collect()
+        own = [r["accepted"] for r in got if r["doc_id"] >= 0 and r["true"] != unlearned and r["held_out"]]
+        other = [r["accepted"] for r in got if r["true"] == unlearned]
+        wild = [r["accepted"] for r in got if r["doc_id"] < 0]
+        assert sum(own) >= 0.98 * len(own) > 0 and sum(other) <= 0.05 * len(other) and not any(wild)
+
+
 def test_backoff_edge_cases(spark):
     rows = odd_texts(random.Random(1))
     got = lm_score.scored(documents(spark, rows), buckets=3).collect()
