@@ -4,8 +4,9 @@ A text's letters (bytes, A-Z lower-cased, anything that is no letter taken as
 one blank) give its subwords: all runs of ORDERS bytes.  Each is hashed into
 one of BUCKETS embeddings; their average goes through a linear softmax.  Both
 are trained by mini-batch stochastic gradient descent in numpy on a bounded
-sample of labelled rows (``per_lang`` in expectation for each language, chosen
-by a hash of the id).  A fifth of the sample is set aside: it fits the
+sample of labelled rows (``per_lang`` in expectation for each language, fewer
+if there are many languages, chosen by a hash of the id); every labelled
+language is learned.  A fifth of the sample is set aside: it fits the
 temperature that calibrates the probabilities, and the least probability that
 accepts at ``precision``; below it a text is rejected.
 
@@ -35,15 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import map_arrow
+from feedloom.llm.common import broadcast_if_small, map_arrow, table
 from feedloom.llm.words import LOWER, chunks
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
 DIM = 8
-#: Expected labelled documents taken per language, and the most languages times that.
+#: Expected labelled documents taken per language, and in all; then the languages' shares shrink, down to LEAST_ROWS each.
 PER_LANG = 700
 MOST_ROWS = 20_000
+LEAST_ROWS = 20
 PRECISION = 0.95
 #: Least probability that is accepted, in multiples of chance: texts that mix languages are unsure, but not rejected.
 CHANCE = 1.2
@@ -228,14 +230,13 @@ def labelled_sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str
     """Bucket counts of a bounded sample of rows not held out, with a lang; the same rows on every run."""
     known = docs.select("doc_id", "text", "lang").where(
         "lang IS NOT NULL AND text IS NOT NULL AND crc32(CAST(doc_id AS string)) % 5 <> 0")
-    n = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    n = n.orderBy(F.desc("n"), "lang").limit(MOST_ROWS // per_lang).collect()  # a bounded number of languages
-    share = {r["lang"]: min(1.0, per_lang / r["n"]) for r in n}
-    if not share:
+    n = table(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    langs = n.count()
+    if not langs:
         return []
-    rates = F.create_map(*[F.lit(v) for kv in share.items() for v in kv])
-    chosen = known.where((F.expr("crc32(concat('s', CAST(doc_id AS string))) / 4294967296D")
-                          < F.coalesce(F.try_element_at(rates, F.col("lang")), F.lit(0.0))))
+    each = min(per_lang, max(LEAST_ROWS, MOST_ROWS // langs))
+    rates = broadcast_if_small(n.select("lang", F.expr(f"{each}D / n").alias("rate")))
+    chosen = known.join(rates, "lang").where("crc32(concat('s', CAST(doc_id AS string))) / 4294967296D < rate")
 
     def run(batches):
         for b in batches:

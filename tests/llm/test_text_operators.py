@@ -194,6 +194,18 @@ def test_language_rejects_what_was_never_learned(spark):
         assert sum(own) >= 0.98 * len(own) > 0 and sum(other) <= 0.05 * len(other) and not any(wild)
 
 
+def test_every_labelled_language_is_learned(spark):
+    rng = random.Random(9)
+    names = [f"l{k:02}" for k in range(32)]
+    vocabulary = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for n in names}
+    rows = [(i, " ".join(rng.choice(vocabulary[names[i % 32]]) for _ in range(30)), names[i % 32]) for i in range(32 * 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.query(docs).collect()}
+    held = [i for i, r in got.items() if r["held_out"]]
+    assert {got[i]["lang_pred"] for i in got} == set(names)
+    assert sum(got[i]["lang_pred"] == rows[i][2] and got[i]["accepted"] for i in held) >= 0.95 * len(held) > 0
+
+
 def test_backoff_edge_cases(spark):
     rows = odd_texts(random.Random(1))
     got = lm_score.scored(documents(spark, rows), buckets=3).collect()
