@@ -4,8 +4,9 @@
    seed; the CONTEXT words before it and its kind are a pattern.
 2. Patterns with at least SEEDS different seeds are looked up in all texts
    (through a fixed-size bitmap, then exactly): every identifier-like token
-   after such a context is an instance unless a base span covers it; words
-   without a digit count against the context.
+   or run of digit groups (joined by blanks, dots, hyphens, brackets) after
+   such a context is an instance unless a base span covers it; each different
+   word without a digit counts against the context, once like an instance.
 3. On the graph of patterns and instances Spark repeats ROUNDS times:
    a pattern's score is the sum of its instances' scores over all it was seen
    with (+ 1); a new instance's score is 1 - prod(1 - score) of its patterns.
@@ -44,6 +45,9 @@ ROUNDS = 3
 ACCEPT = 0.8
 #: Digits from which a token looks like an identifier (as does one with @).
 DIGITS = 5
+#: Most digits of a run of several groups, and such a run (a group after a blank has two digits or more).
+MOST_DIGITS = 19
+_RUN = re.compile(rb"[0-9]++(?:(?:[.()-]{1,2}|[().-]?\x20[(]?(?=[0-9]{2}))[0-9]++(?![A-Za-z\x80-\xFF])){1,18}")
 
 
 def luhn(digits: str) -> bool:
@@ -127,7 +131,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def instances(docs: DataFrame, id_col: str, text_col: str, bitmap: np.ndarray) -> DataFrame:
-    """After the contexts that the bitmap lets through: identifier-like tokens, and counts (id null) of other words."""
+    """After the contexts that the bitmap lets through: identifier-like tokens, and the different other words (id null)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -148,32 +152,41 @@ def instances(docs: DataFrame, id_col: str, text_col: str, bitmap: np.ndarray) -
                 end = np.minimum(stop[np.searchsorted(stop, w.start[tok])], off[1:][w.doc[tok]])
                 has_at = np.zeros(len(w.low) + 1, np.int64)
                 np.cumsum(w.low == 64, out=has_at[1:])
-                like = (digits[end] - digits[w.start[tok]] >= DIGITS) | (has_at[end] > has_at[w.start[tok]])
+                begin, one, stops = w.start[tok], end, off[1:][w.doc[tok]]
+                end = one.copy()
+                held = data.tobytes()
+                for k in np.flatnonzero((w.low[begin] >= 48) & (w.low[begin] <= 57)).tolist():
+                    m = _RUN.match(held, int(begin[k]), int(stops[k]))
+                    if m and m.end() > one[k] and digits[m.end()] - digits[m.start()] <= MOST_DIGITS:
+                        end[k] = m.end()
+                like = (digits[end] - digits[begin] >= DIGITS) | (has_at[one] > has_at[begin])
                 for p, t, e in zip(at[like].tolist(), tok[like].tolist(), end[like].tolist(), strict=True):
                     d, s = int(w.doc[p]), int(w.start[t])
+                    if s > off[d] and held[s - 1:s] == b"(" and held.find(b")", s, e) >= 0:
+                        s -= 1
                     raw = data[s:e].tobytes().decode("utf-8", "replace").rstrip(".,;:!?)]}>\"'|*#$%&")
                     start = len(data[off[d]:s].tobytes().decode("utf-8", "replace"))
-                    rows.append((d, int(ctx[p]), w.text(p, p + CONTEXT), raw.lower(), start, start + len(raw), 1))
-                other = digits[end] == digits[w.start[tok]]  # a few digits may be part of a number: neither
-                others, n = np.unique(ctx[at[other & ~like]], return_counts=True)
+                    rows.append((d, int(ctx[p]), w.text(p, p + CONTEXT), raw.lower(), start, start + len(raw)))
+                other = (digits[end] == digits[begin]) & ~like  # a few digits may be part of a number: neither
+                others = np.unique(np.stack([ctx[at[other]], w.hash[tok[other]].view(np.int64)], 1), axis=0)
                 m = len(others)
                 pick = pa.array([lo + r[0] for r in rows] + [None] * m, pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).take(pick), b.column(2).take(pick),
-                    pa.array([r[1] for r in rows] + others.tolist(), pa.int64()),
+                    pa.array([r[1] for r in rows] + others[:, 0].tolist(), pa.int64()),
                     pa.array([r[2] for r in rows] + [None] * m, pa.string()),
                     pa.array([r[3] for r in rows] + [None] * m, pa.string()),
                     pa.array([r[4] for r in rows] + [None] * m, pa.int32()),
                     pa.array([r[5] for r in rows] + [None] * m, pa.int32()),
-                    pa.array([1] * len(rows) + n.tolist(), pa.int64())],
-                    names=["id", "th", "hash", "ctx", "inst", "start", "end", "n"])
+                    pa.array([None] * len(rows) + others[:, 1].tolist(), pa.int64())],
+                    names=["id", "th", "hash", "ctx", "inst", "start", "end", "word"])
 
     return map_arrow(_keyed(docs, id_col, text_col), run, f"id {id_type}, th bigint, hash bigint, ctx string, "
-                     "inst string, start int, end int, n bigint")
+                     "inst string, start int, end int, word bigint")
 
 
 def pattern_scores(known: DataFrame, seen: DataFrame, against: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(ctx, hash, kind, score) from (ctx, hash, kind, inst) seeds, (hash, ctx, inst) instances and (hash, n) others.
+    """(ctx, hash, kind, score) from (ctx, hash, kind, inst) seeds, (hash, ctx, inst) instances and (hash, word) others.
 
     Every step is a join or a pre-aggregated sum over distinct edges.
     """
@@ -187,7 +200,7 @@ def pattern_scores(known: DataFrame, seen: DataFrame, against: DataFrame, rounds
         "ctx", "hash", "kind", "inst", F.lit(True).alias("own"), F.lit(False).alias("other"))
     edges = table(edges.union(seeds_of).groupBy("ctx", "hash", "kind", "inst").agg(
         F.max("own").alias("own"), F.max("other").alias("other")))
-    against = against.groupBy("hash").agg(F.sum("n").alias("wrong"))
+    against = table(against.select("hash", "word").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("wrong")))
     scored = edges.withColumn("s", F.expr("IF(own, 1D, 0D)"))
     for _ in range(rounds):
         score = table(scored.groupBy("ctx", "hash", "kind").agg(F.sum("s").alias("good"), F.count(F.lit(1)).alias("n"))

@@ -244,3 +244,28 @@ def test_bootstrapped_patterns_find_unseen(spark):
         assert kind == "phone" and rows[30 + i][1][int(s):int(e)] == f"212.555.{2000 + i}" and got[100 + i]["n_phone"] == 0
     assert all(got[i]["n_phone"] == 1 and got[i]["n_found"] == 0 for i in range(30))
     assert got[200]["spans"] == got[201]["spans"] == got[202]["spans"] == ""
+
+
+def test_bootstrapped_patterns_find_spaced_numbers(spark):
+    rng = random.Random(7)
+    rows = [(i, f"{sentence(rng, 9)} call me +1 (212) 555-{1000 + i} {sentence(rng, 3)}", "s") for i in range(30)]
+    rows += [(30 + i, f"{sentence(rng, 9)} my card 4111 1111 1111 1111 or mine card 4111111111111111", "s") for i in range(5)]
+    luhn = [n for n in range(1000, 2000) if pii.luhn(f"411111111111{n}")][:30]
+    rows += [(50 + k, f"{sentence(rng, 5)} with card 4111 1111 1111 {n} {sentence(rng, 3)}", "s") for k, n in enumerate(luhn)]
+    planted = {100: "020 7946 0958", 101: "(212) 555-0100", 102: "212.555.2000", 103: "(212)555-0101", 104: "01 23 45 67 89"}
+    rows += [(i, f"é so call me {n}, {sentence(rng, 4)}", "s") for i, n in planted.items()]
+    rows += [(110, "she paid with card 4111 1111 1111 1112 today", "s"), (111, "call me 3 times", "s")]
+    got = {r["doc_id"]: r for r in pii.query(documents(spark, rows)).collect()}
+    text = {r[0]: r[1] for r in rows}
+    for i, n in planted.items() | {(110, "4111 1111 1111 1112")}:
+        kind, s, e = got[i]["spans"].split(":")
+        assert (kind, text[i][int(s):int(e)]) == ("card" if i == 110 else "phone", n)
+    assert got[111]["n_found"] == 0
+
+
+def test_copied_words_count_once_against_a_context(spark):
+    rng = random.Random(7)
+    rows = [(i, f"{sentence(rng, 9)} call me +1 (212) 555-{1000 + i}", "s") for i in range(30)]
+    rows += [(100, "so call me 2125552000 soon", "s")] + [(200 + i, f"please call me later {i}", "s") for i in range(300)]
+    got = {r["doc_id"]: r["spans"] for r in pii.query(documents(spark, rows)).collect()}
+    assert got[100] == "phone:11:21"
