@@ -25,7 +25,7 @@ def norm(row):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(SF, t)}.parquet')")
     got = QUERIES[name](spark, SF)
     want = con.execute(SQL[name])
