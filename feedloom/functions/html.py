@@ -131,6 +131,13 @@ def meta_refresh_url(html) -> Column:
     return F.regexp_extract(tag, r"(?i)url\s*=\s*([^\"'>\s]+)", 1)
 
 
+def refresh_note(html) -> Column:
+    """What the story shows instead of a meta refresh ('' without one)."""
+    url = meta_refresh_url(html)
+    return F.when(url != "", F.concat(F.lit('Meta refresh suppressed.<br /><a href="'), url, F.lit('">'), url,
+                                      F.lit("</a>"))).otherwise(F.lit(""))
+
+
 # ------------------------------------------------------------- H14 H21 H22
 def ensure_h1(html, title) -> Column:
     """Insert <h1>title</h1> at the start of the body when the page has no h1."""
@@ -156,7 +163,14 @@ def body_only(html) -> Column:
     """The body's content; a fragment without <body> is all body."""
     html = col_of(html)
     inner = F.regexp_extract(html, r"(?is)<body[^>]*>(.*?)(?:</body>|\z)", 1)
-    return F.when(inner != "", inner).otherwise(html)
+    return F.when(html.rlike(r"(?i)<body[^>]*>"), inner).otherwise(html)
+
+
+def has_content(html) -> Column:
+    """Whether anything would be seen: text outside of tags and comments, or an image."""
+    html = col_of(html)
+    text = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->|<[^>]*>", ""), r"(?i)&nbsp;|\s", "")
+    return (text != "") | html.rlike(r"(?i)<img\b")
 
 
 # Story page wrapper.
@@ -229,6 +243,15 @@ def cut_excerpt(html, size) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) > 0, cut).otherwise(html)
 
 
+# The index footer a 1.5-level excerpt may carry (cut away, H18).
+FOOTER_NAV = r'<center><a href="[0-9]+.html">&gt;-[0-9]+-&gt;</a></center>'
+
+
+def cut_footer(html) -> Column:
+    """The footer navigation and what follows it go."""
+    return F.regexp_replace(col_of(html), "(?s)" + FOOTER_NAV + ".*$", "")
+
+
 def no_content(text) -> Column:
     """Empty (after trim) → '[No content]'."""
     t = col_of(text)

@@ -205,50 +205,99 @@ class Specs:
 
 
 # ------------------------------------------------------------------ operators on one page
-def without(page: str | None, specs: Specs) -> str | None:
-    """H3: the page without the elements that a spec names, and their subtrees."""
-    if page is None or not specs.specs:
+class Page:
+    """One page, parsed once: its tokens, the extents of its elements, and which tokens are still there.
+
+    Edit steps act on the same elements whatever earlier steps took away:
+    removing an element changes no other element's extent.
+    """
+
+    def __init__(self, page: str):
+        self.toks = tokens(page)
+        self.names, self.kind = kinds(self.toks)
+        self.live = [True] * len(self.toks)
+        self.tail = ""
+        self._extents: tuple[list[int], list[int]] | None = None
+
+    def extents(self) -> tuple[list[int], list[int]]:
+        if self._extents is None:
+            self._extents = extents(self.names, self.kind)
+        return self._extents
+
+    def named(self, specs: Specs, of=("open", "void")):
+        """(token number, spec number) of the elements still there that a spec names, in page order."""
+        for i, k in enumerate(self.kind):
+            if self.live[i] and k in of and (no := specs.first(self.toks[i], self.names[i])) is not None:
+                yield i, no
+
+    def delete(self, specs: Specs) -> None:
+        """H3: the elements that a spec names go, with their subtrees."""
+        until = -1
+        for i, _ in list(self.named(specs)):
+            if i > until:
+                until = self.extents()[0][i]
+                self.live[i:until + 1] = [False] * (until + 1 - i)
+
+    def keep(self, specs: Specs) -> None:
+        """Only the first element of the first spec that names any stays; all stays when none does."""
+        first = min(((no, i) for i, no in self.named(specs, ("open",))), default=None)
+        if first is not None:
+            start, stop = first[1], self.extents()[0][first[1]]
+            self.live = [x and start <= i <= stop for i, x in enumerate(self.live)]
+
+    def one_body(self) -> None:
+        """H7: only the first start and the first end tag of html and of body stay."""
+        met = set()
+        for i, (tag, k) in enumerate(zip(self.names, self.kind)):
+            if self.live[i] and tag in ("html", "body") and k in ("open", "close"):
+                self.live[i] = (tag, k) not in met
+                met.add((tag, k))
+
+    def repair(self) -> None:
+        """The first h1 goes, ' ...' follows the last text (' [...]' when there is none), open elements are closed."""
+        end, still = self.extents()
+        h1 = next((i for i, k in enumerate(self.kind) if self.live[i] and k == "open" and self.names[i] == "h1"), None)
+        if h1 is not None:
+            self.live[h1:end[h1] + 1] = [False] * (end[h1] + 1 - h1)
+        last = next((i for i in range(len(self.toks) - 1, -1, -1) if self.live[i] and self.kind[i] == "text"), None)
+        if last is not None:
+            self.toks[last] += " ..."
+        self.tail += "".join(f"</{self.names[i]}>" for i in reversed(still) if self.live[i])
+        self.tail += "" if last is not None else " [...]"
+
+    def text(self) -> str:
+        return "".join(t for t, there in zip(self.toks, self.live) if there) + self.tail
+
+
+#: Edit steps by name: the method, and whether its specs are containers (None: it takes none).
+EDITS = {"delete": (Page.delete, False), "keep": (Page.keep, True), "one_body": (Page.one_body, None),
+         "repair": (Page.repair, None)}
+
+
+def edited(page: str | None, steps: list[tuple[str, Specs | None]]) -> str | None:
+    """The page after the edit steps, in order; it is parsed once, and not at all when no step has anything to do."""
+    steps = [(name, specs) for name, specs in steps if specs is None or specs.specs]
+    if page is None or not steps:
         return page
-    toks = tokens(page)
-    names, kind = kinds(toks)
-    end, _ = extents(names, kind)
-    out, i = [], 0
-    while i < len(toks):
-        if kind[i] in ("open", "void") and specs.first(toks[i], names[i]) is not None:
-            i = end[i] + 1
-        else:
-            out.append(toks[i])
-            i += 1
-    return "".join(out)
+    work = Page(page)
+    for name, specs in steps:
+        EDITS[name][0](work, *([] if specs is None else [specs]))
+    return work.text()
+
+
+def without(page: str | None, specs: Specs) -> str | None:
+    """H3 alone: the page without the elements that a spec names, and their subtrees."""
+    return edited(page, [("delete", specs)])
 
 
 def container(page: str | None, specs: Specs) -> str | None:
-    """The first element of the first spec that names any on the page; else the page."""
-    if page is None or not specs.specs:
-        return page
-    toks = tokens(page)
-    names, kind = kinds(toks)
-    hits = [(no, i) for i, k in enumerate(kind) if k == "open" and (no := specs.first(toks[i], names[i])) is not None]
-    if not hits:
-        return page
-    start = min(hits)[1]
-    return "".join(toks[start:extents(names, kind)[0][start] + 1])
+    """H17 alone: the first element of the first spec that names any on the page; else the page."""
+    return edited(page, [("keep", specs)])
 
 
 def one_body(page: str | None) -> str | None:
-    """H7: only the first start and the first end tag of html and of body stay."""
-    if page is None:
-        return None
-    toks = tokens(page)
-    names, kind = kinds(toks)
-    out, met = [], set()
-    for t, tag, k in zip(toks, names, kind):
-        if tag in ("html", "body") and k in ("open", "close"):
-            if (tag, k) in met:
-                continue
-            met.add((tag, k))
-        out.append(t)
-    return "".join(out)
+    """H7 alone."""
+    return edited(page, [("one_body", None)])
 
 
 _HREF = _attr_rx("href")
@@ -281,16 +330,5 @@ def links_in(page: str | None, specs: Specs) -> list[dict]:
 
 
 def repaired(page: str | None) -> str | None:
-    """The first h1 goes, ' ...' follows the last text (' [...]' when there is none), open elements are closed."""
-    if page is None:
-        return None
-    toks = tokens(page)
-    names, kind = kinds(toks)
-    end, still = extents(names, kind)
-    h1 = next((i for i, k in enumerate(kind) if k == "open" and names[i] == "h1"), None)
-    drop = range(h1, end[h1] + 1) if h1 is not None else range(0)
-    texts = [i for i, k in enumerate(kind) if k == "text" and i not in drop]
-    if texts:
-        toks[texts[-1]] += " ..."
-    return ("".join(t for i, t in enumerate(toks) if i not in drop)
-            + "".join(f"</{names[i]}>" for i in reversed(still) if i not in drop) + ("" if texts else " [...]"))
+    """H18 alone."""
+    return edited(page, [("repair", None)])

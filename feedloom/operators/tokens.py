@@ -79,41 +79,43 @@ def attr_value(tok, attr) -> Column:
 
 
 def _in_row(fn, returns):
-    """A step on one page (and its specs) as a Column function; each batch parses each list of specs once."""
+    """A step on one page (and its lists of specs) as a Column function."""
     @F.pandas_udf(returns)
     def step(html: pd.Series, specs: pd.Series) -> pd.Series:
-        known: dict = {}
-        out = []
-        for page, given in zip(html, specs):
-            key = tuple(given) if given is not None else ()
-            if key not in known:
-                known[key] = fn.ready(key)
-            out.append(fn(page, known[key]))
-        return pd.Series(out, dtype=object)
+        return pd.Series([fn(page, given) for page, given in zip(html, specs)], dtype=object)
 
     # never evaluated twice: a later filter is not pushed below it
     return step.asNondeterministic()
 
 
-class _Step:
-    """A function of ``functions.tree`` with its way to read specs."""
+class _Program:
+    """Edit steps of ``functions.tree`` on a page; each task parses each list of specs once."""
 
-    def __init__(self, fn, equal: bool = False):
-        self.fn, self.equal = fn, equal
+    def __init__(self, names: list[str]):
+        self.names, self.known = names, {}
 
-    def ready(self, specs):
-        return tree.Specs(specs, self.equal)
+    def __call__(self, page, lists):
+        steps = []
+        for name, given in zip(self.names, lists):
+            containers = tree.EDITS[name][1]
+            key = (containers, tuple(given))
+            if containers is not None and key not in self.known:
+                self.known[key] = tree.Specs(key[1], containers)
+            steps.append((name, None if containers is None else self.known[key]))
+        return tree.edited(page, steps)
 
-    def __call__(self, page, specs):
-        return self.fn(page, specs)
 
+class _Links:
+    """S3 on a page."""
 
-class _Plain(_Step):
-    def ready(self, specs):
-        return None
+    def __init__(self):
+        self.known = {}
 
     def __call__(self, page, specs):
-        return self.fn(page)
+        key = tuple(specs) if specs is not None else ()
+        if key not in self.known:
+            self.known[key] = tree.Specs(key, True)
+        return tree.links_in(page, self.known[key])
 
 
 LINKS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("href", T.StringType()),
@@ -126,6 +128,37 @@ def _applied(pages: DataFrame, html_col: str, value: Column) -> DataFrame:
     return pages.select(*[value.alias(html_col) if c == html_col else F.col(f"`{c}`") for c in pages.columns])
 
 
+def _has_work(name: str, html: Column, specs: Column) -> Column:
+    """Whether an edit step can change the page; pages without work do not go to Python."""
+    if name == "delete":
+        tags = F.transform(F.coalesce(specs, empty_str_array()), lambda s: F.regexp_extract(s, NODE_SPEC_RE, 1))
+        return F.coalesce(F.exists(tags, lambda t: (t == "*") | (t != "") & F.regexp_like(
+            html, F.concat(F.lit("(?i)<"), F.replace(t, F.lit("*"), F.lit("")), F.lit(r"\b")))), F.lit(False))
+    if name == "keep":
+        return F.coalesce(F.size(specs) > 0, F.lit(False))
+    if name == "one_body":  # two starts or two ends of html or body
+        return F.coalesce(html.rlike(r"(?is)<(/?(?:html|body))\b.*<\1\b"), F.lit(False))
+    return F.lit(True)
+
+
+def edit_pages(pages: DataFrame, program: list[tuple[str, str | None]], html_col: str = "html") -> DataFrame:
+    """The tree program: edit steps applied to one token array per page.
+
+    ``program`` lists (step, specs column): ``delete`` (H3), ``keep`` (H17),
+    ``one_body`` and ``repair`` (H7, H18; no specs).  A page is parsed once and
+    joined once whatever the number of steps, inside one Arrow step and without
+    a shuffle; elements keep the extents they have on the page as given.
+    """
+    html = F.col(f"`{html_col}`")
+    lists = [F.col(f"`{c}`") if c else empty_str_array() for _, c in program]
+    work = F.lit(False)
+    for (name, _), specs in zip(program, lists):
+        work = work | _has_work(name, html, specs)
+    fixed = _in_row(_Program([name for name, _ in program]), T.StringType())(
+        F.when(work, html), F.array(*[F.coalesce(c, empty_str_array()) for c in lists]))
+    return _applied(pages, html_col, F.coalesce(fixed, html))
+
+
 def delete_nodes(pages: DataFrame, specs_col: str = "skip_nodes", html_col: str = "html") -> DataFrame:
     """H3: remove every element matching a node spec of the page's site, with its subtree.
 
@@ -134,12 +167,7 @@ def delete_nodes(pages: DataFrame, specs_col: str = "skip_nodes", html_col: str
     whose html names a spec's tag go to Python; specs without an attribute
     match nothing (see ``bad_node_specs``).
     """
-    specs, html = F.col(f"`{specs_col}`"), F.col(f"`{html_col}`")
-    names = F.transform(F.coalesce(specs, empty_str_array()), lambda s: F.regexp_extract(s, NODE_SPEC_RE, 1))
-    work = F.coalesce(F.exists(names, lambda t: (t == "*") | (t != "") & F.regexp_like(
-        html, F.concat(F.lit("(?i)<"), F.replace(t, F.lit("*"), F.lit("")), F.lit(r"\b")))), F.lit(False))
-    cleaned = _in_row(_Step(tree.without), T.StringType())(F.when(work, html), specs)
-    return _applied(pages, html_col, F.coalesce(cleaned, html))
+    return edit_pages(pages, [("delete", specs_col)], html_col)
 
 
 def bad_node_specs(specs: DataFrame, name: str = "feed") -> DataFrame:
@@ -158,8 +186,7 @@ def keep_container(pages: DataFrame, specs_col: str, html_col: str = "html") ->
     ``specs_col`` is an ARRAY<STRING>: 'tag attr="value"' (the value, or one of
     its words; the tag ``*`` names any) or a bare tag.
     """
-    return _applied(pages, html_col, _in_row(_Step(tree.container, equal=True), T.StringType())(
-        F.col(f"`{html_col}`"), F.col(f"`{specs_col}`")))
+    return edit_pages(pages, [("keep", specs_col)], html_col)
 
 
 def first_html_body(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -167,10 +194,7 @@ def first_html_body(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     Pages with one start and one end tag of each at most do not go to Python.
     """
-    html = F.col(f"`{html_col}`")
-    again = html.rlike(r"(?is)<(/?(?:html|body))\b.*<\1\b")
-    fixed = _in_row(_Plain(tree.one_body), T.StringType())(F.when(again, html), empty_str_array())
-    return _applied(pages, html_col, F.coalesce(fixed, html))
+    return edit_pages(pages, [("one_body", None)], html_col)
 
 
 def container_links(pages: DataFrame, specs_col: str, key: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -180,7 +204,7 @@ def container_links(pages: DataFrame, specs_col: str, key: str = "page_id", html
     the number of the link's token on the page.
     """
     ship_package(pages.sparkSession)
-    links = _in_row(_Step(tree.links_in, equal=True), LINKS)(F.col(f"`{html_col}`"), F.col(f"`{specs_col}`"))
+    links = _in_row(_Links(), LINKS)(F.col(f"`{html_col}`"), F.col(f"`{specs_col}`"))
     return pages.select(F.col(f"`{key}`"), links.alias("_links")).select(f"`{key}`", F.inline("_links"))
 
 
@@ -188,5 +212,4 @@ def repair_excerpt(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """H18 tag repair of a cut excerpt: drop the first h1 element, append ' ...'
     to the last text (or ' [...]' when there is none) and close every element
     left open, innermost first, at the end."""
-    return _applied(pages, html_col, _in_row(_Plain(tree.repaired), T.StringType())(
-        F.col(f"`{html_col}`"), empty_str_array()))
+    return edit_pages(pages, [("repair", None)], html_col)

@@ -65,21 +65,23 @@ def node_delete(spark, sf_dir):
 
 NODE_SPEC_SQL = TK.NODE_SPEC_RE.replace("'", "''")
 
-SQL_NODE_DELETE = f"""
-WITH p AS ({_rules_join_sql('pages', ['skip_nodes'])}),
-specs AS (SELECT page_id, unnest(skip_nodes) AS spec FROM p),
-sp AS (SELECT DISTINCT page_id, lower(regexp_extract(spec, '{NODE_SPEC_SQL}', 1)) AS s_tag,
+
+def node_delete_ctes(src: str, pre: str = "") -> str:
+    """CTEs from ``src`` (page_id, html, skip_nodes) to ``{pre}kept``, the tokens left on the pages with work."""
+    return f"""
+{pre}specs AS (SELECT page_id, unnest(skip_nodes) AS spec FROM {src}),
+{pre}sp AS (SELECT DISTINCT page_id, lower(regexp_extract(spec, '{NODE_SPEC_SQL}', 1)) AS s_tag,
               lower(regexp_extract(spec, '{NODE_SPEC_SQL}', 2)) AS s_attr,
-              regexp_extract(spec, '{NODE_SPEC_SQL}', 3) AS s_rx FROM specs),
-usable AS (SELECT * FROM sp WHERE s_tag <> '' AND s_attr <> ''),
-work AS (SELECT page_id, html FROM pages WHERE page_id IN
-           (SELECT u.page_id FROM usable u JOIN pages pg USING (page_id)
+              regexp_extract(spec, '{NODE_SPEC_SQL}', 3) AS s_rx FROM {pre}specs),
+{pre}usable AS (SELECT * FROM {pre}sp WHERE s_tag <> '' AND s_attr <> ''),
+{pre}work AS (SELECT page_id, html FROM {src} WHERE page_id IN
+           (SELECT u.page_id FROM {pre}usable u JOIN {src} pg USING (page_id)
             WHERE regexp_matches(pg.html, '(?i)<' || u.s_tag || '\\b'))),
-t0 AS ({tokens_sql('work')}),
-ok AS (SELECT t.page_id FROM (SELECT page_id, sum(length(tok)) AS n FROM t0 GROUP BY 1) t
-       JOIN work w USING (page_id) WHERE t.n = length(w.html)),
-t AS (SELECT * FROM t0 WHERE page_id IN (SELECT page_id FROM ok)),
-hits AS (SELECT DISTINCT t.page_id, t.pos, t.kind FROM t JOIN usable u USING (page_id)
+{pre}t0 AS ({tokens_sql(pre + 'work')}),
+{pre}ok AS (SELECT t.page_id FROM (SELECT page_id, sum(length(tok)) AS n FROM {pre}t0 GROUP BY 1) t
+       JOIN {pre}work w USING (page_id) WHERE t.n = length(w.html)),
+{pre}t AS (SELECT * FROM {pre}t0 WHERE page_id IN (SELECT page_id FROM {pre}ok)),
+{pre}hits AS (SELECT DISTINCT t.page_id, t.pos, t.kind FROM {pre}t t JOIN {pre}usable u USING (page_id)
          WHERE t.kind IN ('open', 'void') AND t.tag = u.s_tag
            AND coalesce(regexp_matches(
                  CASE WHEN regexp_matches(t.tok, '(?i)\\s' || u.s_attr || '\\s*=')
@@ -89,12 +91,17 @@ hits AS (SELECT DISTINCT t.page_id, t.pos, t.kind FROM t JOIN usable u USING (pa
                                 THEN regexp_extract(t.tok, '(?i)\\s' || u.s_attr || '\\s*=\\s*''([^'']*)''', 1)
                                 ELSE regexp_extract(t.tok, '(?i)\\s' || u.s_attr || '\\s*=\\s*([^\\s"''>]+)', 1) END
                  END, u.s_rx), false)),
-ends AS ({ends_sql('t')}),
-iv AS (SELECT h.page_id, h.pos AS start,
+{pre}ends AS ({ends_sql(pre + 't')}),
+{pre}iv AS (SELECT h.page_id, h.pos AS start,
               CASE WHEN h.kind = 'void' THEN h.pos ELSE coalesce(e.end_pos, {1 << 30}) END AS stop
-       FROM hits h LEFT JOIN ends e USING (page_id, pos)),
-cov AS ({covered_sql('t', 'iv')}),
-kept AS (SELECT * FROM cov WHERE NOT inside),
+       FROM {pre}hits h LEFT JOIN {pre}ends e USING (page_id, pos)),
+{pre}cov AS ({covered_sql(pre + 't', pre + 'iv')}),
+{pre}kept AS (SELECT * FROM {pre}cov WHERE NOT inside)"""
+
+
+SQL_NODE_DELETE = f"""
+WITH p AS ({_rules_join_sql('pages', ['skip_nodes'])}),
+{node_delete_ctes('p')},
 clean AS ({reassemble_sql('kept', out='clean')})
 SELECT p.page_id, coalesce(c.clean, p.html) AS html FROM pages p LEFT JOIN clean c USING (page_id)
 """
@@ -244,7 +251,7 @@ SELECT page_id, {_body_only_sql('h')} AS html FROM h
 
 def _body_only_sql(x):
     inner = f"regexp_extract({x}, '(?is)<body[^>]*>(.*?)(?:</body>|\\z)', 1)"
-    return f"(CASE WHEN {inner} <> '' THEN {inner} ELSE {x} END)"
+    return f"(CASE WHEN regexp_matches({x}, '(?i)<body[^>]*>') THEN {inner} ELSE {x} END)"
 
 
 # ------------------------------------------------------------ meta_and_base
@@ -453,10 +460,6 @@ SQL = {
 
 
 # ----------------------------------------------------------- excerpt_repair
-# The index footer a 1.5-level excerpt may carry (cut away, H18).
-FOOTER_NAV = r'<center><a href="[0-9]+.html">&gt;-[0-9]+-&gt;</a></center>'
-
-
 def excerpt_repair(spark, sf_dir):
     """Excerpt cut to rss_entry_size, dangling tag removed, first h1 dropped,
     ' ...' after the last text, open elements closed, footer navigation cut."""
@@ -466,14 +469,36 @@ def excerpt_repair(spark, sf_dir):
                                          F.lit('<center><a href="3.html">&gt;-3-&gt;</a></center>tail')))
     p = p.withColumn("excerpt", H.cut_excerpt(F.col("excerpt"), F.col("rss_entry_size")))
     cut = p.filter(F.col("rss_entry_size") > 0).select("page_id", F.col("excerpt").alias("html"))
-    fixed = TK.repair_excerpt(cut).withColumn(
-        "html", F.regexp_replace("html", "(?s)" + FOOTER_NAV + ".*$", ""))
+    fixed = TK.repair_excerpt(cut).withColumn("html", H.cut_footer("html"))
     rest = p.filter(~(F.col("rss_entry_size") > 0)).select("page_id", F.col("excerpt").alias("html"))
     return fixed.unionByName(rest).select("page_id", F.col("html").alias("excerpt"))
 
 
+def repair_ctes(src: str, pre: str = "") -> str:
+    """CTEs from ``src`` (page_id, html) to ``{pre}fixed`` (page_id, html): H18's repair and the footer's cut."""
+    nav = H.FOOTER_NAV.replace("'", "''")
+    return f"""
+{pre}t0 AS ({tokens_sql(src)}),
+{pre}t1 AS (SELECT *, tag = 'h1' AND kind = 'open'
+                 AND pos = min(CASE WHEN tag = 'h1' AND kind = 'open' THEN pos END) OVER (PARTITION BY page_id) AS st
+       FROM {pre}t0),
+{pre}ends AS ({ends_sql(pre + 't1')}),
+{pre}iv AS (SELECT t1.page_id, t1.pos AS start, coalesce(e.end_pos, {1 << 30}) AS stop
+       FROM {pre}t1 t1 LEFT JOIN {pre}ends e USING (page_id, pos) WHERE t1.st),
+{pre}cov AS ({covered_sql(pre + 't1', pre + 'iv')}),
+{pre}m AS (SELECT c.*, c.kind = 'open' AND o.end_pos IS NULL AND NOT c.inside AS unclosed,
+             max(CASE WHEN c.kind = 'text' AND NOT c.inside THEN c.pos END) OVER (PARTITION BY c.page_id) AS last_t
+      FROM {pre}cov c LEFT JOIN {pre}ends o USING (page_id, pos)),
+{pre}a AS (SELECT page_id,
+        coalesce(string_agg(CASE WHEN pos = last_t THEN tok || ' ...' ELSE tok END, '' ORDER BY pos)
+                 FILTER (WHERE NOT inside), '')
+        || coalesce(string_agg('</' || tag || '>', '' ORDER BY pos DESC) FILTER (WHERE unclosed), '')
+        || CASE WHEN max(last_t) IS NULL THEN ' [...]' ELSE '' END AS html
+      FROM {pre}m GROUP BY page_id),
+{pre}fixed AS (SELECT page_id, regexp_replace(html, '(?s){nav}.*$', '') AS html FROM {pre}a)"""
+
+
 def _excerpt_repair_sql():
-    nav = FOOTER_NAV.replace("'", "''")
     return f"""
 WITH p AS ({_rules_join_sql(f'({X.DERIVED_SQL})', ['rss_entry_size'])}),
 x0 AS (SELECT page_id, rss_entry_size,
@@ -483,24 +508,8 @@ x AS (SELECT page_id, rss_entry_size,
              CASE WHEN coalesce(rss_entry_size, 0) > 0 THEN regexp_replace(substr(e, 1, rss_entry_size), '<[^>]*$', '')
                   ELSE e END AS html FROM x0),
 cut AS (SELECT page_id, html FROM x WHERE rss_entry_size > 0),
-t0 AS ({tokens_sql('cut')}),
-t1 AS (SELECT *, tag = 'h1' AND kind = 'open'
-                 AND pos = min(CASE WHEN tag = 'h1' AND kind = 'open' THEN pos END) OVER (PARTITION BY page_id) AS st
-       FROM t0),
-ends AS ({ends_sql('t1')}),
-iv AS (SELECT t1.page_id, t1.pos AS start, coalesce(e.end_pos, {1 << 30}) AS stop
-       FROM t1 LEFT JOIN ends e USING (page_id, pos) WHERE t1.st),
-cov AS ({covered_sql('t1', 'iv')}),
-m AS (SELECT c.*, c.kind = 'open' AND o.end_pos IS NULL AND NOT c.inside AS unclosed,
-             max(CASE WHEN c.kind = 'text' AND NOT c.inside THEN c.pos END) OVER (PARTITION BY c.page_id) AS last_t
-      FROM cov c LEFT JOIN ends o USING (page_id, pos)),
-a AS (SELECT page_id,
-        coalesce(string_agg(CASE WHEN pos = last_t THEN tok || ' ...' ELSE tok END, '' ORDER BY pos)
-                 FILTER (WHERE NOT inside), '')
-        || coalesce(string_agg('</' || tag || '>', '' ORDER BY pos DESC) FILTER (WHERE unclosed), '')
-        || CASE WHEN max(last_t) IS NULL THEN ' [...]' ELSE '' END AS html
-      FROM m GROUP BY page_id)
-SELECT page_id, regexp_replace(html, '(?s){nav}.*$', '') AS excerpt FROM a
+{repair_ctes('cut')}
+SELECT page_id, html AS excerpt FROM fixed
 UNION ALL SELECT page_id, html FROM x WHERE NOT (rss_entry_size > 0) OR rss_entry_size IS NULL
 """
 

@@ -77,3 +77,30 @@ def test_no_shuffle_in_the_tree_steps(spark):
     for out in (TK.delete_nodes(df, "specs"), TK.keep_container(df, "specs"), TK.first_html_body(df), TK.repair_excerpt(df),
                 TK.container_links(df, "specs")):
         assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_program_parses_each_page_once(monkeypatch):
+    calls = []
+    real = tree.tokens
+    monkeypatch.setattr(tree, "tokens", lambda page: calls.append(page) or real(page))
+    program = [("keep", tree.Specs(["article"], True)), ("delete", tree.Specs(['div class="ad"'])), ("one_body", None),
+               ("repair", None)]
+    page = "<html><body><nav>n</nav><article><h1>t</h1><div class=ad>x</div><p>one<body><b>two</article>tail</body>"
+    assert tree.edited(page, program) == "<article><p>one<body><b>two ...</article>"
+    assert calls == [page]
+    assert tree.edited(None, program) is None and tree.edited("plain", [("delete", tree.Specs([]))]) == "plain"
+    assert calls == [page]
+
+
+def test_removing_an_element_moves_no_other(spark):
+    # the div's start ended the paragraph on the page as given; b is no part of it afterwards either
+    page = '<p class="x">a<div class="ad">y</div>b</p>c'
+    specs = tree.Specs(['div class="ad"', 'p class="x"'])
+    assert tree.without(page, specs) == "b</p>c"
+    rows = spark.createDataFrame([(1, page, ['div class="ad"'], ["p"]), (2, None, None, None), (3, "<p>z", None, ["h9"])],
+                                 "page_id int, html string, gone array<string>, held array<string>")
+    got = TK.edit_pages(rows, [("delete", "gone"), ("keep", "held")])
+    assert got.columns == rows.columns
+    assert {r["page_id"]: r["html"] for r in got.collect()} == {1: '<p class="x">a', 2: None, 3: "<p>z"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
