@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +14,27 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def built_once(fn):
+    """A column function whose expression is built once for the same column names.
+
+    Large expressions take hundreds of calls to the JVM to build; an expression
+    over names is the same one wherever it is used.  Arguments that are Columns
+    are built anew.
+    """
+    known: dict = {}
+
+    @wraps(fn)
+    def call(*args):
+        if not all(isinstance(a, str) for a in args):
+            return fn(*args)
+        key = (id(SparkContext._gateway), args)
+        if key not in known:
+            known[key] = fn(*args)
+        return known[key]
+
+    return call
+
+
 def str_array(values) -> Column:
     """A literal ARRAY<STRING> (empty list gives a typed empty array)."""
     if not values:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.common import col_of, empty_str_array, first_match
+from feedloom.functions.common import built_once, col_of, empty_str_array, first_match
 
 # Elements unwrapped (children kept) and dropped with content.
 UNWRAP_TAGS = ["head", "form", "input", "textarea", "font", "iframe", "object", "meta"]
@@ -159,6 +159,12 @@ def byline(html, author) -> Column:
     return F.when(a.isNull() | (a == "") | (pos == 0), html).otherwise(ins)
 
 
+def lead_line(html, author) -> Column:
+    """The byline where it stands right before the body's tag ('' elsewhere): the body shows it."""
+    html, line = col_of(html), F.concat(F.lit("By: "), col_of(author), F.lit("\n<p>\n"))
+    return F.when(F.contains(html, F.concat(line, F.lit("<body"))), line).otherwise(F.lit(""))
+
+
 def body_only(html) -> Column:
     """The body's content; a fragment without <body> is all body."""
     html = col_of(html)
@@ -258,6 +264,7 @@ def no_content(text) -> Column:
     return F.when(t.isNull() | (F.trim(t) == ""), F.lit("[No content]")).otherwise(t)
 
 
+@built_once
 def absolute_links(html, base) -> Column:
     """Every a[href] made absolute against the page's base.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedloom.functions.common import col_of
+from feedloom.functions.common import built_once, col_of
 
 # Image file extensions kept as they are; the replacement
 # source of a blocked image; the text of the link that replaces it.
@@ -148,15 +148,22 @@ def image_decision(tag, page_host, base, max_srcset, nonlocal_ok, block_nonlocal
 IMG_TAG_RE = r"(?i)<img\b[^>]*>"
 
 
+@built_once
 def rewrite_images(html, page_host, base, max_srcset, nonlocal_ok, block_nonlocal, alt_domains) -> Column:
-    """I5/I7 in the page: every img tag replaced by its rewritten form (one pass
-    of literal replacements over the distinct (tag, new tag) pairs)."""
+    """I5/I7 in the page: every img tag replaced by its rewritten form.
+
+    The page is split at its img tags once, each tag is rewritten by itself and
+    the pieces are joined: work is linear in the page, and no rewritten tag is
+    met a second time.
+    """
     html = col_of(html)
-    tags = F.array_distinct(F.regexp_extract_all(html, F.lit(IMG_TAG_RE), F.lit(0)))
-    pairs = F.transform(tags, lambda t: F.struct(
-        t.alias("old"),
-        image_decision(t, page_host, base, max_srcset, nonlocal_ok, block_nonlocal, alt_domains)["new_tag"]
-        .alias("new")))
-    rewritten = F.aggregate(pairs, html, lambda acc, p: F.replace(acc, p["old"], p["new"]))
+    tags = F.regexp_extract_all(html, F.lit(IMG_TAG_RE), F.lit(0))
+
+    def new(tag):
+        return image_decision(tag, page_host, base, max_srcset, nonlocal_ok, block_nonlocal, alt_domains)["new_tag"]
+
+    rewritten = F.array_join(F.zip_with(
+        F.split(html, IMG_TAG_RE, -1), F.concat(F.transform(tags, new), F.array(F.lit(""))),
+        lambda text, tag: F.concat(text, tag)), "")
     # pages without an img tag skip the (interpreted) per-tag lambdas
     return F.when(html.rlike(r"(?i)<img\b"), rewritten).otherwise(html)

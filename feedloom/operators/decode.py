@@ -6,14 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions import text as T
+from feedloom.functions.common import materialize
+from feedloom.functions.html import meta_charset
 from feedloom.functions.urls import header_charset
 
 
-def choose_charset(rule_encoding, content_type) -> F.Column:
-    """The site's configured encoding, else the header's last charset, else utf-8."""
+#: Bytes of a page in which a meta tag's charset is looked for.
+META_BYTES = 4096
+
+
+def choose_charset(rule_encoding, content_type, body=None) -> F.Column:
+    """The site's configured encoding, else the header's last charset, else (with ``body``) that of a
+    meta tag near the page's start (H13), else utf-8."""
     cfg = F.coalesce(rule_encoding, F.lit(""))
-    hdr = header_charset(content_type)
-    return F.lower(F.when(cfg != "", cfg).when(hdr != "", hdr).otherwise(F.lit("utf-8")))
+    hdr = F.coalesce(header_charset(content_type), F.lit(""))
+    meta = F.lit("")
+    if body is not None:  # markup is ASCII in every charset a meta tag can name
+        meta = F.coalesce(meta_charset(F.decode(F.substring(body, 1, META_BYTES), "ISO-8859-1")), F.lit(""))
+    return F.lower(F.when(cfg != "", cfg).when(hdr != "", hdr).when(meta != "", meta).otherwise(F.lit("utf-8")))
 
 
 def decode_bodies(responses: DataFrame, body_col: str = "body", charset_col: str = "charset",
@@ -22,15 +32,15 @@ def decode_bodies(responses: DataFrame, body_col: str = "body", charset_col: str
 
     Valid UTF-8 declared as UTF-8 stays native (a cast, checked by
     ``is_valid_utf8``); only the other rows go through the Python decoder,
-    so the slow path sees only legacy-charset or broken bodies.
+    so the slow path sees only legacy-charset or broken bodies; the others
+    reach it as nulls, and the bodies are read once.
     """
     cs = F.col(charset_col)
     as_text = F.col(body_col).cast("string")
-    fast_ok = cs.isin("utf-8", "utf8") & F.is_valid_utf8(as_text)
-    tagged = responses.withColumn("_fast", F.coalesce(fast_ok, F.lit(False)))
-    fast = tagged.filter("_fast").withColumn(out, as_text)
-    slow = tagged.filter(~F.col("_fast")).withColumn(out, T.decode_bytes(F.col(body_col), cs))
-    return fast.unionByName(slow).drop("_fast")
+    fast = F.coalesce(cs.isin("utf-8", "utf8") & F.is_valid_utf8(as_text), F.lit(False))
+    tagged = materialize(responses, _fast=fast)
+    slow = T.decode_bytes(F.when(~F.col("_fast"), F.col(body_col)), cs)
+    return tagged.withColumn(out, F.when(F.col("_fast"), as_text).otherwise(slow)).drop("_fast")
 
 
 def unmapped_report(docs: DataFrame, text_col: str = "text", key: str = "doc_id",

@@ -49,14 +49,12 @@ def index_pages(spark, sf_dir):
     return D.index_documents(blocks).select("feed", "n_items", "index_html")
 
 
-def _index_pages_sql():
-    pats = "index_skip_content_pats"
-    content = "CASE WHEN content IS NULL OR trim(content) = '' THEN '[No content]' ELSE content END"
-    content = excise_sql(pats, content, flags="")
-    content = (f"CASE WHEN coalesce(rss_entry_size, 0) > 0 "
-               f"THEN regexp_replace(substr({content}, 1, rss_entry_size), '<[^>]*$', '') ELSE {content} END")
-    title = ("CASE WHEN length(title) < min_width THEN title || repeat('. ', min_width - length(title)) || '__' "
+TITLE_SQL = ("CASE WHEN length(title) < min_width THEN title || repeat('. ', min_width - length(title)) || '__' "
              "ELSE title END")
+
+
+def item_block_sql() -> str:
+    """One item's block from item_no, n_items, t (padded title), anchor, link, levels, skip_links, c (content), author."""
     short = ("CASE WHEN length(t) > 16 THEN regexp_replace(substr(t, 1, 16), '<.*?>', '', 'g') || '...' ELSE t END")
     page_link = "'<a href=\"' || CAST(item_no AS VARCHAR) || '.html' || anchor || '\">'"
     story_link = "'<a href=\"' || link || '\">'"
@@ -71,11 +69,23 @@ def _index_pages_sql():
           "THEN chr(10) || '<br><i>By: ' || author || '</i><br>' ELSE '' END")
     tail = (f"CASE WHEN ({itemlink}) IS NOT NULL THEN chr(10) || '<br><center>[[' || ({itemlink}) || ({short}) "
             f"|| '</a>]]</center>' || chr(10) || chr(10) ELSE '' END")
-    block = (f"'<p><a name=\"' || CAST(item_no AS VARCHAR) || '\">&nbsp;</a>' || ({head}) || ({nxt}) || c "
-             f"|| {_sql_text(D.CLEAR)} || ({by}) || ({tail})")
+    return (f"'<p><a name=\"' || CAST(item_no AS VARCHAR) || '\">&nbsp;</a>' || ({head}) || ({nxt}) || c "
+            f"|| {_sql_text(D.CLEAR)} || ({by}) || ({tail})")
+
+
+def index_head_sql(title: str) -> str:
     head_doc = D.INDEX_HEAD.replace("{day}", "\x01").replace("{feed}", "\x02").replace("{title}", "\x03")
-    hd = _sql_text(head_doc).replace("\x01", f"' || '{RUN_DAY_NAME}' || '").replace(
-        "\x02", "' || feed || '").replace("\x03", "' || '[' || feed || ']' || '")
+    return _sql_text(head_doc).replace("\x01", f"' || '{RUN_DAY_NAME}' || '").replace(
+        "\x02", "' || feed || '").replace("\x03", f"' || {title} || '")
+
+
+def _index_pages_sql():
+    pats = "index_skip_content_pats"
+    content = "CASE WHEN content IS NULL OR trim(content) = '' THEN '[No content]' ELSE content END"
+    content = excise_sql(pats, content, flags="")
+    content = (f"CASE WHEN coalesce(rss_entry_size, 0) > 0 "
+               f"THEN regexp_replace(substr({content}, 1, rss_entry_size), '<[^>]*$', '') ELSE {content} END")
+    title, block, hd = TITLE_SQL, item_block_sql(), index_head_sql("'[' || feed || ']'")
     tail_doc = D.INDEX_TAIL.split("{n}")
     return f"""
 WITH {SQL_KEPT},
@@ -229,23 +239,23 @@ SELECT severity, stage, CAST(count(*) AS BIGINT) AS n, min(reason) AS first_reas
 
 # ---------------------------------------------------------------- url_feed
 def url_feed(spark, sf_dir):
-    """Feed items from saved URL lists: request list union line files, trimmed,
-    blank and 'none' dropped; title = description = link (XML-escaped), pubDate = run time."""
+    """Feed items from saved URL lists: request list union line files (every page is in one, some in
+    both), trimmed, blank and 'none' dropped; title = description = link (XML-escaped), pubDate = run time."""
     from feedloom.sources.urllists import url_items
     p = read_table(spark, sf_dir, "pages").select("page_id", "url")
-    requests = p.filter(F.pmod("page_id", F.lit(2)) == 0).select(
-        F.when(F.pmod("page_id", F.lit(14)) == 0, F.lit("none")).otherwise(F.col("url")).alias("value"))
-    lines = p.filter(F.pmod("page_id", F.lit(3)) == 0).select(
-        F.when(F.pmod("page_id", F.lit(11)) == 0, F.lit("   "))
-        .otherwise(F.concat(F.lit("  "), F.col("url"), F.lit(" "))).alias("value"))
+    requests = p.filter("page_id % 2 = 0 OR page_id % 11 = 0").select(
+        F.expr("CASE WHEN page_id % 14 = 0 THEN 'none' ELSE url END").alias("value"))
+    lines = p.filter("page_id % 2 = 1 OR page_id % 3 = 0 OR page_id % 14 = 0").select(
+        F.expr("CASE WHEN page_id % 11 = 0 AND page_id % 14 <> 0 THEN '   ' ELSE concat('  ', url, ' ') END").alias("value"))
     items = url_items(requests, lines, X.run_ts())
     return items.select("link", "title", "description", "pub_date")
 
 
 SQL_URL_FEED = """
-WITH u AS (SELECT CASE WHEN page_id % 14 = 0 THEN 'none' ELSE url END AS link FROM pages WHERE page_id % 2 = 0),
-l AS (SELECT trim(CASE WHEN page_id % 11 = 0 THEN '   ' ELSE '  ' || url || ' ' END) AS link
-      FROM pages WHERE page_id % 3 = 0),
+WITH u AS (SELECT CASE WHEN page_id % 14 = 0 THEN 'none' ELSE url END AS link FROM pages
+      WHERE page_id % 2 = 0 OR page_id % 11 = 0),
+l AS (SELECT trim(CASE WHEN page_id % 11 = 0 AND page_id % 14 <> 0 THEN '   ' ELSE '  ' || url || ' ' END) AS link
+      FROM pages WHERE page_id % 2 = 1 OR page_id % 3 = 0 OR page_id % 14 = 0),
 t AS (SELECT link FROM u WHERE link <> 'none' UNION ALL SELECT link FROM l WHERE link <> ''),
 x AS (SELECT link, replace(replace(replace(link, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS esc FROM t)
 SELECT link, esc AS title, esc AS description, 'Fri, 12 Jan 2024 00:00:00 +0000' AS pub_date FROM x
@@ -255,7 +265,6 @@ SELECT link, esc AS title, esc AS description, 'Fri, 12 Jan 2024 00:00:00 +0000'
 # ---------------------------------------------------------------- new_dirs
 def new_dirs(spark, sf_dir):
     """Feed directories present now but not before (set difference)."""
-    ev = read_table(spark, sf_dir, "events").select("ts", "user_id")
     ev = read_table(spark, sf_dir, "events").select("ts", "user_id", "event_type")
     dirs = ev.select(F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("day"),
                      F.format_string("u%04d_%s", F.col("user_id"), F.col("event_type")).alias("feed"))

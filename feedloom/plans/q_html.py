@@ -230,8 +230,9 @@ def unwrap_and_links(spark, sf_dir):
     return p.select("page_id", "html")
 
 
-def _unwrap_sql():
-    x = _drop_elements_sql("html")
+def strip_sql(html: str = "html") -> str:
+    """H5, H4, H6, H8, H11 and H9's removal, by the row's skip_images and skip_links."""
+    x = _drop_elements_sql(html)
     x = f"regexp_replace({x}, '(?i)</?(?:{'|'.join(H.UNWRAP_TAGS)})\\b[^>]*>', '', 'g')"
     img = x
     for t in H.IMAGE_TAGS_WITH_CONTENT:
@@ -241,7 +242,11 @@ def _unwrap_sql():
     x = (f"(CASE WHEN coalesce(skip_links, false) THEN regexp_replace({x}, '(?i)</?a\\b[^>]*>', '', 'g') "
          f"ELSE regexp_replace({x}, '(?is)<a\\b[^>]*>\\s*</a\\s*>', '', 'g') END)")
     x = f"regexp_replace({x}, '{STYLE_SQL}(?:\"[^\"]*(?:color|background)[^\"]*\"|''[^'']*(?:color|background)[^'']*'')', '\\1', 'g')"
-    x = f"regexp_replace({x}, '(?i)<base\\b[^>]*>', '', 'g')"
+    return f"regexp_replace({x}, '(?i)<base\\b[^>]*>', '', 'g')"
+
+
+def _unwrap_sql():
+    x = strip_sql()
     return f"""
 WITH p AS ({_rules_join_sql(f'({X.DERIVED_SQL})', ['skip_images', 'skip_links'])}),
 h AS (SELECT page_id, {x} AS h FROM p)
@@ -320,34 +325,41 @@ def story_pages(spark, sf_dir):
     return p.select("page_id", "html")
 
 
-def _story_sql():
-    head = H.PAGE_HEAD.split("{charset}")
+def byline_sql(html: str = "html") -> str:
+    return (f"(CASE WHEN author IS NULL OR author = '' OR strpos({html}, '<body>') = 0 THEN {html} ELSE "
+            f"substr({html}, 1, strpos({html}, '<body>') - 1) || 'By: ' || author || chr(10) || '<p>' || chr(10) "
+            f"|| substr({html}, strpos({html}, '<body>')) END)")
+
+
+def ensure_h1_sql(c: str) -> str:
+    hd = f"regexp_extract({c}, '(?is)^(.*?<body\\b[^>]*>)', 1)"
+    h1 = "('<h1>' || coalesce(title, '') || '</h1>' || chr(10))"
+    return (f"(CASE WHEN regexp_matches({c}, '(?i)<h1') THEN {c} WHEN {hd} <> '' "
+            f"THEN {hd} || {h1} || substr({c}, length({hd}) + 1) ELSE {h1} || {c} END)")
+
+
+def wrap_sql(body: str, url: str) -> str:
+    head, foot = H.PAGE_HEAD.split("{charset}"), H.PAGE_FOOT.split("{url}")
     h2 = head[1].split("{title}")
-    foot = H.PAGE_FOOT.split("{url}")
 
     def lit(s):
         return "'" + s.replace("'", "''") + "'"
-    by = ("(CASE WHEN author IS NULL OR author = '' OR strpos(html, '<body>') = 0 THEN html ELSE "
-          "substr(html, 1, strpos(html, '<body>') - 1) || 'By: ' || author || chr(10) || '<p>' || chr(10) "
-          "|| substr(html, strpos(html, '<body>')) END)")
-    cropped = crop_sql("b", "page_start", "page_end")
-    hd = "regexp_extract(c, '(?is)^(.*?<body\\b[^>]*>)', 1)"
-    h1 = "('<h1>' || coalesce(title, '') || '</h1>' || chr(10))"
-    ensure = (f"(CASE WHEN regexp_matches(c, '(?i)<h1') THEN c WHEN {hd} <> '' "
-              f"THEN {hd} || {h1} || substr(c, length({hd}) + 1) ELSE {h1} || c END)")
+    return (f"{lit(head[0])} || 'utf-8' || {lit(h2[0])} || coalesce(title, '') || {lit(h2[1])} || {body} "
+            f"|| {lit(foot[0])} || {url} || {lit(foot[1])} || {url} || {lit(foot[2])}")
+
+
+def _story_sql():
     return f"""
 WITH p AS ({_rules_join_sql('pages', ['page_start', 'page_end'])}),
 a AS (SELECT page_id, url, page_start, page_end, html,
              regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
              CASE WHEN page_id % 2 = 0 THEN 'Writer ' || CAST(page_id AS VARCHAR) END AS author FROM p),
-b AS (SELECT page_id, url, page_start, page_end, title, {by} AS b FROM a),
-c AS (SELECT page_id, url, title, {cropped} AS c FROM b),
-e AS (SELECT page_id, url, title, {ensure} AS e FROM c),
-f AS (SELECT page_id, url, title, {_body_only_sql('e')} AS body FROM e)
-SELECT page_id, {lit(head[0])} || 'utf-8' || {lit(h2[0])} || coalesce(title, '') || {lit(h2[1])}
-       || CASE WHEN body IS NULL OR trim(body) = '' THEN '[No content]' ELSE body END
-       || {lit(foot[0])} || url || {lit(foot[1])} || url || {lit(foot[2])} AS html
-FROM f
+b AS (SELECT page_id, url, page_start, page_end, title, {byline_sql()} AS b FROM a),
+c AS (SELECT page_id, url, title, {crop_sql("b", "page_start", "page_end")} AS c FROM b),
+e AS (SELECT page_id, url, title, {ensure_h1_sql('c')} AS e FROM c),
+f AS (SELECT page_id, url, title, {_body_only_sql('e')} AS body FROM e),
+g AS (SELECT *, CASE WHEN body IS NULL OR trim(body) = '' THEN '[No content]' ELSE body END AS shown FROM f)
+SELECT page_id, {wrap_sql('shown', 'url')} AS html FROM g
 """
 
 
@@ -367,19 +379,23 @@ def index_excerpts(spark, sf_dir):
     return p.select("page_id", "excerpt")
 
 
-def _excerpts_sql():
-    c = "(CASE WHEN trim(a) = '' THEN '[No content]' ELSE a END)"
+def excerpt_sql(a: str) -> str:
+    """H20, H12, H6 and H8 on an excerpt, by the row's rules."""
+    c = f"(CASE WHEN trim({a}) = '' THEN '[No content]' ELSE {a} END)"
     c = (f"(CASE WHEN simplify_rss THEN regexp_replace({c}, '{STYLE_SQL}(?:\"[^\"]*\"|''[^'']*'')', '\\1', 'g') || ' ... '"
          f" ELSE {c} END)")
     img = f"regexp_replace(regexp_replace({c}, '<a [^>]*href=[^>]*> *<img [^>]*></a>', '', 'g'), '<img [^>]*>', '', 'g')"
     c = f"(CASE WHEN skip_images THEN {img} ELSE {c} END)"
-    c = (f"(CASE WHEN coalesce(skip_links, false) THEN regexp_replace({c}, '(?i)</?a\\b[^>]*>', '', 'g') "
-         f"ELSE regexp_replace({c}, '(?is)<a\\b[^>]*>\\s*</a\\s*>', '', 'g') END)")
+    return (f"(CASE WHEN coalesce(skip_links, false) THEN regexp_replace({c}, '(?i)</?a\\b[^>]*>', '', 'g') "
+            f"ELSE regexp_replace({c}, '(?is)<a\\b[^>]*>\\s*</a\\s*>', '', 'g') END)")
+
+
+def _excerpts_sql():
     return f"""
 WITH p AS ({_rules_join_sql(f'({X.DERIVED_SQL})', ['simplify_rss', 'skip_images', 'skip_links',
                                                     'index_skip_content_pats', 'rss_entry_size'])}),
 a AS (SELECT *, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM p),
-b AS (SELECT page_id, rss_entry_size, {excise_sql('index_skip_content_pats', c, flags='')} AS x FROM a)
+b AS (SELECT page_id, rss_entry_size, {excise_sql('index_skip_content_pats', excerpt_sql('a'), flags='')} AS x FROM a)
 SELECT page_id, CASE WHEN coalesce(rss_entry_size, 0) > 0
                      THEN regexp_replace(substr(x, 1, rss_entry_size), '<[^>]*$', '')
                      ELSE x END AS excerpt

@@ -63,6 +63,12 @@ def item_block(item_no, title, link, anchor, levels, skip_links, content, author
     return F.concat(_fill(ANCHOR, n=n), head, nxt, col_of(content), F.lit(CLEAR), by, tail)
 
 
+def no_content_note(link, title) -> Column:
+    """What the index says in the place of a story without content."""
+    return F.concat(F.lit('<p>No content for <a href="'), col_of(link), F.lit('">'), F.coalesce(col_of(title), F.lit("")),
+                    F.lit("</a>\n"))
+
+
 def index_documents(blocks: DataFrame, keys=("day", "feed")) -> DataFrame:
     """Rows (keys..., item_no, block, day_name, title) -> one document per key.
 
@@ -84,13 +90,19 @@ def index_rows(blocks: DataFrame) -> DataFrame:
 
     For feeds of any size: only the head and tail fields are aggregated, and
     the rows are sorted by ranges, so one feed's document may span tasks.
+    Where the blocks have a flag ``numbered``, notes (without it) count as no
+    item, and a feed of notes alone has no document.
     """
+    item = F.col("numbered") if "numbered" in blocks.columns else F.lit(True)
     per = blocks.groupBy("day", "feed").agg(F.first("day_name").alias("day_name"), F.first("title").alias("title"),
-                                            F.count(F.lit(1)).alias("n"), F.max("item_no").alias("last_no"))
+                                            F.count_if(item).alias("n"), F.max("item_no").alias("last_no"))
+    if "numbered" in blocks.columns:
+        per = per.filter("n > 0")
+        blocks = blocks.join(per.select("day", "feed"), ["day", "feed"], "left_semi")
     ends = per.select("day", "feed", F.inline(F.array(
         F.struct(F.lit(0).cast("long").alias("seq"), _fill(INDEX_HEAD, day="day_name", feed="feed", title="title").alias("block")),
-        F.struct((F.col("last_no") + 1).cast("long").alias("seq"), _fill(INDEX_TAIL, n="n").alias("block")))))
-    return ends.unionByName(blocks.select("day", "feed", F.col("item_no").cast("long").alias("seq"), "block"))
+        F.struct((F.col("last_no") + 2).cast("long").alias("seq"), _fill(INDEX_TAIL, n="n").alias("block")))))
+    return ends.unionByName(blocks.select("day", "feed", (F.col("item_no") + 1).cast("long").alias("seq"), "block"))
 
 
 def write_index_rows(rows: DataFrame, path: str) -> None:
@@ -128,6 +140,13 @@ def manifest(files: DataFrame) -> DataFrame:
             .distinct().select("day", "section", "path"))
 
 
+def output_files(stories: DataFrame, index: DataFrame, feeds: DataFrame) -> DataFrame:
+    """(day, path) of the files a run puts under each feed's folder (``feeds``: feed, dir)."""
+    paths = stories.select("day", "feed", F.concat(F.col("page_no").cast("string"), F.lit(".html")).alias("file"))
+    paths = paths.unionByName(index.filter("seq = 0").select("day", "feed", F.lit("index.html").alias("file")))
+    return paths.join(feeds.select("feed", "dir"), "feed").select("day", F.concat_ws("/", "dir", "file").alias("path"))
+
+
 def write_manifest(rows: DataFrame, path: str) -> None:
     """One text of paths per day, read in the order of its part files: directories and HTML, other files, '.EOF.' last."""
     (rows.orderBy("day", "section", "path").select("day", "path").write.mode("overwrite")
