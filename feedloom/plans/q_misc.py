@@ -176,8 +176,12 @@ def conf_rules(spark, sf_dir):
     """Site rules read from INI text files (sections over DEFAULT over built-ins, continuation lists)."""
     base = scratch_path(spark, f"conf-{uuid.uuid4().hex}")
     conf = _conf_text(spark, sf_dir)
-    dflt = spark.range(1).select(F.lit("DEFAULT").alias("host"),
-                                 F.lit("[DEFAULT]\nsave_days = 3\nnonlocal_images = true\n").alias("value"))
+    # the main file, read first: it also sets levels for every host, which the hosts' own files override,
+    # and a width, which they do not
+    main = conf.select(F.concat(F.lit("["), F.col("host"), F.lit("]\nlevels = 7\nmin_width = 31\n")).alias("v")).agg(
+        F.array_join(F.array_sort(F.collect_list("v")), "").alias("v"))
+    dflt = main.select(F.lit("zz-main").alias("host"),
+                       F.concat(F.lit("[DEFAULT]\nsave_days = 3\nnonlocal_images = true\n"), F.col("v")).alias("value"))
     conf.unionByName(dflt).write.partitionBy("host").text(f"{base}/conf")
     rules, problems = prepare_rules(read_conf_rules(spark, f"{base}/conf"))
     bad = problems.groupBy("feed").agg(F.count(F.lit(1)).alias("n_bad"))
@@ -195,7 +199,7 @@ SELECT DISTINCT {HOST} AS feed, 'https://' || {HOST} || '/feed' AS url,
        '/fr/|utm_source' AS skip_link_pats, '<article>' AS page_start,
        CASE WHEN starts_with({HOST}, 'm.') THEN '<b>' ELSE '' END AS skip_pats,
        CAST(CASE WHEN starts_with({HOST}, 'blog.') THEN 14 ELSE 3 END AS INTEGER) AS save_days,
-       NOT starts_with({HOST}, 'blog.') AS skip_images, true AS nonlocal_images, CAST(25 AS INTEGER) AS min_width,
+       NOT starts_with({HOST}, 'blog.') AS skip_images, true AS nonlocal_images, CAST(31 AS INTEGER) AS min_width,
        CAST(CASE WHEN starts_with({HOST}, 'm.') THEN 1 ELSE 0 END AS BIGINT) AS n_bad
 FROM pages
 """
@@ -215,9 +219,12 @@ def rss_roundtrip(spark, sf_dir):
                        F.col("pubDate").alias("published"))
 
 
-def atom_entries(spark, sf_dir):
-    """S1 for Atom: entries written as Atom markup, read back as ENTRY_SCHEMA rows (links, author, ISO time)."""
-    from feedloom.functions import dates
+def FEED_OF_FILE():
+    return F.regexp_extract("feed_file", r"feed=([^/]*)/", 1)
+
+
+def write_atom_files(spark, sf_dir) -> str:
+    """The pages' entries as Atom markup in files; returns their folder's parent."""
     base = scratch_path(spark, f"atom-{uuid.uuid4().hex}")
 
     def xml(c):
@@ -234,10 +241,20 @@ def atom_entries(spark, sf_dir):
         F.date_format(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(page_id AS INT))"),
                       "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00</published></entry>")).alias("value")) \
         .write.partitionBy("feed").text(f"{base}/feeds")
-    back = FD.read_entries(spark, f"{base}/feeds", F.regexp_extract("feed_file", r"feed=([^/]*)/", 1))
-    return back.select("feed", "id", "title", "link", F.size("links").cast("long").alias("n_links"), "author",
-                       F.unix_seconds(dates.parse_feed_date(F.col("published"))).alias("published"),
-                       F.col("pos").cast("long").alias("pos"))
+    return base
+
+
+def atom_rows(entries):
+    from feedloom.functions import dates
+    return entries.select("feed", "id", "title", "link", F.size("links").cast("long").alias("n_links"), "author",
+                          F.unix_seconds(dates.parse_feed_date(F.col("published"))).alias("published"),
+                          F.col("pos").cast("long").alias("pos"))
+
+
+def atom_entries(spark, sf_dir):
+    """S1 for Atom: entries written as Atom markup, read back as ENTRY_SCHEMA rows (links, author, ISO time)."""
+    base = write_atom_files(spark, sf_dir)
+    return atom_rows(FD.read_entries(spark, f"{base}/feeds", FEED_OF_FILE()))
 
 
 SQL_ATOM = f"""

@@ -12,7 +12,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from feedloom.session import scratch_path
+from feedloom.plans.q_docs import SQL_COMPLETE_DAYS
+from feedloom.plans.q_misc import SQL_ATOM
+from feedloom.session import scratch_path, stamp_in_order
 from feedloom.sources.tables import read_table
 from feedloom.streaming import incremental as INC
 
@@ -32,6 +34,7 @@ def _entry_files(spark, sf_dir, tag, files_per_trigger=1):
     base = scratch_path(spark, f"{tag}-{uuid.uuid4().hex}")
     src = f"{base}/source"
     e.repartitionByRange(N_FILES, "ts").write.parquet(src)
+    stamp_in_order(spark, src)
     reader = spark.readStream.schema(e.schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -50,13 +53,13 @@ def stream_new_entries(spark, sf_dir):
 
 
 def stream_seen_ids(spark, sf_dir):
-    """T1 (ids never expire): foreachBatch anti-join against the seen-set folder."""
+    """T1 (ids never expire): each batch against the buckets of the seen-set that it touches."""
     stream, base = _entry_files(spark, sf_dir, "t1s")
-    seen = f"{base}/seen"
-    q = (stream.writeStream.foreachBatch(INC.seen_set_batch_writer(seen, ["site", "item_id"]))
+    seen = INC.SeenTable(f"{base}/seen", ["site", "item_id"], buckets=16)
+    q = (stream.writeStream.foreachBatch(INC.seen_table_batch_writer(seen, f"{base}/new"))
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(seen).select("site", "item_id")
+    return spark.read.parquet(f"{base}/new").select("site", "item_id")
 
 
 SQL_DISTINCT_IDS = """
@@ -66,10 +69,17 @@ FROM events
 """
 
 
+def _rocksdb(spark):
+    """Stateful processors need the RocksDB state store (a session setting)."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def stream_repeats(spark, sf_dir):
-    """Per-id state; repeats re-emitted when the site allows and the time moved on."""
-    # one micro-batch, so the result does not depend on file arrival order
-    stream, base = _entry_files(spark, sf_dir, "t3", files_per_trigger=0)
+    """Per-id state over several micro-batches; repeats re-emitted when the site allows and the time moved on."""
+    _rocksdb(spark)
+    # the files are ranges of time and arrive in that order
+    stream, base = _entry_files(spark, sf_dir, "t3")
     out = INC.republications(stream)
     q = (out.writeStream.format("parquet").outputMode("append").option("path", f"{base}/sink")
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
@@ -77,13 +87,49 @@ def stream_repeats(spark, sf_dir):
     return spark.read.parquet(f"{base}/sink").select("site", "item_id", "is_repeat")
 
 
+def stream_complete_days(spark, sf_dir):
+    """T6 streamed: story rows joined with the sentinels of their days as both arrive; days with an odd number
+    of errors never get a sentinel, and their rows come out as incomplete."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    ev = ev.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    files = ev.select("day", "ts", F.format_string("u%04d/%d.html", "user_id", "event_id").alias("path"))
+    errors = ev.groupBy("day").agg(F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).alias("e"))
+    done = errors.filter("e % 2 = 0").selectExpr("day", "CAST(date_add(CAST(day AS date), 1) AS timestamp) AS ts")
+    base = scratch_path(spark, f"t6-{uuid.uuid4().hex}")
+    for rows, name in ((files, "files"), (done, "done")):
+        rows.repartitionByRange(N_FILES, "ts").write.parquet(f"{base}/{name}")
+        stamp_in_order(spark, f"{base}/{name}")
+    reader = spark.readStream.option("maxFilesPerTrigger", 1)
+    rows = INC.complete_rows(reader.schema(files.schema).parquet(f"{base}/files"),
+                             reader.schema(done.schema).parquet(f"{base}/done"), "2 days")
+    q = (rows.writeStream.format("parquet").option("path", f"{base}/sink")
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return (spark.read.parquet(f"{base}/sink").filter("complete").groupBy("day")
+            .agg(F.count(F.lit(1)).cast("long").alias("n_files")))
+
+
+def stream_feed_entries(spark, sf_dir):
+    """S1 streamed: feed files read as they arrive, a few per micro-batch; the entries equal those of the batch reader."""
+    from feedloom.plans import q_misc as M
+    from feedloom.sources import feeds as FD
+    base = M.write_atom_files(spark, sf_dir)
+    stream = FD.stream_entries(spark, f"{base}/feeds", files_per_trigger=40)
+    q = (stream.writeStream.format("parquet").option("path", f"{base}/sink")
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return M.atom_rows(FD.over_files(spark.read.parquet(f"{base}/sink"), M.FEED_OF_FILE()))
+
+
 QUERIES = {
     "stream_new_entries": stream_new_entries,
     "stream_seen_ids": stream_seen_ids,
     "stream_repeats": stream_repeats,
+    "stream_complete_days": stream_complete_days,
+    "stream_feed_entries": stream_feed_entries,
 }
 
-# One micro-batch: each id's first publication is new; with repeats allowed,
+# In order of time: each id's first publication is new; with repeats allowed,
 # every later distinct publication time is a repeat.
 SQL_REPEATS_STREAM = """
 WITH e AS (SELECT printf('s%02d', user_id % 16) AS site,
@@ -100,6 +146,8 @@ SQL = {
     "stream_new_entries": SQL_DISTINCT_IDS,
     "stream_seen_ids": SQL_DISTINCT_IDS,
     "stream_repeats": SQL_REPEATS_STREAM,
+    "stream_complete_days": SQL_COMPLETE_DAYS,
+    "stream_feed_entries": SQL_ATOM,
 }
 
 

@@ -66,6 +66,42 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def list_folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders directly below a path, by name; none where the path does not exist."""
+    fs, p = _file_system(spark, path)
+    return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def stamp_in_order(spark: SparkSession, folder: str, start_ms: int = 1_700_000_000_000) -> None:
+    """Give the files of a folder modification times in the order of their names: a file stream takes them in
+    that order.  One call per file of an input laid out for a stream."""
+    fs, p = _file_system(spark, folder)
+    files = sorted((s.getPath() for s in fs.listStatus(p) if s.isFile()), key=lambda f: f.getName())
+    for i, f in enumerate(f for f in files if not f.getName().startswith(("_", "."))):
+        fs.setTimes(f, start_ms + 1000 * i, -1)
+
+
+def publish_folder(spark: SparkSession, staged: str, path: str) -> None:
+    """Move a finished folder to its place, replacing what is there; a staged folder that does not exist leaves nothing there."""
+    fs, src = _file_system(spark, staged)
+    _, dst = _file_system(spark, path)
+    fs.delete(dst, True)
+    if fs.exists(src):
+        fs.mkdirs(dst.getParent())
+        if not fs.rename(src, dst):
+            raise OSError(f"{staged} could not be moved to {path}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the session's checkpoint folder
     and continue from that table.

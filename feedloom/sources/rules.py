@@ -140,12 +140,16 @@ def with_rule_defaults(df: DataFrame, key: str = "feed") -> DataFrame:
     return df.select(*cols)
 
 
-def read_conf_rules(spark: SparkSession, path: str, key: str = "feed") -> DataFrame:
+def read_conf_rules(spark: SparkSession, path: str, key: str = "feed", main: str | None = None) -> DataFrame:
     """Read INI-style ``*.conf`` files into the rules table.
 
     Section names become ``feed``; DEFAULT applies under every section; keys
     are lower-cased; indented lines continue the previous value (multi-line
     value = list).  Comment lines start with '#' or ';'.
+
+    The main file is read first and the others after it, by name; a later
+    definition of a key wins, so a site's file overrides the main file.  The
+    main file is the one named ``main``, or those that hold a DEFAULT section.
     """
     raw = (spark.read.text(path, wholetext=True)
            .select(F.input_file_name().alias("file"), F.col("value")))
@@ -166,12 +170,15 @@ def read_conf_rules(spark: SparkSession, path: str, key: str = "feed") -> DataFr
                           .when(is_cont & ~is_comment, F.trim("line")))
               .filter(F.col("part").isNotNull() & F.col("section").isNotNull()
                       & F.col("cur_key").isNotNull()))
-    values = (tagged.groupBy("file", "section", "cur_key", "k_start")
+    is_main = (F.substring_index("file", "/", -1) == main if main
+               else F.max(F.col("section") == "DEFAULT").over(Window.partitionBy("file")))
+    tagged = tagged.withColumn("rank", F.when(is_main, 0).otherwise(1))
+    values = (tagged.groupBy("rank", "file", "section", "cur_key", "k_start")
               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "part"))),
                                             lambda s: s["part"]), "\n").alias("v"))
               .groupBy("section", "cur_key")
               # a later definition of the same key wins
-              .agg(F.max_by("v", F.struct("file", "k_start")).alias("v")))
+              .agg(F.max_by("v", F.struct("rank", "file", "k_start")).alias("v")))
     keys = [f.name for f in rule_schema(key).fields[1:]]
     wide = values.groupBy("section").agg(
         *[F.max(F.when(F.col("cur_key") == k, F.col("v"))).alias(k) for k in keys])

@@ -1,21 +1,25 @@
-"""Incremental operators in Structured Streaming form.
+"""Incremental operators in Structured Streaming form.
 
 The batch forms live in ``feedloom.operators.state``; these run the same
 rules over arriving feed entries:
 
 * ``dedup_within_watermark`` - T1 with expiry: an (site, id) pair is emitted
   once while it is younger than the watermark delay (save_days).
-* ``seen_set_batch_writer`` - T1 without expiry: a ``foreachBatch`` sink that
-  anti-joins each micro-batch with the seen-set folder and writes the new
-  ids as that batch's own partition (overwrite), so a retried batch cannot
-  append twice and never hides its own ids.
+* ``seen_set_batch_writer`` - T1 without expiry, for small seen-sets: a
+  ``foreachBatch`` sink that anti-joins each micro-batch with the whole
+  seen-set folder and writes the new ids as that batch's own partition.
+* ``SeenTable`` - T1 without expiry at any size: the seen-set in hash buckets of its keys.
+  A micro-batch reads only the buckets it touches, publishes its new ids by
+  renaming finished folders, and compacts buckets that hold many small ones;
+  a repeated batch publishes the same ids again, in the same place.
 * ``republications`` - T3: per (site, id) state holding the last emitted
   time; a seen id is emitted again only when its site allows repeats and
   it was published after the last emission (optional event-time TTL =
-  save_days).  Groups are consumed chunk by chunk, so a hot key never has
-  to be held whole.
+  save_days, by timers).  A key's rows are consumed chunk by chunk; the times
+  of a key that spans chunks are kept in the state store, not in Python.
 * ``age_policy_batch_writer`` - T2: the age rule per micro-batch, expired
   rows kept in a side table.
+* ``complete_rows`` - T6: story rows joined with the sentinels of their days.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from feedloom.session import path_exists
+from feedloom.session import delete_path, list_folders, path_exists, publish_folder, ship_package
 
 
 def dedup_within_watermark(stream: DataFrame, keys: list[str], ts_col: str, delay: str) -> DataFrame:
@@ -56,77 +60,179 @@ def seen_set_batch_writer(seen_path: str, keys: list[str]):
     return write_batch
 
 
+class SeenTable:
+    """T1 (ids never expire): a set of keys in ``buckets`` folders by the keys' hash.
+
+    A folder ``bucket=b`` holds one folder per batch that added ids to it
+    (``run=<run>-<batch>``), or one that a compaction made of them.  A batch
+    writes its new ids to a staging folder and publishes each bucket's part by
+    renaming it, so readers never see half of it.  Each start of the stream is
+    its own run, so a stream that is started anew (its batch numbers begin at 0
+    again) never overwrites ids; a repeated batch of the same run leaves out
+    what it published itself and replaces it.
+    """
+
+    #: Batch folders in a bucket from which on they are rewritten as one.
+    COMPACT = 16
+
+    def __init__(self, path: str, keys: list[str], buckets: int = 64):
+        self.path, self.keys, self.buckets = path.rstrip("/"), keys, buckets
+        self.run = f"r{uuid.uuid4().hex}"
+
+    def bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _folders(self, spark, bucket: int) -> list[str]:
+        return list_folders(spark, f"{self.path}/bucket={bucket}")
+
+    def read(self, spark) -> DataFrame:
+        """All keys; a compaction that was cut short may leave some twice, hence the distinct."""
+        return spark.read.parquet(f"{self.path}/bucket=*/*").select(*self.keys).distinct()
+
+    def add(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """Add the batch's unseen keys; returns them (every row of an unseen key's first arrival, one per key)."""
+        spark, mine = batch.sparkSession, f"run={self.run}-{batch_id:012d}"
+        fresh = batch.dropDuplicates(self.keys).withColumn("bucket", self.bucket())
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        known = [f for b in touched for f in self._folders(spark, b) if not f.endswith("/" + mine)]
+        if known:
+            fresh = fresh.join(spark.read.parquet(*known).select(*self.keys), self.keys, "left_anti")
+        stage = f"{self.path}/_stage/{mine}"
+        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(stage)
+        for b in touched:
+            publish_folder(spark, f"{stage}/bucket={b}", f"{self.path}/bucket={b}/{mine}")
+        self.compact(spark, touched, batch_id)
+        added = [f"{self.path}/bucket={b}/{mine}" for b in touched]
+        added = [f for f in added if path_exists(spark, f)]
+        return spark.read.parquet(*added) if added else fresh.drop("bucket").limit(0)
+
+    def compact(self, spark, buckets: list[int], batch_id: int) -> None:
+        """Rewrite the older folders of full buckets as one; the newest stays, its batch may be repeated."""
+        for b in buckets:
+            mine = f"run={self.run}-{batch_id:012d}"
+            old = [f for f in self._folders(spark, b) if not f.endswith("/" + mine)]
+            if len(old) < self.COMPACT:
+                continue
+            stage = f"{self.path}/_stage/compact-{uuid.uuid4().hex}"
+            spark.read.parquet(*old).select(*self.keys).distinct().coalesce(1).write.parquet(stage)
+            publish_folder(spark, stage, f"{self.path}/bucket={b}/run=compact-{uuid.uuid4().hex}")
+            for f in old:
+                delete_path(spark, f)
+
+
+def seen_table_batch_writer(seen: SeenTable, out_path: str | None = None):
+    """``foreachBatch`` function that adds each batch's unseen keys to ``seen``; the rows that are
+    new go to the batch's own folder under ``out_path``."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        fresh = seen.add(batch, batch_id)
+        if out_path:
+            fresh.write.mode("overwrite").parquet(f"{out_path}/run={seen.run}/batch={batch_id}")
+
+    return write_batch
+
+
 REPUB_OUT = T.StructType([
     T.StructField("site", T.StringType()), T.StructField("item_id", T.StringType()),
     T.StructField("ts", T.TimestampType()), T.StructField("is_repeat", T.BooleanType()),
 ])
-REPUB_STATE = T.StructType([T.StructField("last_us", T.LongType())])
-
-
-def _republish(key, chunks, state, ttl_ms=None):
-    """Per (site, item_id): emit the first arrival; with repeats allowed, also
-    each later publication time above the last emitted one.  With a TTL the
-    state of an id expires ``ttl_ms`` after its last emission (event time)."""
-    if ttl_ms is not None and state.hasTimedOut:
-        state.remove()
-        return
-    last = state.get[0] if state.exists else None
-    first_row = None
-    emitted = {}  # publication time (us) -> timestamp; one entry per distinct time
-    allow_any = False
-    for pdf in chunks:
-        if pdf.empty:
-            continue
-        us = pdf["ts"].astype("int64") // 1000 if str(pdf["ts"].dtype).startswith("datetime64[ns") \
-            else pdf["ts"].map(lambda t: int(pd.Timestamp(t).value // 1000))
-        allow = bool(pdf["allow_repeats"].fillna(False).any())
-        allow_any = allow_any or allow
-        if last is None:
-            i = int(us.values.argmin())
-            cand = (int(us.iloc[i]), pdf["ts"].iloc[i])
-            if first_row is None or cand[0] < first_row[0]:
-                first_row = cand
-        if allow:
-            for u, t in zip(us.tolist(), pdf["ts"].tolist()):
-                if last is None or u > last:
-                    emitted.setdefault(u, t)
-    rows = []
-    new_last = last
-    if last is None and first_row is not None:
-        rows.append((key[0], key[1], first_row[1], False))
-        new_last = first_row[0]
-    if allow_any and new_last is not None:
-        for u, t in sorted(emitted.items()):
-            if u > new_last:
-                rows.append((key[0], key[1], t, True))
-                new_last = u
-    if new_last is not None:
-        state.update((new_last,))
-        if ttl_ms is not None:
-            # an id that is already past its span ends with the next watermark
-            state.setTimeoutTimestamp(max(new_last // 1000 + ttl_ms, state.getCurrentWatermarkMs() + 1))
-    if rows:
-        yield pd.DataFrame(rows, columns=["site", "item_id", "ts", "is_repeat"])
+
+
+class Republisher(StatefulProcessor):
+    """Per (site, item_id): emits the first arrival and, with repeats allowed, each later publication time
+    above the last emitted one.  With ``ttl_ms`` an id is forgotten that long after its last emission
+    (event time, by a timer)."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us bigint")
+        #: Publication times of the running batch, for keys whose rows come in several chunks.
+        self.times = handle.getMapState("times", "us bigint", "there boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.last.get()[0] if self.last.exists() else None
+        first = newest = last
+        allow = False
+        waiting = None  # the earliest time so far: it is the first arrival, all others are repeats
+        spread = False  # whether the key's rows come in several chunks
+        rows = (pdf for pdf in rows if not pdf.empty)
+        pdf = next(rows, None)
+        while pdf is not None:
+            later = next(rows, None)
+            allow = allow or bool(pdf["allow_repeats"].fillna(False).any())
+            us = sorted({int(t.value // 1000) for t in pd.to_datetime(pdf["ts"])})
+            new = [u for u in us if last is None or u > last]
+            if spread:
+                new = [u for u in new if u != waiting and not self.times.containsKey((u,))]
+            spread = spread or later is not None
+            if spread:  # kept for the next chunk, in the state store
+                for u in new:
+                    self.times.updateValue((u,), (True,))
+            pdf = later
+            if not new:
+                continue
+            newest = max([u for u in (newest, new[-1]) if u is not None])
+            repeats = new
+            if last is None:
+                first = min([u for u in (waiting, new[0]) if u is not None])
+                repeats = [u for u in ([waiting] if waiting is not None else []) + new if u != first]
+                waiting = first
+            if allow and repeats:
+                yield self._rows(key, repeats, True)
+        if spread:
+            self.times.clear()
+        if last is None and waiting is not None:
+            yield self._rows(key, [waiting], False)
+        kept = newest if allow else first
+        if kept is not None and kept != last:
+            self.last.update((kept,))
+            if self.ttl_ms is not None:
+                # an id that is already past its span ends with the next watermark
+                for old in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(max(kept // 1000 + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        return iter([])
+
+    @staticmethod
+    def _rows(key, times, is_repeat):
+        return pd.DataFrame({"site": key[0], "item_id": key[1], "ts": pd.to_datetime(times, unit="us"), "is_repeat": is_repeat})
+
+    def close(self) -> None:
+        pass
 
 
 def republications(stream: DataFrame, ttl: str | None = None, ttl_ms: int | None = None) -> DataFrame:
-    """T3 over a stream of (site, item_id, ts, allow_repeats).
+    """T3 over a stream of (site, item_id, ts, allow_repeats); ``allow_repeats`` is the site's.
 
-    Without a TTL ids are remembered forever (NoTimeout).  With ``ttl`` (a
-    watermark delay such as '7 days', i.e. save_days) and the same span in
-    ``ttl_ms``, the stream is watermarked on ``ts`` and an id's state is
-    dropped once event time passes its last emission plus the TTL.
+    Without a TTL ids are remembered forever.  With ``ttl`` (a watermark delay
+    such as '7 days', i.e. save_days) and the same span in ``ttl_ms``, the stream
+    is watermarked on ``ts`` and an id's state is dropped once event time passes
+    its last emission plus the TTL.  The session must use the RocksDB state store.
     """
+    ship_package(stream.sparkSession)
     s = stream.select("site", "item_id", "ts", "allow_repeats")
-    if ttl is None:
-        return s.groupBy("site", "item_id").applyInPandasWithState(
-            _republish, REPUB_OUT, REPUB_STATE, "append", GroupStateTimeout.NoTimeout)
+    if ttl is not None:
+        s = s.withWatermark("ts", ttl)
+    return s.groupBy("site", "item_id").transformWithStateInPandas(
+        Republisher(ttl_ms if ttl is not None else None), REPUB_OUT, "append", "None" if ttl is None else "EventTime")
+
 
-    def with_ttl(key, chunks, state):
-        yield from _republish(key, chunks, state, ttl_ms)
+def complete_rows(files: DataFrame, sentinels: DataFrame, wait: str) -> DataFrame:
+    """T6 streamed: rows (day, ts, ...) with ``complete``: whether their day's sentinel (day, ts) came.
 
-    return s.withWatermark("ts", ttl).groupBy("site", "item_id").applyInPandasWithState(
-        with_ttl, REPUB_OUT, REPUB_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    A row is held until the sentinel comes, in whichever order the two arrive; a
+    row whose sentinel is not stamped within ``wait`` of it is given out as
+    incomplete once the watermark has passed that limit, and its state goes.
+    """
+    f = files.withWatermark("ts", wait)
+    s = sentinels.select(F.col("day").alias("_day"), F.col("ts").alias("_done")).withWatermark("_done", wait)
+    within = F.expr(f"day = _day AND _done >= ts - INTERVAL {wait} AND _done <= ts + INTERVAL {wait}")
+    return f.join(s, within, "leftOuter").withColumn("complete", F.col("_done").isNotNull()).drop("_day", "_done")
 
 
 def age_policy_batch_writer(state: DataFrame, out_path: str, late_path: str, run_ts):

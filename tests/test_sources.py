@@ -180,3 +180,31 @@ def test_url_items_follow_redirects(spark):
     resolved = spark.createDataFrame([("http://a/1", "https://a/final")], "url string, final_url string")
     got = rows(url_items(req, lines, F.lit("2024-01-12 00:00:00").cast("timestamp"), resolved), ["link", "title"])
     assert got == [("http://b/2", "http://b/2"), ("https://a/final", "https://a/final")]
+
+
+def test_the_main_conf_file_is_read_first(spark, tmp_path):
+    (tmp_path / "main.conf").write_text("[DEFAULT]\nsave_days = 5\n[S]\nurl = main\nlevels = 1\nwhen = mo\n")
+    (tmp_path / "a-site.conf").write_text("[S]\nurl = site\nlevels = 2\n")
+    (tmp_path / "b-site.conf").write_text("[S]\nlevels = 1.5\n[T]\nurl = t\n")
+    got = {r.feed: (r.url, r.levels, r.when, r.save_days) for r in read_conf_rules(spark, str(tmp_path)).collect()}
+    assert got == {"S": ("site", 1.5, "mo", 5), "T": ("t", 2.0, "", 5)}
+    got = {r.feed: (r.url, r.levels) for r in read_conf_rules(spark, str(tmp_path), main="b-site.conf").collect()}
+    assert got["S"] == ("main", 1.0)
+
+
+def test_feed_bytes_follow_their_declaration_and_cdata_cuts_nothing(spark, tmp_path):
+    from feedloom.sources.feeds import read_entries, read_feed_titles
+    head = '<?xml version="1.0" encoding="{}"?><rss><channel><title>{}</title>'
+    items = ("<item><title>Café</title><link>l1</link></item>"
+             "<item><title><![CDATA[a </item> b]]></title><!-- <item> --><link>l2</link></item >"
+             "<!-- <item><title>gone</title></item> --><item><title>x &lt; y</title></item></channel></rss>")
+    (tmp_path / "a.rss").write_bytes((head.format("ISO-8859-1", "Ünë") + items).encode("latin-1"))
+    (tmp_path / "b.rss").write_bytes((head.format("utf-16", "Zwei") + items).encode("utf-16"))
+    (tmp_path / "c.rss").write_bytes(b"\xef\xbb\xbf" + (head.format("UTF-8", "<![CDATA[D & rei]]>") + items).encode())
+    (tmp_path / "d.rss").write_bytes(head.format("utf-8", "Vier").encode() + b"<item><title>bad \xff byte</title></item>")
+    (tmp_path / "e.rss").write_bytes(b"<rss></rss>")
+    got = sorted((r.feed, r.pos, r.title, r.link) for r in read_entries(spark, str(tmp_path)).collect())
+    want = [(f, i, t, k) for f in ("D & rei", "Zwei", "Ünë")
+            for i, (t, k) in enumerate([("Café", "l1"), ("a </item> b", "l2"), ("x < y", None)])]
+    assert got == sorted([*want, ("Vier", 0, "bad \\xff byte", None)])
+    assert {r.title for r in read_feed_titles(spark, str(tmp_path)).collect()} == {"Ünë", "Zwei", "D & rei", "Vier", "[e.rss]"}
