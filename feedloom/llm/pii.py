@@ -6,7 +6,10 @@
    (through a fixed-size bitmap, then exactly): every identifier-like token
    or run of digit groups (joined by blanks, dots, hyphens, brackets) after
    such a context is an instance unless a base span covers it; each different
-   word without a digit counts against the context, once like an instance.
+   word without a digit counts against the context, once like an instance.  A
+   task folds these words over its whole partition into one row per context,
+   the KEPT smallest of their hashes: a union of such rows counts exactly below
+   KEPT different words and within some 1 / sqrt(KEPT) above.
 3. On the graph of patterns and instances Spark repeats ROUNDS times:
    a pattern's score is the sum of its instances' scores over all it was seen
    with (+ 1); a new instance's score is 1 - prod(1 - score) of its patterns.
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import bitmap_of, in_bitmap, map_arrow, table
-from feedloom.llm.words import Words, chunks
+from feedloom.llm.words import Words, chunks, mix
 
 # The kinds in order and their forms.
 KINDS = ("email", "ip", "card", "phone")
@@ -43,6 +46,9 @@ CONTEXT = 2
 SEEDS = 3
 ROUNDS = 3
 ACCEPT = 0.8
+#: Smallest hashes that count a context's other words, and pairs that a task holds before it folds them.
+KEPT = 256
+HELD = 1 << 19
 #: Digits from which a token looks like an identifier (as does one with @).
 DIGITS = 5
 #: Most digits of a run of several groups, and such a run (a group after a blank has two digits or more).
@@ -130,12 +136,49 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
 
 
+def smallest_words(ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different (context, word hash) pairs, sorted, of each context the KEPT smallest hashes."""
+    order = np.lexsort((word, ctx))
+    ctx, word = ctx[order], word[order]
+    new = np.ones(len(ctx), bool)
+    new[1:] = (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])
+    ctx, word = ctx[new], word[new]
+    rank = np.arange(len(ctx)) - np.searchsorted(ctx, ctx)
+    return ctx[rank < KEPT], word[rank < KEPT]
+
+
+def others_count(rows: DataFrame) -> DataFrame:
+    """(hash, wrong): how many different words followed each context, from the tasks' rows (hash, words)."""
+    def run(batches):
+        held, words = None, np.zeros(0, np.uint64)
+
+        def row():
+            n = len(words)
+            if n == KEPT:  # the KEPT-th smallest of the hashes, as a share of their range
+                n = round((KEPT - 1) / ((float(words[-1]) + 1) / 2.0 ** 64))
+            return pa.RecordBatch.from_pydict({"hash": pa.array([held], pa.int64()), "wrong": pa.array([n], pa.int64())})
+
+        for b in batches:
+            for h, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if h != held and held is not None:
+                    yield row()
+                    words = np.zeros(0, np.uint64)
+                held, words = h, np.union1d(words, np.frombuffer(w, np.uint64))[:KEPT]
+        if held is not None:
+            yield row()
+
+    return map_arrow(rows.repartition("hash").sortWithinPartitions("hash"), run, "hash bigint, wrong bigint")
+
+
 def instances(docs: DataFrame, id_col: str, text_col: str, bitmap: np.ndarray) -> DataFrame:
-    """After the contexts that the bitmap lets through: identifier-like tokens, and the different other words (id null)."""
+    """After the contexts that the bitmap lets through: identifier-like tokens; and (with id null) a row per
+    task and context, the smallest hashes of the other words."""
     id_type = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    names = ["id", "th", "hash", "ctx", "inst", "start", "end", "words"]
 
     def run(batches):
+        others, n_others = [], 0
         for b in batches:
             for lo, _, data, off in chunks(b.column(1)):
                 w = Words(data, off)
@@ -168,25 +211,34 @@ def instances(docs: DataFrame, id_col: str, text_col: str, bitmap: np.ndarray) -
                     start = len(data[off[d]:s].tobytes().decode("utf-8", "replace"))
                     rows.append((d, int(ctx[p]), w.text(p, p + CONTEXT), raw.lower(), start, start + len(raw)))
                 other = (digits[end] == digits[begin]) & ~like  # a few digits may be part of a number: neither
-                others = np.unique(np.stack([ctx[at[other]], w.hash[tok[other]].view(np.int64)], 1), axis=0)
-                m = len(others)
-                pick = pa.array([lo + r[0] for r in rows] + [None] * m, pa.int64())
+                others.append(smallest_words(ctx[at[other]], mix(w.hash[tok[other]])))
+                n_others += len(others[-1][0])
+                if n_others > HELD:
+                    others = [smallest_words(*map(np.concatenate, zip(*others, strict=True)))]
+                    n_others = len(others[0][0])
+                pick = pa.array([lo + r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).take(pick), b.column(2).take(pick),
-                    pa.array([r[1] for r in rows] + others[:, 0].tolist(), pa.int64()),
-                    pa.array([r[2] for r in rows] + [None] * m, pa.string()),
-                    pa.array([r[3] for r in rows] + [None] * m, pa.string()),
-                    pa.array([r[4] for r in rows] + [None] * m, pa.int32()),
-                    pa.array([r[5] for r in rows] + [None] * m, pa.int32()),
-                    pa.array([None] * len(rows) + others[:, 1].tolist(), pa.int64())],
-                    names=["id", "th", "hash", "ctx", "inst", "start", "end", "word"])
+                    pa.array([r[1] for r in rows], pa.int64()),
+                    pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string()),
+                    pa.array([r[4] for r in rows], pa.int32()), pa.array([r[5] for r in rows], pa.int32()),
+                    pa.nulls(len(rows), pa.binary())], names=names)
+                id_arrow = b.column(0).type
+        if n_others:
+            c, h = smallest_words(*map(np.concatenate, zip(*others, strict=True)))
+            at = np.append(np.flatnonzero(np.diff(c, prepend=c[0] - 1)), len(c))
+            n = len(at) - 1
+            yield pa.RecordBatch.from_arrays([
+                pa.nulls(n, id_arrow), pa.nulls(n, pa.int64()), pa.array(c[at[:-1]], pa.int64()), pa.nulls(n, pa.string()),
+                pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
+                pa.array([h[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=names)
 
     return map_arrow(_keyed(docs, id_col, text_col), run, f"id {id_type}, th bigint, hash bigint, ctx string, "
-                     "inst string, start int, end int, word bigint")
+                     "inst string, start int, end int, words binary")
 
 
 def pattern_scores(known: DataFrame, seen: DataFrame, against: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(ctx, hash, kind, score) from (ctx, hash, kind, inst) seeds, (hash, ctx, inst) instances and (hash, word) others.
+    """(ctx, hash, kind, score) from (ctx, hash, kind, inst) seeds, (hash, ctx, inst) instances and (hash, wrong) counts.
 
     Every step is a join or a pre-aggregated sum over distinct edges.
     """
@@ -200,7 +252,7 @@ def pattern_scores(known: DataFrame, seen: DataFrame, against: DataFrame, rounds
         "ctx", "hash", "kind", "inst", F.lit(True).alias("own"), F.lit(False).alias("other"))
     edges = table(edges.union(seeds_of).groupBy("ctx", "hash", "kind", "inst").agg(
         F.max("own").alias("own"), F.max("other").alias("other")))
-    against = table(against.select("hash", "word").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("wrong")))
+    against = table(against.select("hash", "wrong"))
     scored = edges.withColumn("s", F.expr("IF(own, 1D, 0D)"))
     for _ in range(rounds):
         score = table(scored.groupBy("ctx", "hash", "kind").agg(F.sum("s").alias("good"), F.count(F.lit(1)).alias("n"))
@@ -223,7 +275,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans = base.where("size(spans) > 0").select(F.col("id").alias("bid"), F.col("th").alias("bth"), "spans")
     seen = table(got.where("inst IS NOT NULL").join(spans, F.expr("id <=> bid AND th <=> bth"), "left").where(
         "spans IS NULL OR NOT exists(spans, s -> s.start < end AND start < s.end)").drop("bid", "bth", "spans"))
-    scores = pattern_scores(known, seen.select("ctx", "hash", "inst").distinct(), got.where("inst IS NULL"))
+    scores = pattern_scores(known, seen.select("ctx", "hash", "inst").distinct(), 
+                            others_count(got.where("words IS NOT NULL").select("hash", "words")))
     best = scores.where(f"score >= {accept}D").groupBy("ctx", "hash").agg(F.max_by("kind", "score").alias("kind"))
     found = (seen.join(best, ["ctx", "hash"]).select("id", "th", "kind", "start", "end").distinct()
              .groupBy(F.col("id").alias("fid"), F.col("th").alias("fth"))
