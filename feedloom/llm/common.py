@@ -64,10 +64,9 @@ def bitmap_of(hashes: DataFrame, col: str) -> np.ndarray:
     words = BITMAP_BITS // 64
     rows = (hashes.where(F.col(col).isNotNull())
             .groupBy(F.expr(f"cast(shiftrightunsigned({col}, 6) & {words - 1} as int)").alias("w"))
-            .agg(F.expr(f"bit_or(shiftleft(1L, cast({col} & 63 as int)))").alias("bits")).collect())
+            .agg(F.expr(f"bit_or(shiftleft(1L, cast({col} & 63 as int)))").alias("bits")).toArrow())
     out = np.zeros(words, np.int64)
-    for r in rows:
-        out[r["w"]] = r["bits"]
+    out[rows["w"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint64)
 
 

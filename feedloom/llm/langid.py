@@ -252,8 +252,9 @@ def labelled_sample(docs: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str
     got = map_arrow(chosen.select(F.col("doc_id").cast("string"), "text", "lang"), run,
                     "id string, lang string, buckets array<int>, counts array<int>").toArrow()
     rows = sorted(zip(got["id"].to_pylist(), got["lang"].to_pylist(), range(got.num_rows), strict=True))
+    # views of the Arrow buffers, so that the sample is held once
     b, c = got["buckets"].combine_chunks(), got["counts"].combine_chunks()
-    rows = [(lang, b[i].values.to_numpy().astype(np.int64), c[i].values.to_numpy()) for _, lang, i in rows]
+    rows = [(lang, b[i].values.to_numpy(), c[i].values.to_numpy()) for _, lang, i in rows]
     return [r for r in rows if len(r[1])]
 
 
