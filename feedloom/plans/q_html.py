@@ -532,3 +532,38 @@ UNION ALL SELECT page_id, html FROM x WHERE NOT (rss_entry_size > 0) OR rss_entr
 
 QUERIES["excerpt_repair"] = excerpt_repair
 SQL["excerpt_repair"] = _excerpt_repair_sql()
+
+
+# ---------------------------------------------------------- multipage_story
+#: How often pages of pages are followed in the query, and which links lead on (on all sites but the org ones).
+HOPS, ONWARD = 2, "^https?://"
+
+
+def multipage_story(spark, sf_dir):
+    """H16 + A4: every page with the pages that it leads on to, and those that they lead on to, each once, joined in order."""
+    d = X.derived_pages(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    d = d.withColumn("pat", F.when(X.rule_key(F.col("host")) != "org", F.lit(ONWARD)))
+    walked = PG.multipage_walk(d, PG.by_url(d.select("url", "html")), ["page_id"], "html", "url", "pat", hops=HOPS)
+    return walked.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("n_pages"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "url"))), lambda s: s["url"]), " ").alias("urls"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "html"))), lambda s: s["html"]), "\n"))
+        .alias("text_md5"))
+
+
+SQL_MULTIPAGE_STORY = f"""
+WITH RECURSIVE d AS ({X.DERIVED_SQL}),
+f AS (SELECT url, min(html) AS html FROM d GROUP BY url),
+w AS (
+  SELECT page_id, 0 AS hop, split_part(host, '.', -1) <> 'org' AS on_, url, html, [url] AS visited FROM d
+  UNION ALL
+  SELECT s.page_id, s.hop + 1, s.on_, f.url, f.html, list_append(s.visited, f.url)
+  FROM (SELECT *, list_filter(regexp_extract_all(html, '(?i)<a\\s[^>]*?\\bhref\\s*=\\s*"([^"]*)"', 1),
+                              lambda h: regexp_matches(h, '{ONWARD}'))[1] AS link FROM w WHERE hop < {HOPS} AND on_) s
+  JOIN f ON f.url = s.link WHERE NOT list_contains(s.visited, s.link))
+SELECT page_id, count(*) AS n_pages, string_agg(url, ' ' ORDER BY hop) AS urls, md5(string_agg(html, chr(10) ORDER BY hop)) AS text_md5
+FROM w GROUP BY page_id
+"""
+
+QUERIES["multipage_story"] = multipage_story
+SQL["multipage_story"] = SQL_MULTIPAGE_STORY

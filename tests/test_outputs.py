@@ -57,3 +57,21 @@ def test_index_container_specs():
     assert [x["href"] for x in tree.links_in(page, tree.Specs(["ol"], True))] == ["/2"]
     assert tree.links_in(page, tree.Specs([""], True)) == []
 
+
+
+def test_multipage_walk_keeps_order_and_ends_on_cycles(spark):
+    stories = spark.createDataFrame([
+        (1, "http://h/a", '<a href="?p=3">3</a><a href="/a?p=2">2</a><a href="?p=3">3</a><a href="x">x</a>', "p=[0-9]"),
+        (2, "http://h/b", '<a href="?p=1">1</a>', None), (3, "http://h/c", None, "p="), (4, "http://h/a?p=2", '<a href="/a">1</a>', "a$")],
+        "id int, url string, html string, pat string")
+    pages = spark.createDataFrame([("http://h/?p=3", "third"), ("http://h/a?p=2", '<a href="?p=4">4</a><a href="/a?p=2">me</a>'),
+                                   ("http://h/?p=4", '<a href="/?p=3">back</a><a href="/a?p=9">not fetched</a>'), ("http://h/a", "A")],
+                                  "url string, html string")
+
+    def urls(hops):
+        got = PG.multipage_walk(stories, pages, ["id"], "html", "url", "pat", hops=hops).orderBy("id", "page_no").collect()
+        return {i: [r.url for r in got if r.id == i] for i in (1, 2, 3, 4)}
+
+    one = ["http://h/a", "http://h/?p=3", "http://h/a?p=2"]
+    assert urls(1) == {1: one, 2: ["http://h/b"], 3: [], 4: ["http://h/a?p=2", "http://h/a"]}
+    assert urls(None) == {**urls(1), 1: [*one, "http://h/?p=4"]}
