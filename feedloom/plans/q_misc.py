@@ -158,6 +158,41 @@ def feed_slugs(spark, sf_dir):
     return p.select("page_id", TX.slugify(t).alias("slug"))
 
 
+# ----------------------------------------------------------- plugin_entries
+def _link_helper(site):
+    """Feed helper: the links of a saved index page whose text is under the site's argument; fails on pages without a nav."""
+    start = site["html"].index("<nav>")
+    for href, text in re.findall(r'<a href="([^"]*)">([^<]*)</a>', site["html"][start:site["html"].index("</nav>", start)]):
+        if href.startswith(site["helper_args"]):
+            yield {"id": site["feed"] + href, "link": site["url"] + href, "title": text}
+
+
+def plugin_entries(spark, sf_dir):
+    """Entries made by a feed helper from each page as a site's index, arguments from the rule; failures as rejects."""
+    sites = _pages(spark, sf_dir).select(
+        F.concat(F.lit("site"), "page_id").alias("feed"), "url",
+        F.expr("IF(page_id % 11 = 4, replace(html, '<nav>', '<div>'), html)").alias("html"),
+        F.expr("CASE page_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'unknown' ELSE 'links' END").alias("feed_helper"),
+        F.expr("IF(page_id % 2 = 0, '/', '/e')").alias("helper_args"))
+    entries, rejects = PL.helped_entries(sites, {"links": _link_helper})
+    return entries.select("feed", "pos", "link", "title", F.lit("").alias("reason")).unionByName(rejects.select(
+        "feed", F.lit(-1).cast("long").alias("pos"), F.lit("").alias("link"), F.lit("").alias("title"), "reason"))
+
+
+SQL_PLUGIN_ENTRIES = """
+WITH s AS (SELECT 'site' || page_id AS feed, url, html, page_id, CASE WHEN page_id % 2 = 0 THEN '/' ELSE '/e' END AS arg,
+                  contains(html, '<nav>') AND page_id % 11 <> 4 AS nav FROM pages WHERE page_id % 7 <> 0),
+l AS (SELECT feed, url, arg, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]*">[^<]*</a>') AS a
+      FROM s WHERE nav AND page_id % 7 <> 1),
+x AS (SELECT feed, url, arg, unnest(a) AS t, unnest(generate_series(1, len(a))) AS i FROM l),
+e AS (SELECT feed, url, i, regexp_extract(t, 'href="([^"]*)"', 1) AS href, regexp_extract(t, '>([^<]*)<', 1) AS title, arg FROM x)
+SELECT feed, row_number() OVER (PARTITION BY feed ORDER BY i) - 1 AS pos, url || href AS link, title, '' AS reason
+FROM e WHERE starts_with(href, arg)
+UNION ALL SELECT feed, -1, '', '', 'ValueError: substring not found' FROM s WHERE NOT nav AND page_id % 7 <> 1
+UNION ALL SELECT feed, -1, '', '', 'LookupError: no helper unknown' FROM s WHERE page_id % 7 = 1
+"""
+
+
 # --------------------------------------------------------------- conf_rules
 def _conf_text(spark, sf_dir):
     """One INI section per host (rule text derived from the pages), plus a DEFAULT section."""
@@ -286,6 +321,7 @@ QUERIES = {
     "conf_rules": conf_rules,
     "rss_roundtrip": rss_roundtrip,
     "atom_entries": atom_entries,
+    "plugin_entries": plugin_entries,
 }
 
 def _fold_sql():
@@ -342,6 +378,7 @@ SELECT page_id, charset, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) A
 
 
 SQL = {
+    "plugin_entries": SQL_PLUGIN_ENTRIES,
     "unmapped_chars": _unmapped_sql(),
     "charset_decode": SQL_CHARSET,
     "ascii_fold": _fold_sql(),

@@ -75,3 +75,23 @@ def test_multipage_walk_keeps_order_and_ends_on_cycles(spark):
     one = ["http://h/a", "http://h/?p=3", "http://h/a?p=2"]
     assert urls(1) == {1: one, 2: ["http://h/b"], 3: [], 4: ["http://h/a?p=2", "http://h/a"]}
     assert urls(None) == {**urls(1), 1: [*one, "http://h/?p=4"]}
+
+
+def test_feed_helpers_make_entries_and_failures_reject_their_site(spark):
+    from feedloom.operators.plugins import helped_entries
+
+    def two(site):
+        yield {"id": "1", "title": site["arg"], "link": "l", "other": "x"}
+        yield {"id": "2"}
+
+    def half(site):
+        yield {"id": "1"}
+        raise RuntimeError("gone")
+
+    sites = spark.createDataFrame([("a", "two", "A"), ("b", "half", "B"), ("c", None, "C"), ("d", "none", "D"), ("e", "", "E")],
+                                  "feed string, feed_helper string, arg string")
+    entries, rejects = helped_entries(sites, {"two": two, "half": half})
+    assert sorted((r.feed, r.pos, r.id, r.title, r.link, r.content) for r in entries.collect()) == [
+        ("a", 0, "1", "A", "l", None), ("a", 1, "2", None, None, None)]
+    assert sorted((r.feed, r.stage, r.severity, r.reason) for r in rejects.collect()) == [
+        ("b", "helper", "error", "RuntimeError: gone"), ("d", "helper", "error", "LookupError: no helper none")]
