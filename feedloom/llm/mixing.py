@@ -3,19 +3,24 @@
 Every document of a source is to be taken target / source_size times on
 average.  The whole part of that number is certain.  For the fractional part f
 the documents are ranked by xi = (u / (1 - u)) / (f / (1 - f)), random odds
-over inclusion odds, u being a hash of id and size; the sample is the longest
-beginning of that ranking whose words fit what the source still needs.  Then
-CLOSINGS documents of the rest may close the remaining gap: the largest that
-fits, again and again, and at last the nearest, if it brings the source nearer
-to its target.
-
-No source is ever sorted in one task: a histogram of the ranking (BINS bins,
-summed map-side) finds the bin in which the sample ends, and only that bin's
-documents are ranked exactly.
+over inclusion odds, u being a hash of id and size.  A document with more words
+than its source may leave out (source_size less the words still needed) is
+certain, since without it the target cannot be reached: such documents rank
+before all others.  The ranking is gone down to its end, a document that no
+longer fits what the source still needs being skipped; at last the document
+that brings the source nearest to its target, if one does, comes in too.
+
+No source is ever sorted in one task.  A round sums the words of the documents
+that still fit in a histogram of the ranking (BINS bins, map-side), finds the
+bin in which they stop fitting, and ranks that bin's documents alone.  The next
+round goes on below the document that did not fit.  Each such document is
+larger than the gap it leaves, so the gap shrinks by about half a round.
 
 Defined cases: null texts have size 0 and are never taken; a null source is a
-source (the last one); rows equal in id, size and source share one fate; a
-null id hashes as the empty text; no documents give no rows.
+source (the last one); rows equal in id, size and source share one fate, and so
+do rows equal in rank; a null id hashes as the empty text; no documents give no
+rows; a column of the documents that has the name of a computed one stays, and
+the computed one is called ``mix_`` and its name.
 """
 
 from __future__ import annotations
@@ -23,22 +28,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import broadcast_if_small, table
+from feedloom.llm.common import BROADCAST_ROWS, broadcast_if_small, table
 
 #: Weights repeat over the sources in order; share of all words; most copies of a source.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 BINS = 1 << 16
-CLOSINGS = 4
 
 SIZE = "CAST(IF(text IS NULL, 0, regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+')) AS bigint)"
 
 
-#: Whether a row is the closing document c.
-_SAME = "c.xi = xi AND c.size = size AND c.doc_id <=> doc_id"
-
-
 def _u(seed: int) -> str:
     return (f"((CAST(conv(substr(md5(concat(coalesce(CAST(doc_id AS string), ''), ':', CAST(size AS string), ':{seed}')),"
             f" 1, 13), 16, 10) AS double) + 0.5D) / 4503599627370496.0D)")
@@ -71,77 +71,79 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
                     F.expr("least(cap, coalesce(level * w, cap))").alias("target"))
 
 
-def _with_xi(rows: DataFrame, seed: int) -> DataFrame:
-    """xi of each row; f is the fractional expected copies of its source."""
+def _with_pos(rows: DataFrame, seed: int) -> DataFrame:
+    """Place of each row in its source's ranking, 0 to 1: certain documents in the lower half, then by xi."""
     return (rows.withColumn("u", F.expr(_u(seed)))
-            .withColumn("xi", F.expr("IF(f > 0, (u / (1 - u)) / (f / (1 - f)), NULL)")).drop("u"))
+            .withColumn("xi", F.expr("IF(f > 0, (u / (1 - u)) / (f / (1 - f)), NULL)"))
+            .withColumn("pos", F.expr("IF(size > source_size - need, 0D, 0.5D) + xi / (1 + xi) / 2")).drop("u", "xi"))
 
 
 def draw(sized: DataFrame, goals: DataFrame, seed: int = 0) -> DataFrame:
-    """Per source: whole copies, the last xi taken, and the closing documents.
+    """Per source: whole copies, the stretches of the ranking that are taken, and the last document.
 
     ``sized`` is (doc_id, source, size), written; ``goals`` is (source,
-    source_size, target).
+    source_size, target).  A stretch (lo, hi, cap) takes the documents of at
+    most ``cap`` words that rank between ``lo`` and ``hi``.
     """
-    goals = (goals.withColumn("ratio", F.expr("IF(source_size > 0, target / source_size, 0D)"))
-             .withColumn("whole", F.floor("ratio"))
-             .withColumn("f", F.col("ratio") - F.col("whole"))
-             .withColumn("need", F.col("f") * F.col("source_size")))
-    goals = table(goals)
-    small = broadcast_if_small(goals)
-    j = sized.where("size > 0").alias("a").join(
-        small.select(F.col("source").alias("s"), "f", "need").alias("b"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    t = table(_with_xi(j, seed).where("f > 0").groupBy("doc_id", "source", "size", "f", "need", "xi")
-              .agg((F.count(F.lit(1)) * F.col("size")).alias("mass"))
-              .withColumn("bin", F.expr(f"CAST(floor(xi / (1 + xi) * {BINS}) AS int)")))
-    per_bin = t.groupBy("source", "need", "bin").agg(F.sum("mass").alias("mass"))
-    upto = Window.partitionBy("source").orderBy("bin")
-    cum = per_bin.withColumn("upto", F.sum("mass").over(upto))
-    edge = (cum.where("upto > need").groupBy("source")
-            .agg(F.min(F.struct("bin", F.expr("upto - mass").alias("before"))).alias("e")).select("source", "e.*"))
-    edge = broadcast_if_small(table(edge))
-    inside = (t.alias("t").join(edge.select(F.col("source").alias("s"), F.col("bin").alias("b"), "before"),
-                                F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
-              .withColumn("upto", F.col("before") + F.sum("mass").over(
-                  Window.partitionBy("source").orderBy("xi", "size", "doc_id"))))
-    fit = inside.groupBy("source").agg(
-        F.max(F.expr("IF(upto <= need, xi, NULL)")).alias("xi_in"), F.max("before").alias("before"),
-        F.max("bin").alias("bin"), F.max(F.expr("IF(upto <= need, upto, NULL)")).alias("upto_in"))
-    # no edge bin: the whole ranking fits (up to rounding of the last word)
-    cut = (goals.alias("g").join(fit.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-           .join(per_bin.groupBy(F.col("source").alias("s2")).agg(F.sum("mass").alias("all_mass")),
-                 F.col("source").eqNullSafe(F.col("s2")), "left")
-           .select("source", "source_size", "target", "whole", "f", "need", F.col("bin").alias("edge_bin"), "xi_in",
-                   F.expr("CASE WHEN bin IS NULL THEN coalesce(all_mass, 0) ELSE coalesce(upto_in, before) END").alias("got")))
-    cut = table(cut.withColumn("gap", F.expr("need - got")).withColumn(
-        "closing", F.expr("CAST(array() AS array<struct<doc_id: {0}, size: bigint, xi: double>>)".format(
-            sized.schema["doc_id"].dataType.simpleString()))))
-    for k in range(CLOSINGS):
-        last = k == CLOSINGS - 1
-        small = broadcast_if_small(cut).select(F.col("source").alias("s"), "edge_bin", "xi_in", "gap", "closing")
-        rest = (t.join(small, F.col("source").eqNullSafe(F.col("s")))
-                .where("bin > edge_bin OR (bin = edge_bin AND (xi_in IS NULL OR xi > xi_in))")
-                .where("abs(gap - mass) < gap" if last else "mass <= gap")
-                .where(f"NOT exists(closing, c -> {_SAME})"))
-        best = rest.groupBy(F.col("source").alias("s")).agg(F.min_by(
-            F.struct(F.struct("doc_id", "size", "xi").alias("row"), "mass"),
-            F.struct(F.expr("abs(gap - mass)"), "xi", "size", "doc_id")).alias("best"))
-        cut = table(cut.join(best, F.col("source").eqNullSafe(F.col("s")), "left").withColumn(
-            "closing", F.expr("IF(best IS NULL, closing, array_append(closing, best.row))"))
-            .withColumn("gap", F.expr("gap - coalesce(best.mass, 0)")).drop("s", "best"))
-    return cut
+    goals = table(goals.withColumn("ratio", F.expr("IF(source_size > 0, target / source_size, 0D)"))
+                  .withColumn("whole", F.floor("ratio"))
+                  .withColumn("f", F.col("ratio") - F.col("whole"))
+                  .withColumn("need", F.expr("CAST(floor(f * source_size) AS bigint)")).drop("ratio"))
+    # every table of rows per source below has as many rows as this one at most
+    few = goals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def hinted(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    j = sized.where("size > 0").join(
+        hinted(goals.where("f > 0").select(F.col("source").alias("s"), "source_size", "f", "need")),
+        F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    ranked = table(_with_pos(j, seed).groupBy("doc_id", "source", "size", "pos")
+                   .agg((F.count(F.lit(1)) * F.col("size")).alias("mass"))
+                   .select("source", "size", "pos", "mass", F.expr(f"CAST(least(floor(pos * {BINS}), {BINS - 1}) AS int)").alias("bin")))
+    cut = goals.select("*", F.col("need").alias("gap"), F.lit(-1.0).alias("lo"), F.lit(0).cast("bigint").alias("least"),
+                       F.expr("CAST(array() AS array<struct<lo: double, hi: double, cap: bigint>>)").alias("takes"),
+                       F.expr("need > 0").alias("open"))
+    first = True
+    while first or not cut.where("open").isEmpty():
+        rest = ranked.join(hinted(cut.where("open").select(F.col("source").alias("s"), "lo", "gap")),
+                           F.col("source").eqNullSafe(F.col("s"))).where("pos > lo AND size <= gap").drop("s")
+        bins = rest.groupBy("source", "gap", "bin").agg(F.sum("mass").alias("mass"), F.min("size").alias("least"))
+        bins = bins.withColumn("upto", F.sum("mass").over(Window.partitionBy("source").orderBy("bin")))
+        edge = table(bins.groupBy("source").agg(
+            F.min(F.expr("IF(upto > gap, struct(bin, upto - mass AS before), NULL)")).alias("e"),
+            F.sum("mass").alias("all"), F.min("least").alias("least")))
+        inside = (rest.join(hinted(edge.where("e IS NOT NULL").select(F.col("source").alias("s"), F.col("e.bin").alias("b"), "e.before")),
+                            F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+                  .withColumn("upto", F.col("before") + F.sum("mass").over(Window.partitionBy("source").orderBy("pos"))))
+        stop = inside.groupBy(F.col("source").alias("s1")).agg(
+            F.min(F.expr("IF(upto > gap, pos, NULL)")).alias("stop"), F.max(F.expr("IF(upto <= gap, upto, before)")).alias("got"))
+        found = edge.select(F.col("source").alias("s2"), "all", F.col("least").alias("smallest"))
+        cut = (cut.join(hinted(found), F.col("source").eqNullSafe(F.col("s2")), "left")
+               .join(hinted(stop), F.col("source").eqNullSafe(F.col("s1")), "left")
+               .withColumn("takes", F.expr("IF(all IS NULL, takes, array_append(takes, struct(lo, coalesce(stop, 2D) AS hi, gap AS cap)))"))
+               .withColumn("gap", F.expr("gap - IF(all IS NULL, 0L, IF(stop IS NULL, all, got))"))
+               .withColumn("least", F.expr("coalesce(smallest, least)"))
+               .withColumn("open", F.expr("stop IS NOT NULL AND gap >= least"))
+               .withColumn("lo", F.expr("coalesce(stop, lo)")).drop("s1", "s2", "all", "smallest", "stop", "got"))
+        cut, first = table(cut), False
+    left = (ranked.join(hinted(cut.select(F.col("source").alias("s"), "takes", "gap")), F.col("source").eqNullSafe(F.col("s")))
+            .where(f"abs(gap - mass) < gap AND NOT {_TAKEN}"))
+    last = left.groupBy(F.col("source").alias("s")).agg(
+        F.min_by("pos", F.struct(F.expr("abs(gap - mass)"), "pos")).alias("last"))
+    return table(cut.join(hinted(last), F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "gap", "lo", "least", "open"))
+
+
+_TAKEN = "exists(takes, r -> pos > r.lo AND pos < r.hi AND size <= r.cap)"
 
 
 def copies(rows: DataFrame, cuts: DataFrame, seed: int = 0) -> DataFrame:
     """``rows`` (with doc_id, source, size) and how often each is taken, by the per-source cuts."""
-    c = broadcast_if_small(cuts).select(F.col("source").alias("s"), "source_size", "target", "whole", "f", "edge_bin",
-                                        "xi_in", "closing")
-    j = _with_xi(rows.join(c, F.col("source").eqNullSafe(F.col("s")), "left"), seed)
-    extra = F.expr(f"""CASE WHEN size = 0 OR f <= 0 THEN 0
-        WHEN edge_bin IS NULL OR floor(xi / (1 + xi) * {BINS}) < edge_bin OR xi <= xi_in THEN 1
-        WHEN exists(closing, c -> {_SAME}) THEN 1 ELSE 0 END""")
+    c = broadcast_if_small(cuts).withColumnRenamed("source", "s")
+    j = _with_pos(rows.join(c, F.col("source").eqNullSafe(F.col("s")), "left"), seed)
+    extra = F.expr(f"CASE WHEN size = 0 OR f <= 0 THEN 0 WHEN {_TAKEN} OR pos <=> last THEN 1 ELSE 0 END")
     return j.withColumn("copies", F.expr("IF(size > 0, whole, 0L)") + extra).drop(
-        "s", "whole", "f", "edge_bin", "xi_in", "closing", "xi")
+        "s", "whole", "f", "need", "takes", "last", "pos")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -164,18 +166,23 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, whole, with size, source_size, target, copies and taken."""
+    """The documents that the mix takes, all their columns, with size, source_size, target, copies and taken."""
     _, cuts = plan(docs)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source",
                        F.expr(SIZE).alias("size"))
     out = copies(rows, cuts).where("copies > 0")
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    return out.select(*[F.col("row").getField(c).alias(c) for c in own], "size", "source_size", "target",
-                      F.col("copies").cast("bigint").alias("copies"),
-                      (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
+    has = {c.lower() for c in docs.columns}
 
+    def free(name: str) -> str:
+        return free(f"mix_{name}") if name.lower() in has else name
 
-#: Independent DuckDB form: the ranking is taken exactly, per source, without a histogram.
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns],
+                      *[F.col(c).alias(free(c)) for c in ("size", "source_size", "target")],
+                      F.col("copies").cast("bigint").alias(free("copies")),
+                      (F.col("copies") * F.col("size")).cast("bigint").alias(free("taken")))
+
+
+#: Independent DuckDB form: each source's whole ranking is folded in order, document by document.
 SQL = """
 WITH s AS (SELECT doc_id, source,
     CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS BIGINT) AS size
@@ -190,28 +197,30 @@ t3 AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS goal, sum(w) OVER ()
 t4 AS (SELECT *, (goal - cb) / (sw - wb) AS lv FROM t3),
 t5 AS (SELECT source, source_size, least(cap, coalesce((SELECT max(lv) FROM t4 WHERE lv * w <= cap) * w, cap)) AS target
   FROM t4),
-t6 AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole,
+t6 AS (SELECT *, CAST(floor(f * source_size) AS BIGINT) AS need FROM (SELECT *,
+    floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END
-      - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS f FROM t5),
-u AS (SELECT DISTINCT s.doc_id, s.source, s.size,
+      - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS f FROM t5)),
+u AS (SELECT s.doc_id, s.source, s.size, CAST(sum(s.size) AS BIGINT) AS mass, t6.f, t6.need, t6.source_size,
     (CAST(('0x' || substr(md5(coalesce(CAST(s.doc_id AS VARCHAR), '') || ':' || s.size || ':0'), 1, 13)) AS BIGINT)::DOUBLE
-      + 0.5) / 4503599627370496.0 AS u, t6.f, t6.f * t6.source_size AS need
-  FROM s JOIN t6 ON s.source IS NOT DISTINCT FROM t6.source WHERE s.size > 0 AND t6.f > 0),
-m AS (SELECT u.*, (u / (1 - u)) / (f / (1 - f)) AS xi, u.size * (SELECT count(*) FROM s
-    WHERE s.doc_id IS NOT DISTINCT FROM u.doc_id AND s.source IS NOT DISTINCT FROM u.source AND s.size = u.size) AS mass FROM u),
-c AS (SELECT *, sum(mass) OVER (PARTITION BY source ORDER BY xi, size, doc_id) AS upto FROM m),
-k AS (SELECT *, upto <= need AS fits FROM c),
-r0 AS (SELECT *, FALSE AS chosen FROM k),
-@ROUNDS@
+      + 0.5) / 4503599627370496.0 AS u
+  FROM s JOIN t6 ON s.source IS NOT DISTINCT FROM t6.source WHERE s.size > 0 AND t6.f > 0 GROUP BY ALL),
+x AS (SELECT *, (u / (1 - u)) / (f / (1 - f)) AS xi FROM u),
+k AS (SELECT *, CASE WHEN size > source_size - need THEN 0::DOUBLE ELSE 0.5::DOUBLE END + xi / (1 + xi) / 2 AS pos FROM x),
+g AS (SELECT source, need, list({'pos': pos, 'mass': CAST(mass AS BIGINT), 'gap': 0::BIGINT, 'took': []::DOUBLE[]} ORDER BY pos) AS ranking
+  FROM k GROUP BY source, need),
+h AS (SELECT source, list_reduce(ranking, lambda a, d: CASE WHEN d.mass <= a.gap
+      THEN {'pos': 0::DOUBLE, 'mass': 0::BIGINT, 'gap': a.gap - d.mass, 'took': list_append(a.took, d.pos)} ELSE a END,
+    {'pos': 0::DOUBLE, 'mass': 0::BIGINT, 'gap': need, 'took': []::DOUBLE[]}) AS r FROM g),
+v AS (SELECT source, unnest(r.took) AS pos FROM h),
+z AS (SELECT k.source, min_by(k.pos, {'a': abs(h.r.gap - mass), 'b': k.pos}) AS pos
+  FROM k JOIN h ON k.source IS NOT DISTINCT FROM h.source
+  WHERE abs(h.r.gap - mass) < h.r.gap AND NOT list_contains(h.r.took, k.pos) GROUP BY k.source),
+w AS (SELECT * FROM v UNION ALL SELECT * FROM z),
+y AS (SELECT k.doc_id, k.source, k.size FROM k JOIN w ON k.source IS NOT DISTINCT FROM w.source AND k.pos = w.pos)
 SELECT s.doc_id, s.source, s.size, t6.source_size, t6.target,
-  CAST(CASE WHEN s.size > 0 THEN t6.whole + CASE WHEN k.fits OR k.chosen THEN 1 ELSE 0 END
-       ELSE 0 END AS BIGINT) AS copies,
-  CAST(s.size * CASE WHEN s.size > 0 THEN t6.whole + CASE WHEN k.fits OR k.chosen
-       THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS taken
+  CAST(CASE WHEN s.size > 0 THEN t6.whole + CASE WHEN y.size IS NULL THEN 0 ELSE 1 END ELSE 0 END AS BIGINT) AS copies,
+  CAST(s.size * CASE WHEN s.size > 0 THEN t6.whole + CASE WHEN y.size IS NULL THEN 0 ELSE 1 END ELSE 0 END AS BIGINT) AS taken
 FROM s JOIN t6 ON s.source IS NOT DISTINCT FROM t6.source
-LEFT JOIN @LAST@ k ON k.doc_id IS NOT DISTINCT FROM s.doc_id AND k.source IS NOT DISTINCT FROM s.source AND k.size = s.size
-""".replace("@LAST@", f"r{CLOSINGS}").replace("@ROUNDS@", ",\n".join(f"""
-a{k} AS (SELECT *, need - coalesce(sum(mass) FILTER (WHERE fits OR chosen) OVER (PARTITION BY source), 0) AS gap FROM r{k}),
-b{k} AS (SELECT *, NOT fits AND NOT chosen AND {"abs(gap - mass) < gap" if k == CLOSINGS - 1 else "mass <= gap"} AS can FROM a{k}),
-r{k + 1} AS (SELECT * EXCLUDE (gap, can, rk, chosen), chosen OR (can AND rk = 1) AS chosen FROM (SELECT *, row_number() OVER
-    (PARTITION BY source, can ORDER BY abs(gap - mass), xi, size, doc_id) AS rk FROM b{k}))""" for k in range(CLOSINGS)))
+LEFT JOIN y ON y.doc_id IS NOT DISTINCT FROM s.doc_id AND y.source IS NOT DISTINCT FROM s.source AND y.size = s.size
+"""

@@ -7,6 +7,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from feedloom.llm import langid, minhash_forest, mixing, page_templates, rp_forest, url_templates
@@ -195,3 +196,22 @@ def test_no_stage_drops_clean_documents(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() == docs.count()
     assert minhash_forest.representatives(docs.union(docs)).count() == docs.count()
+
+
+def test_mix_with_dominating_documents_and_clashing_names(spark):
+    """A 500-word text among 500 one-word texts: the target of 833 words is met whatever the hashes say."""
+    for start in (0, 10_000, 20_000):
+        rows = [(start + i, "w", "a") for i in range(500)] + [(start + 999, "w " * 500, "a")]
+        # the second source makes 'a' need 833 of its 1,000 words
+        rows += [(start + 1000 + i, "w w", "b") for i in range(500)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+        sized = docs.select("doc_id", "source", F.expr(mixing.SIZE).alias("size"))
+        goals = spark.createDataFrame([("a", 1000, 833.0), ("b", 1000, 1251.0)], "source string, source_size bigint, target double")
+        got = mixing.copies(sized, mixing.draw(sized, goals)).groupBy("source").agg(F.sum(F.expr("copies * size")).alias("t")).collect()
+        assert {r["source"]: r["t"] for r in got}["a"] == 833
+        assert abs({r["source"]: r["t"] for r in got}["b"] - 1251) <= 1
+    docs = docs.withColumn("size", F.lit(99)).withColumn("Taken", F.lit("x"))
+    out = mixing.mixed(docs)
+    assert out.columns == [*docs.columns, "mix_size", "source_size", "target", "copies", "mix_taken"]
+    r = out.orderBy("doc_id").first()
+    assert r["size"] == 99 and r["Taken"] == "x" and r["mix_size"] == 1
