@@ -215,3 +215,21 @@ def test_mix_with_dominating_documents_and_clashing_names(spark):
     assert out.columns == [*docs.columns, "mix_size", "source_size", "target", "copies", "mix_taken"]
     r = out.orderBy("doc_id").first()
     assert r["size"] == 99 and r["Taken"] == "x" and r["mix_size"] == 1
+
+
+def test_url_sections_do_not_move_each_other(spark):
+    """Sixty unlabelled sections beside two blocked ones stay allowed; paths are told apart at any depth."""
+    rows = [(10_000 + 40 * k + i, f"http://big.net/{''.join(chr(97 + int(c)) for c in str(k + 10))}/t{i}") for k in range(60) for i in range(40)]
+    rows += [(i, f"http://big.net/{'es' if i % 2 else 'fr'}/t{i}") for i in range(80)]
+    deep = "/".join("abcdefghijkl")
+    rows += [(1000 + i, f"http://deep.net/{deep}/{'on' if i % 2 else 'off'}/{i}") for i in range(40)]
+    rows += [(2000, "http://twice.net/es/1"), (2001, "http://twice.net/es/1"), (2002, "http://mix.test/good/x"), (2003, None)]
+    rules = (*url_templates.RULES, ("block", "deep.net", f"/{deep}/on/"), ("allow", "deep.net", f"/{deep}/off/"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string").withColumn("host", F.lit("clash"))
+    got = {r["id"]: r for r in url_templates.judged(pages, rules=rules).collect()}
+    assert len(got) == len(rows)
+    assert {got[i]["verdict"] for i in got if i >= 10_000} == {"allow"}
+    assert {got[i]["template"] for i in got if i >= 10_000} == {"/-/*"}
+    assert {got[i]["verdict"] for i in range(80)} == {"block"} and {got[i]["template"] for i in range(80)} == {"/+/*"}
+    assert got[1001]["template"] == f"/{deep}/on/*" and got[1000]["template"].endswith("/off/*")
+    assert got[2000]["template"] == got[2001]["template"] and got[2003]["template"] == ""
