@@ -63,3 +63,11 @@ def falls_between(when, t1, t2) -> Column:
             .when(schedule_error(when, t1, t2).isNotNull(), F.lit(None).cast("boolean"))
             .when(is_dom, dom_rule)
             .otherwise(dow_rule))
+
+
+def gate(when, t1, t2) -> Column:
+    """'yes' or 'no' by ``falls_between``, 'error: ' and the reason, or 'first' where there is no earlier run."""
+    err = schedule_error(when, t1, t2)
+    return (F.when(col_of(t1).isNull(), F.lit("first"))
+            .when(err.isNotNull(), F.concat(F.lit("error: "), err))
+            .when(falls_between(when, t1, t2), F.lit("yes")).otherwise(F.lit("no")))

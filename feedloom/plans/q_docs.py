@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feedloom.functions import html as H
@@ -10,6 +12,7 @@ from feedloom.operators import entries as E
 from feedloom.plans import fixtures as X
 from feedloom.plans.q_entries import SQL_KEPT, _pages, new_items
 from feedloom.plans.sqlparts import excise_sql
+from feedloom.session import scratch_path
 from feedloom.sinks import documents as D
 from feedloom.sources.rules import attach_rules
 from feedloom.sources.tables import read_table
@@ -373,3 +376,62 @@ UNION ALL SELECT '2024-01-12', feed, CAST(count(*) AS BIGINT) FROM b GROUP BY fe
 
 QUERIES.update({"complete_days": complete_days, "url_archive": url_archive, "story_files": story_files})
 SQL.update({"complete_days": SQL_COMPLETE_DAYS, "url_archive": SQL_URL_ARCHIVE, "story_files": SQL_STORY_FILES})
+
+
+# ----------------------------------------------- manifest_files, retention_drop
+def _host(pages):
+    feed = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1)
+    return F.coalesce(F.nullif(feed, F.lit("")), F.lit("none"))
+
+
+def manifest_files(spark, sf_dir):
+    """S11 on what S9 wrote: two days published, one of them twice, the tree listed; the part files' own names are cut."""
+    path = scratch_path(spark, f"published-{uuid.uuid4().hex}")
+    p = _pages(spark, sf_dir)
+    base = p.select(_host(p).alias("feed"), F.col("page_id").alias("page_no"), "html")
+    D.publish_stories(base, path, "2024-01-11")
+    D.publish_stories(base, path, "2024-01-12")
+    D.publish_stories(base.filter(F.pmod("page_no", F.lit(2)) == 0), path, "2024-01-11")
+    files = D.written_files(spark, path).select("day", F.concat_ws("/", "feed", "file").alias("path"))
+    return (D.manifest(files).select("day", F.col("section").cast("long").alias("section"),
+                                     F.regexp_replace("path", "/part-.*$", "/part").alias("path")).distinct())
+
+
+SQL_MANIFEST_FILES = f"""
+WITH b AS (SELECT coalesce(nullif({X.HOST_SQL}, ''), 'none') AS feed, page_id FROM pages),
+f AS (SELECT DISTINCT '2024-01-11' AS day, feed FROM b WHERE page_id % 2 = 0
+      UNION ALL SELECT DISTINCT '2024-01-12', feed FROM b)
+SELECT day, CAST(0 AS BIGINT) AS section, feed || '/' AS path FROM f
+UNION ALL SELECT day, 1, feed || '/part' FROM f
+UNION ALL SELECT DISTINCT day, 2, '.EOF.' FROM f
+"""
+
+
+def retention_drop(spark, sf_dir):
+    """T4 and J5 on written output: each event type's rows of a day are a feed's stories; the days that retention
+    names are deleted, then the tree is listed: what is gone is to be produced again."""
+    from feedloom.operators import state as S
+    from feedloom.plans.q_state import KEEP_DAYS, RETENTION_DAYS
+    path = scratch_path(spark, f"retained-{uuid.uuid4().hex}")
+    ev = read_table(spark, sf_dir, "events").select(
+        F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("feed"), F.col("event_id").alias("page_no"),
+        F.col("user_id").cast("string").alias("html"))
+    D.write_stories(ev, path)
+    wanted = ev.groupBy("day", "feed").agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+    days = D.written_files(spark, path).select(F.to_date("day").alias("day")).distinct()
+    keep = spark.createDataFrame([(d,) for d in KEEP_DAYS], "day string").select(F.to_date("day").alias("day"))
+    D.drop_days(path, S.retention(days, F.to_date(F.lit(RUN_DAY)), RETENTION_DAYS, keep))
+    again = S.already_fed(wanted, D.written_files(spark, path)).select("day", "feed", "n_rows", F.lit("again").alias("state"))
+    kept = (spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day"), F.col("feed").cast("string").alias("feed"))
+            .agg(F.count(F.lit(1)).cast("long").alias("n_rows")).withColumn("state", F.lit("kept")))
+    return kept.unionByName(again)
+
+
+SQL_RETENTION_DROP = """
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type AS feed, CAST(count(*) AS BIGINT) AS n_rows,
+  CASE WHEN CAST(ts AS DATE) < DATE '2024-01-05' AND CAST(ts AS DATE) <> DATE '2024-01-02' THEN 'again' ELSE 'kept' END AS state
+FROM events GROUP BY CAST(ts AS DATE), event_type
+"""
+
+QUERIES.update({"manifest_files": manifest_files, "retention_drop": retention_drop})
+SQL.update({"manifest_files": SQL_MANIFEST_FILES, "retention_drop": SQL_RETENTION_DROP})

@@ -185,3 +185,32 @@ def _age_sql():
 
 
 SQL["stream_age_policy"] = _age_sql()
+
+
+# --------------------------------------------------------- stream_schedule_gate
+def stream_schedule_gate(spark, sf_dir):
+    """T5 streamed: a user's runs arrive over several micro-batches; equals the batch schedule_gate."""
+    from feedloom.plans.q_state import WHEN_RULES, hour_range
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    rule = F.element_at(F.array(*[F.lit(w) for w in WHEN_RULES]), (F.pmod(F.col("user_id"), F.lit(12)) + 1).cast("int"))
+    ev = ev.withColumn("rule", rule)
+    base = scratch_path(spark, f"t5-{uuid.uuid4().hex}")
+    ev.repartitionByRange(N_FILES, "ts").write.parquet(f"{base}/source")
+    stamp_in_order(spark, f"{base}/source")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/source")
+    write = INC.schedule_batch_writer(f"{base}/runs", f"{base}/out", "user_id", ["ts", "event_id"], "rule", bucket=hour_range())
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").filter("gate <> 'first'").select("event_id", "user_id", "rule", "gate")
+
+
+QUERIES["stream_schedule_gate"] = stream_schedule_gate
+
+
+def _gate_sql():
+    from feedloom.plans.q_state import SQL as STATE_SQL
+    return STATE_SQL["schedule_gate"]
+
+
+SQL["stream_schedule_gate"] = _gate_sql()

@@ -8,11 +8,14 @@ listings are plain relations that the writers partition by day and feed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions.common import col_of
 from feedloom.operators.entries import short_title
+from feedloom.session import delete_path, publish_folder
 
 # Index page layout.
 INDEX_HEAD = ('<html>\n<head>\n<meta http-equiv="Content-Type" content="text/html; charset=utf-8">\n'
@@ -179,3 +182,33 @@ def write_stories(stories: DataFrame, path: str) -> None:
      .sortWithinPartitions("day", "feed", "page_no")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("day", "feed").parquet(path))
+
+
+def publish_stories(stories: DataFrame, path: str, day: str) -> None:
+    """One day's stories, written beside the output under a hidden name and put in place by one rename, so
+    that a listing never shows half a day and a failed write leaves the day as it was."""
+    spark = stories.sparkSession
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    write_stories(stories.withColumn("day", F.lit(day)), staged)
+    publish_folder(spark, f"{staged}/day={day}", f"{path}/day={day}")
+    delete_path(spark, staged)
+
+
+def _partition_value(name: str) -> Column:
+    raw = F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
+    # partition names escape by %XX only: a plus sign is itself
+    return F.when((raw != "") & (raw != "__HIVE_DEFAULT_PARTITION__"), F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))))
+
+
+def written_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files that lie in an output tree (day, feed, file, n_bytes), listed by Spark; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return files.select(_partition_value("day").alias("day"), _partition_value("feed").alias("feed"),
+                        F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("n_bytes"))
+
+
+def drop_days(path: str, days: DataFrame) -> None:
+    """T4: delete the day folders of an output tree named by ``days`` (column day); one folder per row."""
+    spark = days.sparkSession
+    for r in days.select(F.col("day").cast("string").alias("day")).distinct().toLocalIterator():
+        delete_path(spark, f"{path}/day={r['day']}")

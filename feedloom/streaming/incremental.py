@@ -20,6 +20,7 @@ rules over arriving feed entries:
 * ``age_policy_batch_writer`` - T2: the age rule per micro-batch, expired
   rows kept in a side table.
 * ``complete_rows`` - T6: story rows joined with the sentinels of their days.
+* ``schedule_batch_writer`` - T5: the schedule gate per micro-batch, each site's last run kept between them.
 """
 
 from __future__ import annotations
@@ -252,3 +253,44 @@ def age_policy_batch_writer(state: DataFrame, out_path: str, late_path: str, run
         tagged.filter(F.col("status") == "expired").write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
 
     return write_batch
+
+
+def schedule_batch_writer(state_path: str, out_path: str, site: str, order: list[str], when: str, bucket=None):
+    """T5 streamed: ``foreachBatch`` function that gates a site's runs by its schedule rule.
+
+    A run (``order``: its time first, then what tells equal times apart) is
+    compared with the site's run before it: in the micro-batch by ordered ranges
+    (``bucket``; the hours of the time if none is given), the first of a micro-batch with the site's last run of all
+    earlier ones.  Those last runs are one row per site, published by a rename
+    under the batch's number; a repeated batch starts from the table before its
+    own and replaces what it wrote.  A run that comes later than a younger one of
+    an earlier batch has a negative span ('error: negative span'); a null site
+    has no earlier run.
+    """
+    from feedloom.functions.schedule import gate
+    from feedloom.operators.entries import previous_row
+    ts = order[0]
+    if bucket is None:
+        bucket = F.date_format(ts, "yyyyMMddHH").cast("long")
+
+    def number(folder: str) -> int:
+        return int(folder.rsplit("batch=", 1)[1])
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = sorted((f for f in list_folders(spark, state_path) if "batch=" in f and number(f) < batch_id), key=number)
+        rows = previous_row(batch, [site], order, [ts], bucket=bucket)
+        lasts = batch.groupBy(site).agg(F.max(ts).alias("last_run"))
+        if earlier:
+            known = spark.read.parquet(earlier[-1])
+            rows = rows.join(known, site, "left").withColumn(f"prev_{ts}", F.coalesce(f"prev_{ts}", "last_run")).drop("last_run")
+            lasts = lasts.unionByName(known).groupBy(site).agg(F.max("last_run").alias("last_run"))
+        rows.withColumn("gate", gate(F.col(when), F.col(f"prev_{ts}"), F.col(ts))).write.mode("overwrite").parquet(
+            f"{out_path}/batch={batch_id}")
+        staged = f"{state_path}/_staged-{uuid.uuid4().hex}"
+        lasts.write.parquet(staged)
+        publish_folder(spark, staged, f"{state_path}/batch={batch_id}")
+        for old in earlier[:-1]:  # the table before this one stays for a repeated batch
+            delete_path(spark, old)
+
+    return write_batch

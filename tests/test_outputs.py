@@ -4,6 +4,8 @@ import glob
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
 from feedloom.functions import tree
 from feedloom.operators import pages as PG
 from feedloom.sinks import documents as D
@@ -95,3 +97,19 @@ def test_feed_helpers_make_entries_and_failures_reject_their_site(spark):
         ("a", 0, "1", "A", "l", None), ("a", 1, "2", None, None, None)]
     assert sorted((r.feed, r.stage, r.severity, r.reason) for r in rejects.collect()) == [
         ("b", "helper", "error", "RuntimeError: gone"), ("d", "helper", "error", "LookupError: no helper none")]
+
+
+def test_published_days_are_listed_and_dropped(spark):
+    import uuid
+
+    from feedloom.session import scratch_path
+    path = scratch_path(spark, f"tree-{uuid.uuid4().hex}")
+    page = spark.createDataFrame([("007", 1, "a"), ("a+b c/d", 2, "b"), (None, 3, "c")], "feed string, page_no int, html string")
+    for day in ("2024-01-01", "2024-01-02"):
+        D.publish_stories(page, path, day)
+    D.publish_stories(page.limit(1), path, "2024-01-02")  # replaces the day as a whole
+    got = {(r["day"], r["feed"]) for r in D.written_files(spark, path).collect()}
+    assert got == {("2024-01-01", "007"), ("2024-01-01", "a+b c/d"), ("2024-01-01", None), ("2024-01-02", "007")}
+    D.drop_days(path, spark.createDataFrame([("2024-01-01",), ("2023-12-31",)], "day string"))
+    left = D.written_files(spark, path).select("day", F.concat_ws("/", "feed", "file").alias("path"))
+    assert [r["path"].split("part-")[0] for r in D.manifest(left).orderBy("section").collect()] == ["007/", "007/", ".EOF."]

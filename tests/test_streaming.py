@@ -232,3 +232,33 @@ def test_dedup_within_watermark_matches_distinct(spark):
     q.awaitTermination()
     got = rows(spark.read.parquet(f"{base}/sink"), ["site", "item_id"])
     assert got == sorted({(s, i) for s, i, _, _ in data})
+
+
+def test_schedule_writer_over_batches_equals_the_batch_form(spark):
+    """Runs of sites across a month's end, in micro-batches, a repeated batch and a restart; late runs are told."""
+    from feedloom.functions.schedule import gate
+    from feedloom.operators.entries import previous_row
+    rng = random.Random(3)
+    start = datetime(2024, 1, 20)
+    rules = ["", None, "mo", "31", "1", "x", "zz", "15"]
+    runs = sorted((start + timedelta(hours=rng.randrange(24 * 45)), i) for i in range(160))
+    data = [(i, f"s{i % 8}", t, rules[i % 8]) for t, i in runs] + [(900, None, start, "mo"), (901, None, start, "mo")]
+    schema = "n bigint, site string, ts timestamp, rule string"
+    df = spark.createDataFrame(data, schema)
+    want = rows(previous_row(df, ["site"], ["ts", "n"], ["ts"], bucket=F.date_format("ts", "yyyyMMdd").cast("long")).select("n", gate("rule", "prev_ts", "ts").alias("gate"))
+                .where("n < 900"), ["n", "gate"])
+    base = _scratch(spark)
+    cuts = [0, 1, 50, 90, 130, 162]
+    for k in range(5):
+        write = INC.schedule_batch_writer(f"{base}/runs", f"{base}/out", "site", ["ts", "n"], "rule")  # as after a restart
+        part = spark.createDataFrame(data[cuts[k]:cuts[k + 1]], schema)
+        write(part, k)
+        if k in (0, 3):
+            write(part, k)
+    out = spark.read.parquet(f"{base}/out")
+    assert rows(out.where("n < 900"), ["n", "gate"]) == want
+    assert len({g for _, g in want}) >= 4
+    late = spark.createDataFrame([(950, "s2", start - timedelta(days=1), "mo")], schema)
+    write(late, 5)
+    assert spark.read.parquet(f"{base}/out").where("n = 950").first()["gate"] == "error: negative span"
+    assert sorted(f for f in os.listdir(f"{base}/runs") if "=" in f) == ["batch=4", "batch=5"]
