@@ -4,10 +4,13 @@
    text.  Spark counts on how many different pages of its host a subtree occurs
    (copies of a page count once; sums are taken map-side, so a hot host is no
    hot task).
-2. Subtrees on many pages of a host (at least FEWEST, and SHARE of its pages)
-   are the site's template.  A host has at most 1 / SHARE times as many of
-   them as its pages have subtrees on average, so its list is bounded.
-3. Each page meets its host's list and is parsed again; template subtrees go.
+2. Subtrees on many pages of a scope (at least FEWEST, and SHARE of its pages)
+   are its template.  A page has two scopes: its host, and its section, which
+   is the first directory of its path, so that a box which only one of many
+   sections shows is found too.  A scope has at most 1 / SHARE times as many
+   of them as its pages have subtrees on average, so its list is bounded.
+3. Each page meets the lists of its scopes and is parsed again; template
+   subtrees go.
    So do the elements that are no article text by what HTML says of them
    (scripts, styles, forms, menus, headers and footers of the page, sidebars,
    and boxes whose class or id names an advert, notice, menu or comments),
@@ -235,43 +238,60 @@ def text_of(top: Element, template: set[int]) -> str:
     return "\n".join(blocks)
 
 
+#: Scopes of a page with ``host`` and ``path``: hashes of its host, and of host and first directory (null: none).
+HOST_SCOPE = "xxhash64(host)"
+SECTION_SCOPE = "IF(path RLIKE '^/+[^/]+/', xxhash64(host, regexp_extract(path, '^/+([^/]+)/', 1)), NULL)"
+
+
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, page, key): the distinct subtrees of each page of (host, html), and key 0 for the page itself."""
+    """(scope, page, key): the subtrees of each page of (host, path, html) for each of its scopes, and key 0 for the page."""
     def run(batches):
         for b in batches:
-            hosts, pages, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, page in enumerate(b.column(1).to_pylist()):
+            at, pages, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, page in enumerate(b.column(2).to_pylist()):
                 own: list[int] = [0]
                 top = parse(page or "")
                 hashed(top, own)
                 keys.append(np.unique(np.array(own, np.uint64)).view(np.int64))
-                hosts.append(np.full(len(keys[-1]), i))
+                at.append(np.full(len(keys[-1]), i))
                 pages.append(np.full(len(keys[-1]), top.key, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(hosts))),
-                                              pa.array(np.concatenate(pages)), pa.array(np.concatenate(keys))],
-                                             names=["host", "page", "key"])
+            at, pages, keys = pa.array(np.concatenate(at)), pa.array(np.concatenate(pages)), pa.array(np.concatenate(keys))
+            for scope in b.column(0), b.column(1):
+                rows = pa.RecordBatch.from_arrays([scope.take(at), pages, keys], names=["scope", "page", "key"])
+                yield rows.filter(rows.column(0).is_valid())
 
-    return map_arrow(pages.select("host", "html"), run, "host string, page bigint, key bigint")
+    return map_arrow(pages.selectExpr(f"{HOST_SCOPE} AS host", f"{SECTION_SCOPE} AS section", "html"), run,
+                     "scope bigint, page bigint, key bigint")
 
 
 def site_templates(pages: DataFrame, share: float = SHARE, fewest: int = FEWEST) -> DataFrame:
-    """(host, keys): the subtrees that recur on many different pages of each host."""
-    n = table(subtrees(pages).distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    """(scope, keys): the subtrees that recur on many different pages of each scope."""
+    n = table(subtrees(pages).distinct().groupBy("scope", "key").agg(F.count(F.lit(1)).alias("n"))
               .where(f"key = 0 OR n >= {fewest}"))
-    whole = n.where("key = 0").select("host", F.col("n").alias("pages"))
-    return (n.where("key <> 0").join(whole, "host").where(f"n >= {share} * pages").groupBy("host")
+    whole = n.where("key = 0").select("scope", F.col("n").alias("pages"))
+    return (n.where("key <> 0").join(whole, "scope").where(f"n >= {share} * pages").groupBy("scope")
             .agg(F.sort_array(F.collect_list("key")).alias("keys")))
 
 
+def page_lists(pages: DataFrame) -> DataFrame:
+    """(scope, keys): for each section and each host the template keys that its pages meet, its host's included."""
+    known = table(site_templates(pages))
+    pairs = pages.selectExpr(f"{HOST_SCOPE} AS host_scope", f"coalesce({SECTION_SCOPE}, {HOST_SCOPE}) AS scope").distinct()
+    return (pairs.join(known.withColumnsRenamed({"scope": "host_scope", "keys": "host_keys"}), "host_scope", "left")
+            .join(known, "scope", "left").where("host_keys IS NOT NULL OR keys IS NOT NULL")
+            .selectExpr("scope", "array_union(coalesce(host_keys, array()), coalesce(keys, array())) AS keys"))
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) per page."""
     id_type = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url")).alias("k"),
                         F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     rows = parsed(rows.withColumn("kk", F.struct("k", "html")), "kk", "url").select(
-        "id.k.id", "id.k.url", "host", "id.html")
-    keys = broadcast_if_small(table(site_templates(rows)))
-    j = rows.join(keys, "host", "left").select("id", "url", "html", "keys")
+        "id.k.id", "id.k.url", "host", "path", "id.html")
+    keys = broadcast_if_small(table(page_lists(rows)))
+    j = (rows.withColumn("scope", F.expr(f"coalesce({SECTION_SCOPE}, {HOST_SCOPE})")).join(keys, "scope", "left")
+         .select("id", "url", "html", "keys"))
 
     def run(batches):
         for b in batches:

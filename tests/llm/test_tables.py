@@ -113,6 +113,49 @@ def test_site_template_goes_and_article_stays(spark):
     assert page_templates.query(page_table(spark, rows).limit(0)).collect() == []
 
 
+def recurring(rows, share=page_templates.SHARE, fewest=page_templates.FEWEST):
+    """Brute force: {page_id: template keys of the page's host and section}, page by page and subtree by subtree."""
+    def scopes(url):
+        host, _, path = (url or "").partition("://")[2].partition("/")
+        first, more, _ = path.lstrip("/").partition("/")
+        return [host.lower()] + [(host.lower(), first)] * bool(first and more)
+
+    seen, whole = {}, {}
+    for _, u, h in rows:
+        own, top = [], page_templates.parse(h or "")
+        page_templates.hashed(top, own)
+        for s in scopes(u):
+            whole.setdefault(s, set()).add(top.key)
+            for k in own:
+                seen.setdefault((s, k), set()).add(top.key)
+    kept = {}
+    for (s, k), pages in seen.items():
+        if len(pages) >= fewest and len(pages) >= share * len(whole[s]):
+            kept.setdefault(s, set()).add(k)
+    return {i: set().union(*(kept.get(s, set()) for s in scopes(u))) for i, u, _ in rows}
+
+
+def test_boxes_of_one_section_go(spark):
+    def page(s, i):
+        return (f"<body><div><b>All of it</b></div><div>Notes of part {s}: mind the <i>{s}</i> steps</div>"
+                f"<div class=story><h2>Title {s} {i}</h2><p>Body of {s} {i}</p><p>A word that part {i % 7} shares</p></div></body>")
+
+    rows = [(100 * s + i, f"http://Ten.example/part{s}/{i}?q", page(s, i)) for s in range(10) for i in range(12)]
+    rows += [(5000 + i, f"http://ten.example/{i}", f"<p>Alone {i}<div>Few</div>" if i < 4 else "<p>Alone") for i in range(6)]
+    rows += [(6000 + i, f"http://copies.example/a{i}/x", page(0, 0)) for i in range(8)]
+    pages = page_table(spark, rows)
+    got = {r["page_id"]: r["text"] for r in page_templates.query(pages).collect()}
+    for s in range(10):
+        for i in range(12):
+            assert got[100 * s + i] == f"Title {s} {i}\nBody of {s} {i}\nA word that part {i % 7} shares"
+    assert got[5000] == "Alone 0\nFew" and "Notes of part 0" in got[6003]  # copies of one page show no template
+    want = recurring(rows)
+    for i, _, h in rows:
+        top = page_templates.parse(h)
+        page_templates.hashed(top, [])
+        assert got[i] == page_templates.text_of(top, want[i])
+
+
 @pytest.mark.parametrize(("html", "text"), [
     ("<p>a<p>b", "a\nb"),
     ("<article><header><h1>T</h1></header><p>x&amp;y &#233;</article><footer>f", "T\nx&y é"),
