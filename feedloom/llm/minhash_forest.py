@@ -245,6 +245,11 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        threshold: float = THRESHOLD) -> DataFrame:
     """(id, n_links, class_id) per row: other rows at the threshold, smallest id reachable over links."""
+    return _classed(docs, id_col, text_col, threshold).select("id", "n_links", "class_id")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of similarity_classes with the key (h1, h2) of their shingle set."""
     sigs = table(signatures(docs, id_col, text_col))
     full = sigs.where("n > 0 AND id IS NOT NULL")
     sets = table(full.groupBy("h1", "h2").agg(F.min_by(F.struct("id", "sig"), "id").alias("r"),
@@ -269,7 +274,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                       F.coalesce("component", "id").alias("class_id")))
     linked = of_set.where("n_links > 0")
     return sigs.select("id", "n", "h1", "h2").join(linked, ["h1", "h2"], "left").select(
-        "id", F.expr("IF(n > 0 AND id IS NOT NULL, coalesce(n_links, 0L), 0L)").alias("n_links"),
+        "id", "h1", "h2", F.expr("IF(n > 0 AND id IS NOT NULL, coalesce(n_links, 0L), 0L)").alias("n_links"),
         F.expr("IF(n > 0 AND id IS NOT NULL, coalesce(class_id, id), id)").alias("class_id"))
 
 
@@ -291,18 +296,36 @@ def query(docs: DataFrame) -> DataFrame:
     return similarity_classes(docs).withColumnRenamed("id", "doc_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose id is the smallest of their class, all their columns.
 
-    Rows that repeat an id are one document if their texts are equal: one stays.
+    Rows that repeat an id are one document if their shingles are the same: one
+    stays.  Otherwise each different text of an id is a document of its own,
+    the smaller by a hash of the text.  Rows without an id all stay.
     """
-    all_rows = table(similarity_classes(docs, id_col))
-    again = table(all_rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND id IS NOT NULL"))
+    all_rows = table(_classed(docs, id_col, text_col))
+    again = table(all_rows.where("id IS NOT NULL").groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.expr("min(struct(h1, h2)) <> max(struct(h1, h2))").alias("differ")).where("n > 1"))
+    kinds = again.agg(F.count(F.lit(1)).alias("n"), F.max("differ").alias("differ")).first()
+    if kinds["differ"]:
+        return _representatives_by_text(docs, id_col, text_col)
     gone = table(all_rows.where("NOT id <=> class_id").select(F.col("id").alias("gid")).distinct())
     out = docs.alias("d").join(broadcast_if_small(gone, IDS).alias("k"), F.col(f"d.{id_col}") == F.col("k.gid"), "left_anti")
-    if again.limit(1).count() == 0:
+    if not kinds["n"]:
         return out
     again = broadcast_if_small(again, IDS).alias("k")
     one = out.alias("d").join(again, F.col(f"d.{id_col}") == F.col("k.id"), "left_anti")
     more = out.alias("d").join(again, F.col(f"d.{id_col}") == F.col("k.id"), "left_semi")
     return one.union(more.dropDuplicates([id_col]))
+
+
+def _representatives_by_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Representatives where one id has different texts: the rows' id is (id, hash of the text)."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.when(F.col(id_col).isNotNull(), key).alias("key"), F.col(text_col).alias("text"))
+    gone = table(similarity_classes(rows, "key", "text").where("NOT id <=> class_id")
+                 .select(F.col("id").alias("gone")).distinct())
+    kept = rows.join(broadcast_if_small(gone, IDS), F.col("key") == F.col("gone"), "left_anti").select("key", "row")
+    one = kept.where("key IS NULL").union(kept.where("key IS NOT NULL").dropDuplicates(["key"]))
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

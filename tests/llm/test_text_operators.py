@@ -103,6 +103,19 @@ def test_one_of_each_class_stays(spark):
     assert minhash_forest.query(docs.limit(0)).collect() == []
 
 
+def test_each_text_of_a_repeated_id_is_judged(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(0, a), (1, b), (1, c), (2, d), (3, a), (3, c + " more"), (3, "x y z"), (4, "u v"), (4, "u v"), (None, a), (None, a),
+            (5, None), (5, ""), (6, d.replace("d7", "q"))]
+    docs = spark.createDataFrame([(i, t, "k", "r") for i, t in rows], "doc_id bigint, text string, key string, row string")
+    got = sorted(((r["doc_id"], r["text"]) for r in minhash_forest.representatives(docs).collect()), key=str)
+    for want in ((0, a), (1, b), (1, c), (2, d), (3, "x y z"), (4, "u v")):
+        assert got.count(want) == 1
+    assert got.count((None, a)) == 2 and sum(i == 5 for i, _ in got) == 1
+    assert len(got) == 6 + 2 + 1 + sum(g == rows[-1] for g in got)
+    assert minhash_forest.representatives(docs).columns == docs.columns
+
+
 def test_depth_shortens_to_recall():
     assert minhash_forest.depth(recall=0.999) == 4
     assert minhash_forest.depth(recall=0.5) == minhash_forest.DEEPEST
