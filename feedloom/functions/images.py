@@ -64,6 +64,13 @@ def local_name(src) -> Column:
     return F.when(n == "", F.lit(UNKNOWN_NAME)).otherwise(n)
 
 
+def split_name(name, src) -> Column:
+    """The file name of a source whose local name is another source's too: a digest before the extension."""
+    n, parts = col_of(name), r"^(.*?)(\.[A-Za-z0-9]{1,5})?$"
+    return F.concat(F.regexp_extract(n, parts, 1), F.lit("_"), F.substring(F.md5(col_of(src)), 1, 12),
+                    F.regexp_extract(n, parts, 2))
+
+
 def nonlocal_link(src) -> Column:
     """The link appended to a rejected image."""
     a, b = NONLOCAL_LINK.split("{src}")
@@ -104,12 +111,13 @@ def set_attr(tag, attr: str, value) -> Column:
     return F.when(has, replaced).otherwise(added)
 
 
-def image_decision(tag, page_host, base, max_srcset, nonlocal_ok, block_nonlocal, alt_domains) -> Column:
+def image_decision(tag, page_host, base, max_srcset, nonlocal_ok, block_nonlocal, alt_domains, renames=None) -> Column:
     """I1-I5 for one img tag: struct(abs_src, action, new_src, new_tag).
 
     action: 'none' (no source), 'data' (a data: URL, left alone), 'local'
     (fetched: src becomes the local file name) or 'nonlocal' (src becomes
     the blocked marker, or stays, and a link to the image follows the tag).
+    ``renames`` maps sources to file names other than their local name.
     Values used several times are bound once (``let``), so the expression
     stays linear when used inside ``transform``.
     """
@@ -130,7 +138,10 @@ def image_decision(tag, page_host, base, max_srcset, nonlocal_ok, block_nonlocal
                       .when(a.startswith("data:"), F.lit("data")).otherwise(F.lit("local")))
 
             def finish(act):
-                new_src = (F.when(act == "local", local_name(a))
+                name = local_name(a)
+                if renames is not None:
+                    name = F.coalesce(F.try_element_at(col_of(renames), a), name)
+                new_src = (F.when(act == "local", name)
                            .when(act == "nonlocal", F.when(F.coalesce(col_of(block_nonlocal), F.lit(True)),
                                                            F.lit(BLOCKED_SRC)).otherwise(a))
                            .otherwise(s))
@@ -149,7 +160,7 @@ IMG_TAG_RE = r"(?i)<img\b[^>]*>"
 
 
 @built_once
-def rewrite_images(html, page_host, base, max_srcset, nonlocal_ok, block_nonlocal, alt_domains) -> Column:
+def rewrite_images(html, page_host, base, max_srcset, nonlocal_ok, block_nonlocal, alt_domains, renames=None) -> Column:
     """I5/I7 in the page: every img tag replaced by its rewritten form.
 
     The page is split at its img tags once, each tag is rewritten by itself and
@@ -160,7 +171,7 @@ def rewrite_images(html, page_host, base, max_srcset, nonlocal_ok, block_nonloca
     tags = F.regexp_extract_all(html, F.lit(IMG_TAG_RE), F.lit(0))
 
     def new(tag):
-        return image_decision(tag, page_host, base, max_srcset, nonlocal_ok, block_nonlocal, alt_domains)["new_tag"]
+        return image_decision(tag, page_host, base, max_srcset, nonlocal_ok, block_nonlocal, alt_domains, renames)["new_tag"]
 
     rewritten = F.array_join(F.zip_with(
         F.split(html, IMG_TAG_RE, -1), F.concat(F.transform(tags, new), F.array(F.lit(""))),

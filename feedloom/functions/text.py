@@ -116,21 +116,35 @@ def fold_one(text: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def fold_ascii(s: pd.Series) -> pd.Series:
-    """C3 ASCII folding (Arrow batches)."""
+def _fold(s: pd.Series) -> pd.Series:
     return s.map(fold_one)
 
 
 @F.pandas_udf(StringType())
-def nfkd(s: pd.Series) -> pd.Series:
-    """NFKD normal form (Arrow batches)."""
+def _nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
 
+def _beyond_ascii(udf, text) -> Column:
+    """``udf`` of the texts with a character beyond ASCII; the others stay as they are and reach Python as nulls."""
+    t = col_of(text)
+    return F.coalesce(udf(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t)
+
+
+def fold_ascii(text) -> Column:
+    """C3 ASCII folding (Arrow batches; ASCII text is its own folding)."""
+    return _beyond_ascii(_fold, text)
+
+
+def nfkd(text) -> Column:
+    """NFKD normal form (Arrow batches; ASCII text is its own normal form)."""
+    return _beyond_ascii(_nfkd, text)
+
+
 def slugify(text) -> Column:
     """E13 in full: NFKD, non-ASCII dropped, then the ASCII slug rules."""
     from feedloom.operators.entries import slugify_ascii
-    return slugify_ascii(F.regexp_replace(nfkd(col_of(text)), r"[^\x00-\x7F]", ""))
+    return slugify_ascii(F.regexp_replace(nfkd(text), r"[^\x00-\x7F]", ""))
 
 
 def unmapped_class() -> str:

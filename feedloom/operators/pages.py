@@ -77,3 +77,29 @@ def multipage_walk(stories: DataFrame, pages: DataFrame, key: list[str], html_co
     # breadth first: by the number of hops, then by the links' places along the way
     by_place = Window.partitionBy(*key).orderBy(F.size("path"), "path")
     return found.select(*key, F.row_number().over(by_place).alias("page_no"), "url", "html")
+
+
+def unique_image_names(refs: DataFrame) -> DataFrame:
+    """(abs_src, local_name, file_name) per distinct source of (abs_src, local_name).
+
+    Of the sources that share a local name the smallest keeps it, the others
+    get a digest of their own, so that no image is written over another.
+    Names are counted with partial aggregates: a name that very many sources
+    share costs no more than its rows.  Null sources are left out.
+    """
+    from feedloom.functions.images import split_name
+    distinct = refs.where("abs_src IS NOT NULL").groupBy("abs_src").agg(F.min("local_name").alias("local_name"))
+    shared = (distinct.groupBy("local_name").agg(F.count(F.lit(1)).alias("n"), F.min("abs_src").alias("first"))
+              .where("n > 1").drop("n"))
+    return distinct.join(shared, "local_name", "left").select(
+        "abs_src", "local_name", F.when(F.col("abs_src") != F.col("first"), split_name("local_name", "abs_src"))
+        .otherwise(F.col("local_name")).alias("file_name"))
+
+
+def with_image_names(pages: DataFrame, refs: DataFrame, key: str = "page_id") -> DataFrame:
+    """Pages with ``renames``, the map from image source to file name that ``images.rewrite_images`` takes, null
+    where every image of the page keeps its local name; ``refs`` is (key, abs_src, local_name)."""
+    new = unique_image_names(refs).where("file_name <> local_name").select("abs_src", "file_name")
+    of_page = (refs.select(key, "abs_src").distinct().join(new, "abs_src").groupBy(key)
+               .agg(F.map_from_entries(F.collect_list(F.struct("abs_src", "file_name"))).alias("renames")))
+    return pages.join(of_page, key, "left")

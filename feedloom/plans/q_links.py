@@ -280,6 +280,31 @@ def _image_fetches_sql():
     return f"SELECT DISTINCT abs_src, new_src AS local_name FROM ({_image_refs_sql()}) r WHERE action = 'local'"
 
 
+def image_names(spark, sf_dir):
+    """The file name of every fetched source and, since names drop the path's slashes and marks, of its variants
+    under a folder of that name: sources that share a local name get different files."""
+    from feedloom.operators.pages import unique_image_names
+    refs = image_refs(spark, sf_dir).filter(F.col("action") == "local").select("abs_src")
+    variants = refs.unionByName(refs.select(F.regexp_replace("abs_src", "_", "/").alias("abs_src"))).unionByName(
+        refs.select(F.regexp_replace("abs_src", r"\.([a-z]+)$", r"!.$1").alias("abs_src")))
+    return unique_image_names(variants.withColumn("local_name", I.local_name("abs_src")))
+
+
+def _image_names_sql():
+    name = "regexp_replace(replace(abs_src, '/', '_'), '[^\\pL\\pN_.\\-]', '', 'g')"
+    return f"""
+WITH f AS (SELECT abs_src FROM ({_image_refs_sql()}) r WHERE action = 'local'),
+v AS (SELECT abs_src FROM f UNION SELECT replace(abs_src, '_', '/') FROM f
+      UNION SELECT regexp_replace(abs_src, '\\.([a-z]+)$', '!.\\1') FROM f),
+n AS (SELECT abs_src, CASE WHEN {name} = '' THEN '{I.UNKNOWN_NAME}' ELSE {name} END AS local_name FROM v),
+k AS (SELECT *, row_number() OVER (PARTITION BY local_name ORDER BY abs_src) AS k,
+             len(regexp_extract(local_name, '\\.[A-Za-z0-9]{{1,5}}$')) AS ext FROM n)
+SELECT abs_src, local_name, CASE WHEN k = 1 THEN local_name
+    ELSE left(local_name, len(local_name) - ext) || '_' || left(md5(abs_src), 12) || right(local_name, ext) END AS file_name
+FROM k
+"""
+
+
 # -------------------------------------------------------------- image_plan
 def _part_images(spark, sf_dir):
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
@@ -365,6 +390,7 @@ QUERIES = {
     "content_gate": content_gate,
     "image_refs": image_refs,
     "image_fetches": image_fetches,
+    "image_names": image_names,
     "image_plan": image_plan,
     "srcset_choice": srcset_choice,
 }
@@ -375,6 +401,7 @@ SQL = {
     "content_gate": _content_gate_sql(),
     "image_refs": _image_refs_sql(),
     "image_fetches": _image_fetches_sql(),
+    "image_names": _image_names_sql(),
     "image_plan": SQL_IMAGE_PLAN,
     "srcset_choice": _srcset_sql(),
 }

@@ -1,6 +1,7 @@
 """Hand-made edge rows for the semantics decisions and FIXTURES 4,
 checked against small pure-Python models written here."""
 
+import hashlib
 import random
 import re
 import unicodedata
@@ -245,6 +246,35 @@ def test_image_names_and_plan(spark):
     assert [tuple(r) for r in df.select(w, h).collect()] == [(1200, 900), (360, 1200), (100, 100)]
 
 
+def test_sources_of_one_local_name_get_files_of_their_own(spark):
+    from feedloom.operators.pages import unique_image_names, with_image_names
+    srcs = ["http://h/a/b.png", "http://h/a_b.png", "http://h/a_b!.png", "http://h/c.png", "http://h/x.y/z", "http://h/x.y_z", None]
+    refs = spark.createDataFrame([(i % 4, s) for i, s in enumerate(srcs * 2)], "page_id int, abs_src string").withColumn(
+        "local_name", I.local_name("abs_src"))
+    got = {r["abs_src"]: r for r in unique_image_names(refs).collect()}
+    assert set(got) == set(srcs) - {None}
+    assert len({r["file_name"] for r in got.values()}) == len(got)
+    for name in {r["local_name"] for r in got.values()}:
+        first = min(s for s, r in got.items() if r["local_name"] == name)
+        assert got[first]["file_name"] == name
+    other = got["http://h/a_b.png"]["file_name"]
+    assert re.fullmatch(r"http__h_a_b_[0-9a-f]{12}\.png", other)
+    assert unique_image_names(refs.limit(0)).collect() == []
+
+    html = '<img src="/a/b.png"><img alt=x src="/a_b.png"> <img src="/c.png">'
+    pages = spark.createDataFrame([(1, html), (2, '<img src="/c.png">')],
+                                  "page_id int, html string").selectExpr(
+        "*", "'h' AS host", "'http://h/' AS base", "800 AS most", "false AS ok", "true AS block", "array('z.h') AS alt")
+    of = spark.createDataFrame([(1, srcs[0]), (1, srcs[1]), (1, srcs[3]), (2, srcs[3])], "page_id int, abs_src string").withColumn(
+        "local_name", I.local_name("abs_src"))
+    named = with_image_names(pages, of).select(
+        "page_id", I.rewrite_images("html", "host", "base", "most", "ok", "block", "alt", "renames").alias("html"))
+    digest = hashlib.md5(srcs[1].encode()).hexdigest()[:12]
+    assert dict(rows(named, ["page_id", "html"])) == {
+        1: f'<img src="http__h_a_b.png"><img alt=x src="http__h_a_b_{digest}.png"> <img src="http__h_c.png">',
+        2: '<img src="http__h_c.png">'}
+
+
 # ------------------------------------------------------------- text/bytes
 def test_decode_bodies(spark):
     from feedloom.operators.decode import decode_bodies
@@ -260,6 +290,13 @@ def test_header_charset(spark):
     assert one(spark, data, "c string", urls.header_charset("c")) == ["ISO-8859-1", "", ""]
 
 
+def test_ascii_text_is_its_own_folding(spark):
+    from feedloom.functions.text import fold_ascii, nfkd
+    data = [("plain \t text\x7f",), ("",), (None,), ("\u200b",), ("ﬁ",)]
+    assert one(spark, data, "t string", fold_ascii("t")) == ["plain \t text\x7f", "", None, "", "fi"]
+    assert one(spark, data, "t string", nfkd("t")) == ["plain \t text\x7f", "", None, "\u200b", "fi"]
+
+
 def test_fold_and_slug(spark):
     from feedloom.functions.text import fold_ascii, slugify
     text = "Café “quoted” — ß 中 ø"
