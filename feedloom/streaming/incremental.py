@@ -12,11 +12,12 @@ rules over arriving feed entries:
   A micro-batch reads only the buckets it touches, publishes its new ids by
   renaming finished folders, and compacts buckets that hold many small ones;
   a repeated batch publishes the same ids again, in the same place.
-* ``republications`` - T3: per (site, id) state holding the last emitted
-  time; a seen id is emitted again only when its site allows repeats and
-  it was published after the last emission (optional event-time TTL =
-  save_days, by timers).  A key's rows are consumed chunk by chunk; the times
-  of a key that spans chunks are kept in the state store, not in Python.
+* ``republications`` - T3: the last emitted time of each (site, id); a seen
+  id is emitted again only when its site allows repeats and it was published
+  after the last emission (optional event-time TTL = save_days, by timers).
+  State is kept per hash bucket of the ids, so that the state store is asked
+  per bucket, not per id.  Rows are consumed chunk by chunk; more than
+  ``HELD`` times of a bucket in one batch go to the state store, not to Python.
 * ``age_policy_batch_writer`` - T2: the age rule per micro-batch, expired
   rows kept in a side table.
 * ``complete_rows`` - T6: story rows joined with the sentinels of their days.
@@ -26,6 +27,7 @@ rules over arriving feed entries:
 from __future__ import annotations
 
 import uuid
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -207,20 +209,121 @@ class Republisher(StatefulProcessor):
         pass
 
 
-def republications(stream: DataFrame, ttl: str | None = None, ttl_ms: int | None = None) -> DataFrame:
+class BucketRepublisher(StatefulProcessor):
+    """The rule of ``Republisher`` for all ids of a hash bucket: one read and one write of the state per bucket
+    and micro-batch.  With ``ttl_ms`` each id has its own end; the bucket's timer stands at the earliest."""
+
+    #: Distinct new times of a bucket in one micro-batch that Python holds; beyond, they go to the state store.
+    HELD = 200_000
+    #: Rows given out at a time.
+    OUT_ROWS = 10_000
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ids = handle.getValueState(
+            "ids", "site array<string>, item_id array<string>, us array<bigint>, ends array<bigint>")
+        self.times = handle.getMapState("times", "site string, item_id string, us bigint", "there boolean")
+
+    def _known(self) -> dict:
+        """Each id's last emitted time and, with a TTL, the event time at which it is forgotten."""
+        state = self.ids.get()
+        return {(site, item): (us, end) for site, item, us, end in zip(*state)} if state else {}
+
+    def _keep(self, known: dict) -> None:
+        if known:
+            self.ids.update(tuple(map(list, zip(*((site, item, us, end) for (site, item), (us, end) in known.items())))))
+        else:
+            self.ids.clear()
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = self._known()
+        span: dict = {}  # the earliest and the latest new time of each id
+        allowed, held, spilled = set(), set(), False
+        for pdf in rows:
+            us = [t.value // 1000 for t in pd.to_datetime(pdf["ts"])]
+            for site, item, u, allow in zip(pdf["site"].tolist(), pdf["item_id"].tolist(), us, pdf["allow_repeats"].eq(True)):
+                of = (site, item)
+                if allow:
+                    allowed.add(of)
+                if of not in known or u > known[of][0]:
+                    first, newest = span.get(of, (u, u))
+                    span[of] = (min(first, u), max(newest, u))
+                    held.add((site, item, u))
+            if len(held) > self.HELD or spilled:
+                self._spill(held)
+                spilled = True
+        repeats = ((site, item, u, True) for site, item, u in (self.times.keys() if spilled else held)
+                   if (site, item) in allowed and ((site, item) in known or u != span[site, item][0]))
+        for part in batched(repeats, self.OUT_ROWS):
+            yield self._rows(part)
+        if spilled:
+            self.times.clear()
+        for part in batched(((*of, first, False) for of, (first, _) in span.items() if of not in known), self.OUT_ROWS):
+            yield self._rows(part)
+        changed = {of: newest if of in allowed else first for of, (first, newest) in span.items() if of in allowed or of not in known}
+        if changed:
+            known |= {of: (u, None) for of, u in changed.items()}
+            if self.ttl_ms is not None:
+                now = timerValues.getCurrentWatermarkInMs()
+                # an id that is already past its span ends with the next watermark
+                known |= {of: (u, max(u // 1000 + self.ttl_ms, now + 1)) for of, u in changed.items()}
+                # those whose time is over go here, as the timer moves on
+                known = {of: (u, end) for of, (u, end) in known.items() if end >= now}
+                for old in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(old)
+                self._wake(known, now)
+            self._keep(known)
+
+    def _wake(self, known: dict, now: int) -> None:
+        if known:
+            self.handle.registerTimer(max(now + 1, min(end for _, end in known.values())))
+
+    def _spill(self, held: set) -> None:
+        for time in held:
+            self.times.updateValue(time, (True,))
+        held.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now, fired = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        known = {of: (u, end) for of, (u, end) in self._known().items() if end >= now and end > fired}
+        self._keep(known)
+        self._wake(known, now)
+        return iter([])
+
+    @staticmethod
+    def _rows(part):
+        out = pd.DataFrame(part, columns=["site", "item_id", "ts", "is_repeat"])
+        return out.assign(ts=pd.to_datetime(out["ts"], unit="us"))
+
+    def close(self) -> None:
+        pass
+
+
+def republications(stream: DataFrame, ttl: str | None = None, ttl_ms: int | None = None,
+                   buckets: int | None = 1024) -> DataFrame:
     """T3 over a stream of (site, item_id, ts, allow_repeats); ``allow_repeats`` is the site's.
 
     Without a TTL ids are remembered forever.  With ``ttl`` (a watermark delay
     such as '7 days', i.e. save_days) and the same span in ``ttl_ms``, the stream
     is watermarked on ``ts`` and an id's state is dropped once event time passes
     its last emission plus the TTL.  The session must use the RocksDB state store.
+
+    The ids are dealt over ``buckets`` groups with one state each (a checkpoint
+    keeps its number of buckets); with None each id is a group of its own, which
+    pays only if a micro-batch touches few ids out of very many.
     """
     ship_package(stream.sparkSession)
     s = stream.select("site", "item_id", "ts", "allow_repeats")
     if ttl is not None:
         s = s.withWatermark("ts", ttl)
-    return s.groupBy("site", "item_id").transformWithStateInPandas(
-        Republisher(ttl_ms if ttl is not None else None), REPUB_OUT, "append", "None" if ttl is None else "EventTime")
+    keep_ms, mode = (None, "None") if ttl is None else (ttl_ms, "EventTime")
+    if buckets is None:
+        return s.groupBy("site", "item_id").transformWithStateInPandas(Republisher(keep_ms), REPUB_OUT, "append", mode)
+    s = s.withColumn("bucket", F.pmod(F.xxhash64("site", "item_id"), F.lit(buckets)))
+    return s.groupBy("bucket").transformWithStateInPandas(BucketRepublisher(keep_ms), REPUB_OUT, "append", mode)
 
 
 def complete_rows(files: DataFrame, sentinels: DataFrame, wait: str) -> DataFrame:

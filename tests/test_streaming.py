@@ -193,6 +193,87 @@ def test_a_key_in_several_chunks_keeps_its_times_in_the_store():
     assert emitted(chunk(9, 4)) == [] and emitted(chunk(11), chunk(10, 11)) == [(10, True), (11, True)]
 
 
+def test_republication_state_is_kept_per_bucket_not_per_id(spark):
+    t0 = datetime(2024, 1, 1)
+    rng = random.Random(5)
+    batches = [[("s" if k % 3 else "t", f"i{rng.randrange(2500)}", t0 + timedelta(minutes=rng.randrange(500)), bool(k % 3))
+                for k in range(3000)] + [("s", None, t0 + timedelta(minutes=b), True), (None, "x", t0, None)] for b in range(2)]
+    base = _scratch(spark)
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, SCHEMA).coalesce(1).write.parquet(f"{base}/src/part{i}")
+        time.sleep(1.1)  # distinct modification times keep the file order
+    stream = (spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(f"{base}/src"))
+    q = (INC.republications(stream).writeStream.format("parquet").option("path", f"{base}/sink")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024
+    got = [tuple(r) for r in spark.read.parquet(f"{base}/sink").select("site", "item_id", "ts", "is_repeat").collect()]
+
+    def known(rows):
+        return sorted(r for r in rows if None not in r)
+
+    assert known(got) == republish_model([known(b) for b in batches])
+    assert sorted((r for r in got if None in r), key=str) == [
+        ("s", None, t0, False), ("s", None, t0 + timedelta(minutes=1), True), (None, "x", t0, False)]
+
+
+class _Value:
+    held = None
+    def get(self): return self.held
+    def update(self, v): self.held = v
+    def clear(self): self.held = None
+
+
+class _Times(dict):
+    def updateValue(self, k, v): self[k] = v
+
+
+def test_times_of_a_bucket_beyond_what_python_holds_go_to_the_store(monkeypatch):
+    import pandas as pd
+    rng, t0 = random.Random(4), datetime(2024, 1, 1)
+    batches = [[("s" if k % 3 else "t", f"i{k % 3}{rng.randrange(9)}", t0 + timedelta(minutes=rng.randrange(300)), bool(k % 3))
+                for k in range(400)] for _ in range(3)]
+
+    def emitted(held):
+        monkeypatch.setattr(INC.BucketRepublisher, "HELD", held)
+        monkeypatch.setattr(INC.BucketRepublisher, "OUT_ROWS", 7)
+        p = INC.BucketRepublisher()
+        p.ids, p.times, most, out = _Value(), _Times(), 0, []
+        for b in batches:
+            chunks = [pd.DataFrame(b[k:k + 50], columns=["site", "item_id", "ts", "allow_repeats"]) for k in range(0, len(b), 50)]
+            for part in p.handleInputRows((0,), iter(chunks), None):
+                assert 0 < len(part) <= 7
+                most = max(most, len(p.times))
+                out += [(s, i, t.to_pydatetime(), bool(r)) for s, i, t, r in part.itertuples(index=False)]
+            assert not p.times
+        return sorted(out), most
+
+    want = republish_model(batches)
+    assert emitted(200_000) == (want, 0)
+    got, most = emitted(20)
+    assert got == want and most > 100
+
+
+def test_republication_ttl_is_that_of_each_id(spark):
+    t0 = datetime(2024, 1, 1)
+    base = _scratch(spark)
+    for item, day in (("a", 0), ("b", 5), ("z", 20), ("b", 14), ("a", 21), ("z", 22), ("b", 23)):
+        spark.createDataFrame([("s", item, t0 + timedelta(days=day), True)], SCHEMA).coalesce(1).write.mode("append").parquet(f"{base}/src")
+        time.sleep(1.1)
+
+    def out(buckets):
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/src")
+        q = (INC.republications(stream, "7 days", 7 * 86_400_000, buckets=buckets).writeStream.format("parquet")
+             .option("path", f"{base}/sink{buckets}").option("checkpointLocation", f"{base}/ckpt{buckets}").trigger(availableNow=True).start())
+        q.awaitTermination()
+        return rows(spark.read.parquet(f"{base}/sink{buckets}"), ["site", "item_id", "ts", "is_repeat"])
+
+    got = out(1)
+    assert got == out(None)
+    assert ("s", "a", t0 + timedelta(days=21), False) in got and ("s", "z", t0 + timedelta(days=22), True) in got
+
+
 def test_sentinels_in_time_late_and_missing(spark):
     t0 = datetime(2024, 1, 1)
     day = timedelta(days=1)
