@@ -2,7 +2,7 @@
 
 Unicode normalisation (NFKD) and byte decoding with replacement have no
 built-in Spark expression, so these are small per-value Python helpers run
-as Arrow-batched pandas UDFs.  Everything around them (charset choice,
+over Arrow batches; texts become Python strings a few at a time.  Everything around them (charset choice,
 fast paths, the unmapped-character report, grouping) is native.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -115,14 +116,25 @@ def fold_one(text: str | None) -> str | None:
     return "".join(out)
 
 
-@F.pandas_udf(StringType())
-def _fold(s: pd.Series) -> pd.Series:
-    return s.map(fold_one)
+#: Texts of an Arrow batch that are Python strings at the same time.
+SLICE_ROWS = 64
 
 
-@F.pandas_udf(StringType())
-def _nfkd(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+def by_slices(fn, texts: pa.Array) -> pa.Array:
+    """``fn`` of each text; a batch holds up to 64 MB, and only a slice of it is there as Python strings."""
+    parts = [pa.array([None if t is None else fn(t) for t in texts.slice(k, SLICE_ROWS).to_pylist()], pa.string())
+             for k in range(0, len(texts), SLICE_ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def _fold(s: pa.Array) -> pa.Array:
+    return by_slices(fold_one, s)
+
+
+@F.arrow_udf(StringType())
+def _nfkd(s: pa.Array) -> pa.Array:
+    return by_slices(lambda t: unicodedata.normalize("NFKD", t), s)
 
 
 def _beyond_ascii(udf, text) -> Column:

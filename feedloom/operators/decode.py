@@ -56,7 +56,8 @@ def unmapped_report(docs: DataFrame, text_col: str = "text", key: str = "doc_id"
     # only text with non-ASCII characters is normalised, and only normalised
     # text that still has an unmapped character is scanned for context
     raw = docs.select(key, text_col).filter(F.col(text_col).rlike(r"[^\x00-\x7F]"))
-    norm = raw.select(key, T.nfkd(F.col(text_col)).alias("_n"))
+    # the barrier keeps the filter from normalising a second time
+    norm = materialize(raw.select(key, T.nfkd(F.col(text_col)).alias("_n")), _n=F.col("_n"))
     cls = T.unmapped_class() if only_unmapped else r"[^\x00-\x7F]"
     norm = norm.filter(F.col("_n").rlike(cls))
     chars, before, after = T.unmapped_chars(F.col("_n"), cls)

@@ -340,6 +340,28 @@ def test_unmapped_report_context(spark):
     assert allc == {"中": False, "́": True}
 
 
+def test_unmapped_report_normalises_each_text_once(spark):
+    from feedloom.operators.decode import unmapped_report
+    df = spark.createDataFrame([(1, "caf\u00e9"), (2, None), (3, "x")], "doc_id long, text string")
+    report = unmapped_report(df, only_unmapped=False)
+    assert report._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r) for r in report.select("char", "n", "example").collect()] == [("\u0301", 1, "cafe\u0301")]
+
+
+def test_texts_of_a_batch_become_python_strings_by_slices(monkeypatch):
+    import unicodedata
+
+    import pyarrow as pa
+
+    from feedloom.functions import text as TX
+    texts = [None if k % 7 == 0 else f"\ufb01{k}\u00e9" for k in range(200)]
+    for rows in (1, 64, 200, 500):
+        monkeypatch.setattr(TX, "SLICE_ROWS", rows)
+        for part in (texts, []):
+            got = TX.by_slices(lambda t: unicodedata.normalize("NFKD", t), pa.array(part, pa.string()))
+            assert got.to_pylist() == [t and unicodedata.normalize("NFKD", t) for t in part]
+
+
 def test_previous_row_and_count_before_across_ranges(spark):
     rnd = random.Random(11)
     data = [(u, t, rnd.random() < 0.3) for u in ("a", "b") for t in rnd.sample(range(0, 500000), 60)]
