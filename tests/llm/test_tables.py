@@ -77,6 +77,39 @@ def test_dense_cloud_is_compared_in_blocks(spark):
     assert {(r["n_links"], r["component_id"]) for r in got} == {(299, 0)}
 
 
+def test_split_groups_move_few_copies(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 200, 2):  # pairs with a cosine of 0.95
+        u = x[i + 1] - (x[i + 1] @ x[i]) * x[i]
+        x[i + 1] = 0.95 * x[i] + math.sqrt(1 - 0.95 ** 2) * u / np.linalg.norm(u)
+    moved, compared = [], rp_forest._compared
+    monkeypatch.setattr(rp_forest, "_compared", lambda rows, threshold: (moved.append(rows.count()), compared(rows, threshold))[1])
+    rows = [(i, [float(v) for v in np.float32(x[i])], 0) for i in range(4000)]
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in rp_forest.near_vectors(vectors(spark, rows), coarse=250, block=125).collect()}
+    assert got == {i: (1, i - i % 2) if i < 200 else (0, i) for i in range(4000)}
+    assert 4000 < sum(moved) <= 8 * 4000
+
+
+def test_tiles_of_a_dense_group_count_each_pair_once():
+    rng = np.random.default_rng(4)
+    x = np.float32(np.concatenate([1 + 0.25 * rng.standard_normal((1500, 32)), rng.standard_normal((700, 32))]))
+    copies, block = rng.integers(1, 4, len(x)), np.arange(len(x)) % 2
+    lower = rng.integers(0, 4, (len(x), 1))
+    u = x / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    for met, bits in (((), None), ((block,), None), ((), lower), ((block,), lower)):
+        want = u @ u.T >= 0.93
+        np.fill_diagonal(want, False)
+        if met:
+            want &= block[:, None] != block
+        if bits is not None:
+            want &= (bits & bits.T) == 0
+        got = rp_forest.linked(x, copies, 0.93, met, bits)
+        assert (got.n == want @ copies).all()
+        assert got.root.tolist() == list(helpers.components(range(len(x)), zip(*np.nonzero(want), strict=True)).values())
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(1)
     for n, m in ((50, 30), (200, 220), (300, 100)):
