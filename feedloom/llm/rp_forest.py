@@ -45,8 +45,8 @@ from feedloom.llm.components import connected_components
 THRESHOLD = 0.93
 TREES = 8
 LEAF = 256
-COARSE = 1 << 17
-BLOCK = 1 << 16
+COARSE = 1 << 16
+BLOCK = 1 << 15
 MARGIN = 2.0
 #: Share of the pairs at the threshold that a task's trees may miss, and the least that one tree may keep.
 MISSED, KEPT = 1e-4, 0.25
@@ -54,7 +54,7 @@ MISSED, KEPT = 1e-4, 0.25
 DIRECTIONS = 64
 TILE = 1024
 #: Found pairs that a task holds before it counts them.
-HELD = 1 << 21
+HELD = 1 << 18
 #: Vectors with more copies than this and a MANY-th of the rows are folded before they are dealt; at most MANY are.
 COPIES, MANY = 64, 10_000
 
@@ -217,22 +217,26 @@ def coarse_groups(rows: DataFrame, threshold: float, coarse: int = COARSE, block
         level += 1
 
 
+def _furthest(p: np.ndarray) -> np.ndarray:
+    """The direction and sign on which each row of projections lies furthest, as a number."""
+    best = abs(p).argmax(1)
+    return 2 * best + (p[np.arange(len(p)), best] < 0)
+
+
 def _parted(x: np.ndarray, at: np.ndarray, rotation: np.ndarray, spread: float, rng: np.random.Generator,
             kept: float) -> tuple[list[np.ndarray], float] | None:
     """The rows ``at`` by their furthest direction, and the share of pairs at the threshold that stay together."""
-    y = x[at]
-    y -= y.mean(0)
-    some = y[rng.integers(len(at), size=512)]
+    pieces = [at[lo:lo + 8192] for lo in range(0, len(at), 8192)]
+    centre = sum(x[i].sum(0, dtype=np.float64) for i in pieces) / len(at)
+    centre = centre.astype(x.dtype)
+    some = x[at[rng.integers(len(at), size=512)]] - centre
     k = min(rotation.shape[1], max(2, math.ceil(0.75 * len(at) / LEAF)))
     for k in dict.fromkeys((k, max(1, k // 4), max(1, k // 16))):
         p = some @ rotation[:, :k]
-        cells = [2 * abs(v).argmax(1) + (np.take_along_axis(v, abs(v).argmax(1)[:, None], 1)[:, 0] < 0)
-                 for v in (p, p + spread * rng.standard_normal(p.shape))]
+        cells = [_furthest(v) for v in (p, p + spread * rng.standard_normal(p.shape))]
         keep, shares = (cells[0] == cells[1]).mean(), np.bincount(cells[0]) / len(some)
         if kept * keep >= KEPT and (shares * shares).sum() <= 0.2 * keep:
-            p = y @ rotation[:, :k]
-            best = abs(p).argmax(1)
-            cell = 2 * best + (p[np.arange(len(at)), best] < 0)
+            cell = np.concatenate([_furthest((x[i] - centre) @ rotation[:, :k]) for i in pieces])
             order = np.argsort(cell, kind="stable")
             return np.split(at[order], np.flatnonzero(np.diff(cell[order])) + 1), kept * keep
     return None
